@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import near_dedup
+from . import decontaminate, line_dedup, near_dedup
 
-_MODULES = {"op1_minhash_near_dedup": near_dedup}
+_MODULES = {
+    "op1_minhash_near_dedup": near_dedup,
+    "op7_line_dedup": line_dedup,
+    "op9_benchmark_decontamination": decontaminate,
+}
 
 
 def queries() -> dict:
