@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, near_dedup, quality
+from . import bpe, decontaminate, line_dedup, near_dedup, quality
 
 _MODULES = {
     "op1_minhash_near_dedup": near_dedup,
+    "op5_bpe_encode_decode": bpe,
     "op7_line_dedup": line_dedup,
     "op9_benchmark_decontamination": decontaminate,
     "op10_quality_classifier": quality,
