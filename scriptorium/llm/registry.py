@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, line_dedup, near_dedup, quality
+from . import bpe, decontaminate, fingerprint, line_dedup, near_dedup, quality, sharding
 
 _MODULES = {
     "op1_minhash_near_dedup": near_dedup,
     "op5_bpe_encode_decode": bpe,
+    "op6_virtual_slot_sharding": sharding,
     "op7_line_dedup": line_dedup,
+    "op8_bottom_k_fingerprint": fingerprint,
     "op9_benchmark_decontamination": decontaminate,
     "op10_quality_classifier": quality,
 }
