@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch, and its bytes where Spark can bound them: a worker holds one batch at a time.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 _shipped: set[str] = set()
 _scratch: dict[str, str] = {}
@@ -41,6 +43,29 @@ def prepare(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def lean(function: Callable) -> Callable:
+    """function over Arrow batches, giving what a batch took back to the system before the next one."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            trim = ctypes.CDLL("libc.so.6").malloc_trim
+        except (OSError, AttributeError):
+            trim = id
+
+        def each() -> Iterator:
+            for batch in batches:
+                yield batch
+                del batch
+                trim(0)
+
+        yield from function(each())
+
+    return run
+
+
 def _filesystem(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p

@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _kernels as K
-from ._common import keep, prepare, tokenizer_path
+from ._common import keep, lean, prepare, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
 HEAD_WORDS, HEAD_BYTES = 2_000_000, 128 << 20
-BUCKETS, FLUSH = 1024, 400_000
+BUCKETS, FLUSH = 1024, 250_000
 _TAIL = 1 << 31
 _LOADED: dict[str, object] = {}
 
@@ -84,7 +84,7 @@ def distinct(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[
 
 def _cut_chunks(column: pa.Array):
     buf, off = K.buffers(column)
-    for i, j in K.chunks(off, 4 << 20):
+    for i, j in K.chunks(off):
         part, o = buf[off[i] : off[j]], off[i : j + 1] - off[i]
         start, end, row = cut(part, o)
         yield i, j, row, *distinct(part, start, end)
@@ -135,8 +135,8 @@ def _merge(batches):
 
 def distinct_words(docs: DataFrame) -> DataFrame:
     """(word, n): every distinct word of docs' texts with its count."""
-    parts = docs.select("text").mapInArrow(_count, "bucket int, words binary")
-    return parts.repartition("bucket").mapInArrow(_merge, "word binary, n long")
+    parts = docs.select("text").mapInArrow(lean(_count), "bucket int, words binary")
+    return parts.repartition("bucket").mapInArrow(lean(_merge), "word binary, n long")
 
 
 def encode_words(words: list[bytes], path: str) -> list[bytes]:
@@ -178,7 +178,7 @@ def head_of(words: DataFrame, path: str, most: int = HEAD_WORDS, most_bytes: int
     empty = Head(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32))
     if least is None:
         return empty
-    t = words.where(F.col("n") >= least).mapInArrow(_encode_head(path), "digest binary, ids binary").toArrow()
+    t = words.where(F.col("n") >= least).mapInArrow(lean(_encode_head(path)), "digest binary, ids binary").toArrow()
     if not t.num_rows:
         return empty
     digest, _ = K.buffers(t.column("digest").combine_chunks())
@@ -290,12 +290,12 @@ def encode(docs: DataFrame, tokenizer: str | None = None, head_words: int = HEAD
     head = spark.sparkContext.broadcast(head_of(words.df, path, head_words, head_bytes))
     words.drop()
     marked = texts.withColumn("mark", F.xxhash64("text"))
-    numbered = marked.mapInArrow(_number(head, False), "doc_id long, mark long, codes binary")
-    tail = marked.mapInArrow(_number(head, True), "doc_id long, mark long, nth int, word binary")
-    tail = tail.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_tail(path), "doc_id long, mark long, nth int, ids binary")
+    numbered = marked.mapInArrow(lean(_number(head, False)), "doc_id long, mark long, codes binary")
+    tail = marked.mapInArrow(lean(_number(head, True)), "doc_id long, mark long, nth int, word binary")
+    tail = tail.repartition("word").sortWithinPartitions("word").mapInArrow(lean(_encode_tail(path)), "doc_id long, mark long, nth int, ids binary")
     tail = tail.groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("m")).agg(F.collect_set(F.struct("nth", "ids")).alias("tail"))
     both = numbered.join(tail, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left").select("doc_id", "codes", "tail")
-    return both.mapInArrow(_assemble(head), "doc_id long, n_tokens long, ids binary")
+    return both.mapInArrow(lean(_assemble(head)), "doc_id long, n_tokens long, ids binary")
 
 
 def pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -329,7 +329,7 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
     prepare(spark)
     table = spark.sparkContext.broadcast(pieces(tokenizer or tokenizer_path(TOKENIZER)))
     base = encoded.drop("text")
-    return base.mapInArrow(_decode(table), base.withColumn("text", F.lit("")).schema)
+    return base.mapInArrow(lean(_decode(table)), base.withColumn("text", F.lit("")).schema)
 
 
 def _digest_ids(batches):
@@ -351,7 +351,7 @@ def _digest_ids(batches):
 def digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     both = decode(encode(docs, tokenizer), tokenizer)
     both = both.select("doc_id", "n_tokens", "ids", F.sha2("text", 256).alias("decoded_sha256"))
-    return both.mapInArrow(_digest_ids, "doc_id long, n_tokens long, decoded_sha256 string, ids_sha256 string").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return both.mapInArrow(lean(_digest_ids), "doc_id long, n_tokens long, decoded_sha256 string, ids_sha256 string").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _kernels as K
-from ._common import prepare
+from ._common import lean, prepare
 
 WINDOW = 13
 #: Pattern characters in one automaton: bounds its memory at some 100 bytes each.
@@ -163,7 +163,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     fields = [row.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.LongType()))]
     if spans:
         fields.append(T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))))
-    out = row.mapInArrow(_scan(blocks, spans), T.StructType(fields))
+    out = row.mapInArrow(lean(_scan(blocks, spans)), T.StructType(fields))
     contaminated = ((F.col("n_hit") > 0) & (PART * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")
     return out.select(*(F.col("row")[c].alias(c) for c in carried), "n_words", "n_hit", "items", contaminated, *(["spans"] if spans else []))
 

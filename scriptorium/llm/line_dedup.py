@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _kernels as K
-from ._common import keep, prepare
+from ._common import keep, lean, prepare
 
 MIN_CHARS, MIN_DOCS = 20, 3
 BITS, BLOCK = 1 << 28, 1 << 16
@@ -113,8 +113,8 @@ def _merge(batches):
 
 def repeated_filter(docs: DataFrame, min_chars: int = MIN_CHARS, bits: int = BITS, flush: int = FLUSH) -> dict[int, bytes]:
     """Block number -> compressed bits of the filter of keys seen at least twice; bits / 8 bytes at most."""
-    parts = docs.select("text").mapInArrow(_collect_bits(min_chars, bits, flush), "block int, once binary, twice binary")
-    return {r.block: bytes(r.bits) for r in parts.repartition("block").mapInArrow(_merge, "block int, bits binary").collect()}
+    parts = docs.select("text").mapInArrow(lean(_collect_bits(min_chars, bits, flush)), "block int, once binary, twice binary")
+    return {r.block: bytes(r.bits) for r in parts.repartition("block").mapInArrow(lean(_merge), "block int, bits binary").collect()}
 
 
 def _suspects(filter_, min_chars: int, bits: int):
@@ -165,7 +165,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     prepare(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     filter_ = spark.sparkContext.broadcast(repeated_filter(texts, min_chars, bits, flush))
-    suspects = keep(texts.mapInArrow(_suspects(filter_, min_chars, bits), "key binary, doc_id long"), "suspects")
+    suspects = keep(texts.mapInArrow(lean(_suspects(filter_, min_chars, bits)), "key binary, doc_id long"), "suspects")
     counted = suspects.df.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs)
     confirmed = keep(counted, "confirmed")
     # A key with more than total / hot_keys rows is hot: there are fewer than hot_keys of them.
@@ -179,7 +179,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     row = docs.select(F.struct(*(c for c in carried if c != "text")).alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
     joined = row.join(lost, row["id"].eqNullSafe(lost["doc_id"]), "left").select("row", "id", "text", "lost")
     schema = T.StructType([row.schema["row"], T.StructField("kept", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    out = joined.mapInArrow(_strip(spark.sparkContext.broadcast(hot), min_chars), schema)
+    out = joined.mapInArrow(lean(_strip(spark.sparkContext.broadcast(hot), min_chars)), schema)
     return out.select(*(F.col("kept").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in carried), "n_lines", "n_dropped")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _kernels as K
-from ._common import prepare
+from ._common import lean, prepare
 
 #: The bound of the labelled sample.
 MAX_LABELLED = 40_000
@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Trees
     prepare(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (_remainder() != 1))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("y", "text").mapInArrow(_features_of, "y double, x array<double>").toArrow()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("y", "text").mapInArrow(lean(_features_of), "y double, x array<double>").toArrow()
     if not rows.num_rows:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
@@ -206,7 +206,7 @@ def classify(docs: DataFrame, trees: Trees, carry: list[str] | None = None) -> D
     prepare(spark)
     carried = [c for c in carry or docs.columns if c not in ("held_out", "score", "predicted")]
     row = docs.select(F.struct(*carried).alias("row"), "text")
-    out = row.mapInArrow(_score(spark.sparkContext.broadcast(trees)), T.StructType([row.schema["row"], T.StructField("score", T.DoubleType())]))
+    out = row.mapInArrow(lean(_score(spark.sparkContext.broadcast(trees))), T.StructType([row.schema["row"], T.StructField("score", T.DoubleType())]))
     out = out.select(*(F.col("row")[c].alias(c) for c in carried), "score")
     return out.withColumns({"held_out": F.coalesce(_remainder() == 1, F.lit(False)), "predicted": (F.col("score") >= 0.5).cast("int")})
 
