@@ -1,16 +1,22 @@
 """MinHash near-duplicate detection with tensored banding.
 
-Two small collections of M half-bands are computed, each half-band a hash of HALF minhashes. The tables'
-keys are all M * M pairs of a half of the first collection and one of the second: 64 tables from 32
-minhashes instead of 256. A link of resemblance s is found unless all halves of one collection differ,
-which has the chance 1 - (1 - (1 - s^HALF)^M)^2: 7e-5 at 0.85, 1e-7 at 0.95, for one pair; a group of
-copies holds many pairs.
-
-Every candidate is verified on the full shingle sets. Documents with equal sets are one class before any
-banding, so a group of copies is one row. A bucket never emits all its pairs at first: each round draws
-one centre per bucket and pairs it with the members that are still in another component. Buckets inside
-one component are done. What is left after STAR_ROUNDS, or when a round links nothing more, is paired
-exactly: all pairs of a bucket whose components differ, so that no link is lost to the choice of centres.
+Two small collections of M half-keys are computed, each a hash of HALF minhashes. The tables' keys are the
+pairs of a half-key of the first collection and one of the second: M * M = 196 tables from 2 * M * HALF = 84
+minhashes instead of 1176. A pair of resemblance s is missed by all tables if no half of one collection
+agrees, which has the chance 1 - (1 - (1 - s^HALF)^M)^2: 3e-6 at 0.85.
+
+Documents with equal sets are one class before any banding, so a group of copies is one row. Every
+candidate is verified on the full shingle sets. What is wanted are components, so a bucket inside one
+component is done and never emits its pairs. The rounds go from cheap to exact:
+
+1. Diagonal tables (half i with half i): one centre per bucket against the members of other components.
+2. A class is settled if no half-key bucket of one collection reaches another component. The others,
+   the active ones, make all their M * M keys, with new centres.
+3. Deep tables: keys of two halves of each collection, (i, i + t) with (j, j + t), t by round. A large
+   group whose members mostly resemble each other below the threshold falls into small buckets.
+4. What is still active is joined exactly by prefix filtering: two sets that are linked share one of their
+   n - ceil(0.85 n) + 1 rarest shingles, at places that leave enough to share. So a template that thousands share makes no pairs, and no link of
+   active classes is lost to the choice of centres.
 
 Defined cases. No text or no words: n_shingles 0, component_id = doc_id, kept. doc_id null: not compared
 (component_id null, kept true), as it cannot name a component. Repeated rows share one component and are all
@@ -19,17 +25,15 @@ kept if they hold its smallest doc_id. An empty table gives an empty table. Othe
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _kernels as K
-from ._common import Table, keep, prepare
+from ._common import keep, lean, prepare, Table
 
-M, HALF, STAR_ROUNDS = 8, 2, 10
+M, HALF, DEEP_ROUNDS = 14, 3, 2
 #: Linked with 100 * intersection >= 85 * union.
 NUM, DEN = 85, 100
 SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, ka array<long>, kb array<long>"
@@ -49,7 +53,7 @@ def shingle_sets(texts: pa.Array):
 
 
 def _sketch(batches):
-    a, b = _constants(4 * M * HALF).reshape(2, -1)[:, : 2 * M * HALF]
+    a, b = _constants(4 * M * HALF).reshape(2, -1)
     salt = _constants(8 * M)[-2 * M :]
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("ka", pa.list_(pa.int64())), ("kb", pa.list_(pa.int64()))])
     for batch in batches:
@@ -106,105 +110,154 @@ def connected(links: DataFrame) -> Table:
 
     Each step takes the least label among a vertex and its neighbours, then that label's own label; every
     step is written, so a lost executor costs one step at most."""
-    both = keep(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    both = keep(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
     now = keep(both.df.groupBy(F.col("a").alias("v")).agg(F.least("v", F.min("b")).alias("label")), "labels")
     while True:
         near = both.df.join(now.df.withColumnRenamed("v", "b"), "b").select(F.col("a").alias("v"), "label")
-        least = now.df.union(near).groupBy("v").agg(F.min("label").alias("label"))
+        least = now.df.withColumn("old", F.col("label")).unionByName(near, allowMissingColumns=True).groupBy("v").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         up = now.df.select(F.col("v").alias("label"), F.col("label").alias("up"))
-        new = keep(least.join(up, "label", "left").select("v", F.least("label", "up").alias("label")), "labels")
-        moved = new.df.join(now.df.withColumnRenamed("label", "old"), "v").where("label <> old").isEmpty()
+        new = keep(least.join(up, "label", "left").select("v", F.least("label", "up").alias("label"), "old"), "labels")
+        same = new.df.where("label <> old").isEmpty()
         now.drop()
-        now = new
-        if moved:
+        now = Table(new.spark, new.path, new.df.select("v", "label").schema)
+        if same:
             both.drop()
             return now
 
 
-def buckets_of(reps: DataFrame) -> DataFrame:
-    """(key, node, n_shingles) of each table's buckets. A half-key that one row alone holds cannot meet
-    another in any table, so only rows with a shared half in both collections make their M * M keys."""
-    half = reps.select("node", "n_shingles", F.posexplode(F.concat("ka", "kb")).alias("at", "h"))
-    shared = half.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    live = half.join(shared, "h").groupBy("node", "n_shingles").agg(
-        F.collect_list(F.when(F.col("at") < M, F.col("h"))).alias("ka"), F.collect_list(F.when(F.col("at") >= M, F.col("h"))).alias("kb")
-    )
-    both = live.select("node", "n_shingles", F.explode("ka").alias("x"), "kb").select("node", "n_shingles", "x", F.explode("kb").alias("y"))
-    return both.select(F.xxhash64("x", "y").alias("key"), "node", "n_shingles")
+def _half(side: str, shift: int) -> Column:
+    """A collection's half-keys, or for shift > 0 the hashes of the pairs (i, i + shift)."""
+    return F.expr(f"transform(sequence(0, {M - 1}), i -> xxhash64({side}[i], {side}[(i + {shift}) % {M}]))") if shift else F.col(side)
 
 
-def _fits(n: str, m: str, num: int, den: int) -> Column:
-    """Sizes that allow a link: the smaller at least num/den of the larger."""
-    return den * F.least(n, m) >= num * F.greatest(n, m)
+def _keys(nodes: DataFrame, shift: int = 0, diagonal: bool = False) -> DataFrame:
+    """(key, node, label, n_shingles) of the tables' buckets; null halves have been found to be alone."""
+    a, b = _half("ka", shift), _half("kb", shift)
+    base = nodes.select("node", "label", "n_shingles", a.alias("a"), b.alias("b"))
+    if diagonal:
+        out = base.select("node", "label", "n_shingles", F.explode(F.arrays_zip("a", "b")).alias("z")).select("node", "label", "n_shingles", "z.a", "z.b")
+    else:
+        out = base.select("node", "label", "n_shingles", F.explode("a").alias("a"), "b").where("a is not null").select("node", "label", "n_shingles", "a", F.explode("b").alias("b"))
+    return out.where("a is not null and b is not null").select(F.xxhash64("a", "b").alias("key"), "node", "label", "n_shingles")
 
 
-def link_classes(buckets: DataFrame, sets: DataFrame, num: int, den: int, star_rounds: int) -> Table | None:
-    """(v, label) of the classes that have links, None if there are none."""
-    tested: list[Table] = []
-    links: list[Table] = []
-    labels: Table | None = None
-    rounds, exact = 0, False
-    while True:
-        exact = exact or rounds == star_rounds
-        member = buckets.withColumn("label", F.col("node"))
-        if labels:
-            member = buckets.join(labels.df.withColumnRenamed("v", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        draw = F.struct(F.xxhash64("node", F.lit(rounds)).alias("o"), F.col("node"), F.col("label"), F.col("n_shingles"))
-        per = member.groupBy("key").agg(F.min(draw).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        mixed = per.where("lo < hi").select("key", F.col("c.node").alias("c"), F.col("c.label").alias("cl"), F.col("c.n_shingles").alias("cn"))
-        if exact:
-            other = member.select("key", F.col("node").alias("c"), F.col("label").alias("cl"), F.col("n_shingles").alias("cn"))
-            pairs = member.join(mixed.select("key"), "key", "left_semi").join(other, "key").where("label < cl")
-        else:
-            pairs = member.join(mixed, "key").where("label <> cl")
-        pairs = pairs.where(_fits("n_shingles", "cn", num, den)).select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-        pairs = reduce(lambda left, t: left.join(t.df, ["a", "b"], "left_anti"), tested, pairs)
-        new = keep(pairs, "pairs")
-        tested.append(new)
-        with_a = new.df.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-        with_both = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-        found = keep(with_both.select("a", "b", "sa", "sb").mapInArrow(_linked(num, den), "a long, b long"), "found")
-        some = not found.df.isEmpty()
-        if some:
-            links.append(found)
-            old, labels = labels, connected(reduce(DataFrame.union, [t.df for t in links]))
-            if old:
+def _star_pairs(keys: DataFrame, seed: int, num: int, den: int) -> DataFrame:
+    """Candidates (a, b): the members of a bucket in other components than its centre, drawn by seed."""
+    draw = F.struct(F.xxhash64("node", F.lit(seed)).alias("o"), F.col("node"), F.col("label"), F.col("n_shingles"))
+    per = keys.groupBy("key").agg(F.min(draw).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    pairs = keys.join(per.select("key", F.col("c.node").alias("c"), F.col("c.label").alias("cl"), F.col("c.n_shingles").alias("cn")), "key").where("label <> cl")
+    return _fitting(pairs, num, den)
+
+
+def _fitting(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct (a, b) whose sizes allow a link: the smaller at least num / den of the larger."""
+    fits = den * F.least("n_shingles", "cn") >= num * F.greatest("n_shingles", "cn")
+    return pairs.where(fits).select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+
+
+def _items(batches):
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+        take = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("node", "label", "n_shingles")), pa.array(np.concatenate(sets))], names=["node", "label", "n_shingles", "g"])
+
+
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidates (a, b) in different components that share a shingle of both prefixes."""
+    items = nodes.select("node", "label", "n_shingles").join(sets, "node").mapInArrow(lean(_items), "node long, label long, n_shingles long, g long")
+    of = items.groupBy("g").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "g"))
+    prefix = items.join(of, "g").withColumn("r", rank).where(F.col("r") <= F.col("n_shingles") - F.ceil(F.col("n_shingles") * num / den) + 1).where("lo < hi")
+    prefix = prefix.select("g", "r", "node", "label", "n_shingles")
+    other = prefix.select("g", F.col("r").alias("cr"), F.col("node").alias("c"), F.col("label").alias("cl"), F.col("n_shingles").alias("cn"))
+    # At the first shingle they share, the rest of the shorter remainder bounds what they can share in all.
+    most = 1 + F.least(F.col("n_shingles") - F.col("r"), F.col("cn") - F.col("cr"))
+    enough = most * (num + den) >= num * (F.col("n_shingles") + F.col("cn"))
+    return _fitting(prefix.join(other, "g").where("label < cl").where(enough), num, den)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    with_both = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    return with_both.select("a", "b", "sa", "sb").mapInArrow(lean(_linked(num, den)), "a long, b long")
+
+
+def _relabel(labels: Table, links: Table) -> Table:
+    """labels after the links: components of the graph between labels, then each label's new one."""
+    of = labels.df
+    ends = links.df.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    merged = connected(ends.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    new = keep(of.join(merged.df.select(F.col("v").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+    for t in (merged, labels):
+        t.drop()
+    return new
+
+
+def _unsettled(live: DataFrame) -> DataFrame:
+    """live with only the half-keys whose bucket reaches another component, on both sides, else left out."""
+    half = live.select("node", "label", F.posexplode(F.concat("ka", "kb")).alias("at", "h")).where("h is not null")
+    mixed = half.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
+    sides = half.join(mixed, "h", "left_semi").groupBy("node").agg(F.min(F.col("at") >= M).alias("b_only"), F.max(F.col("at") >= M).alias("some_b"))
+    return live.drop("label").join(sides.where("not b_only and some_b").select("node"), "node", "left_semi")
+
+
+def link_classes(live: Table, sets: DataFrame, num: int, den: int, deep_rounds: int) -> Table:
+    """(node, label) of the classes in live: label is equal for connected ones."""
+    labels = keep(live.df.select("node", F.col("node").alias("label")), "labels")
+    active = live
+    for round_ in range(deep_rounds + 3):
+        exact = round_ == deep_rounds + 2
+        if round_ == 1 or exact:
+            old, active = active, keep(_unsettled(active.df.join(labels.df, "node")), "active")
+            if old is not live:
                 old.drop()
+            if active.df.isEmpty():
+                break
+        nodes = active.df.join(labels.df, "node")
         if exact:
-            break
-        exact, rounds = not some, rounds + 1
-    for t in [*tested, *links]:
-        t.drop()
+            pairs = keep(_prefix_pairs(nodes, sets, num, den), "pairs")
+        else:
+            pairs = keep(_star_pairs(_keys(nodes, max(0, round_ - 1), diagonal=round_ == 0), round_, num, den), "pairs")
+        found = keep(_verified(pairs.df, sets, num, den), "found")
+        pairs.drop()
+        if not found.df.isEmpty():
+            labels = _relabel(labels, found)
+        found.drop()
+    if active is not live:
+        active.drop()
     return labels
 
 
-def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def live_classes(reps: DataFrame) -> DataFrame:
+    """reps with null for half-keys that no other row has; rows without a shared half on either side are left
+    out, as they meet nothing in any table."""
+    half = reps.select("node", "n_shingles", F.posexplode(F.concat("ka", "kb")).alias("at", "h"))
+    shared = half.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    found = half.join(shared, "h").groupBy("node", "n_shingles").agg(F.map_from_entries(F.collect_list(F.struct("at", "h"))).alias("of"))
+    sides = [F.expr(f"transform(sequence({k * M}, {k * M + M - 1}), i -> of[i])").alias(name) for k, name in enumerate(("ka", "kb"))]
+    return found.select("node", "n_shingles", *sides).where("exists(ka, x -> x is not null) and exists(kb, x -> x is not null)")
+
+
+def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, deep_rounds: int = DEEP_ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     prepare(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = keep(texts.mapInArrow(_sketch, SKETCH), "sketch")
+    sketch = keep(texts.mapInArrow(lean(_sketch), SKETCH), "sketch")
     named = sketch.df.where("doc_id is not null and n_shingles > 0")
     classes = named.groupBy(F.col("f1").alias("node"), "f2").agg(F.min("doc_id").alias("rep"))
     reps = named.withColumnsRenamed({"doc_id": "rep", "f1": "node"}).join(classes, ["rep", "node", "f2"], "left_semi").dropDuplicates(["rep", "node", "f2"])
-
-    rows = keep(buckets_of(reps), "rows")
-    crowded = rows.df.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = keep(rows.df.join(crowded, "key"), "buckets")
-    rows.drop()
-    wanted = classes.join(buckets.df.select("node").distinct(), "node", "left_semi")
+    live = keep(live_classes(reps), "live")
+    wanted = classes.join(live.df.select("node"), "node", "left_semi")
     some = texts.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = keep(some.mapInArrow(_sets, "node long, shingles binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    labels = link_classes(buckets.df, sets.df, num, den, star_rounds)
-    buckets.drop()
+    sets = keep(some.mapInArrow(lean(_sets), "node long, shingles binary").join(live.df.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    labels = link_classes(live, sets.df, num, den, deep_rounds)
+    live.drop()
     sets.drop()
-    if labels:
-        named_label = classes.join(labels.df.withColumnRenamed("v", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        least = named_label.groupBy("label").agg(F.min("rep").alias("component"))
-        classes = named_label.join(least, "label").select("node", "f2", "component")
-    else:
-        classes = classes.withColumnRenamed("rep", "component")
+    labelled = classes.join(labels.df, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = labelled.groupBy("label").agg(F.min("rep").alias("component"))
+    final = labelled.join(least, "label").select("node", "f2", "component")
     out = sketch.df.select("doc_id", "n_shingles", F.when(F.expr("doc_id is not null and n_shingles > 0"), F.col("f1")).alias("node"), "f2")
-    out = out.join(classes, ["node", "f2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
+    out = out.join(final, ["node", "f2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
@@ -215,7 +268,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Brute force over the shingles: words by white space, distinct 5-grams, all pairs that share one, then components.
 ORACLE = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws FROM documents),
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS ws FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
     ELSE list_distinct([array_to_string(ws[i:i+4], ' ') FOR i IN range(1, len(ws) - 3)]) END AS sh FROM w),
