@@ -5,14 +5,15 @@ space that follows a character other than white space, where no token of a byte-
 
 1. Count: tasks send their distinct words with counts in compressed blocks by a hash, merged into one row
    per distinct word.
-2. The most frequent words, at most HEAD_WORDS and HEAD_BYTES, are encoded once and become the head: sorted
-   digests and ids, broadcast within that bound. How many words there are beyond does not matter.
-3. Texts become words' numbers, by position; words beyond the head are listed apart, one row per document
-   and distinct word, gathered by word, encoded once, and joined back to their documents by position.
-4. Numbers become ids. Decoding joins ids to the vocabulary's pieces (its size is the bound of that
-   broadcast) and reads the bytes as UTF-8.
+2. The most frequent words, at most HEAD_WORDS and HEAD_BYTES, are the table: each is encoded once, and its
+   ids are kept under a 128-bit digest. The bound makes it a broadcast at any size of the input.
+3. Texts become their words' numbers in the table, and the ids are joined back by position. A word beyond
+   the table is rare (fewer occurrences than any word in it) and is encoded where it stands: sending such
+   words and their documents through a join takes more disk than they are worth (see the README).
+4. Decoding joins ids to the vocabulary's pieces (its size is the bound of that broadcast) and reads the
+   bytes as UTF-8.
 
-The result does not depend on the head's bounds. Digests of words are 128 bits.
+The result does not depend on the table's bounds.
 
 Defined cases. A null or empty text has no ids. A null doc_id is carried. Repeated rows are encoded each. The
 text of a special token is encoded as the library does, as that token. An empty table gives an empty
@@ -28,6 +29,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +39,6 @@ from ._common import keep, lean, prepare, tokenizer_path
 TOKENIZER = "byte_bpe_50k.json"
 HEAD_WORDS, HEAD_BYTES = 2_000_000, 128 << 20
 BUCKETS, FLUSH = 1024, 250_000
-_TAIL = 1 << 31
 _LOADED: dict[str, object] = {}
 
 
@@ -102,17 +103,20 @@ def _pack(counts: dict[bytes, int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(by.keys(), pa.int32()), pa.array(data, pa.binary())], names=["bucket", "words"])
 
 
-def _count(batches):
-    counts: dict[bytes, int] = {}
-    for batch in batches:
-        for *_, words, _, n in _cut_chunks(batch.column("text")):
-            for w, k in zip(words, n.tolist()):
-                counts[w] = counts.get(w, 0) + k
-            if len(counts) >= FLUSH:
-                yield _pack(counts)
-                counts = {}
-    if counts:
-        yield _pack(counts)
+def _count(cutter):
+    def run(batches):
+        counts: dict[bytes, int] = {}
+        for batch in batches:
+            for *_, words, _, n in cutter(batch.column("text")):
+                for w, k in zip(words, n.tolist()):
+                    counts[w] = counts.get(w, 0) + k
+                if len(counts) >= FLUSH:
+                    yield _pack(counts)
+                    counts = {}
+        if counts:
+            yield _pack(counts)
+
+    return run
 
 
 def _merge(batches):
@@ -133,9 +137,9 @@ def _merge(batches):
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([counts[w] for w in part], pa.int64())], names=["word", "n"])
 
 
-def distinct_words(docs: DataFrame) -> DataFrame:
-    """(word, n): every distinct word of docs' texts with its count."""
-    parts = docs.select("text").mapInArrow(lean(_count), "bucket int, words binary")
+def distinct_words(docs: DataFrame, cutter=_cut_chunks) -> DataFrame:
+    """(word, n): every distinct word of docs' texts, as cutter cuts them, with its count."""
+    parts = docs.select("text").mapInArrow(lean(_count(cutter)), "bucket int, words binary")
     return parts.repartition("bucket").mapInArrow(lean(_merge), "word binary, n long")
 
 
@@ -148,133 +152,81 @@ def encode_words(words: list[bytes], path: str) -> list[bytes]:
     return out
 
 
-def _encode_head(path: str):
+def _encode_head(path: str, prefix: bytes):
     def run(batches):
         for batch in batches:
             words = batch.column("word").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(w).digest() for w in words], pa.binary()), pa.array(encode_words(words, path), pa.binary())], names=["digest", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(w) for w in words], pa.binary()), batch.column("n"), pa.array(encode_words([prefix + w for w in words], path), pa.binary())], names=["digest", "n", "ids"])
 
     return run
 
 
 class Head(NamedTuple):
-    """Words by digest: high and low 64 bits in ascending order, and their ids."""
+    """Words by digest: its 128 bits in two, in ascending order, the words' counts and ids."""
 
     high: np.ndarray
     low: np.ndarray
+    n: np.ndarray
     offsets: np.ndarray
     ids: np.ndarray
+    least: int | None  # all words with this count or more are here
 
 
-def head_of(words: DataFrame, path: str, most: int = HEAD_WORDS, most_bytes: int = HEAD_BYTES) -> Head:
+def head_of(words: DataFrame, path: str, most: int = HEAD_WORDS, most_bytes: int = HEAD_BYTES, prefix: bytes = b"") -> Head:
     """The words that are at least as frequent as the least count for which the bounds hold."""
-    sizes = sorted(words.groupBy("n").agg(F.count("*").alias("words"), F.sum(F.length("word") * 4 + 24).alias("bytes")).collect(), reverse=True)
+    sizes = sorted(words.groupBy("n").agg(F.count("*").alias("words"), F.sum(F.length("word") * 4 + 36).alias("bytes")).collect(), reverse=True)
     least, w, b = None, 0, 0
     for r in sizes:
         w, b = w + r.words, b + r.bytes
         if w > most or b > most_bytes:
             break
         least = r.n
-    empty = Head(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32))
-    if least is None:
-        return empty
-    t = words.where(F.col("n") >= least).mapInArrow(lean(_encode_head(path)), "digest binary, ids binary").toArrow()
-    if not t.num_rows:
-        return empty
-    digest, _ = K.buffers(t.column("digest").combine_chunks())
+    rows = words.where(F.col("n") >= least) if least is not None else words.limit(0)
+    t = rows.mapInArrow(lean(_encode_head(path, prefix)), "digest binary, n long, ids binary").toArrow()
+    digest, _ = K.buffers(t.column("digest").combine_chunks()) if t.num_rows else (np.empty(0, np.uint8), None)
+    data, off = K.buffers(t.column("ids").combine_chunks()) if t.num_rows else (np.empty(0, np.uint8), np.zeros(1, np.int64))
     key = np.frombuffer(digest.tobytes(), np.uint64).reshape(-1, 2)
     order = np.lexsort((key[:, 1], key[:, 0]))
-    data, off = K.buffers(t.column("ids").combine_chunks())
     ids, size = K.ragged(np.frombuffer(data.tobytes(), np.uint32), off // 4, order)
-    return Head(key[order, 0], key[order, 1], np.append(0, np.cumsum(size)), ids)
+    return Head(key[order, 0], key[order, 1], t.column("n").to_numpy()[order], np.append(0, np.cumsum(size)), ids, least)
 
 
 def _lookup(head: Head, words: list[bytes]) -> np.ndarray:
     """Number of each word in the head, -1 for others."""
     if not words or not len(head.high):
         return np.full(len(words), -1)
-    key = np.frombuffer(b"".join(hashlib.md5(w).digest() for w in words), np.uint64).reshape(-1, 2)
+    key = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in words), np.uint64).reshape(-1, 2)
     at = np.searchsorted(head.high, key[:, 0])
     at[at == len(head.high)] = 0
     return np.where((head.high[at] == key[:, 0]) & (head.low[at] == key[:, 1]), at, -1)
 
 
-def _number(head_, tails: bool):
-    """Texts as compressed word numbers, or the words beyond the head of each text."""
-
-    def run(batches):
-        head = head_.value
-        for batch in batches:
-            codes, rows, nth, words = [b""] * batch.num_rows, [], [], []
-            for i, j, row, own, inverse, _ in _cut_chunks(batch.column("text")):
-                at = _lookup(head, own)
-                code = at[inverse]
-                bound = np.searchsorted(row, np.arange(j - i + 1))
-                for k in range(j - i):
-                    c = code[bound[k] : bound[k + 1]]
-                    if len(miss := np.flatnonzero(c < 0)):
-                        which, back = np.unique(inverse[bound[k] : bound[k + 1]][miss], return_inverse=True)
-                        if tails:
-                            rows += [i + k] * len(which)
-                            nth += range(len(which))
-                            words += [own[x] for x in which.tolist()]
-                        else:
-                            c = c.copy()
-                            c[miss] = back + _TAIL
-                    if not tails:
-                        codes[i + k] = zlib.compress(c.astype(np.uint32).tobytes(), 1)
-            ids, mark = batch.column("doc_id"), batch.column("mark")
-            if tails:
-                take = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.take(take), mark.take(take), pa.array(nth, pa.int32()), pa.array(words, pa.binary())], names=["doc_id", "mark", "nth", "word"])
-            else:
-                yield pa.RecordBatch.from_arrays([ids, mark, pa.array(codes, pa.binary())], names=["doc_id", "mark", "codes"])
-
-    return run
-
-
-def _encode_tail(path: str):
-    """Rows arrive in the order of their words: each distinct word is encoded once."""
-
-    def run(batches):
-        last, last_ids = None, b""
-        for batch in batches:
-            words = batch.column("word").to_pylist()
-            new = [w for k, w in enumerate(words) if w != (words[k - 1] if k else last)]
-            fresh, out = iter(encode_words(new, path)), []
-            for w in words:
-                if w != last:
-                    last, last_ids = w, next(fresh)
-                out.append(last_ids)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "mark", "nth")), pa.array(out, pa.binary())], names=["doc_id", "mark", "nth", "ids"])
-
-    return run
-
+def _ids(head_, path: str):
+    """Texts as ids: the table's by number, those of other words encoded here, all joined by position."""
 
-def _assemble(head_):
     def run(batches):
         head = head_.value
         for batch in batches:
-            tails = batch.column("tail").to_pylist()
             out, n = [], []
-            for k, blob in enumerate(batch.column("codes").to_pylist()):
-                code = np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.int64) if blob else np.zeros(0, np.int64)
-                far = code >= _TAIL
-                if not far.any():
-                    ids, _ = K.ragged(head.ids, head.offsets, code)
-                else:
-                    own = sorted((t["nth"], t["ids"]) for t in tails[k])
-                    data = [np.frombuffer(x, np.uint32) for _, x in own]
-                    off = np.append(0, np.cumsum([len(x) for x in data]))
-                    near, size_near = K.ragged(head.ids, head.offsets, code[~far])
-                    rest, size_rest = K.ragged(np.concatenate(data), off, code[far] - _TAIL)
-                    size = np.zeros(len(code), np.int64)
-                    size[~far], size[far] = size_near, size_rest
-                    is_far = np.repeat(far, size)
-                    ids = np.empty(len(is_far), np.uint32)
-                    ids[~is_far], ids[is_far] = near, rest
-                out.append(ids.astype("<u4").tobytes())
-                n.append(len(ids))
+            for i, j, row, words, inverse, _ in _cut_chunks(batch.column("text")):
+                at = _lookup(head, words)
+                rare = np.flatnonzero(at < 0)
+                own = [np.frombuffer(x, np.uint32) for x in encode_words([words[k] for k in rare.tolist()], path)]
+                # One table for the chunk: its words of the head, then its rare ones.
+                known, size = K.ragged(head.ids, head.offsets, at[at >= 0])
+                length = np.zeros(len(words), np.int64)
+                length[at >= 0], length[rare] = size, [len(x) for x in own]
+                begin = np.zeros(len(words), np.int64)
+                begin[at >= 0] = np.cumsum(size) - size
+                begin[rare] = len(known) + np.cumsum(length[rare]) - length[rare]
+                values = np.concatenate([known, *own])
+                take = length[inverse]
+                ends = np.cumsum(take)
+                ids = values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin[inverse] - (ends - take), take)].astype("<u4")
+                bound = np.append(0, ends)[np.searchsorted(row, np.arange(j - i + 1))]
+                for k in range(j - i):
+                    out.append(ids[bound[k] : bound[k + 1]].tobytes())
+                n += np.diff(bound).tolist()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return run
@@ -285,17 +237,11 @@ def encode(docs: DataFrame, tokenizer: str | None = None, head_words: int = HEAD
     spark = docs.sparkSession
     prepare(spark)
     path = tokenizer or tokenizer_path(TOKENIZER)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = keep(distinct_words(texts), "words")
     head = spark.sparkContext.broadcast(head_of(words.df, path, head_words, head_bytes))
     words.drop()
-    marked = texts.withColumn("mark", F.xxhash64("text"))
-    numbered = marked.mapInArrow(lean(_number(head, False)), "doc_id long, mark long, codes binary")
-    tail = marked.mapInArrow(lean(_number(head, True)), "doc_id long, mark long, nth int, word binary")
-    tail = tail.repartition("word").sortWithinPartitions("word").mapInArrow(lean(_encode_tail(path)), "doc_id long, mark long, nth int, ids binary")
-    tail = tail.groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("m")).agg(F.collect_set(F.struct("nth", "ids")).alias("tail"))
-    both = numbered.join(tail, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left").select("doc_id", "codes", "tail")
-    return both.mapInArrow(lean(_assemble(head)), "doc_id long, n_tokens long, ids binary")
+    return texts.mapInArrow(lean(_ids(head, path)), "doc_id long, n_tokens long, ids binary")
 
 
 def pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
