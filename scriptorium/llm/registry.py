@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fingerprint, html_text, line_dedup, near_dedup, quality, sharding, token_store
+from . import bpe, decontaminate, fingerprint, html_text, language_model, line_dedup, near_dedup, quality, sharding, token_store
 
 _MODULES = {
     "op1_minhash_near_dedup": near_dedup,
     "op2_host_suffix_array_text": html_text,
+    "op3_attention_lm_scoring": language_model,
     "op4_content_addressed_tokens": token_store,
     "op5_bpe_encode_decode": bpe,
     "op6_virtual_slot_sharding": sharding,
