@@ -120,7 +120,7 @@ def table_rows(parts: DataFrame, keys: tuple[str, ...] = ("doc_id", "section_ord
     w = Window.partitionBy(*keys).orderBy("pos")
     line = line.withColumn("is_row", bars >= 2).withColumn("run", F.row_number().over(w) - F.row_number().over(Window.partitionBy(*keys, "is_row").orderBy("pos"))).where("is_row")
     run = line.groupBy(*keys, "section", "run").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines")).where("size(lines) >= 2")
-    cells = lambda s: F.transform(F.split(F.btrim(F.btrim(s), F.lit("|")), "\\|"), F.btrim)
+    cells = lambda s: F.transform(F.split(F.btrim(F.btrim(s), F.lit("|")), "\\|"), lambda c: F.btrim(c))
     body = run.select(*keys, "section", cells(F.col("lines")[0]["line"]).alias("head"), F.posexplode(F.slice("lines", 3, F.greatest(F.size("lines"), F.lit(1)))).alias("nth", "row"))
     body = body.select(*keys, "section", F.col("row.pos").alias("row_order"), "head", cells(F.col("row.line")).alias("cells")).where("size(head) = size(cells)")
     return body.select(*keys, F.concat("section", F.lit(" table row")).alias("section"), "row_order", F.array_join(F.zip_with("head", "cells", lambda h, c: F.concat(h, F.lit(": "), c)), "; ").alias("body"))
