@@ -123,10 +123,11 @@ def shingles(words: np.ndarray, row: np.ndarray, rows: int, k: int = 5) -> tuple
 
 def ragged(values: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenates the lists values[offsets[i]:offsets[i + 1]] for i in which; and each one's length."""
-    length = offsets[which + 1] - offsets[which]
+    begin = offsets[which].astype(np.int64)
+    length = offsets[which + 1].astype(np.int64) - begin
     total = int(length.sum())
     if not total:
         return values[:0], length
     ends = np.cumsum(length)
-    index = np.arange(total) + np.repeat(offsets[which] - (ends - length), length)
+    index = np.arange(total) + np.repeat(begin - (ends - length), length)
     return values[index], length

@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
+from array import array
 from typing import NamedTuple
 
 import numpy as np
@@ -148,7 +149,7 @@ def encode_words(words: list[bytes], path: str) -> list[bytes]:
     t = load(path)
     out: list[bytes] = []
     for i in range(0, len(words), 10_000):
-        out += [np.array(e.ids, np.uint32).tobytes() for e in t.encode_batch([w.decode("utf-8", "replace") for w in words[i : i + 10_000]], add_special_tokens=False)]
+        out += [array("I", e.ids).tobytes() for e in t.encode_batch([w.decode("utf-8", "replace") for w in words[i : i + 10_000]], add_special_tokens=False)]
     return out
 
 
@@ -188,13 +189,17 @@ def head_of(words: DataFrame, path: str, most: int = HEAD_WORDS, most_bytes: int
     key = np.frombuffer(digest.tobytes(), np.uint64).reshape(-1, 2)
     order = np.lexsort((key[:, 1], key[:, 0]))
     ids, size = K.ragged(np.frombuffer(data.tobytes(), np.uint32), off // 4, order)
-    return Head(key[order, 0], key[order, 1], t.column("n").to_numpy()[order], np.append(0, np.cumsum(size)), ids, least)
+    # As narrow as the values allow: the table is copied to every executor.
+    if not len(ids) or ids.max() < 1 << 16:
+        ids = ids.astype(np.uint16)
+    n = np.minimum(t.column("n").to_numpy()[order], (1 << 63) - 1)
+    return Head(key[order, 0], key[order, 1], n.astype(np.int32) if not len(n) or n.max() < 1 << 31 else n, np.append(0, np.cumsum(size)).astype(np.uint32 if len(ids) < 1 << 32 else np.int64), ids, least)
 
 
 def _lookup(head: Head, words: list[bytes]) -> np.ndarray:
     """Number of each word in the head, -1 for others."""
     if not words or not len(head.high):
-        return np.full(len(words), -1)
+        return np.full(len(words), -1, np.int64)
     key = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in words), np.uint64).reshape(-1, 2)
     at = np.searchsorted(head.high, key[:, 0])
     at[at == len(head.high)] = 0

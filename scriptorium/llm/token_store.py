@@ -35,7 +35,7 @@ from .bpe import distinct, encode_words, load
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 WINDOW, AVERAGE, LEAST, MOST = 16, 256, 64, 2048
-CACHE, SEEN = 200_000, 300_000
+CACHE, SEEN = 400_000, 300_000
 ENCODED = "doc_id long, n_tokens long, hashes binary, lengths array<int>, fresh array<struct<hash: binary, n: int, ids: binary>>"
 RECIPES = "part int, doc_id long, first long, n_tokens long, hashes binary, lengths array<int>, root binary, part_root binary"
 
@@ -78,37 +78,47 @@ def cuts(ids: np.ndarray, average: int = AVERAGE, least: int = LEAST, most: int
     return out
 
 
-class _Encoder:
-    """Ids of a column of texts, with the words met so far at hand."""
-
-    def __init__(self, path: str):
-        self.path, self.cache = path, {}
-
-    def rows(self, column: pa.Array):
-        buf, off = K.buffers(column)
-        for i, j in K.chunks(off):
-            part, o = buf[off[i] : off[j]], off[i : j + 1] - off[i]
-            start, end, row = K.spans(part, o)
-            words, inverse, _ = distinct(part, start, end)
-            if len(self.cache) > CACHE:
-                self.cache.clear()
-            missing = [w for w in words if w not in self.cache]
-            self.cache.update(zip(missing, encode_words(missing, self.path)))
-            blobs = [self.cache[w] for w in words]
-            offsets = np.append(0, np.cumsum([len(b) // 4 for b in blobs])).astype(np.int64)
-            ids, size = K.ragged(np.frombuffer(b"".join(blobs), np.uint32), offsets, inverse)
-            at = np.append(0, np.cumsum(size))[np.searchsorted(row, np.arange(j - i + 1))]
-            for k in range(j - i):
-                yield ids[at[k] : at[k + 1]]
+#: Ids of words met by this worker: those of late, and those before, which go when as many new ones have come.
+_WORDS: dict[str, list[dict[bytes, bytes]]] = {}
+
+
+def _ids_of(words: list[bytes], path: str) -> list[bytes]:
+    young, old = kept = _WORDS.setdefault(path, [{}, {}])
+    if len(young) > CACHE:
+        kept[:] = young, old = {}, young
+    missing = []
+    for w in words:
+        if w not in young:
+            if (x := old.get(w)) is None:
+                missing.append(w)
+            else:
+                young[w] = x
+    young.update(zip(missing, encode_words(missing, path)))
+    return [young[w] for w in words]
+
+
+def encoded_rows(column: pa.Array, path: str):
+    """The ids of each text of a column."""
+    buf, off = K.buffers(column)
+    for i, j in K.chunks(off, 2 << 20):
+        part, o = buf[off[i] : off[j]], off[i : j + 1] - off[i]
+        start, end, row = K.spans(part, o)
+        words, inverse, _ = distinct(part, start, end)
+        blobs = _ids_of(words, path)
+        offsets = np.append(0, np.cumsum([len(b) // 4 for b in blobs])).astype(np.int64)
+        ids, size = K.ragged(np.frombuffer(b"".join(blobs), np.uint32), offsets, inverse)
+        at = np.append(0, np.cumsum(size))[np.searchsorted(row, np.arange(j - i + 1))]
+        for k in range(j - i):
+            yield ids[at[k] : at[k + 1]]
 
 
 def _encode(path: str, end_id: int, kind: str):
     def run(batches):
-        encoder, seen = _Encoder(path), set()
+        seen: set[bytes] = set()
         fresh_type = pa.list_(pa.struct([("hash", pa.binary()), ("n", pa.int32()), ("ids", pa.binary())]))
         for batch in batches:
             total, hashes, lengths, fresh = [], [], [], []
-            for ids in encoder.rows(batch.column("text")):
+            for ids in encoded_rows(batch.column("text"), path):
                 ids = np.append(ids, np.uint32(end_id)).astype(kind)
                 own, size, new, last = [], [], [], 0
                 for end in cuts(ids):
