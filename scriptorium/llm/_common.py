@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -62,6 +63,8 @@ def lean(function: Callable) -> Callable:
                 trim(0)
 
         yield from function(each())
+        gc.collect()
+        trim(0)
 
     return run
 

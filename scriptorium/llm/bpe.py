@@ -38,7 +38,7 @@ from . import _kernels as K
 from ._common import keep, lean, prepare, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
-HEAD_WORDS, HEAD_BYTES = 2_000_000, 128 << 20
+HEAD_WORDS, HEAD_BYTES = 1_000_000, 64 << 20
 BUCKETS, FLUSH = 1024, 250_000
 _LOADED: dict[str, object] = {}
 
@@ -237,8 +237,8 @@ def _ids(head_, path: str):
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, head_words: int = HEAD_WORDS, head_bytes: int = HEAD_BYTES) -> DataFrame:
-    """doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit integers) of each row of docs."""
+def _with_head(docs: DataFrame, tokenizer: str | None, head_words: int, head_bytes: int):
+    """The texts of docs and the function over their batches that gives ids."""
     spark = docs.sparkSession
     prepare(spark)
     path = tokenizer or tokenizer_path(TOKENIZER)
@@ -246,7 +246,13 @@ def encode(docs: DataFrame, tokenizer: str | None = None, head_words: int = HEAD
     words = keep(distinct_words(texts), "words")
     head = spark.sparkContext.broadcast(head_of(words.df, path, head_words, head_bytes))
     words.drop()
-    return texts.mapInArrow(lean(_ids(head, path)), "doc_id long, n_tokens long, ids binary")
+    return texts, _ids(head, path), path
+
+
+def encode(docs: DataFrame, tokenizer: str | None = None, head_words: int = HEAD_WORDS, head_bytes: int = HEAD_BYTES) -> DataFrame:
+    """doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit integers) of each row of docs."""
+    texts, ids, _ = _with_head(docs, tokenizer, head_words, head_bytes)
+    return texts.mapInArrow(lean(ids), "doc_id long, n_tokens long, ids binary")
 
 
 def pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -283,26 +289,26 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
     return base.mapInArrow(lean(_decode(table)), base.withColumn("text", F.lit("")).schema)
 
 
-def _digest_ids(batches):
-    """SHA-256 of the decimal ids joined by commas, with a table of each id's decimals and comma."""
+def _digest(batches):
+    """SHA-256 of the text, and of the decimal ids joined by commas, with a table of each id's decimals and comma."""
     data = off = None
     for batch in batches:
-        out = []
-        for x in batch.column("ids").to_pylist():
+        of_ids, of_text = [], []
+        for x, text in zip(batch.column("ids").to_pylist(), batch.column("text").to_pylist()):
             ids = np.frombuffer(x, "<u4").astype(np.int64)
             if len(ids) and (off is None or int(ids.max()) >= len(off) - 1):
                 names = [b"%d," % k for k in range(int(ids.max()) + 4096)]
                 data, off = np.frombuffer(b"".join(names), np.uint8), np.append(0, np.cumsum([len(n) for n in names]))
-            text = K.ragged(data, off, ids)[0][:-1] if len(ids) else b""
-            out.append(hashlib.sha256(text).hexdigest())
-        rest = [c for c in batch.schema.names if c != "ids"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(out)], names=[*rest, "ids_sha256"])
+            of_ids.append(hashlib.sha256(K.ragged(data, off, ids)[0][:-1] if len(ids) else b"").hexdigest())
+            of_text.append(hashlib.sha256(text.encode()).hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    both = decode(encode(docs, tokenizer), tokenizer)
-    both = both.select("doc_id", "n_tokens", "ids", F.sha2("text", 256).alias("decoded_sha256"))
-    return both.mapInArrow(lean(_digest_ids), "doc_id long, n_tokens long, decoded_sha256 string, ids_sha256 string").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+def digests(docs: DataFrame, tokenizer: str | None = None, head_words: int = HEAD_WORDS) -> DataFrame:
+    """encode, decode and digest in one worker: batches pass from one to the next without leaving it."""
+    texts, ids, path = _with_head(docs, tokenizer, head_words, HEAD_BYTES)
+    decoded = _decode(docs.sparkSession.sparkContext.broadcast(pieces(path)))
+    return texts.mapInArrow(lean(lambda batches: _digest(decoded(ids(batches)))), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
