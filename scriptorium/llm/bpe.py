@@ -144,12 +144,31 @@ def distinct_words(docs: DataFrame, cutter=_cut_chunks) -> DataFrame:
     return parts.repartition("bucket").mapInArrow(lean(_merge), "word binary, n long")
 
 
-def encode_words(words: list[bytes], path: str) -> list[bytes]:
-    """Ids of each word as little-endian 32-bit integers."""
+def encode_words(words: list[bytes], path: str, at_once: int = 200) -> list[bytes]:
+    """Ids of each word as little-endian 32-bit integers.
+
+    Words go to the library many at a time with a special token between them, which always ends a piece of
+    text, so each is encoded as if alone; a word that holds the token's text goes by itself."""
     t = load(path)
+    mark, mark_id = next(((x.content, i) for i, x in sorted(t.get_added_tokens_decoder().items()) if x.special), (None, None))
+    one = lambda w: array("I", t.encode(w, add_special_tokens=False).ids).tobytes()
+    texts = [w.decode("utf-8", "replace") for w in words]
+    if mark is None:
+        return [one(x) for x in texts]
+    alone = {k for k, x in enumerate(texts) if mark in x}
+    rest = [x for k, x in enumerate(texts) if k not in alone] if alone else texts
     out: list[bytes] = []
-    for i in range(0, len(words), 10_000):
-        out += [array("I", e.ids).tobytes() for e in t.encode_batch([w.decode("utf-8", "replace") for w in words[i : i + 10_000]], add_special_tokens=False)]
+    joined = [mark.join(rest[i : i + at_once]) for i in range(0, len(rest), at_once)]
+    for e, i in zip(t.encode_batch(joined, add_special_tokens=False), range(0, len(rest), at_once)):
+        ids = np.array(e.ids, np.uint32)
+        ends = np.append(np.flatnonzero(ids == mark_id), len(ids))
+        data, begin = ids.tobytes(), 0
+        for end in ends.tolist():
+            out.append(data[4 * begin : 4 * end])
+            begin = end + 1
+    if alone:
+        found = iter(out)
+        out = [one(x) if k in alone else next(found) for k, x in enumerate(texts)]
     return out
 
 

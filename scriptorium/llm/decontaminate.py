@@ -104,7 +104,7 @@ _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 def original_spans(text: str, numbers: np.ndarray) -> list[tuple[int, int]]:
     """Offsets (in code points) in the original text of the hit words, neighbours joined."""
-    data = text.encode()
+    data = text.encode().translate(K.LOWER_BYTES)
     at = [m.span() for m in _WORD.finditer(data)]
     out: list[list[int]] = []
     for k in numbers.tolist():
