@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-K, WORDS = 64, 5
+K, WORDS = 128, 5
 ROWS_A_BUCKET, MAX_BUCKETS = 2000, 200_000
 _RANGE = float(1 << 32)
 
