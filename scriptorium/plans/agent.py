@@ -110,7 +110,7 @@ def run(query: str, kb: KnowledgeBase, ws: Workspace, role: str = "field_support
                 out["structured"] = [tools.execute("get_runbook_steps", {"environment": "production" if "production" in query.lower() else "staging", "procedure_name": "rotation"}, role)["payload"]]
         for step in range(fixed.MAX_STEPS):
             with trace.span("retrieve", route=route, step=step) as span:
-                hits = kb.retrieve(base, SEARCH.get(route, "hybrid"), 5 if route == "structured_then_policy" else fixed.TOP_K)
+                hits = kb.retrieve(base, SEARCH.get(route, "hybrid"), 5 if route == "structured_then_policy" else fixed.TOP_K).persist()
                 rows = hits.orderBy("final_rank").select("chunk_id", "doc_id", "title", "status", "product", "region", "final_score").collect()
                 span["hits"] = [r.chunk_id for r in rows]
             out["steps"].append({"route": route, "hits": [r.chunk_id for r in rows]})
@@ -132,7 +132,7 @@ def run(query: str, kb: KnowledgeBase, ws: Workspace, role: str = "field_support
             with trace.span("follow_reference") as span:
                 out["followed"] = span["chunks"] = [r.chunk_id for r in kb.follow(base, hits).orderBy("chunk_id").limit(3).collect()]
         with trace.span("synthesize"):
-            a = kb.answer(base, SEARCH.get(route, "hybrid")).first().asDict()
+            a = kb.answer(base, SEARCH.get(route, "hybrid"), hits=hits).first().asDict()
         if multi_agent:
             out["notes"].append("verifier: claims need more support" if (a["groundedness"] or 0) < fixed.SUPPORTED else "verifier: claims are supported")
             if role == "distributor_support":

@@ -82,9 +82,10 @@ class KnowledgeBase:
         q = intents.select("query_id", F.col("tokens").alias("q_tokens"), F.col("identifiers").alias("q_identifiers"), F.col("product").alias("q_product"), F.col("region").alias("q_region"))
         return retrieval.rerank(found.join(chunks, "chunk_id").join(F.broadcast(q), "query_id"), m or fixed.TOP_M)  # a stated query set
 
-    def answer(self, intents: DataFrame, route: str = "hybrid", budget: int = fixed.BUDGET, **options) -> DataFrame:
-        """query_id, answer_text, abstained, clarification, groundedness, context, token_count."""
-        hits = self.retrieve(intents, route, **options)
+    def answer(self, intents: DataFrame, route: str = "hybrid", budget: int = fixed.BUDGET, hits: DataFrame | None = None, **options) -> DataFrame:
+        """query_id, answer_text, abstained, clarification, groundedness, context, token_count. The hits, a few per
+        query, feed several branches, so they are kept; pass them in to use those of an earlier retrieve."""
+        hits = self.retrieve(intents, route, **options).persist() if hits is None else hits
         packed = retrieval.pack(hits, budget or fixed.BUDGET)
         used = hits.join(packed.select("query_id", F.explode("chunk_ids").alias("chunk_id")), ["query_id", "chunk_id"], "left_semi").withColumn("rank", F.col("final_rank"))
         out = answer.answers(intents, used, retrieval.conflicts(used))
@@ -101,10 +102,10 @@ def evaluate(kb: KnowledgeBase, rows: DataFrame, users: DataFrame | None = None,
     who = users.select("user_id", "role", F.col("region").alias("user_region"), "high_stakes") if users is not None else kb.spark.createDataFrame([], "user_id string, role string, user_region string, high_stakes boolean")
     q = q.join(who, "user_id", "left").withColumns({"role": F.coalesce("role", "user_id", F.lit("external")), "user_region": F.coalesce("user_region", F.lit("global")), "high_stakes": F.coalesce("high_stakes", F.lit(False))})
     intents = kb.intents(q)
-    hits = kb.retrieve(intents, route)
+    hits = kb.retrieve(intents, route).persist()
     judged = rows.select("query_id", F.explode("relevant_doc_ids").alias("doc_id"), F.lit(1).alias("relevance"))
     ranking = evaluation.macro(evaluation.ranking_metrics(hits.select("query_id", "doc_id", F.col("final_rank").alias("rank")), judged, k)).first().asDict()
-    answers = kb.answer(intents, route)
+    answers = kb.answer(intents, route, hits=hits).persist()
     asked = answers.join(rows.select("query_id", F.coalesce("needs_clarification", F.lit(False)).alias("needed")), "query_id").select((F.col("clarification").isNotNull()).alias("asked"), "needed")
     fragments = evaluation.fragment_hit_rate(answers, rows.select("query_id", F.col("expected_fragments").alias("fragments")))
     rates = answers.agg(F.round(F.avg("groundedness"), 4).alias("groundedness"), F.round(F.avg(F.col("abstained").cast("int")), 4).alias("abstention_rate")).first().asDict()
