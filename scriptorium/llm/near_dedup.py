@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import _kernels as K
 from ._common import keep, lean, prepare, Table
 
-M, HALF, DEEP_ROUNDS = 14, 3, 2
+M, HALF, DEEP_ROUNDS = 14, 3, 1
 #: Linked with 100 * intersection >= 85 * union.
 NUM, DEN = 85, 100
 SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, ka array<long>, kb array<long>"
