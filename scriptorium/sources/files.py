@@ -38,7 +38,7 @@ def read_corpus(spark: SparkSession, roots: list[str]) -> DataFrame:
     out = None
     for k, root in enumerate(roots):
         one = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,txt,csv}").load(root)
-        one = one.select("path", F.decode("content", F.lit("UTF-8")).alias("raw"), F.lit(k).alias("root"))
+        one = one.select("path", F.decode("content", "UTF-8").alias("raw"), F.lit(k).alias("root"))
         out = one if out is None else out.unionByName(one)
     # Files are numbered within their folder, then folders in order: no window spans the corpus.
     folder = out.withColumn("folder", F.regexp_extract("path", "^(.*)/", 1))

@@ -13,7 +13,7 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 def stream_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Files of a folder as a stream of (path, raw, ordinal); the ordinal is the file's time."""
     files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.{md,txt,csv}").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", F.decode("content", F.lit("UTF-8")).alias("raw"), F.unix_micros("modificationTime").alias("ordinal"))
+    return files.select("path", F.decode("content", "UTF-8").alias("raw"), F.unix_micros("modificationTime").alias("ordinal"))
 
 
 def start(spark: SparkSession, folder: str, target: str, checkpoint: str, once: bool = True):
