@@ -12,10 +12,11 @@ probabilities of all ids add up to 1. A word's probability is MIX times the mode
 ids) plus 1 - MIX times its share of the training tokens, where it is one of the HEAD words: a mixture of
 two distributions over words.
 
-Training starts on one task with about START_DOCS documents, which gives all tasks a common point, and is
-then data-parallel: in each of ROUNDS rounds every task trains the current parameters on its own
-share of the training documents (one in RATE by a hash, another for each round, so it grows with the
-input), and the parameters are averaged by tokens, block by block on the executors. Scoring cuts each
+Training starts on one task with about START_DOCS documents, which only gives all tasks a common point, and is
+then data-parallel over all training documents: a hash deals them into RATE parts, and in each of ROUNDS
+rounds every part is read in turn. Every task trains the current parameters on its share of the part, HELD
+windows at a time, and the parameters are averaged by tokens, block by block on the executors. So every
+training document is trained on ROUNDS times, whatever the input's size. Scoring cuts each
 document into windows of WINDOW ids that overlap; every id is scored once, in the first window in which it
 has OVERLAP ids before it.
 
@@ -44,7 +45,10 @@ OWN_CLASSES, TIERS, GROUP, UNITS = 992, 16, 32, 4096
 MIX = 0.75
 #: The most words with counts and ids in every task; the rest go by a join.
 HEAD_WORDS = 500_000
-ROUNDS, RATE, BATCH, LEARN = 2, 90, 128, 0.002
+#: Passes over all training documents, parts of a pass (with an average after each), windows of a step, the rate.
+ROUNDS, RATE, BATCH, LEARN = 1, 4, 128, 0.002
+#: Windows that a task holds at once: they are shuffled and trained on, and make room for the next.
+HELD = 1 << 16
 #: The start, on one task: about so many documents, so many steps at least (in at most so many passes), its rate.
 START_DOCS, START_STEPS, MOST_EPOCHS, START_LEARN = 1500, 1200, 12, 0.006
 SMOOTH = 0.1
@@ -264,24 +268,26 @@ def windows(inputs: np.ndarray, bounds: np.ndarray):
     return np.minimum(at, len(inputs) - 1), valid, scored, row
 
 
-def train_here(p: dict, x: np.ndarray, y: np.ndarray, mask: np.ndarray, seed: int, learn: float = LEARN, steps: int = 1) -> dict:
-    """Adam over shuffled batches of windows."""
-    rng = np.random.default_rng(seed)
-    mean, square, t = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
-    per = -(-len(x) // BATCH)
-    epochs = min(MOST_EPOCHS, max(1, -(-steps // per)))
-    total = per * epochs
-    for _ in range(epochs):
-        order = rng.permutation(len(x))
-        for i in range(0, len(order), BATCH):
-            take = order[i : i + BATCH]
-            t += 1
-            rate = learn * (1 - 0.9 * t / total)
-            for k, g in gradients(p, x[take], y[take], mask[take]).items():
-                mean[k] += 0.1 * (g - mean[k])
-                square[k] += 0.01 * (g * g - square[k])
-                p[k] = p[k] - np.float32(rate) * (mean[k] / np.float32(1 - 0.9**t)) / (np.sqrt(square[k] / np.float32(1 - 0.99**t)) + np.float32(1e-6))
-    return p
+class Adam:
+    """Steps over shuffled batches of windows; the moments stay from one call to the next."""
+
+    def __init__(self, p: dict, seed: int, learn: float = LEARN):
+        self.p, self.rng, self.learn, self.t = p, np.random.default_rng(seed), learn, 0
+        self.mean, self.square = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
+
+    def train(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, epochs: int = 1, fall: float = 0.0) -> None:
+        """The rate falls by the share fall over these steps."""
+        p, mean, square, done, total = self.p, self.mean, self.square, 0, epochs * -(-len(x) // BATCH)
+        for _ in range(epochs):
+            order = self.rng.permutation(len(x))
+            for i in range(0, len(order), BATCH):
+                take = order[i : i + BATCH]
+                self.t, done = self.t + 1, done + 1
+                rate = self.learn * (1 - fall * done / total)
+                for k, g in gradients(p, x[take].astype(np.int64), y[take].astype(np.int64), mask[take]).items():
+                    mean[k] += 0.1 * (g - mean[k])
+                    square[k] += 0.01 * (g * g - square[k])
+                    p[k] = p[k] - np.float32(rate) * (mean[k] / np.float32(1 - 0.9**self.t)) / (np.sqrt(square[k] / np.float32(1 - 0.99**self.t)) + np.float32(1e-6))
 
 
 class Encoded:
@@ -317,24 +323,37 @@ def _inputs(e: Encoded, classes: Classes) -> np.ndarray:
     return x
 
 
-def _train(head_, shared, path: str, end_id: int, seed: int, learn: float, steps: int):
+def _train(head_, shared, path: str, end_id: int, seed: int, learn: float, steps: int = 0):
+    """Trains on every text of a task: once, HELD windows at a time, or where steps are asked for, on all of
+    them together in as many passes as that takes."""
+
     def run(batches):
         head, (classes, v) = head_.value, shared.value
-        xs, ys, ms = [], [], []
+        adam, held, weight = Adam(unflat(v, classes), seed, learn), [], 0.0
+
+        def flush() -> float:
+            x, y, mask = (np.concatenate(parts) for parts in zip(*held))
+            held.clear()
+            if steps:
+                adam.train(x, y, mask, min(MOST_EPOCHS, max(1, -(-steps // -(-len(x) // BATCH)))), 0.9)
+            else:
+                adam.train(x, y, mask)
+            return float(mask.sum())
+
+        n = 0
         for batch in batches:
             for i, j, row, words, inverse, _ in word_chunks(batch.column("text")):
                 e = Encoded(head, path, end_id, j - i, row, words, inverse)
                 x = _inputs(e, classes)
                 at, valid, scored, _ = windows(x, e.bounds)
-                xs.append(x[at].astype(np.int16))
-                ys.append(classes.of[e.ids][at].astype(np.int16))
-                ms.append(scored)
-        if not xs:
-            return
-        x, y, mask = np.concatenate(xs), np.concatenate(ys), np.concatenate(ms)
-        p = train_here(unflat(v, classes), x.astype(np.int64), y.astype(np.int64), mask, seed, learn, steps)
-        weight = float(mask.sum())
-        yield _as_blocks(np.append(flat(p).astype(np.float64) * weight, weight))
+                held.append((x[at].astype(np.int16), classes.of[e.ids][at].astype(np.int16), scored))
+                n += len(at)
+                if n >= HELD and not steps:
+                    weight, n = weight + flush(), 0
+        if held:
+            weight += flush()
+        if weight:
+            yield _as_blocks(np.append(flat(adam.p).astype(np.float64) * weight, weight))
 
     return run
 
@@ -342,9 +361,10 @@ def _train(head_, shared, path: str, end_id: int, seed: int, learn: float, steps
 class Model:
     """What scoring needs; the head is a broadcast, made once for training and scoring."""
 
-    def __init__(self, head, least: int | None, classes: Classes, vector: np.ndarray, path: str, end_id: int, total: int, distinct_: int, ends: int):
+    def __init__(self, head, least: int | None, classes: Classes, vector: np.ndarray, path: str, end_id: int, total: int, distinct_: int, ends: int, trained: int):
         self.head, self.least, self.classes, self.vector, self.path, self.end_id = head, least, classes, vector, path, end_id
-        self.total, self.distinct, self.ends = total, distinct_, ends
+        #: trained: subword ids and end tokens that the rounds after the start have trained on.
+        self.total, self.distinct, self.ends, self.trained = total, distinct_, ends, trained
 
 
 def _is_held_out():
@@ -370,16 +390,18 @@ def fit(train: DataFrame, words: DataFrame, path: str, head_words: int = HEAD_WO
     classes = Classes(counts, begins)
     vector = flat(initial(classes)).astype(np.float64)
     mark = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    bucket = F.pmod(F.xxhash64("text", "doc_id"), F.lit(rate))
+    part = F.pmod(F.xxhash64("text", "doc_id"), F.lit(rate))
     first = train.where(mark < int((1 << 30) * min(1.0, START_DOCS / max(1, ends)))).select("text").repartition(1)
-    for r in range(-1, rounds) if ends else ():
-        own = first if r < 0 else train.where(bucket == r).select("text")
-        learn, steps = (START_LEARN, START_STEPS) if r < 0 else (LEARN, 1)
+    turns, trained = rounds * rate, 0
+    for r in range(-1, turns) if ends else ():
+        own = first if r < 0 else train.where(part == r % rate).select("text")
+        learn, steps = (START_LEARN, START_STEPS) if r < 0 else (LEARN * (1 - 0.9 * r / turns), 0)
         shared = spark.sparkContext.broadcast((classes, vector.astype(np.float32)))
         got = _summed(own, _train(head_, shared, path, end_id, r + 1, learn, steps), len(vector) + 1)
         if got[-1]:
             vector = got[:-1] / got[-1]
-    return Model(head_, head.least, classes, vector.astype(np.float32), path, end_id, int(sums.n or 0) + ends, int(sums.v) + bool(ends), ends)
+            trained += int(got[-1]) if r >= 0 else 0
+    return Model(head_, head.least, classes, vector.astype(np.float32), path, end_id, int(sums.n or 0) + ends, int(sums.v) + bool(ends), ends, trained)
 
 
 def score_ids(p: dict, classes: Classes, e: Encoded, batch: int = 512) -> np.ndarray:

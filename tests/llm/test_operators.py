@@ -173,6 +173,17 @@ def test_language_model(spark, docs):
     assert language_model.score(empty(spark)).count() == 0
 
 
+def test_model_is_trained_on_every_training_document(spark, docs, monkeypatch):
+    monkeypatch.setattr(language_model, "START_DOCS", 2)
+    train = docs.select("doc_id", "text")
+    kept = bpe.distinct_words(train, language_model.word_chunks).cache()
+    path = tokenizer_path(language_model.TOKENIZER)
+    whole = sum(len(x) // 4 * r.n for r in kept.collect() for x in bpe.encode_words([b" " + bytes(r.word)], path)) + train.count()
+    assert language_model.fit(train, kept, path).trained == whole
+    monkeypatch.setattr(language_model, "HELD", 50)
+    assert language_model.fit(train, kept, path, rounds=2, rate=3).trained == 2 * whole
+
+
 def test_model_is_a_distribution_and_gradients_are_right():
     counts = np.random.default_rng(0).integers(0, 50, 3000).astype(float)
     classes = language_model.Classes(counts, (np.arange(3000) % 2))
