@@ -9,8 +9,7 @@ classes by whether they begin a word and by frequency, and their share of the cl
 classes lie in groups, and both the group and the class within it come from one attention block over the
 ids before: embeddings and positions, masked attention, a small hidden layer, two softmaxes. So the
 probabilities of all ids add up to 1. A word's probability is MIX times the model's (the product over its
-ids) plus 1 - MIX times its share of the training tokens, where it is one of the HEAD words: a mixture of
-two distributions over words.
+ids) plus 1 - MIX times its share of the training tokens: a mixture of two distributions over words.
 
 Training starts on one task with about START_DOCS documents, which only gives all tasks a common point, and is
 then data-parallel over all training documents: a hash deals them into RATE parts, and in each of ROUNDS
@@ -21,7 +20,8 @@ document into windows of WINDOW ids that overlap; every id is scored once, in th
 has OVERLAP ids before it.
 
 Words beyond the HEAD most frequent, which are broadcast within a bound, are encoded where they stand, and
-their counts are joined by the word.
+their counts are joined by the word, together with the model's probability at each place they stand, so the
+bound has no part in the results.
 
 Defined cases. A null or empty text is the end token alone. A null doc_id counts as training. Repeated rows
 are counted and scored each. With no training documents N and V are 0. An empty table gives an empty table. Other
@@ -418,17 +418,19 @@ def score_ids(p: dict, classes: Classes, e: Encoded, batch: int = 512) -> np.nda
     return out
 
 
-def score_words(ids: np.ndarray, e: Encoded, row: np.ndarray, inverse: np.ndarray, share: np.ndarray, end_share: float) -> np.ndarray:
-    """log10 probability of each row: per word, and for the end, the mixture of the model's and the word's share."""
+def word_logs(ids: np.ndarray, e: Encoded, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The model's log10 probability of each word, and of each row's end."""
     ends = e.bounds[1:] - 1
     inner = np.ones(len(ids), bool)
     inner[ends] = False
     size = e.length[inverse]
-    mixed = lambda model, own: np.log10(MIX * 10.0 ** np.maximum(model, -300) + (1 - MIX) * own)
-    out = mixed(ids[ends], end_share)
-    if len(inverse):
-        out += np.bincount(row, mixed(np.add.reduceat(ids[inner], np.cumsum(size) - size), share), len(out))
-    return out
+    words = np.add.reduceat(ids[inner], np.cumsum(size) - size) if len(inverse) else np.zeros(0)
+    return np.maximum(words, -300), np.maximum(ids[ends], -300)
+
+
+def mixed(model, share):
+    """log10 of the mixture of the model's probability, given as log10, and the share of the training tokens."""
+    return np.log10(MIX * 10.0**model + (1 - MIX) * share)
 
 
 def _score(shared):
@@ -436,22 +438,25 @@ def _score(shared):
         m = shared.value
         head = m.head.value
         p = unflat(m.vector, m.classes)
-        logs, shares = np.log10(head.n + 0.1), np.append(head.n, 0) / max(1, m.total)  # place -1: not in the head
-        rare_type = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))
+        logs, shares = np.log10(head.n + 0.1), head.n / max(1, m.total)
+        rare_type = pa.list_(pa.struct([("word", pa.binary()), ("model", pa.list_(pa.float64()))]))
         for batch in batches:
             rows = batch.num_rows
             n, known, base, score, rare = np.ones(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows), [[] for _ in range(rows)]
             for i, j, row, words, inverse, _ in word_chunks(batch.column("text")):
                 e = Encoded(head, m.path, m.end_id, j - i, row, words, inverse)
-                score[i:j] = score_words(score_ids(p, m.classes, e), e, row, inverse, shares[e.at][inverse], m.ends / max(1, m.total))
+                model, end = word_logs(score_ids(p, m.classes, e), e, inverse)
                 n[i:j] += np.bincount(row, minlength=j - i)
                 at = e.at[inverse]
                 in_head = at >= 0
+                score[i:j] = mixed(end, m.ends / max(1, m.total)) + np.bincount(row[in_head], mixed(model[in_head], shares[at[in_head]]), j - i)
                 base[i:j] += np.bincount(row[in_head], logs[at[in_head]], j - i)
                 known[i:j] += np.bincount(row[in_head], minlength=j - i)
-                key, k = np.unique(row[~in_head] * len(words) + inverse[~in_head], return_counts=True)
-                for r, w, c in zip((key // max(1, len(words))).tolist(), (key % max(1, len(words))).tolist(), k.tolist()):
-                    rare[i + r].append({"word": words[w], "k": c})
+                key = row[~in_head] * len(words) + inverse[~in_head]
+                order = np.argsort(key, kind="stable")
+                key, first = np.unique(key[order], return_index=True)
+                for k, own in zip(key.tolist(), np.split(model[~in_head][order], first[1:])):
+                    rare[i + k // len(words)].append({"word": words[k % len(words)], "model": own})
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in (n, known, base, score)), pa.array(rare, rare_type)], names=["doc_id", "n_tokens", "n_known", "base", "score", "rare"])
 
     return run
@@ -467,17 +472,20 @@ def score(docs: DataFrame, tokenizer: str | None = None, head_words: int = HEAD_
     words = keep(distinct_words(train, word_chunks), "words")
     m = fit(train, words.df, path, head_words, rounds, rate)
     shared = spark.sparkContext.broadcast(m)
-    scored = keep(texts.mapInArrow(lean(_score(shared)), "doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, k: bigint>>").withColumn("uid", F.monotonically_increasing_id()), "scored")
-    rare = scored.df.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.k")
+    scored = keep(texts.mapInArrow(lean(_score(shared)), "doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, model: array<double>>>").withColumn("uid", F.monotonically_increasing_id()), "scored")
+    rare = scored.df.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.model")
     tail = words.df.where(F.col("n") < m.least) if m.least is not None else words.df
-    found = rare.join(tail, "word", "left").groupBy("uid").agg(F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("also"))
+    n, k = F.coalesce("n", F.lit(0)), F.size("model")
+    own = F.aggregate("model", F.lit(0.0), lambda total, x: total + F.log10(F.lit(MIX) * F.pow(F.lit(10.0), x) + F.lit((1 - MIX) / max(1, m.total)) * n))
+    found = rare.join(tail, "word", "left").groupBy("uid").agg(F.sum(k * F.log10(n + F.lit(0.1))).alias("more"), F.sum(F.when(n > 0, k).otherwise(0)).alias("also"), F.sum(own).alias("rest"))
     out = scored.df.drop("rare").join(found, "uid", "left")
     # Known of the end token: in every training document.
     end = float(np.log10(m.ends + 0.1))
     whole = float(np.log10(m.total + 0.1 * (m.distinct + 1)))
     return out.select(
         "doc_id", _is_held_out().alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0)) + F.lit(int(m.ends > 0))).alias("n_known"), F.lit(m.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) + F.lit(end) - F.col("n_tokens") * F.lit(whole)).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("more", F.lit(0.0)) + F.lit(end) - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
+        (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"),
     )
 
 

@@ -184,6 +184,14 @@ def test_model_is_trained_on_every_training_document(spark, docs, monkeypatch):
     assert language_model.fit(train, kept, path, rounds=2, rate=3).trained == 2 * whole
 
 
+def test_scores_do_not_depend_on_the_table_of_words(spark, docs):
+    scores = lambda most: sorted((r.doc_id or -1, r.n_tokens, r.score) for r in language_model.score(docs, head_words=most).collect())
+    whole = scores(500_000)
+    for most in (0, 20):
+        got = scores(most)
+        assert [x[:2] for x in got] == [x[:2] for x in whole] and [x[2] for x in got] == pytest.approx([x[2] for x in whole])
+
+
 def test_model_is_a_distribution_and_gradients_are_right():
     counts = np.random.default_rng(0).integers(0, 50, 3000).astype(float)
     classes = language_model.Classes(counts, (np.arange(3000) % 2))
