@@ -9,8 +9,10 @@
 3. A repeated run is only taken for boilerplate outside an article element: copies of an article on one
    host repeat its text from end to end, and what is inside the page's article markup is the article.
 
-Hosts are split by a hash of the page into groups of about GROUP pages, so a hot host is many tasks; each
-group shows what its host repeats. Nothing else is dropped and no text is cut.
+Hosts are split by a hash of the page into groups of about GROUP pages, so a hot host is many tasks. Where
+a host has several groups, each sends the hashes of its distinct runs with the pages that hold them; these
+are added up over the host, dealt by hash, and each group gets back the sums of its own runs. So every block
+is judged against all pages of its host, however they are split. Nothing else is dropped and no text is cut.
 
 Defined cases. A null or empty html gives an empty text. A null url has the host ''. Broken markup: unknown
 tags are ignored, unclosed elements end with the page, a stray < is text. Repeated rows of one page count as
@@ -26,15 +28,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _kernels as K
 from ._common import lean, prepare
 
 #: Tokens of a repeated run, distinct pages that hold it at least, their least share of the group, and the
 #: share of a block that must be covered.
 REPEAT, PAGES, SHARE, COVERED = 8, 3, 0.2, 0.6
-#: Pages and bytes handled together; hosts that may be split at all.
+#: Pages and characters handled together, about; hosts that may be split at all.
 GROUP, GROUP_BYTES, HOSTS = 500, 32 << 20, 100_000
 
 # Element names of the HTML standard by their role here.
@@ -148,113 +152,211 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def repeated(streams: list[np.ndarray], pages: np.ndarray, length: int = REPEAT, least: int = PAGES, share: float = SHARE) -> list[np.ndarray]:
-    """Per stream, which tokens lie in a run of length tokens that is in at least least distinct pages, and
-    in share of them.
+class Runs:
+    """Every run of length tokens of some streams, and the distinct pages that hold it.
 
     The suffixes of all streams together are ranked by their first 1, 2, 4, ... tokens, as in building a
     suffix array by doubling, until length is reached: equal ranks are equal runs. Each stream is followed
     by length tokens that are found nowhere else, so no run crosses pages."""
-    size = np.array([len(s) for s in streams])
-    if not size.sum():
-        return [np.zeros(k, bool) for k in size]
-    begin = np.cumsum(size + length) - size - length
-    total = int((size + length).sum())
-    rank = np.zeros(total, np.int64)
-    of_page = np.repeat(pages, size + length)
-    real = np.zeros(total, bool)
-    for b, s in zip(begin.tolist(), streams):
-        real[b : b + len(s)] = True
-    _, codes = np.unique(np.concatenate(streams), return_inverse=True)
-    rank[real] = codes
-    rank[~real] = codes.max() + 1 + np.arange(int((~real).sum()))
-    step = 1
-    while step < length:
-        hop = min(step, length - step)
-        key = rank[: total - hop] * (int(rank.max()) + 1) + rank[hop:]
-        tail = np.arange(hop) - hop  # suffixes that end here are alone already
-        _, new = np.unique(np.concatenate([key, tail]), return_inverse=True)
-        rank = new
-        step += hop
-    where = np.flatnonzero(real)
-    order = where[np.lexsort((of_page[where], rank[where]))]
-    first = np.ones(len(order), bool)
-    first[1:] = (rank[order[1:]] != rank[order[:-1]]) | (of_page[order[1:]] != of_page[order[:-1]])
-    holders = np.bincount(rank[order[first]], minlength=int(rank.max()) + 1)
-    hit = np.zeros(total + 1, np.int64)
-    starts = where[holders[rank[where]] >= max(least, share * len(set(pages.tolist())))]
-    np.add.at(hit, starts, 1)
-    np.add.at(hit, np.minimum(starts + length, total), -1)
-    covered = np.cumsum(hit[:-1]) > 0
-    return [covered[b : b + k] for b, k in zip(begin.tolist(), size.tolist())]
-
-
-def main_texts(pages: list[str], names: list, length: int = REPEAT, least: int = PAGES, share: float = SHARE, covered: float = COVERED) -> list[str]:
-    """Main text of each of some pages of one host; pages of one name count once for repetition."""
-    parsed = [blocks(p) for p in pages]
-    tokens: dict[str, int] = {}
-    streams, bounds = [], []
-    for page in parsed:
-        stream: list[int] = []
-        bound = [0]
-        for b in page:
-            stream += [tokens.setdefault(w, len(tokens)) for w in b.text.split()]
-            bound.append(len(stream))
-        streams.append(np.array(stream, np.int64))
-        bounds.append(bound)
-    of: dict = {}
-    hits = repeated(streams, np.array([of.setdefault(n, len(of)) for n in names], np.int64), length, least, share)
-    out = []
-    for page, bound, hit in zip(parsed, bounds, hits):
-        size: dict[int, int] = {}
-        for b in page:
-            size[b.article] = size.get(b.article, 0) + len(b.text) * (b.article > 0)
-        own = max((a for a in size if a), key=lambda a: (size[a], -a), default=0)
-        if own:
-            kept = [b.text for b in page if b.article == own]
-        else:
-            chosen = [k for k, b in enumerate(page) if b.main] or range(len(page))
-            fresh = [k for k in chosen if hit[bound[k] : bound[k + 1]].mean() <= covered]
-            kept = [page[k].text for k in fresh]
-        out.append("\n".join(kept))
+
+    def __init__(self, streams: list[np.ndarray], pages: np.ndarray, length: int):
+        self.length, self.size = length, np.array([len(s) for s in streams], np.int64)
+        self.begin = np.cumsum(self.size + length) - self.size - length
+        self.total = total = int((self.size + length).sum())
+        real = np.zeros(total, bool)
+        #: Where a run of length tokens begins and ends in its stream.
+        whole = np.zeros(total, bool)
+        for b, k in zip(self.begin.tolist(), self.size.tolist()):
+            real[b : b + k] = True
+            whole[b : b + max(0, k - length + 1)] = True
+        self.rank = rank = np.zeros(total, np.int64)
+        self.at = np.flatnonzero(whole)
+        self.holders = np.zeros(1, np.int64)
+        if not len(self.at):
+            return
+        values, codes = np.unique(np.concatenate(streams), return_inverse=True)
+        self.tokens = np.zeros(total, np.int64)
+        self.tokens[real] = values[codes]
+        rank[real] = codes
+        rank[~real] = codes.max() + 1 + np.arange(int((~real).sum()))
+        step = 1
+        while step < length:
+            hop = min(step, length - step)
+            key = rank[: total - hop] * (int(rank.max()) + 1) + rank[hop:]
+            tail = np.arange(hop) - hop  # suffixes that end here are alone already
+            _, rank = np.unique(np.concatenate([key, tail]), return_inverse=True)
+            step += hop
+        self.rank = rank
+        of_page = np.repeat(pages, self.size + length)
+        order = self.at[np.lexsort((of_page[self.at], rank[self.at]))]
+        first = np.ones(len(order), bool)
+        first[1:] = (rank[order[1:]] != rank[order[:-1]]) | (of_page[order[1:]] != of_page[order[:-1]])
+        self.holders = np.bincount(rank[order[first]], minlength=int(rank.max()) + 1)
+
+    def hashed(self, of_token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct runs: their ranks, and their hashes from those of the tokens."""
+        if not len(self.at):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        ranks, some = np.unique(self.rank[self.at], return_index=True)
+        out = np.zeros(len(ranks), np.uint64)
+        for k in range(self.length):
+            out = K.mix(out ^ of_token[self.tokens[self.at[some] + k]])
+        return ranks, out
+
+    def covered(self, holders: np.ndarray, least: float) -> list[np.ndarray]:
+        """Per stream, which tokens lie in a run that has least holders."""
+        hit = np.zeros(self.total + 1, np.int64)
+        starts = self.at[holders[self.rank[self.at]] >= least]
+        np.add.at(hit, starts, 1)
+        np.add.at(hit, starts + self.length, -1)
+        covered = np.cumsum(hit[:-1]) > 0
+        return [covered[b : b + k] for b, k in zip(self.begin.tolist(), self.size.tolist())]
+
+
+def repeated(streams: list[np.ndarray], pages: np.ndarray, length: int = REPEAT, least: int = PAGES, share: float = SHARE) -> list[np.ndarray]:
+    """Per stream, which tokens lie in a run of length tokens that is in at least least distinct pages, and
+    in share of them."""
+    runs = Runs(streams, pages, length)
+    return runs.covered(runs.holders, max(least, share * len(set(pages.tolist()))))
+
+
+class Group:
+    """Some pages of one host, cut and ranked; pages of one name count once for repetition."""
+
+    def __init__(self, pages: list, names: list, length: int):
+        self.parsed = [blocks(p or "") for p in pages]
+        tokens: dict[str, int] = {}
+        streams, self.bounds = [], []
+        for page in self.parsed:
+            stream: list[int] = []
+            bound = [0]
+            for b in page:
+                stream += [tokens.setdefault(w, len(tokens)) for w in b.text.split()]
+                bound.append(len(stream))
+            streams.append(np.array(stream, np.int64))
+            self.bounds.append(bound)
+        self.tokens = tokens
+        of: dict = {}
+        self.runs = Runs(streams, np.array([of.setdefault(n, len(of)) for n in names], np.int64), length)
+        self.pages = len(of)
+
+    def hashed(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.runs.hashed(np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in self.tokens], np.uint64))
+
+    def texts(self, holders: np.ndarray, least: int, share: float, covered: float, pages: int) -> list[str]:
+        """Main text of each page; pages is how many the host has."""
+        hits = self.runs.covered(holders, max(least, share * pages))
+        return ["\n".join(page[k].text for k in chosen(page, bound, hit, covered)) for page, bound, hit in zip(self.parsed, self.bounds, hits)]
+
+
+def chosen(page: list[Block], bound: list[int], hit: np.ndarray, covered: float) -> list[int]:
+    """The blocks of a page that are its main text."""
+    size: dict[int, int] = {}
+    for b in page:
+        size[b.article] = size.get(b.article, 0) + len(b.text) * (b.article > 0)
+    own = max((a for a in size if a), key=lambda a: (size[a], -a), default=0)
+    if own:
+        return [k for k, b in enumerate(page) if b.article == own]
+    some = [k for k, b in enumerate(page) if b.main] or range(len(page))
+    return [k for k in some if hit[bound[k] : bound[k + 1]].mean() <= covered]
+
+
+def _group_of(table: pa.Table, length: int) -> Group:
+    return Group(table.column("html").to_pylist(), [i if i is not None else u for i, u in zip(table.column("page_id").to_pylist(), table.column("url").to_pylist())], length)
+
+
+def _one(function, *args) -> pa.Table:
+    """function(*args), giving what it took back to the system."""
+    [out] = lean(lambda calls: (function(*x) for x in calls))([args])
     return out
 
 
+SENT = "host string, salt long, bucket long, hashes binary, n binary"
+SUMS = "host string, salt long, hashes binary, n binary"
+
+
+def _send(length: int):
+    """Of a group of a host that has several: the hashes of its runs and how many pages hold each, by bucket."""
+
+    def call(key, table):
+        parts = table.column("parts")[0].as_py()
+        group = _group_of(table if parts > 1 else table.slice(0, 0), length)
+        ranks, hashes = group.hashed()
+        order = np.argsort(hashes % np.uint64(parts), kind="stable")
+        hashes, n = hashes[order], group.runs.holders[ranks[order]].astype(np.uint32)
+        found, first = np.unique(hashes % np.uint64(parts), return_index=True)
+        cut = lambda x: [v.tobytes() for v in np.split(x, first[1:])] if len(found) else []
+        k = len(found)
+        return pa.table({"host": pa.array([key[0].as_py()] * k, pa.string()), "salt": pa.array([key[1].as_py()] * k, pa.int64()), "bucket": pa.array(found.astype(np.int64)), "hashes": pa.array(cut(hashes), pa.binary()), "n": pa.array(cut(n), pa.binary())})
+
+    def run(key, table):
+        return _one(call, key, table)
+
+    return run
+
+
+def _add(least: int):
+    """Adds up a bucket's runs over the groups of a host; each group gets the sums of its own, from least on."""
+
+    def call(key, table):
+        parts = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        n = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("n").to_pylist()])
+        _, of = np.unique(np.concatenate(parts), return_inverse=True)
+        total = np.bincount(of, n)[of].astype(np.uint32)
+        hashes, sums = [], []
+        for own, found in zip(parts, np.split(total, np.cumsum([len(x) for x in parts])[:-1])):
+            hashes.append(own[found >= least].tobytes())
+            sums.append(found[found >= least].tobytes())
+        return pa.table({"host": table.column("host"), "salt": table.column("salt"), "hashes": pa.array(hashes, pa.binary()), "n": pa.array(sums, pa.binary())})
+
+    def run(key, table):
+        return _one(call, key, table)
+
+    return run
+
+
 def _extract(length: int, least: int, share: float, covered: float):
-    def run(batches):
-        group: list[tuple] = []
-        key, held = None, 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            texts = main_texts([g[2] or "" for g in group], [g[0] if g[0] is not None else g[1] for g in group], length, least, share, covered)
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in group], pa.int64()), pa.array([g[1] for g in group], pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-        for batch in batches:
-            for host, salt, page_id, url, page in zip(*(batch.column(c).to_pylist() for c in ("host", "salt", "page_id", "url", "html"))):
-                if group and ((host, salt) != key or len(group) >= GROUP or held > GROUP_BYTES):
-                    yield from flush()
-                    group, held = [], 0
-                key = (host, salt)
-                group.append((page_id, url, page))
-                held += len(page or "")
-        if group:
-            yield from flush()
+    def call(key, table, sums):
+        group = _group_of(table, length)
+        holders, pages = group.runs.holders, group.pages
+        if table.num_rows and table.column("parts")[0].as_py() > 1:
+            pages = table.column("pages")[0].as_py()
+            ranks, own = group.hashed()
+            hashes = np.frombuffer(b"".join(sums.column("hashes").to_pylist()), np.uint64)
+            n = np.frombuffer(b"".join(sums.column("n").to_pylist()), np.uint32)
+            order = np.argsort(hashes)
+            at = np.searchsorted(hashes[order], own)
+            at[at == len(hashes)] = 0
+            same = hashes[order][at] == own if len(hashes) else np.zeros(len(own), bool)
+            holders = np.zeros_like(holders)
+            holders[ranks[same]] = n[order][at[same]]
+        texts = group.texts(holders, least, share, covered, pages)
+        return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(texts, pa.string())})
+
+    def run(key, table, sums):
+        return _one(call, key, table, sums)
 
     return run
 
 
-def main_text(pages: DataFrame, length: int = REPEAT, least: int = PAGES, share: float = SHARE, covered: float = COVERED) -> DataFrame:
+def main_text(pages: DataFrame, length: int = REPEAT, least: int = PAGES, share: float = SHARE, covered: float = COVERED, group: int = GROUP) -> DataFrame:
     """page_id, url, text of every row of pages (page_id, url, html)."""
     prepare(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     rows = rows.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)))
-    counts = rows.groupBy("host").agg(F.count("*").alias("n"))
-    # A host above total / HOSTS pages: there are fewer than HOSTS of them, so this side is small.
-    total = rows.select("host").count()
-    heavy = counts.where(F.col("n") > max(GROUP, total // HOSTS)).select("host", F.ceil(F.col("n") / GROUP).alias("groups"))
-    spread = rows.join(F.broadcast(heavy), "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))))
-    spread = spread.select("host", "salt", "page_id", "url", "html").repartition("host", "salt").sortWithinPartitions("host", "salt", "page_id")
-    return spread.mapInArrow(lean(_extract(length, least, share, covered)), "page_id long, url string, text string")
+    named = rows.withColumn("name", F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("u"), "url"), F.lit("")))
+    names = named.groupBy("host", "name").agg(F.count("*").alias("n"), F.sum(F.length("html")).alias("size"))
+    counts = names.groupBy("host").agg(F.sum("n").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.count("*").alias("pages"))
+    # A host above total / HOSTS pages or characters: there are fewer than 2 * HOSTS of them, so this side is small.
+    whole = counts.agg(F.sum("n").alias("n"), F.sum("size").alias("size")).first()
+    heavy = counts.where((F.col("n") > max(group, (whole.n or 0) // HOSTS)) | (F.col("size") > max(GROUP_BYTES, (whole.size or 0) // HOSTS)))
+    heavy = heavy.select("host", "pages", F.greatest(F.ceil(F.col("n") / group), F.ceil(F.col("size") / GROUP_BYTES)).alias("parts"))
+    spread = named.join(F.broadcast(heavy), "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    spread = spread.withColumn("salt", F.pmod(F.xxhash64("name"), "parts")).select("host", "salt", "page_id", "url", "html", "parts", "pages")
+    # Not filtered first: both uses of spread then read one shuffle of the pages.
+    sent = spread.groupBy("host", "salt").applyInArrow(_send(length), SENT)
+    sums = sent.groupBy("host", "bucket").applyInArrow(_add(least), SUMS)
+    return spread.groupBy("host", "salt").cogroup(sums.groupBy("host", "salt")).applyInArrow(_extract(length, least, share, covered), "page_id long, url string, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,6 +133,17 @@ def test_main_text(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_runs_are_counted_over_all_pages_of_a_host(spark):
+    """However a host is split: what many pages repeat goes, also where a group has one page."""
+    line = "this line is on a third of all pages of the host"
+    own = lambda i: f"own words {i} {i * i} and {i + 7} more {i * 3}"
+    rows = [(i, f"https://b.org/{i}", f"<body><div>{line if i % 3 == 0 else own(i + 1000)}</div><p>{own(i)}</p></body>") for i in range(60)]
+    pages = spark.createDataFrame([*rows, rows[1], rows[1], rows[1]], "page_id long, url string, html string")
+    for size in (500, 7, 1):
+        got = {r.page_id: r.text for r in html_text.main_text(pages, group=size).collect()}
+        assert got == {i: own(i) if i % 3 == 0 else own(i + 1000) + "\n" + own(i) for i in range(60)}
+
+
 def test_repeated_runs_by_brute_force():
     rng = random.Random(2)
     streams = [np.array([rng.randrange(3) for _ in range(rng.randint(0, 40))]) for _ in range(9)]
