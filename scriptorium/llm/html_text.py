@@ -6,6 +6,8 @@
 2. Host suffix array: the streams of a host's pages are concatenated, each page ended by a token of its own,
    and sorted suffixes with their common prefixes show every run of at least REPEAT tokens that occurs in
    several distinct pages. A block of which such runs cover more than COVERED is boilerplate.
+   A page of which such blocks hold more than COPIED is a copy of a text (or as good as one): of it, only the
+   blocks go that SHARE of the host's pages repeat, and if that were all of them, none.
 3. A repeated run is only taken for boilerplate outside an article element: copies of an article on one
    host repeat its text from end to end, and what is inside the page's article markup is the article.
 
@@ -35,9 +37,9 @@ from pyspark.sql import functions as F
 from . import _kernels as K
 from ._common import lean, prepare
 
-#: Tokens of a repeated run, distinct pages that hold it at least, their least share of the group, and the
-#: share of a block that must be covered.
-REPEAT, PAGES, SHARE, COVERED = 8, 3, 0.2, 0.6
+#: Tokens of a repeated run, distinct pages that hold it at least, the share of a host's pages from which it is
+#: on all of them, the share of a block that must be covered, and the share of a page from which it is a copy.
+REPEAT, PAGES, SHARE, COVERED, COPIED = 8, 3, 0.2, 0.6, 0.8
 #: Pages and characters handled together, about; hosts that may be split at all.
 GROUP, GROUP_BYTES, HOSTS = 500, 32 << 20, 100_000
 
@@ -245,12 +247,14 @@ class Group:
 
     def texts(self, holders: np.ndarray, least: int, share: float, covered: float, pages: int) -> list[str]:
         """Main text of each page; pages is how many the host has."""
-        hits = self.runs.covered(holders, max(least, share * pages))
-        return ["\n".join(page[k].text for k in chosen(page, bound, hit, covered)) for page, bound, hit in zip(self.parsed, self.bounds, hits)]
+        hits, wide = self.runs.covered(holders, least), self.runs.covered(holders, max(least, share * pages))
+        return ["\n".join(page[k].text for k in chosen(page, *rest, covered)) for page, *rest in zip(self.parsed, self.bounds, hits, wide)]
 
 
-def chosen(page: list[Block], bound: list[int], hit: np.ndarray, covered: float) -> list[int]:
-    """The blocks of a page that are its main text."""
+def chosen(page: list[Block], bound: list[int], hit: np.ndarray, wide: np.ndarray, covered: float) -> list[int]:
+    """The blocks of a page that are its main text, by which tokens are repeated and which all over the host."""
+    own_of = lambda some, by: [k for k in some if by[bound[k] : bound[k + 1]].mean() <= covered]
+    tokens = lambda some: sum(bound[k + 1] - bound[k] for k in some)
     size: dict[int, int] = {}
     for b in page:
         size[b.article] = size.get(b.article, 0) + len(b.text) * (b.article > 0)
@@ -258,7 +262,10 @@ def chosen(page: list[Block], bound: list[int], hit: np.ndarray, covered: float)
     if own:
         return [k for k, b in enumerate(page) if b.article == own]
     some = [k for k, b in enumerate(page) if b.main] or range(len(page))
-    return [k for k in some if hit[bound[k] : bound[k + 1]].mean() <= covered]
+    fresh = own_of(some, hit)
+    if fresh and tokens(fresh) >= (1 - COPIED) * tokens(some):
+        return fresh
+    return own_of(some, wide) or list(some)
 
 
 def _group_of(table: pa.Table, length: int) -> Group:

@@ -144,6 +144,17 @@ def test_runs_are_counted_over_all_pages_of_a_host(spark):
         assert got == {i: own(i) if i % 3 == 0 else own(i + 1000) + "\n" + own(i) for i in range(60)}
 
 
+def test_boilerplate_of_few_pages_goes_and_copies_stay(spark):
+    own = lambda i: f"own words {i} {i * i} and {i + 7} more {i * 3} {i} {i + 1} {i + 2} {i + 3}"
+    line, text = "this line is on seven of all the pages of this host", " ".join(f"word{k}" for k in range(60))
+    rows = [(i, f"https://b.org/{i}", f"<div>{line if i < 7 else own(-i)}</div><p>{own(i)}</p>") for i in range(90)]
+    rows += [(100 + i, f"https://b.org/c{i}", f"<p>{text}</p><p>copy {i}</p>") for i in range(5)]
+    for size in (500, 20):
+        got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), group=size).collect()}
+        assert all(got[i] == own(i) for i in range(7)) and all(got[i] == own(-i) + "\n" + own(i) for i in range(7, 90))
+        assert all(got[100 + i] == f"{text}\ncopy {i}" for i in range(5))
+
+
 def test_repeated_runs_by_brute_force():
     rng = random.Random(2)
     streams = [np.array([rng.randrange(3) for _ in range(rng.randint(0, 40))]) for _ in range(9)]
