@@ -2,14 +2,14 @@
 
 1. A page's html is cut into blocks (block elements, line breaks), each with its tags, and becomes a stream
    of tokens. Elements that never hold the article (scripts, styles, forms, navigation, ...) are left out by
-   their names, roles and classes; the article element, where there is one, bounds the rest.
+   their names, roles and classes; the article elements, where there are any, bound the rest.
 2. Host suffix array: the streams of a host's pages are concatenated, each page ended by a token of its own,
    and sorted suffixes with their common prefixes show every run of at least REPEAT tokens that occurs in
    several distinct pages. A block of which such runs cover more than COVERED is boilerplate.
    A page of which such blocks hold more than COPIED is a copy of a text (or as good as one): of it, only the
    blocks go that SHARE of the host's pages repeat, and if that were all of them, none.
-3. A repeated run is only taken for boilerplate outside an article element: copies of an article on one
-   host repeat its text from end to end, and what is inside the page's article markup is the article.
+3. The same holds inside article elements, all of which are kept: what the host repeats goes where the page
+   has text of its own around it. Of a copied article nothing goes, however many pages have it.
 
 Hosts are split by a hash of the page into groups of about GROUP pages, so a hot host is many tasks. Where
 a host has several groups, each sends the hashes of its distinct runs with the pages that hold them; these
@@ -255,17 +255,12 @@ def chosen(page: list[Block], bound: list[int], hit: np.ndarray, wide: np.ndarra
     """The blocks of a page that are its main text, by which tokens are repeated and which all over the host."""
     own_of = lambda some, by: [k for k in some if by[bound[k] : bound[k + 1]].mean() <= covered]
     tokens = lambda some: sum(bound[k + 1] - bound[k] for k in some)
-    size: dict[int, int] = {}
-    for b in page:
-        size[b.article] = size.get(b.article, 0) + len(b.text) * (b.article > 0)
-    own = max((a for a in size if a), key=lambda a: (size[a], -a), default=0)
-    if own:
-        return [k for k, b in enumerate(page) if b.article == own]
-    some = [k for k, b in enumerate(page) if b.main] or range(len(page))
+    inside = [k for k, b in enumerate(page) if b.article]
+    some = inside or [k for k, b in enumerate(page) if b.main] or range(len(page))
     fresh = own_of(some, hit)
     if fresh and tokens(fresh) >= (1 - COPIED) * tokens(some):
         return fresh
-    return own_of(some, wide) or list(some)
+    return inside or own_of(some, wide) or list(some)
 
 
 def _group_of(table: pa.Table, length: int) -> Group:

@@ -155,6 +155,15 @@ def test_boilerplate_of_few_pages_goes_and_copies_stay(spark):
         assert all(got[100 + i] == f"{text}\ncopy {i}" for i in range(5))
 
 
+def test_the_array_decides_inside_articles_too(spark):
+    own = lambda i: f"own words {i} {i * i} and {i + 7} more {i * 3} {i} {i + 1} {i + 2} {i + 3}"
+    line = "subscribe to our letter and read more of this"
+    rows = [(i, f"https://b.org/{i}", f"<article><p>{own(i)}</p><p>{line}</p></article><p>between</p><article>second {i}</article>") for i in range(9)]
+    rows += [(20 + i, f"https://b.org/c{i}", f"<article><p>{own(50)}</p><p>{line}</p></article>") for i in range(9)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"{own(i)}\nsecond {i}" for i in range(9)}, **{20 + i: f"{own(50)}\n{line}" for i in range(9)}}
+
+
 def test_repeated_runs_by_brute_force():
     rng = random.Random(2)
     streams = [np.array([rng.randrange(3) for _ in range(rng.randint(0, 40))]) for _ in range(9)]
