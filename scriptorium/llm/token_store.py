@@ -11,7 +11,7 @@ within LEAST and MOST, so equal passages give equal chunks wherever they start.
   manifest/  one row per part in order (ids before the part, root), all below one root
 
 Ids are little-endian, of 16 bits where the vocabulary allows it. Reading checks every chunk against its
-hash, every recipe and part against its root. The checksum of a document is put together from its chunks'
+hash and length, every recipe and part against its root; verify() puts each part's root together anew. The checksum of a document is put together from its chunks'
 checksums, as CRC-32 is linear, so the ids themselves are not shuffled again.
 
 Defined cases. A null or empty text is the end id alone. Null doc_ids come first. Repeated rows are documents
@@ -167,6 +167,24 @@ def _recipes(batches):
         yield pa.RecordBatch.from_pylist([{"part": part, "doc_id": None, "first": first, "n_tokens": 0, "hashes": b"", "lengths": [], "root": b"", "part_root": merkle(roots)}], schema=schema)
 
 
+def _roots(batches):
+    """The root of each part, from its documents' roots; rows arrive by part and place, the closing row last."""
+    part, first, roots = None, 0, []
+    for batch in batches:
+        out = []
+        for own, place, n, root, closing in zip(*(batch.column(c).to_pylist() for c in ("part", "first", "n_tokens", "root", "part_root"))):
+            if own != part:
+                part, first, roots = own, 0, []
+            if place != first:
+                raise ValueError(f"part {part} has no row or more than one at {first}")
+            if closing is not None:
+                out.append((part, merkle(roots), closing))
+            else:
+                roots.append(root)
+                first += n
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[k] for x in out], pa.binary()) for k in (1, 2))], names=["part", "own", "part_root"])
+
+
 #: Reflected CRC-32 polynomial, fixed by the checksum's definition.
 _POLY = 0xEDB88320
 
@@ -248,7 +266,8 @@ class Store:
     def summary(self) -> DataFrame:
         """doc_id, start, n_tokens, ids_crc32 from the files, every chunk and recipe checked."""
         chunks = self.table("chunks").select("hash", "ids").mapInArrow(lean(_checked(self.kind)), "hash binary, crc long, n int")
-        steps = self.steps().join(chunks, "hash").where("n = length").select("part", "first", "doc_id", "length", "crc", "after").mapInArrow(lean(_shift), "part int, first long, doc_id long, length int, crc long")
+        crc = F.when(F.col("n") == F.col("length"), F.col("crc")).otherwise(F.raise_error(F.lit("a recipe's chunk is missing or of another length"))).alias("crc")
+        steps = self.steps().join(chunks, "hash", "left").select("part", "first", "doc_id", "length", crc, "after").mapInArrow(lean(_shift), "part int, first long, doc_id long, length int, crc long")
         docs = steps.groupBy("part", "first", "doc_id").agg(F.sum("length").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
         parts = self.table("manifest").select("part", "before")  # a row per file of recipes
         return docs.join(F.broadcast(parts), "part").select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
@@ -256,17 +275,19 @@ class Store:
     def documents(self) -> DataFrame:
         """doc_id, start, ids (array<int>): every document put together again."""
         chunks = self.table("chunks").select("hash", "ids")
-        pieces = self.steps().join(chunks, "hash").groupBy("part", "first", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("pieces"))
+        ids = F.when(F.length("ids") == F.col("length") * np.dtype(self.kind).itemsize, F.col("ids")).otherwise(F.raise_error(F.lit("a recipe's chunk is missing or of another length")))
+        pieces = self.steps().join(chunks, "hash", "left").withColumn("ids", ids).groupBy("part", "first", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("pieces"))
         parts = self.table("manifest").select("part", "before")
         return pieces.join(F.broadcast(parts), "part").select("doc_id", (F.col("before") + F.col("first")).alias("start"), F.col("pieces.ids").alias("pieces")).mapInArrow(lean(_joined(self.kind)), "doc_id long, start long, ids array<int>")
 
     def verify(self) -> bytes:
-        """Holds every part against its manifest; the root of all."""
+        """Holds every part, its root put together anew from its recipes', against its manifest; the root of all."""
         rows = self.table("manifest").orderBy("part").collect()
         if rows and merkle([bytes(r.root) for r in rows]) != bytes(rows[0].top):
             raise ValueError("the manifest does not match its root")
-        found = {r.part: bytes(r.part_root) for r in self.table("recipes").where("part_root is not null").select("part", "part_root").collect()}
-        if found != {r.part: bytes(r.root) for r in rows}:
+        recipes = self.table("recipes").select("part", "first", "n_tokens", "root", "part_root").repartition("part").sortWithinPartitions("part", "first", F.col("part_root").isNotNull())
+        found = {r.part: (bytes(r.own), bytes(r.part_root)) for r in recipes.mapInArrow(lean(_roots), "part int, own binary, part_root binary").collect()}
+        if found != {r.part: (bytes(r.root), bytes(r.root)) for r in rows}:
             raise ValueError("a part does not match the manifest")
         return bytes(rows[0].top) if rows else merkle([])
 

@@ -278,6 +278,40 @@ def test_token_store(spark, docs, tmp_path):
     assert token_store.write_store(empty(spark), str(tmp_path / "none")).summary().count() == 0
 
 
+def test_a_token_store_with_rows_lost_or_changed_is_refused(spark, docs, tmp_path):
+    import pyarrow.parquet as pq
+
+    store = token_store.write_store(docs, str(tmp_path / "store"))
+    store.verify()
+
+    def changed(name, change):
+        """Changes the first file of a table with rows enough; gives back how to undo that."""
+        path = next(p for p in sorted((tmp_path / "store" / name).glob("part-*")) if pq.read_metadata(p).num_rows > 3)
+        before = path.read_bytes()
+        (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
+        pq.write_table(change(pq.read_table(path)), path)
+        return lambda: path.write_bytes(before)
+
+    def swapped(t):
+        roots = t.column("root").to_pylist()
+        k = next(k for k in range(1, len(roots)) if roots[k] != roots[0] and t.column("part_root")[k].as_py() is None)
+        roots[0], roots[k] = roots[k], roots[0]
+        return t.set_column(t.schema.get_field_index("root"), "root", pa.array(roots, pa.binary()))
+
+    for change in (lambda t: t.slice(1), swapped):
+        undo = changed("recipes", change)
+        with pytest.raises(Exception, match="manifest|has no row"):
+            store.verify()
+        undo()
+    store.verify()
+    undo = changed("chunks", lambda t: t.slice(1))
+    for read in (store.summary, store.documents):
+        with pytest.raises(Exception, match="missing or of another length"):
+            read().collect()
+    undo()
+    assert store.summary().count() == docs.count()
+
+
 def test_cuts_follow_the_content():
     rng = np.random.default_rng(0)
     a, tail = rng.integers(0, 500, 3000), rng.integers(0, 500, 4000)
