@@ -72,7 +72,7 @@ class Tools:
         t = self.kb.structured("service_centers").where((F.col("region") == a["region"]) & F.array_contains("models", a["model"]))
         if a.get("warranty_program"):
             t = t.where(F.array_contains("warranty_programs", a["warranty_program"]))
-        return {"status": "ok", "payload": {"rows": [r.asDict() for r in t.orderBy("name").limit(100).collect()]}, "error": None}
+        return {"status": "ok", "payload": {"rows": [r.asDict() for r in t.orderBy("name").collect()]}, "error": None}
 
     def _get_document_metadata(self, a: dict, role: str) -> dict:
         rows = self.kb.table("documents").where(F.col("doc_id") == str(a["doc_id"])).select("doc_id", "title", "doc_type", "effective_date", "authority", "status", "disclosure", "references").limit(1).collect()

@@ -91,6 +91,15 @@ def test_tools(spark, ws):
     assert t.execute("submit_ticket_update", {"ticket_id": "1", "note": "n"}, "field_support", approved=True)["status"] == "blocked"
 
 
+def test_all_service_centers_are_returned(spark):
+    class Side:
+        def structured(self, name):
+            return spark.createDataFrame([(f"c{k:03d}", "EU", ["V14"], []) for k in range(150)], "name string, region string, models array<string>, warranty_programs array<string>")
+
+    got = agent.Tools(Side())._lookup_service_centers({"region": "EU", "model": "V14"}, "field_support")
+    assert [r["name"] for r in got["payload"]["rows"]] == [f"c{k:03d}" for k in range(150)]
+
+
 def test_evaluate_and_cli(spark, ws, tmp_path, capsys):
     rows = tmp_path / "q.jsonl"
     rows.write_text(json.dumps({"query_id": "1", "query": "V14 valve torque firmware 3.2", "user_id": "field_support", "relevant_doc_ids": ["SB-20"], "expected_fragments": ["0.48"]}) + "\n\n")
