@@ -11,11 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK = 1 << 20
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -50,23 +49,30 @@ def chunks(off: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def spans(buf: np.ndarray, off: np.ndarray, inside: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each maximal run of bytes with inside[byte]; rows bound the runs."""
+def rows_of(start: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The row of each start, which ascend."""
+    return np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(start, off)))
+
+
+def spans(buf: np.ndarray, off: np.ndarray, inside: np.ndarray = NOT_SPACE, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each maximal run of bytes with inside[byte]; rows bound the runs, and so do the
+    places where cut is true, between two bytes of a run each."""
     n = len(buf)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    w = inside[buf]
+    w = inside[buf].astype(bool)
+    first = np.ones(n, bool)
+    np.logical_not(w[:-1], out=first[1:])
     edge = off[1:-1]
-    before = np.zeros(n, np.uint8)
-    before[1:] = w[:-1]
-    before[edge[edge < n]] = 0
-    start = np.flatnonzero(w > before)
-    after = np.zeros(n, np.uint8)
-    after[:-1] = w[1:]
-    after[edge[(edge > 0)] - 1] = 0
-    end = np.flatnonzero(w > after) + 1
-    return start, end, np.searchsorted(off, start, "right") - 1
+    first[edge[edge < n]] = True
+    if cut is not None:
+        first |= cut
+    # A run ends where the next byte is outside or begins another one.
+    last = np.ones(n, bool)
+    np.logical_or(~w[1:], first[1:], out=last[:-1])
+    start, end = np.flatnonzero(w & first), np.flatnonzero(w & last) + 1
+    return start, end, rows_of(start, off)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -79,23 +85,77 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(n, base, U)
-            p[0] = 1
-            _POWERS[k] = np.cumprod(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
+#: Spans of more bytes are hashed and compared one at a time.
+LONG = 256
+#: What is left of eight bytes, read as a little-endian number, when only the first k count.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+
+
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of buf on as a number; zeros follow its end."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
 
 
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes: a polynomial by prefix sums, then mixed with the length."""
+    """A 64-bit hash of each span of bytes: eight bytes at a time, mixed after each step, from the length on."""
+    size = end - start
+    out = mix(size.astype(U) * U(0xD6E8FEB86659FD93))
+    eights, at, some, left = _eights(buf), start, None, size
+    if len(long := np.flatnonzero(size > LONG)):
+        data = buf.tobytes()
+        out[long] = [xxhash.xxh3_64_intdigest(data[i:j]) for i, j in zip(start[long].tolist(), end[long].tolist())]
+        some = np.flatnonzero(size <= LONG)
+        at, left = start[some], size[some]
+    while len(at):
+        x = eights[at] & _FIRST[np.minimum(left, 8)]
+        if some is None:
+            out = mix(out ^ x)
+            some = np.flatnonzero(left > 8)
+            at, left = at[some] + 8, left[some] - 8
+        else:
+            out[some] = mix(out[some] ^ x)
+            more = left > 8
+            some, at, left = some[more], at[more] + 8, left[more] - 8
+    return out
+
+
+def _differ(buf: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray) -> bool:
+    """Whether a span of size bytes differs from the one that begins at other."""
+    long = size > LONG
+    if long.any():
+        data = buf.tobytes()
+        if any(data[i : i + n] != data[j : j + n] for i, j, n in zip(start[long].tolist(), other[long].tolist(), size[long].tolist())):
+            return True
+        start, size, other = start[~long], size[~long], other[~long]
+    eights = _eights(buf)
+    while len(start):
+        if ((eights[start] ^ eights[other]) & _FIRST[np.minimum(size, 8)]).any():
+            return True
+        more = size > 8
+        start, other, size = start[more] + 8, other[more] + 8, size[more] - 8
+    return False
+
+
+def equal_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of one span for each distinct content, and for each span which of those it equals.
+
+    Spans are grouped by hash, and each is held against the bytes of its group's first; where a hash turns out
+    to stand for two contents, the bytes themselves decide."""
     if not len(start):
-        return np.zeros(0, U)
-    power, inverse = _powers(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, U)
-    np.cumsum((buf.astype(U) + U(1)) * power[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start] ^ (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = span_hashes(buf, start, end) if hashes is None else hashes
+    inverse = pa.array(h).dictionary_encode().indices.to_numpy()
+    first = np.empty(int(inverse.max()) + 1, np.int64)
+    first[inverse[::-1]] = np.arange(len(start) - 1, -1, -1)
+    size, other = end - start, first[inverse]
+    if (size != size[other]).any() or _differ(buf, start, size, start[other]):
+        data = buf.tobytes()
+        of: dict[bytes, int] = {}
+        inverse = np.array([of.setdefault(data[i:j], len(of)) for i, j in zip(start.tolist(), end.tolist())], np.int64)
+        return np.unique(inverse, return_index=True)[1], inverse
+    return first, inverse
 
 
 def shingles(words: np.ndarray, row: np.ndarray, rows: int, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -79,9 +79,9 @@ def cut(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def distinct(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The distinct words of spans, the number of each span's word, and counts."""
-    _, index, inverse, count = np.unique(K.span_hashes(buf, start, end), return_index=True, return_inverse=True, return_counts=True)
+    index, inverse = K.equal_spans(buf, start, end)
     data = buf.tobytes()
-    return [data[i:j] for i, j in zip(start[index].tolist(), end[index].tolist())], inverse, count
+    return [data[i:j] for i, j in zip(start[index].tolist(), end[index].tolist())], inverse, np.bincount(inverse, minlength=len(index))
 
 
 def _cut_chunks(column: pa.Array):

@@ -1,6 +1,6 @@
 """Token ids in a content-addressed store.
 
-Each text is encoded (every distinct word of a batch once: this tokenizer never joins across white space),
+Each text is encoded (every distinct piece of some megabytes once: this tokenizer never joins across white space),
 END_ID is appended, and a rolling hash over WINDOW ids cuts the stream into chunks of AVERAGE ids on average,
 within LEAST and MOST, so equal passages give equal chunks wherever they start. The store is a folder:
 
@@ -36,6 +36,8 @@ from .bpe import distinct, encode_words, load
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 WINDOW, AVERAGE, LEAST, MOST = 16, 256, 64, 2048
 CACHE, SEEN = 400_000, 300_000
+#: Bytes of text whose pieces are told apart together.
+CHUNK = 4 << 20
 ENCODED = "doc_id long, n_tokens long, hashes binary, lengths array<int>, fresh array<struct<hash: binary, n: int, ids: binary>>"
 RECIPES = "part int, doc_id long, first long, n_tokens long, hashes binary, lengths array<int>, root binary, part_root binary"
 
@@ -61,12 +63,13 @@ def cuts(ids: np.ndarray, average: int = AVERAGE, least: int = LEAST, most: int
     n = len(ids)
     hits: list[int] = []
     if n > least:
-        power, inverse = K._powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(K.mix(ids.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
-        end = np.arange(window, n + 1)
-        rolling = K.mix((total[end] - total[end - window]) * inverse[end - window])
-        hits = end[rolling % np.uint64(average) == 0].tolist()
+        # Twice as many ids with each step, as far as the next one fits into the window.
+        rolling, size = K.mix(ids.astype(np.uint64) + np.uint64(1)), 1
+        while size < window:
+            hop = min(size, window - size)
+            rolling = K.mix(rolling[: len(rolling) - hop] * np.uint64(2 * size + 1) + rolling[hop:])
+            size += hop
+        hits = (np.flatnonzero(rolling % np.uint64(average) == 0) + window).tolist()
     out, last = [], 0
     for h in [*hits, n]:
         while h - last > most:
@@ -78,12 +81,54 @@ def cuts(ids: np.ndarray, average: int = AVERAGE, least: int = LEAST, most: int
     return out
 
 
-#: Ids of words met by this worker: those of late, and those before, which go when as many new ones have come.
-_WORDS: dict[str, list[dict[bytes, bytes]]] = {}
+#: Ids of pieces met by this worker: those of late, and those before, which go when as many new ones have come.
+_PIECES: dict[str, list[dict[bytes, bytes]]] = {}
+#: Which ids end a word, by vocabulary.
+_ENDS: dict[str, np.ndarray] = {}
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = 2
+
+
+def pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, and start, end and row of the pieces, which the tokenizer encodes alike alone and in their text.
+
+    It drops white space, lower-cases, and never joins a letter and a sign; so texts are cut at white space and
+    between an ASCII letter and an ASCII sign other than the apostrophe, and A-Z are lower-cased. Where a text might
+    name a special token, which is matched before all that, only white space cuts."""
+    if b"<|" in buf.tobytes():
+        return buf, *K.spans(buf, off)
+    kind, cut = _KIND[buf], np.zeros(len(buf), bool)
+    np.equal(kind[1:] * kind[:-1], 2, out=cut[1:])
+    return K.LOWER[buf], *K.spans(buf, off, cut=cut)
+
+
+def _encode_pieces(some: list[bytes], path: str, at_once: int = 500) -> list[bytes]:
+    """As bpe.encode_words. Words of letters only go in lines of at_once: each of them is one word to the
+    tokenizer, so the ids that end a word part them; where their number is another, they go as all others do."""
+    if path not in _ENDS:
+        vocabulary = load(path).get_vocab(with_added_tokens=True)
+        _ENDS[path] = np.zeros(max(vocabulary.values()) + 1, bool)
+        _ENDS[path][[i for name, i in vocabulary.items() if name.endswith("</w>")]] = True
+    out: list[bytes | None] = [None] * len(some)
+    plain = [k for k, w in enumerate(some) if w.isalpha() or w[0] > 127 and w.decode("utf-8", "replace").isalpha()]
+    lines = ["\n".join([some[k].decode() for k in plain[i : i + at_once]]) for i in range(0, len(plain), at_once)]
+    for i, e in zip(range(0, len(plain), at_once), load(path).encode_batch_fast(lines, add_special_tokens=False) if lines else ()):
+        own, ids = plain[i : i + at_once], np.array(e.ids, np.uint32)
+        ends = np.flatnonzero(_ENDS[path][ids]) + 1
+        if len(ends) == len(own):
+            data, begin = ids.tobytes(), 0
+            for k, end in zip(own, (4 * ends).tolist()):
+                out[k] = data[begin:end]
+                begin = end
+    rest = [k for k, x in enumerate(out) if x is None]
+    for k, x in zip(rest, encode_words([some[k] for k in rest], path)):
+        out[k] = x
+    return out
 
 
 def _ids_of(words: list[bytes], path: str) -> list[bytes]:
-    young, old = kept = _WORDS.setdefault(path, [{}, {}])
+    young, old = kept = _PIECES.setdefault(path, [{}, {}])
     if len(young) > CACHE:
         kept[:] = young, old = {}, young
     missing = []
@@ -93,16 +138,15 @@ def _ids_of(words: list[bytes], path: str) -> list[bytes]:
                 missing.append(w)
             else:
                 young[w] = x
-    young.update(zip(missing, encode_words(missing, path)))
+    young.update(zip(missing, _encode_pieces(missing, path)))
     return [young[w] for w in words]
 
 
 def encoded_rows(column: pa.Array, path: str):
     """The ids of each text of a column."""
     buf, off = K.buffers(column)
-    for i, j in K.chunks(off, 2 << 20):
-        part, o = buf[off[i] : off[j]], off[i : j + 1] - off[i]
-        start, end, row = K.spans(part, o)
+    for i, j in K.chunks(off, CHUNK):
+        part, start, end, row = pieces(buf[off[i] : off[j]], off[i : j + 1] - off[i])
         words, inverse, _ = distinct(part, start, end)
         blobs = _ids_of(words, path)
         offsets = np.append(0, np.cumsum([len(b) // 4 for b in blobs])).astype(np.int64)

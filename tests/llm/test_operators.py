@@ -71,6 +71,27 @@ def test_kernels():
     for a, b, h in zip(start.tolist(), end.tolist(), hashes.tolist()):
         assert of.setdefault(data[a:b], h) == h
     assert len(set(of.values())) == len(of)
+    for weak in (None, np.zeros(len(start), np.uint64), np.uint64(1) + (hashes & np.uint64(3))):
+        first, inverse = K.equal_spans(buf, start, end, weak)
+        own = [data[a:b] for a, b in zip(start.tolist(), end.tolist())]
+        assert [own[first[k]] for k in inverse.tolist()] == own and len(first) == len(set(own))
+
+
+def thue_morse(bits):
+    """Two words that any polynomial in an odd base has the same value for modulo 2^64."""
+    x = [0]
+    for _ in range(bits):
+        x += [1 - k for k in x]
+    return "".join("ab"[k] for k in x), "".join("ba"[k] for k in x)
+
+
+def test_words_are_told_apart_by_their_bytes():
+    for pair in (thue_morse(10), thue_morse(12), ("x" * 300 + "a", "x" * 300 + "b"), ("y" * 40 + "a", "y" * 40 + "b")):
+        for words_ in (list(pair), [*pair, *pair[::-1], pair[0][1:]]):
+            buf, off = K.buffers(pa.array(words_))
+            first, inverse = K.equal_spans(buf, off[:-1], off[1:])
+            assert len(first) == len(set(words_)) and [words_[first[k]] for k in inverse.tolist()] == words_
+            assert len(set(K.span_hashes(buf, off[:-1], off[1:]).tolist())) == len(set(words_))
 
 
 # ---- 1
@@ -312,6 +333,19 @@ def test_a_token_store_with_rows_lost_or_changed_is_refused(spark, docs, tmp_pat
     assert store.summary().count() == docs.count()
 
 
+def test_ids_are_those_of_the_library():
+    """Pieces cut at signs, lines of plain words, and words that hashes might confuse."""
+    from tokenizers import Tokenizer
+
+    path, rng = tokenizer_path(token_store.TOKENIZER), random.Random(5)
+    t = Tokenizer.from_file(path)
+    some = ["Don't", "it's,", "''S", "x's.", "a-b_c", "word,", "3po", "c3", "é", "É,", "İ", "ﬁx", "e\u0301,", "a\u0338b", "=\u0338", "ß!", "—", "\u00a0", "\u2003x", "日本", "½", "..", "(a)", "#1", "\x00", "\u200b", "ǅ", "ªº", "ʼn"]
+    texts = ["".join(rng.choice(some) + rng.choice([" ", "", "\n", "  "]) for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    texts += ["<|endoftext|>A,b <|ENDOFTEXT|> Don't,", None, "", *thue_morse(10), " ".join(thue_morse(12)), *(" ".join(texts[i : i + 9]) for i in range(0, 90, 9))]
+    got = [x.tolist() for x in token_store.encoded_rows(pa.array(texts), path)]
+    assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
 def test_cuts_follow_the_content():
     rng = np.random.default_rng(0)
     a, tail = rng.integers(0, 500, 3000), rng.integers(0, 500, 4000)
@@ -347,6 +381,15 @@ def test_bpe(spark, docs, head):
         assert bpe.digests(empty(spark)).count() == 0
 
 
+def test_words_with_equal_polynomials_are_encoded_apart(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path(bpe.TOKENIZER))
+    texts = [*thue_morse(10), " ".join(thue_morse(12)), " ".join([*thue_morse(10)[::-1], "x"])]
+    got = {r.doc_id: r for r in bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), head_words=3).collect()}
+    assert all(np.frombuffer(bytes(got[i].ids), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids for i, x in enumerate(texts))
+
+
 def test_words_are_cut_where_tokens_end():
     from tokenizers import Tokenizer
 
