@@ -57,19 +57,26 @@ def _split(blob: bytes, size: int = 16) -> list[bytes]:
     return [blob[i : i + size] for i in range(0, len(blob), size)]
 
 
-def cuts(ids: np.ndarray, average: int = AVERAGE, least: int = LEAST, most: int = MOST, window: int = WINDOW) -> list[int]:
-    """Ends of the chunks: after an id where the hash of the last window ids is 0 modulo average, not within
-    least of the last end, and at most most apart."""
-    n = len(ids)
-    hits: list[int] = []
-    if n > least:
-        # Twice as many ids with each step, as far as the next one fits into the window.
-        rolling, size = K.mix(ids.astype(np.uint64) + np.uint64(1)), 1
-        while size < window:
-            hop = min(size, window - size)
-            rolling = K.mix(rolling[: len(rolling) - hop] * np.uint64(2 * size + 1) + rolling[hop:])
-            size += hop
-        hits = (np.flatnonzero(rolling % np.uint64(average) == 0) + window).tolist()
+#: Odd constants by which the parts of a window are told apart.
+_PLACES = K.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
+def window_ends(ids: np.ndarray, average: int = AVERAGE, window: int = WINDOW) -> np.ndarray:
+    """Where a window of ids ends whose hash is 0 modulo average."""
+    if len(ids) < window:
+        return np.zeros(0, np.int64)
+    # Twice as many ids with each step, as far as the next one fits into the window.
+    rolling, size = (ids.astype(np.uint64) + np.uint64(1)) * _PLACES[0], 1
+    rolling ^= rolling >> np.uint64(29)
+    while size < window:
+        hop = min(size, window - size)
+        rolling = rolling[: len(rolling) - hop] * _PLACES[size] + rolling[hop:]
+        size += hop
+    return np.flatnonzero(K.mix(rolling) % np.uint64(average) == 0) + window
+
+
+def cuts(n: int, hits: list[int], least: int = LEAST, most: int = MOST) -> list[int]:
+    """Ends of the chunks of n ids: at a hit that is not within least of the last end, and at most most apart."""
     out, last = [], 0
     for h in [*hits, n]:
         while h - last > most:
@@ -142,46 +149,58 @@ def _ids_of(words: list[bytes], path: str) -> list[bytes]:
     return [young[w] for w in words]
 
 
-def encoded_rows(column: pa.Array, path: str):
-    """The ids of each text of a column."""
+def encoded_rows(column: pa.Array, path: str, end_id: int | None = None):
+    """The ids of the texts of a column, some texts at a time: all ids in a row, and each text's bounds. Each text is
+    followed by end_id, if given."""
     buf, off = K.buffers(column)
+    more = int(end_id is not None)
     for i, j in K.chunks(off, CHUNK):
         part, start, end, row = pieces(buf[off[i] : off[j]], off[i : j + 1] - off[i])
         words, inverse, _ = distinct(part, start, end)
         blobs = _ids_of(words, path)
+        if more:  # as one more piece of each text
+            place = np.searchsorted(row, np.arange(1, j - i + 1))
+            inverse, row = np.insert(inverse, place, len(blobs)), np.insert(row, place, np.arange(j - i))
+            blobs.append(np.uint32(end_id).tobytes())
         offsets = np.append(0, np.cumsum([len(b) // 4 for b in blobs])).astype(np.int64)
         ids, size = K.ragged(np.frombuffer(b"".join(blobs), np.uint32), offsets, inverse)
-        at = np.append(0, np.cumsum(size))[np.searchsorted(row, np.arange(j - i + 1))]
-        for k in range(j - i):
-            yield ids[at[k] : at[k + 1]]
+        yield ids, np.append(0, np.cumsum(size))[np.searchsorted(row, np.arange(j - i + 1))]
 
 
 def _encode(path: str, end_id: int, kind: str):
+    width = np.dtype(kind).itemsize
+
     def run(batches):
         seen: set[bytes] = set()
-        fresh_type = pa.list_(pa.struct([("hash", pa.binary()), ("n", pa.int32()), ("ids", pa.binary())]))
+        sha = hashlib.sha256
         for batch in batches:
-            total, hashes, lengths, fresh = [], [], [], []
-            for ids in encoded_rows(batch.column("text"), path):
-                ids = np.append(ids, np.uint32(end_id)).astype(kind)
-                own, size, new, last = [], [], [], 0
-                for end in cuts(ids):
-                    data = ids[last:end].tobytes()
-                    own.append(hashlib.sha256(data).digest()[:16])
-                    size.append(end - last)
-                    if own[-1] not in seen:
-                        seen.add(own[-1])
-                        new.append({"hash": own[-1], "n": size[-1], "ids": data})
-                    last = end
-                total.append(len(ids))
-                hashes.append(b"".join(own))
-                lengths.append(size)
-                fresh.append(new)
+            # Per text: its ids, and its chunks' hashes. Per chunk: its length. Per fresh chunk: hash, length, ids.
+            total, hashes, lengths, bounds, fresh, fresh_bounds = [], [], [], [0], ([], [], []), [0]
+            for ids, place in encoded_rows(batch.column("text"), path, end_id):
+                hits, data, place = window_ends(ids), ids.astype(kind).tobytes(), place.tolist()
+                hit_of, hits = np.searchsorted(hits, place, "right").tolist(), hits.tolist()
+                for k, (begin, stop) in enumerate(zip(place, place[1:])):
+                    own, last = [], 0
+                    # A window that begins in the text before ends within least of this one's start.
+                    for end in cuts(stop - begin, [h - begin for h in hits[hit_of[k] : hit_of[k + 1]]]):
+                        piece = data[width * (begin + last) : width * (begin + end)]
+                        h = sha(piece).digest()[:16]
+                        own.append(h)
+                        lengths.append(end - last)
+                        if h not in seen:
+                            seen.add(h)
+                            for column, x in zip(fresh, (h, end - last, piece)):
+                                column.append(x)
+                        last = end
+                    total.append(last)
+                    hashes.append(b"".join(own))
+                    bounds.append(len(lengths))
+                    fresh_bounds.append(len(fresh[0]))
             if len(seen) > SEEN:  # a chunk may then be sent once more
                 seen.clear()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(hashes, pa.binary()), pa.array(lengths, pa.list_(pa.int32())), pa.array(fresh, fresh_type)], names=["doc_id", "n_tokens", "hashes", "lengths", "fresh"]
-            )
+            new = pa.StructArray.from_arrays([pa.array(fresh[0], pa.binary()), pa.array(fresh[1], pa.int32()), pa.array(fresh[2], pa.binary())], names=["hash", "n", "ids"])
+            lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), x) for o, x in ((bounds, pa.array(lengths, pa.int32())), (fresh_bounds, new))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(hashes, pa.binary()), *lists], names=["doc_id", "n_tokens", "hashes", "lengths", "fresh"])
 
     return run
 
@@ -273,19 +292,20 @@ def _checked(kind: str):
 def _steps(batches):
     """A row per chunk of each recipe, after the recipe has been held against its root."""
     for batch in batches:
-        rows, hashes, pos, after, length = [], [], [], [], []
-        for k, (blob, sizes, root) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("hashes", "lengths", "root")))):
+        hashes, blobs = [], batch.column("hashes").to_pylist()
+        for blob, root in zip(blobs, batch.column("root").to_pylist()):
             own = _split(blob)
             if merkle(own) != root:
                 raise ValueError("a recipe does not match its root")
-            size = np.array(sizes, np.int64)
-            rows += [k] * len(own)
             hashes += own
-            pos += range(len(own))
-            after += (4 * (size.sum() - np.cumsum(size))).tolist()
-            length += sizes
+        n = np.array([len(x) // 16 for x in blobs], np.int64)
+        length = batch.column("lengths").flatten().to_numpy().astype(np.int64)
+        if len(length) != len(hashes):
+            raise ValueError("a recipe has more or fewer lengths than chunks")
+        rows, begin, upto = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n, np.append(0, np.cumsum(length))
+        after = 4 * (upto[(begin + n)[rows]] - upto[1:])
         take = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("part", "first", "doc_id")), pa.array(hashes, pa.binary()), pa.array(pos, pa.int32()), pa.array(after, pa.int64()), pa.array(length, pa.int32())], names=["part", "first", "doc_id", "hash", "pos", "after", "length"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("part", "first", "doc_id")), pa.array(hashes, pa.binary()), pa.array((np.arange(len(rows)) - begin[rows]).astype(np.int32)), pa.array(after), pa.array(length.astype(np.int32))], names=["part", "first", "doc_id", "hash", "pos", "after", "length"])
 
 
 def _shift(batches):
