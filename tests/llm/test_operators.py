@@ -185,6 +185,29 @@ def test_the_array_decides_inside_articles_too(spark):
     assert got == {**{i: f"{own(i)}\nsecond {i}" for i in range(9)}, **{20 + i: f"{own(50)}\n{line}" for i in range(9)}}
 
 
+def test_suffix_array():
+    rng = random.Random(3)
+    for n in (0, 1, 2, 7, 40, 200):
+        for letters in (1, 2, 5):
+            t = [rng.randrange(letters) for _ in range(n)]
+            for depth in (None, 1, 3, 8):
+                order, shared = html_text.suffix_array(np.array(t, np.int64), depth)
+                cut = [tuple(t[k:][:depth]) for k in order.tolist()]
+                assert cut == sorted(cut) and sorted(order.tolist()) == list(range(n))
+                for k in range(1, n):
+                    a, b = cut[k - 1], cut[k]
+                    assert shared[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_packed_runs():
+    rng = np.random.default_rng(1)
+    for size in (0, 1, 1000):
+        h, n = np.unique(rng.integers(0, 1 << 60, size).astype(np.uint64)), None
+        n = rng.integers(1, 4, len(h))
+        got, counts = html_text._unpacked(html_text._packed(h, n))
+        assert (got == h).all() and (counts == n).all()
+
+
 def test_repeated_runs_by_brute_force():
     rng = random.Random(2)
     streams = [np.array([rng.randrange(3) for _ in range(rng.randint(0, 40))]) for _ in range(9)]
