@@ -10,18 +10,22 @@ however large the input. A record's place in its shard is its slot's offset (rec
 before it) plus its rank in the virtual slot, so no window spans a shard.
 
 Defined cases. A null text has no bytes (size 8), its CRC is that of no bytes. A null doc_id is hashed like a value.
-Equal rows land in one virtual slot and get different places. An empty table gives an empty table and a map
+Equal rows land in one virtual slot and get different places. Equal texts with other ids are spread like any others:
+the law is on bytes, and groups of copies do not fill a shard. An empty table gives an empty table and a map
 of empty slots. Other columns are ignored; the key columns may be named by the caller.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._common import scratch_dir
+
 SHARDS, SLOTS, OVERHEAD = 24, 16384, 8
 MAP = "version int, vslot int, shard int, bytes long, n long"
 
@@ -89,14 +93,36 @@ def assign(rows: DataFrame, map_: DataFrame, version: int) -> DataFrame:
     return rows.withColumn("rank", rank).join(F.broadcast(places), "vslot").select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("offset") + F.col("rank")).cast("long").alias("slot"))
 
 
-def shard_by_slots(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
-    """(rows with their shard and slot, version 1 of the map)."""
+class SlotMap:
+    """The stored map: a folder below path for each version, written once."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def add(self, version: int, shard: np.ndarray, size: np.ndarray, n: np.ndarray) -> None:
+        """Writes a version; one that is there already is an error."""
+        slot_map(self.spark, version, shard, size, n).drop("version").coalesce(1).write.parquet(f"{self.path}/version={version}")
+
+    def read(self, version: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/version={version}").withColumn("version", F.lit(version))
+
+    def rebalanced(self, version: int, shards: int) -> int:
+        """Edits a version for another shard count; the number of the version after it."""
+        rows = self.read(version).orderBy("vslot").collect()  # as many as there are slots
+        shard, size, n = (np.array([r[c] for r in rows]) for c in ("shard", "bytes", "n"))
+        self.add(version + 1, rebalance(shard, size, shards), size, n)
+        return version + 1
+
+
+def shard_by_slots(docs: DataFrame, path: str, shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, SlotMap]:
+    """(rows with their shard and slot, the map stored at path with version 1)."""
     rows = sized(docs, slots)
     size, n = slot_bytes(rows, slots)
-    map_ = slot_map(docs.sparkSession, 1, place(size, shards), size, n)
-    return assign(rows, map_, 1), map_
+    stored = SlotMap(docs.sparkSession, path)
+    stored.add(1, place(size, shards), size, n)
+    return assign(rows, stored.read(1), 1), stored
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = shard_by_slots(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows, _ = shard_by_slots(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{scratch_dir(spark)}/slots-{uuid.uuid4().hex[:12]}")
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
