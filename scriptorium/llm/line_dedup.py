@@ -9,12 +9,13 @@
 3. What a document loses is joined back by doc_id. Keys of very many documents (at most HOT_KEYS of them by
    construction) are sent to all tasks instead of through the join, so no join key is hot.
 
-The filter has BITS bits at any size of the input (32 MB, the only broadcast besides the hot keys). When it
-fills up, more keys count as suspected and step 2 shuffles more; results never depend on it.
+The filter has about BITS_A_LINE bits for each line, in a power of two from LEAST_BITS to MOST_BITS (128 MB, the only
+broadcast besides the hot keys). Beyond that it fills up, more keys count as suspected and step 2 shuffles
+more; results never depend on it.
 
 Defined cases. A null or empty text is one empty line. A null doc_id ranks below all others: its lines go if
 any named document holds the key; if none does, they stay. Each row counts as a document, so repeated
-rows count as several; all rows with the largest doc_id keep their lines. An empty table gives an empty
+rows count as several; all rows with the largest doc_id keep their lines. Rows without doc_id find what they lose by their text. An empty table gives an empty
 table. Input columns named like computed ones are replaced, all others are carried along.
 """
 
@@ -34,7 +35,7 @@ from . import _kernels as K
 from ._common import keep, lean, prepare
 
 MIN_CHARS, MIN_DOCS = 20, 3
-BITS, BLOCK = 1 << 28, 1 << 16
+BITS_A_LINE, LEAST_BITS, MOST_BITS, BLOCK = 8, 1 << 20, 1 << 30, 1 << 16
 #: Keys a task holds before it sends their positions and starts anew.
 FLUSH = 200_000
 HOT_KEYS = 1000
@@ -111,7 +112,7 @@ def _merge(batches):
     yield pa.RecordBatch.from_arrays([pa.array(full.keys(), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in full.values()], pa.binary())], names=["block", "bits"])
 
 
-def repeated_filter(docs: DataFrame, min_chars: int = MIN_CHARS, bits: int = BITS, flush: int = FLUSH) -> dict[int, bytes]:
+def repeated_filter(docs: DataFrame, min_chars: int = MIN_CHARS, bits: int = LEAST_BITS, flush: int = FLUSH) -> dict[int, bytes]:
     """Block number -> compressed bits of the filter of keys seen at least twice; bits / 8 bytes at most."""
     parts = docs.select("text").mapInArrow(lean(_collect_bits(min_chars, bits, flush)), "block int, once binary, twice binary")
     return {r.block: bytes(r.bits) for r in parts.repartition("block").mapInArrow(lean(_merge), "block int, bits binary").collect()}
@@ -134,7 +135,8 @@ def _suspects(filter_, min_chars: int, bits: int):
             where = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2) & np.uint64(bits - 1)
             hit = np.flatnonzero((at[where >> np.uint64(3)] >> (where & np.uint64(7)).astype(np.uint8) & 1).all(axis=1))
             ids = batch.column("doc_id").take(pa.array(np.array(rows, np.int64)[hit]))
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in hit.tolist()], pa.binary()), ids.cast(pa.int64())], names=["key", "doc_id"])
+            own = batch.column("own").take(pa.array(np.array(rows, np.int64)[hit]))
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in hit.tolist()], pa.binary()), ids.cast(pa.int64()), own], names=["key", "doc_id", "own"])
 
     return run
 
@@ -159,13 +161,18 @@ def _strip(hot, min_chars: int):
     return run
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int = BITS, flush: int = FLUSH, hot_keys: int = HOT_KEYS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int | None = None, flush: int = FLUSH, hot_keys: int = HOT_KEYS) -> DataFrame:
     """docs with text less its repeated lines, and n_lines (before) and n_dropped."""
     spark = docs.sparkSession
     prepare(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Rows without an id are told apart by their texts: one key for all of them would be hot.
+    own = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("own")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", own)
+    if bits is None:
+        ends = texts.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))).alias("ends"), F.count("*").alias("n")).first()
+        bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_LINE * ((ends.ends or 0) + ends.n)).bit_length()))
     filter_ = spark.sparkContext.broadcast(repeated_filter(texts, min_chars, bits, flush))
-    suspects = keep(texts.mapInArrow(lean(_suspects(filter_, min_chars, bits)), "key binary, doc_id long"), "suspects")
+    suspects = keep(texts.mapInArrow(lean(_suspects(filter_, min_chars, bits)), "key binary, doc_id long, own string"), "suspects")
     counted = suspects.df.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs)
     confirmed = keep(counted, "confirmed")
     # A key with more than total / hot_keys rows is hot: there are fewer than hot_keys of them.
@@ -174,10 +181,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     hot = {bytes(r.key): r.keep for r in confirmed.df.where(F.col("n") >= often).collect()}
     lost = suspects.df.join(F.broadcast(confirmed.df.where(F.col("n") >= often).select("key")), "key", "left_anti")
     lost = lost.join(confirmed.df.where(F.col("n") < often), "key").where("keep is not null and not (doc_id <=> keep)")
-    lost = lost.groupBy("doc_id").agg(F.collect_list("key").alias("lost"))
+    lost = lost.groupBy("doc_id", "own").agg(F.collect_set("key").alias("lost"))
     carried = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    row = docs.select(F.struct(*(c for c in carried if c != "text")).alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
-    joined = row.join(lost, row["id"].eqNullSafe(lost["doc_id"]), "left").select("row", "id", "text", "lost")
+    row = docs.select(F.struct(*(c for c in carried if c != "text")).alias("row"), F.col("doc_id").cast("long").alias("id"), own, "text")
+    joined = row.join(lost, row["id"].eqNullSafe(lost["doc_id"]) & row["own"].eqNullSafe(lost["own"]), "left").select("row", "id", "text", "lost")
     schema = T.StructType([row.schema["row"], T.StructField("kept", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     out = joined.mapInArrow(lean(_strip(spark.sparkContext.broadcast(hot), min_chars)), schema)
     return out.select(*(F.col("kept").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in carried), "n_lines", "n_dropped")
