@@ -6,7 +6,7 @@ sketch of the whole, and two of them give estimates of resemblance, containment
 shingles. The fingerprint is the sketch in hexadecimal, eight digits each.
 
 The query compares each document with the next one by falling doc_id without an unpartitioned window: ids
-are cut into at most MAX_BUCKETS ranges, the first row of each range is also sent as a guest to the end of
+are cut at quantiles into about MAX_BUCKETS ranges at most, the first row of each range is also sent as a guest to the end of
 the range before it (the first of all to the last), and one window per range sees every successor. That is
 one shuffle of the texts; the table of ranges is bounded, so it is broadcast.
 
@@ -18,11 +18,13 @@ empty table. Other columns are ignored.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K, WORDS = 128, 5
-ROWS_A_BUCKET, MAX_BUCKETS = 2000, 200_000
+ROWS_A_BUCKET, MAX_BUCKETS, QUANTILES = 2000, 200_000, 4096
 _RANGE = float(1 << 32)
 
 
@@ -77,19 +79,48 @@ def fingerprint(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 8, "0")), "")
 
 
+def _buckets(docs: DataFrame, rows_a_bucket: int, max_buckets: int) -> Column:
+    """Numbers of ranges by falling doc_id, those of null ids, by hash, after all others.
+
+    Ranges are cut at quantiles of the ids, so that outliers and clusters do not fill one of them; where more
+    ranges than quantiles are needed, each is cut into equal widths."""
+    falling = F.bitwise_not("doc_id")  # unlike the negative, within a long for every id
+    shares = [k / QUANTILES for k in range(1, QUANTILES)]
+    size = docs.agg(F.min(falling).alias("lo"), F.max(falling).alias("hi"), F.count("*").alias("n"), F.percentile_approx(falling, shares, 8 * QUANTILES).alias("bounds")).first()
+    want = max(1, min(max_buckets, size.n // rows_a_bucket))
+    every = max(1, QUANTILES // want)
+    cuts = sorted(set((size.bounds or [])[every - 1 :: every])) if want > 1 else []
+    fine = -(-want // (len(cuts) + 1))
+    table = lambda values: F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+    # How many cuts are not above the id: a binary search, from the largest step down.
+    at = F.lit(0)
+    if cuts:
+        steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))))
+        at = F.aggregate(steps, F.lit(0), lambda found, step: F.when(F.get(table(cuts), found + step - 1) <= falling, found + step).otherwise(found))
+    if fine > 1 and size.lo is not None:
+
+        def within(r: Column) -> Column:
+            low, high = (F.get(table(x), r).cast("double") for x in ([size.lo, *cuts], [*cuts, size.hi]))
+            return r * fine + F.greatest(F.lit(0), F.least(F.lit(fine - 1), F.floor((falling.cast("double") - low) / (high - low + 1) * fine)))
+
+        at = _let(at, within)
+    nulls = (len(cuts) + 1) * fine + F.floor(_hashed() / F.lit((1 << 63) // 64 + 1))
+    return F.when(F.col("doc_id").isNotNull(), at).otherwise(nulls).cast("long")
+
+
+def _hashed() -> Column:
+    return F.shiftrightunsigned(F.xxhash64("text"), 1)
+
+
 def with_successor(docs: DataFrame, rows_a_bucket: int = ROWS_A_BUCKET, max_buckets: int = MAX_BUCKETS) -> DataFrame:
     """docs (doc_id, text, sketch) with next_text and next_sketch, those of the next row by falling doc_id."""
-    size = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    buckets = max(1, min(max_buckets, size.n // rows_a_bucket))
-    low, width = size.lo or 0, max(1, -(-((size.hi or 0) - (size.lo or 0) + 1) // buckets))
-    # Ranges by falling doc_id; those of null ids, by hash, come after them.
-    hashed = F.shiftrightunsigned(F.xxhash64("text"), 1)
-    bucket = F.coalesce(-F.floor((F.col("doc_id") - low) / width), 1 + F.floor(hashed / F.lit((1 << 63) // 64 + 1))).cast("long")
-    place = F.struct(F.coalesce(-F.col("doc_id"), F.lit((1 << 63) - 1)).alias("o"), hashed.alias("h"))
+    bucket = _buckets(docs, rows_a_bucket, max_buckets)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.bitwise_not("doc_id").alias("o"), _hashed().alias("h"))
     rows = docs.withColumns({"bucket": bucket, "place": place})
     narrow = docs.select("doc_id", "text").withColumns({"bucket": bucket, "place": place})
     first = narrow.groupBy("bucket").agg(F.min("place").alias("first"))
-    order = Window.orderBy("bucket")  # max_buckets + 64 rows at most
+    order = Window.orderBy("bucket")  # max_buckets + 64 rows at most, about
     last = F.max("bucket").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     first = first.withColumn("before", F.coalesce(F.lag("bucket").over(order), last))
     guests = F.when(F.col("place") == F.col("first"), F.array(F.struct(F.col("bucket"), F.lit(False).alias("guest")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(F.col("bucket"), F.lit(False).alias("guest"))))
