@@ -6,8 +6,10 @@ consecutive item words, or a shorter item as a whole, is one pattern with its sp
 at word boundaries. One automaton scans each normalised text once; an end offset becomes a word number by
 the words' end offsets, and word numbers become offsets in the original text through the words' spans.
 
-The patterns are a stated query set that goes to every task. Its size is checked: past MAX_PATTERN_CHARS
-it is split into blocks, each an automaton of its own that runs over all documents, one after the other.
+The patterns are a stated query set that goes to every task. Its size is checked: where items might make more
+than MAX_PATTERN_CHARS they are dealt by a hash into as many blocks as needed, each one automaton and one pass
+over all documents, with what has been found written in between; so a task and the driver hold one block at
+a time.
 
 Defined cases. A null text has no words: n_words 0, not contaminated. A null or empty item has no window. A
 null item_id is left out of the items, its words still count as hit. Repeated items count once by
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _kernels as K
-from ._common import lean, prepare
+from ._common import keep, lean, prepare
 
 WINDOW = 13
 #: Pattern characters in one automaton: bounds its memory at some 100 bytes each.
@@ -51,21 +53,13 @@ def windows(text: str, size: int = WINDOW) -> list[bytes]:
     return [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
 
 
-def pattern_blocks(items: list[tuple[int | None, str | None]], size: int = WINDOW, most: int = MAX_PATTERN_CHARS) -> list[dict[bytes, list]]:
-    """Window -> ids of the items that hold it, in blocks of about most characters."""
+def patterns(items: list[tuple[int | None, str | None]], size: int = WINDOW) -> dict[bytes, list]:
+    """Window -> ids of the items that hold it."""
     of: dict[bytes, set] = {}
     for item, text in items:
         for w in windows(text or "", size):
             of.setdefault(w, set()).add(item)
-    blocks: list[dict[bytes, list]] = [{}]
-    chars = 0
-    for w, ids in of.items():
-        if chars and chars + len(w) > most:
-            blocks.append({})
-            chars = 0
-        blocks[-1][w] = sorted(x for x in ids if x is not None)
-        chars += len(w)
-    return blocks
+    return {w: sorted(x for x in ids if x is not None) for w, ids in of.items()}
 
 
 def _automaton(block: dict[bytes, list]) -> ahocorasick.Automaton | None:
@@ -74,8 +68,7 @@ def _automaton(block: dict[bytes, list]) -> ahocorasick.Automaton | None:
         return None
     name = hashlib.sha256(repr(sorted(block)).encode()).hexdigest()
     if name not in _AUTOMATA:
-        if len(_AUTOMATA) > 4:
-            _AUTOMATA.clear()
+        _AUTOMATA.clear()
         a = ahocorasick.Automaton()
         for w in block:
             a.add_word(f" {w.decode()} ", (w.count(b" ") + 1, w))
@@ -123,26 +116,32 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
         yield data[i:j]
 
 
-def _scan(blocks, spans: bool):
+def _scan(block_, last: bool, spans: bool):
+    """Adds a block's hits to those found before; after the last block, numbers instead of texts."""
+
     def run(batches):
-        pairs = [(a, b) for b in blocks.value if (a := _automaton(b))]
+        block = block_.value
+        automaton = _automaton(block)
         for batch in batches:
-            n_words, n_hit, items, where = [], [], [], []
-            for text in _texts(batch.column("text")):
+            n_words, n_hit, items, hits, where = [], [], [], [], []
+            before = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
+            for text, had, ids in zip(_texts(batch.column("text")), *before):
                 words = text.translate(_NORMAL).split()
                 n_words.append(len(words))
-                hit, found = np.zeros(0, np.int64), set()
-                if words:
-                    normal = f" {b' '.join(words).decode('utf-8', 'replace')} "
-                    for automaton, block in pairs:
-                        h, f = hit_words(normal, automaton, block)
-                        hit, found = (np.union1d(hit, h) if len(h) else hit), found | f
+                hit, found = np.frombuffer(had or b"", np.int64), set(ids or ())
+                if words and automaton:
+                    h, f = hit_words(f" {b' '.join(words).decode('utf-8', 'replace')} ", automaton, block)
+                    hit, found = (np.union1d(hit, h) if len(h) else hit), found | f
                 n_hit.append(len(hit))
                 items.append(sorted(found))
-                if spans:
+                hits.append(hit.tobytes())
+                if last and spans:
                     where.append([{"start": i, "end": j} for i, j in original_spans(text.decode("utf-8", "replace"), hit)] if len(hit) else [])
-            out = [batch.column("row"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64()))]
-            names = ["row", "n_words", "n_hit", "items"]
+            found = pa.array(items, pa.list_(pa.int64()))
+            if not last:
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(hits, pa.binary()), found], names=["row", "text", "hits", "items"])
+                continue
+            out, names = [batch.column("row"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), found], ["row", "n_words", "n_hit", "items"]
             if spans:
                 out.append(pa.array(where, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
                 names.append("spans")
@@ -155,17 +154,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """docs with n_words, n_hit, items (ids with occurring windows), contaminated, and the hits' spans in the text."""
     spark = docs.sparkSession
     prepare(spark)
-    items = [(r.item_id, r.text) for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").collect()]
-    blocks = spark.sparkContext.broadcast(pattern_blocks(items, window, most))
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    # A window begins at each word and is about window words long, so items make at most window times their characters.
+    blocks = max(1, -(-window * (bench.agg(F.sum(F.length("text")).alias("n")).first().n or 0) // most))
     computed = ("n_words", "n_hit", "items", "contaminated", *(["spans"] if spans else []))
     carried = [c for c in docs.columns if c not in computed]
-    row = docs.select(F.struct(*carried).alias("row"), "text")
-    fields = [row.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.LongType()))]
-    if spans:
-        fields.append(T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))))
-    out = row.mapInArrow(lean(_scan(blocks, spans)), T.StructType(fields))
+    state = docs.select(F.struct(*carried).alias("row"), "text", F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<long>").alias("items"))
+    found, array = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType())], T.StructField("items", T.ArrayType(T.LongType()))
+    where = [T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))] if spans else []
+    for k in range(blocks):
+        own = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else bench
+        block = spark.sparkContext.broadcast(patterns([(r.item_id, r.text) for r in own.collect()], window))
+        last = k == blocks - 1
+        schema = T.StructType([state.schema["row"], *found, array, *where] if last else [*state.schema.fields[:3], array])
+        state = state.mapInArrow(lean(_scan(block, last, spans)), schema)
+        if not last:
+            state = keep(state, "hits").df
     contaminated = ((F.col("n_hit") > 0) & (PART * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")
-    return out.select(*(F.col("row")[c].alias(c) for c in carried), "n_words", "n_hit", "items", contaminated, *(["spans"] if spans else []))
+    return state.select(*(F.col("row")[c].alias(c) for c in carried), "n_words", "n_hit", "items", contaminated, *(["spans"] if spans else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
