@@ -432,14 +432,38 @@ def test_words_are_cut_where_tokens_end():
 # ---- 6
 
 
-def test_sharding(spark, docs):
-    rows, map_ = sharding.shard_by_slots(docs, 4, 64)
+def test_sharding(spark, docs, tmp_path):
+    rows, stored = sharding.shard_by_slots(docs, str(tmp_path / "map"), 4, 64)
     got = collect(rows)
     texts = corpus()
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, len((x or "").encode()) + 8, zlib.crc32((x or "").encode())) for i, x in texts)
     for s in {r["shard"] for r in got}:
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
-    assert map_.count() == 64 and sharding.shard_by_slots(empty(spark))[0].count() == 0
+    map_ = stored.read(1)
+    assert map_.count() == 64 and sharding.shard_by_slots(empty(spark), str(tmp_path / "none"))[0].count() == 0
+    # One more shard: a second version of the stored map, and the first one is as it was.
+    docs = docs.where("doc_id is null or doc_id <> 5005")
+    rows, stored = sharding.shard_by_slots(docs, str(tmp_path / "other"), 4, 64)
+    got, map_ = collect(rows), stored.read(1)
+    before = map_.orderBy("vslot").collect()
+    assert stored.rebalanced(1, 5) == 2 and stored.read(1).orderBy("vslot").collect() == before
+    new = {r.vslot: r.shard for r in stored.read(2).collect()}
+    assert all(new[r.vslot] in (r.shard, 4) for r in before) and 4 in new.values()
+    moved = collect(sharding.assign(sharding.sized(docs, 64), stored.read(2), 2))
+    assert all(r["shard"] == new[r["vslot"]] for r in moved) and len(moved) == len(got)
+    for s in {r["shard"] for r in moved}:
+        assert sorted(r["slot"] for r in moved if r["shard"] == s) == list(range(sum(r["shard"] == s for r in moved)))
+
+
+def test_the_query_shards_by_bytes(spark):
+    got = collect(sharding.query(spark, "/root/testdata/sf0.01"))
+    size = Counter()
+    for r in got:
+        size[r["shard"]] += r["size"]
+        assert r["law"] == "bytes" and r["grown_shard"] is None
+    assert set(size) == set(range(24)) and max(size.values()) < 1.05 * min(size.values())
+    for s in size:
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
 
 
 def test_rebalance_moves_little():
@@ -474,7 +498,7 @@ def reference_lines(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize(("bits", "flush", "hot"), [(1 << 28, 200_000, 1000), (1 << 17, 7, 10**9)])
+@pytest.mark.parametrize(("bits", "flush", "hot"), [(None, 200_000, 1000), (1 << 17, 7, 10**9)])
 def test_line_dedup(spark, docs, bits, flush, hot):
     got = line_dedup.dedup_lines(docs, bits=bits, flush=flush, hot_keys=hot)
     assert {"lang", "row", "key", "score"} <= set(got.columns)
@@ -482,9 +506,46 @@ def test_line_dedup(spark, docs, bits, flush, hot):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_lines_of_many_rows_without_id(spark):
+    line = "a line that many rows without an id share"
+    rows = [(None, f"{line}\nown {k}") for k in range(3000)] + [(None, line)] * 500 + [(7, line)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(None, f"own {k}") for k in range(3000)] + [(None, "")] * 500 + [(7, line)])
+
+
 # ---- 8
 
 
+@pytest.mark.parametrize("outliers", [[2**50], [-(2**63), 2**63 - 1], [-(2**62) - 5, 2**62 + 5, *range(10**12, 10**12 + 300)]])
+def test_successors_with_far_ids(spark, outliers):
+    ids = [*range(400), *outliers]
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").withColumn("sketch", F.array(F.lit(1)))
+    for rows_a_bucket, most in ((10, 1000), (1, 10**6), (10**6, 10)):
+        got = {r.doc_id: r.next_text for r in fingerprint.with_successor(df, rows_a_bucket, most).collect()}
+        down = sorted(ids, reverse=True)
+        assert got == {a: f"t{b}" for a, b in zip(down, [*down[1:], down[0]])}
+    filled = df.select(fingerprint._buckets(df, 10, 1000).alias("b")).groupBy("b").count().collect()
+    assert max(r["count"] for r in filled) <= 40
+
+
+def test_the_query_of_fingerprints(spark):
+    """Against plain Python on the whole table: edited texts, and likeness against that of the shingle sets."""
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    down = sorted(rows, reverse=True)
+    sets = lambda t: {tuple(w[k : k + 5]) for w in [words(t)] for k in range(max(1, len(w) - 4))} if words(t) else set()
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    got = {r.doc_id: r for r in fingerprint.query(spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == set(rows)
+    for i, j in zip(down, [*down[1:], down[0]]):
+        h = len(rows[i]) // 2
+        edited = rows[i][: len(rows[i]) - h] + rows[j][:h]
+        assert got[i].n_chars == len(rows[i]) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert abs(got[i].near_edited - like(sets(rows[i]), sets(edited))) < 0.2 and abs(got[i].near_next - like(sets(rows[i]), sets(rows[j]))) < 0.2
+    prints = {}
+    for i, t in rows.items():
+        assert prints.setdefault(t, got[i].fingerprint) == got[i].fingerprint
+
+
 def test_fingerprints(spark, docs):
     got = fingerprint.edited_pairs(docs).collect()
     rows = [(i, x or "") for i, x in corpus()]
