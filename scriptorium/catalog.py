@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import fixed
+from . import fixed, rules
 from .functions import policy, text
 from .operators import answer, documents, evaluation, intent, memory, retrieval, search
 
@@ -24,11 +24,11 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict:
-    return dict(_Q)
+    return _Q | {n: f for n, (f, _) in rules.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | {n: sql for n, (_, sql) in rules.QUERIES.items()}
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -305,15 +305,30 @@ def lsh_candidates(spark, d):
     return search.lsh_candidates(q, v, _PLANES)
 
 
-@_query(f"""WITH {_SIGNED}, c AS (SELECT DISTINCT q.vec_id AS query_id, c.vec_id AS chunk_id FROM b q JOIN b c USING (table_idx, signature) WHERE q.vec_id % 20 = 0 AND table_idx < 2),
-s AS (SELECT query_id, chunk_id, list_cosine_similarity(q.e, d.e) AS score FROM c JOIN v q ON q.vec_id = query_id JOIN v d ON d.vec_id = chunk_id)
-SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""")
+_ANN = f"""{_SIGNED}, c AS (SELECT DISTINCT q.vec_id AS query_id, c.vec_id AS chunk_id FROM b q JOIN b c USING (table_idx) WHERE q.vec_id % 20 = 0 AND hamming(q.signature, c.signature) <= {search.ANN_RADIUS}),
+a AS (SELECT query_id, chunk_id, list_cosine_similarity(q.e, d.e) AS score FROM c JOIN v q ON q.vec_id = query_id JOIN v d ON d.vec_id = chunk_id),
+ann AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM a) WHERE rank <= 10)"""
+
+
+@_query(f"WITH {_ANN} SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM ann")
 def ann_topk(spark, d):
     """A query is in its own bucket, so none is without candidates here."""
     q, v = _vectors(spark, d)
     return search.ann_search(q.select("query_id", "vector"), v.select("chunk_id", "vector"), 10, _PLANES).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+@_query(f"""WITH {_ANN}, s AS (SELECT q.vec_id AS query_id, x.vec_id AS chunk_id, list_cosine_similarity(q.e, x.e) AS score FROM v q, v x WHERE q.vec_id % 20 = 0),
+hit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s) WHERE rank <= 10)
+SELECT count(*) AS wanted, count(ann.chunk_id) AS found, round(count(ann.chunk_id) / count(*), 6) AS recall FROM hit LEFT JOIN ann ON ann.query_id = hit.query_id AND ann.chunk_id = hit.chunk_id""")
+def ann_recall(spark, d):
+    """Recall at 10 of the LSH search against the exact one."""
+    q, v = _vectors(spark, d)
+    q, v = q.select("query_id", "vector"), v.select("chunk_id", "vector")
+    exact, found = search.dense_search(q, v, 10).select("query_id", "chunk_id"), search.ann_search(q, v, 10, _PLANES).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    both = exact.join(found, ["query_id", "chunk_id"], "left")
+    return both.agg(F.count("*").alias("wanted"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
+
+
 @_query(f"""WITH {_BM25.strip()}, {_bm25_sql('x', 16)}, {_bm25_sql('y', 16, 0.9, 0.0)},
 f AS (SELECT query_id, chunk_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT query_id, chunk_id, rank FROM x UNION ALL SELECT query_id, chunk_id, rank FROM y) GROUP BY ALL)
 SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM f) WHERE rank <= 16""")
@@ -323,6 +338,34 @@ def rrf_fusion(spark, d):
     return search.top_k(f, 16).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+_BM25_NORMAL = _BM25.replace("FROM benchmark", f"FROM (SELECT item_id, {_NORM.format('text')} AS text FROM benchmark)")
+
+
+@_query(f"""WITH {_BM25_NORMAL.strip()}, en AS (SELECT doc_id FROM documents WHERE lang = 'en'),
+ss AS (SELECT query_id, chunk_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {fixed.K1 + 1} / (tf + {fixed.K1} * (1 - {fixed.B} + {fixed.B} * dl / avgdl))) AS score
+  FROM post JOIN qt USING (term) JOIN terms USING (term), st WHERE chunk_id IN (SELECT doc_id FROM en) GROUP BY query_id, chunk_id),
+sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM ss) WHERE rank <= 16),
+tx AS (SELECT 'd' AS k, doc_id AS id, text FROM documents WHERE lang = 'en' UNION ALL SELECT 'q', item_id, {_NORM.format('text')} FROM benchmark),
+f AS (SELECT k, id, unnest({tok('text')} || [substr(p, i, 3) for i in range(1, length(p) - 1)]) AS f FROM (SELECT k, id, text, '  ' || lower({_NORM.format('text')}) || '  ' AS p FROM tx)),
+c AS (SELECT k, id, f, count(*) AS c FROM f GROUP BY ALL),
+h AS (SELECT k, id, {_HASH} % 192 AS i, (CASE WHEN (CAST(('0x' || substr(sha256(f), 57, 8)) AS BIGINT) >> 8) & 1 = 1 THEN -1 ELSE 1 END) * (1 + ln(c)) AS v FROM c),
+s AS (SELECT k, id, i, sum(v) AS v FROM h GROUP BY ALL), n AS (SELECT k, id, sqrt(sum(v * v)) AS norm FROM s GROUP BY k, id),
+p AS (SELECT q.id AS query_id, x.id AS chunk_id, sum(q.v * x.v) AS dot FROM s q JOIN s x ON q.i = x.i AND q.k = 'q' AND x.k = 'd' GROUP BY ALL),
+ds AS (SELECT query_id, chunk_id, dot / (a.norm * b.norm) AS score FROM p JOIN n a ON a.k = 'q' AND a.id = query_id JOIN n b ON b.k = 'd' AND b.id = chunk_id),
+dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM ds) WHERE rank <= 16),
+fu AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT query_id, chunk_id, rank FROM sparse UNION ALL SELECT query_id, chunk_id, rank FROM dense) GROUP BY ALL),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM fu) WHERE rank <= 16)
+SELECT t.query_id, t.chunk_id, CAST(t.rank AS INTEGER) AS rank, round(t.score, 6) AS score, round(coalesce(sp.score, 0), 6) AS sparse, round(coalesce(de.score, 0), 6) AS dense
+ FROM top t LEFT JOIN sparse sp ON sp.query_id = t.query_id AND sp.chunk_id = t.chunk_id LEFT JOIN dense de ON de.query_id = t.query_id AND de.chunk_id = t.chunk_id""")
+def hybrid_first_pass(spark, d):
+    """BM25 and hashed vectors fused, over the documents that a query may see (the English ones), with both signals."""
+    c, i = _chunks(spark, d), intent.infer(_bench(spark, d))
+    vectors = search.hash_embed(c, "chunk_id")
+    i = i.withColumn("expansions", F.array().cast("array<string>"))
+    found = retrieval.first_pass(i, c, search.bm25_index(c), vectors, _PLANES, _found_eligible(spark, d), "hybrid", 8)
+    return found.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"), F.round("signal_1", 6).alias("sparse"), F.round("signal_2", 6).alias("dense"))
+
+
 # ---- rerank, pack, answer
 
 
@@ -339,7 +382,7 @@ def _hits(spark, d, k: int = 16) -> DataFrame:
 
 
 _HITS = f"""{_BM25.strip()}, {_bm25_sql('found', 16)},
-c AS (SELECT doc_id AS i, source AS doc_id, text, 'T' || (doc_id % 11) AS title, CASE WHEN doc_id % 2 = 0 THEN 'V14' ELSE 'X12' END AS product, CASE WHEN doc_id % 3 = 0 THEN 'EU' ELSE 'global' END AS region, CASE WHEN doc_id % 4 = 0 THEN 'superseded' ELSE 'active' END AS status FROM documents),
+c AS (SELECT doc_id AS i, source AS doc_id, text, 'T' || (doc_id % 11) AS title, CASE WHEN doc_id % 2 = 0 THEN 'V14' ELSE 'X12' END AS product, CASE WHEN doc_id % 3 = 0 THEN 'EU' ELSE 'global' END AS region, CASE WHEN doc_id % 4 = 0 THEN 'superseded' ELSE 'active' END AS status, '20' || lpad(CAST(doc_id % 30 AS VARCHAR), 2, '0') || '-01-01' AS day FROM documents),
 h AS (SELECT f.query_id, f.chunk_id, c.*, round(f.score + CASE WHEN len(list_intersect([lower(x) for x in regexp_extract_all(b.text, '\\b(?:[A-Z]{{1,5}}-\\d{{1,4}}|[A-Z]\\d{{1,3}}|FW-\\d\\.\\d)\\b')], {tok('c.text')})) > 0 THEN 1.2 ELSE 0 END
   + CASE WHEN f.query_id % 2 = 0 AND c.product = 'V14' THEN 0.4 ELSE 0 END + CASE WHEN f.query_id % 3 = 0 THEN 0.3 ELSE 0 END + CASE WHEN i % 5 = 0 THEN 0.25 ELSE 0 END - CASE WHEN i % 4 = 0 THEN 0.35 ELSE 0 END
   - CASE WHEN i % 7 = 0 THEN 0.2 ELSE 0 END - CASE WHEN i % 9 = 0 THEN 0.2 ELSE 0 END + 0.03 * len(list_intersect(list_distinct({tok('b.text')}), list_distinct({tok('c.text')}))), 9) AS s
@@ -361,20 +404,27 @@ def conflict_detect(spark, d):
     return c.select("query_id", "product", "region", F.array_join("active", ",").alias("active"), F.array_join("superseded", ",").alias("superseded"))
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_HITS},
+sn AS (SELECT query_id, chunk_id, final_rank, doc_id, unnest(sen) AS s, generate_subscripts(sen, 1) AS pos FROM (SELECT t.query_id, t.chunk_id, t.final_rank, t.doc_id, {sent('t.text')} AS sen FROM top t)),
+rk AS (SELECT sn.*, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY len(list_intersect(list_distinct({tok('b.text')}), {tok('s')})) DESC, pos) AS r FROM sn JOIN benchmark b ON b.item_id = query_id),
+bl AS (SELECT query_id, chunk_id, final_rank, '[' || doc_id || ' | Body] ' || string_agg(s, ' ' ORDER BY r) AS block FROM rk WHERE r <= 2 GROUP BY query_id, chunk_id, final_rank, doc_id),
+co AS (SELECT *, len({tok('block')}) AS cost FROM bl),
+fo AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, CAST([] AS VARCHAR[]) AS blocks, CAST([] AS VARCHAR[]) AS ids FROM co
+ UNION ALL SELECT fo.query_id, k + 1, CASE WHEN used + cost <= {fixed.BUDGET} THEN used + cost ELSE used END, CASE WHEN used + cost <= {fixed.BUDGET} THEN list_append(blocks, block) ELSE blocks END,
+  CASE WHEN used + cost <= {fixed.BUDGET} THEN list_append(ids, CAST(chunk_id AS VARCHAR)) ELSE ids END FROM fo LEFT JOIN co ON co.query_id = fo.query_id AND co.final_rank = k + 1 WHERE k < {fixed.TOP_M})
+SELECT query_id, array_to_string(ids, ',') AS chunk_ids, CAST(used AS INTEGER) AS token_count, sha256(array_to_string(blocks, chr(10) || chr(10))) AS context_sha256 FROM fo WHERE k = {fixed.TOP_M}""")
 def pack_context(spark, d):
-    """An ordered fold with a budget, which SQL has no plain form for; held against a walk in the tests."""
-    return retrieval.pack(retrieval.rerank(_hits(spark, d)))
+    p = retrieval.pack(retrieval.rerank(_hits(spark, d)))
+    return p.select("query_id", F.array_join("chunk_ids", ",").alias("chunk_ids"), "token_count", F.sha2("context", 256).alias("context_sha256"))
 
 
-@_query(f"""WITH {_BM25.strip()}, {_bm25_sql('hit', 3)} SELECT DISTINCT h.query_id, d.doc_id AS chunk_id FROM hit h JOIN documents d ON d.doc_id IN (h.chunk_id + 1, h.chunk_id * 2) WHERE d.lang = 'en'""")
+@_query(f"""WITH {_BM25.strip()}, {_bm25_sql('hit', 3)} SELECT DISTINCT h.query_id, d.doc_id AS chunk_id FROM hit h JOIN documents d ON d.doc_id IN (h.chunk_id + 1, h.chunk_id * 2) WHERE d.lang = 'en' AND d.doc_id < 10000""")
 def follow_references(spark, d):
-    """Each document refers to the next id and to the double of its own; only English ones are visible."""
-    i = F.col("chunk_id")
-    hits = _found(spark, d, 3).withColumn("references", F.array((i + 1).cast("string"), (i * 2).cast("string"))).withColumn("text", F.lit(""))
-    c = _chunks(spark, d).withColumn("doc_id", i.cast("string"))
-    visible = _found_eligible(spark, d)
-    return retrieval.follow_references(hits, c, visible)
+    """Each document lists the next id as a reference and names the double of its own in its text; only English ones are visible."""
+    i, name = F.col("chunk_id"), lambda x: F.concat(F.lit("IR-"), x.cast("string"))
+    hits = _found(spark, d, 3).withColumn("references", F.array(name(i + 1))).withColumn("text", F.concat(F.lit("it came before "), name(i * 2), F.lit(", and IR was not it")))
+    c = _chunks(spark, d).withColumn("doc_id", name(i)).where("chunk_id < 10000")
+    return retrieval.follow_references(hits, c, _found_eligible(spark, d))
 
 
 def _found_eligible(spark, d) -> DataFrame:
@@ -401,13 +451,50 @@ def _evidence(spark, d) -> DataFrame:
     return _found(spark, d, 5).join(_chunks(spark, d).withColumn("doc_id", F.col("chunk_id")).withColumn("section", F.lit("Body")), "chunk_id")
 
 
-@_query()
+_QUESTION = "CASE item_id % 4 WHEN 1 THEN 'Compare ' || text WHEN 2 THEN text || ' steps?' ELSE text END"
+_TASK = "CASE " + " ".join("WHEN (" + " OR ".join(f"contains(lower(n), '{w}')" for w in words) + f") THEN '{t}'" for t, words in reversed(fixed.TASKS)) + " ELSE 'lookup' END"
+_TITLES = "'[' || chr(39) || array_to_string(list_sort(list(DISTINCT title) FILTER (WHERE status = '{0}')), chr(39) || ', ' || chr(39)) || chr(39) || ']'"
+_BONUS = f"len(list_intersect(list_distinct({tok('b.text')}), {tok('s')})) + 0.5 * len(list_filter(regexp_extract_all(b.text, '{fixed.IDENTIFIER}'), lambda x: contains(lower(s), lower(x))))"
+
+
+@_query(f"""WITH {_HITS},
+i AS (SELECT item_id AS query_id, n, {_TASK} AS task, item_id % 10 = 9 AS ask FROM (SELECT item_id, {_NORM.format('t')} AS n FROM (SELECT item_id, {_QUESTION} AS t FROM benchmark))),
+sl AS (SELECT query_id, chunk_id, final_rank AS rank, title, doc_id, day, {sent('text')} AS sen FROM top),
+sn AS (SELECT query_id, chunk_id, rank, unnest(sen) AS s, generate_subscripts(sen, 1) AS pos FROM sl),
+sc AS (SELECT sn.*, {_BONUS} AS sc FROM sn JOIN benchmark b ON b.item_id = query_id),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, s ORDER BY sc DESC, rank, pos) AS r FROM sc) WHERE r = 1),
+best AS (SELECT query_id, s, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, rank, pos) AS nth FROM one),
+en AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY day DESC, rank) AS new, row_number() OVER (PARTITION BY query_id ORDER BY day, rank) AS old FROM sl),
+cf AS (SELECT query_id, product, region, min(final_rank) AS place, {_TITLES.format('active')} AS act, {_TITLES.format('superseded')} AS sup FROM top GROUP BY query_id, product, region
+ HAVING count(*) FILTER (WHERE status = 'active') > 0 AND count(*) FILTER (WHERE status = 'superseded') > 0),
+cn AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place, product, region) AS nr, count(*) OVER (PARTITION BY query_id) AS n_c, 'Conflict note: Active and superseded sources appear together: active=' || act || ', superseded=' || sup AS note FROM cf),
+src AS (SELECT query_id, list(title ORDER BY rank) AS t FROM sl WHERE rank <= 2 GROUP BY query_id),
+cl AS (SELECT i.query_id, 1 AS no, 'Newest evidence: ' || title || '. ' || sen[1] AS claim FROM i JOIN en ON en.query_id = i.query_id WHERE task = 'comparison' AND new = 1
+ UNION ALL SELECT i.query_id, 2, 'Older baseline: ' || o.title || '. ' || o.sen[1] FROM i JOIN en o ON o.query_id = i.query_id AND o.old = 1 JOIN en w ON w.query_id = i.query_id AND w.new = 1 WHERE task = 'comparison' AND o.doc_id <> w.doc_id
+ UNION ALL SELECT i.query_id, nth, s FROM i JOIN best ON best.query_id = i.query_id WHERE task <> 'comparison' AND nth <= 2
+ UNION ALL SELECT i.query_id, 3, 'Primary sources: ' || CASE WHEN t[1] = t[2] OR len(t) = 1 THEN t[1] ELSE t[1] || ', ' || t[2] END || '.' FROM i JOIN src ON src.query_id = i.query_id WHERE task = 'procedural'
+ UNION ALL SELECT i.query_id, 3 + nr, note FROM i JOIN cn ON cn.query_id = i.query_id WHERE task = 'comparison' OR task <> 'procedural' AND nr = 1
+ UNION ALL SELECT DISTINCT i.query_id, 4 + n_c, '{fixed.MANY_CONFLICTS}' FROM i JOIN cn ON cn.query_id = i.query_id WHERE n_c > 1),
+ct AS (SELECT *, list_distinct({tok('claim')}) AS ct, list_distinct(regexp_extract_all(claim, '{fixed.NUMBER}')) AS cn FROM cl),
+su AS (SELECT ct.query_id, no, chunk_id, rank, pos, round({_SUPPORT}, 9) AS support FROM ct JOIN sn ON sn.query_id = ct.query_id),
+ci AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, no ORDER BY support DESC, rank, pos) AS r FROM su WHERE support > 0) WHERE r = 1),
+al AS (SELECT cl.query_id, string_agg(claim, ' ' ORDER BY cl.no) AS body, avg(coalesce(support >= {fixed.SUPPORTED}, false)::INT) AS grounded,
+ string_agg(cl.no || ':' || coalesce(CAST(chunk_id AS VARCHAR), '-') || ':' || coalesce(support >= {fixed.SUPPORTED}, false), '|' ORDER BY cl.no) AS cited FROM cl LEFT JOIN ci ON ci.query_id = cl.query_id AND ci.no = cl.no GROUP BY cl.query_id)
+SELECT i.query_id, sha256(CASE WHEN body IS NULL THEN '{fixed.NO_EVIDENCE}' WHEN ask THEN '{fixed.ASK_SCOPE}region.' ELSE CASE WHEN task = 'comparison' THEN 'Grounded comparison for: ' ELSE 'Grounded answer for: ' END || rtrim(rtrim(n), '?') || '. ' || body
+  || CASE WHEN EXISTS (SELECT 1 FROM cn WHERE cn.query_id = i.query_id) THEN '{fixed.TENSION}' ELSE '' END END) AS answer_sha256,
+ body IS NULL OR ask AS abstained, body IS NOT NULL AND ask AS asked, CASE WHEN body IS NULL OR ask THEN 0.0 ELSE round(grounded, 6) END AS groundedness, CASE WHEN body IS NULL OR ask THEN '1:-:false' ELSE cited END AS cited
+ FROM i LEFT JOIN al ON al.query_id = i.query_id""".replace("\\\\", "\\"))
 def grounded_answers(spark, d):
-    """The fixed workflow over the benchmark's items: intent, hits, rerank, claims, citations, answer."""
-    q = intent.infer(_bench(spark, d)).withColumn("missing_scope", F.array().cast("array<string>"))
-    hits = retrieval.rerank(_hits(spark, d))
-    ev = hits.withColumn("rank", F.col("final_rank")).select("query_id", "rank", "chunk_id", "doc_id", "title", "section", "text", "effective_date", "q_tokens", "q_identifiers")
-    return answer.answers(q, ev, retrieval.conflicts(hits))
+    """The fixed workflow over the benchmark's items, some asked as comparisons or procedures, some without their scope:
+    intent, hits, rerank, claims, citations, conflicts, answer."""
+    i = F.col("query_id")
+    asked = _bench(spark, d).withColumn("text", F.when(i % 4 == 1, F.concat(F.lit("Compare "), "text")).when(i % 4 == 2, F.concat("text", F.lit(" steps?"))).otherwise(F.col("text")))
+    q = intent.infer(asked).withColumn("missing_scope", F.when(i % 10 == 9, F.array(F.lit("region"))).otherwise(F.array().cast("array<string>")))
+    hits = retrieval.rerank(_hits(spark, d)).withColumn("rank", F.col("final_rank"))
+    ev = hits.select("query_id", "rank", "chunk_id", "doc_id", "title", "section", "text", "effective_date", "q_tokens", "q_identifiers")
+    out = answer.answers(q, ev, retrieval.conflicts(hits))
+    cited = F.transform("claims", lambda c: F.concat_ws(":", c["claim_no"].cast("string"), F.coalesce(c["chunk_id"], F.lit("-")), c["supported"].cast("string")))
+    return out.select("query_id", F.sha2("answer_text", 256).alias("answer_sha256"), "abstained", F.col("clarification").isNotNull().alias("asked"), F.round("groundedness", 6).alias("groundedness"), F.array_join(cited, "|").alias("cited"))
 
 
 # ---- intent, routes, memory, tools

@@ -62,3 +62,13 @@ SCOPE_WORDS = ("warranty", "policy", "travel approval", "travel threshold")
 SHAREABLE_WORDS, INTERNAL_WORDS = ("customer-shareable", "customer shareable", "public-only"), ("internal", "incident report")
 POLICY_FAMILIES = ("EU distributor policy", "North American distributor policy", "internal reseller terms")
 FACTS = {"what does gpu stand for": "GPU stands for graphics processing unit.", "what is rag": "RAG stands for retrieval-augmented generation."}
+
+# Sentences that answers consist of besides their evidence.
+NO_EVIDENCE, NO_MATERIAL = "I could not find supporting material in the current snapshot.", "No supporting material found."
+ASK_SCOPE = "More scope is required before answering reliably: "
+TENSION = " The evidence set includes version tension that the answer keeps visible."
+CONFLICT, CONFLICT_NOTE = "Active and superseded sources appear together: active=%s, superseded=%s", "Conflict note: "
+MANY_CONFLICTS = "Multiple conflicting sources remain unresolved; a human review may be appropriate."
+LEAD, COMPARISON_LEAD = "Grounded answer for: ", "Grounded comparison for: "
+NEWEST, OLDER, SOURCES = "Newest evidence: ", "Older baseline: ", "Primary sources: "
+LOW_SUPPORT = "support below threshold"

@@ -49,10 +49,17 @@ def build_documents(raw: DataFrame) -> DataFrame:
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """docs with duplicate_of: the first document of equal title, product (lower-cased) and text; null if it is that one.
 
-    The first per key comes from an aggregation, so a hot key shuffles one row a task, not all its rows."""
+    The first per key comes from an aggregation, so a hot key shuffles one row a task, not all its rows. Classes of
+    more than a thousandth of all rows, fewer than a thousand then, are sent to all tasks; the others are joined."""
     key = [F.lower("title").alias("k1"), F.lower("product").alias("k2"), F.sha2("text", 256).alias("k3")]
-    first = docs.select(*key, "doc_id", "ordinal").groupBy("k1", "k2", "k3").agg(F.min_by("doc_id", "ordinal").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = docs.select("*", *key).join(first, ["k1", "k2", "k3"], "left").drop("k1", "k2", "k3")
+    first = docs.select(*key, "doc_id", "ordinal").groupBy("k1", "k2", "k3").agg(F.min_by("doc_id", "ordinal").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    often = max(1000, docs.count() // 1000 + 1)
+    hot = first.where(F.col("n") >= often).select("k1", "k2", "k3", F.col("first_id").alias("hot_id"))
+    rest = first.where(F.col("n") < often).drop("n")
+    keyed, names = docs.select("*", *key), ["k1", "k2", "k3"]
+    few = keyed.join(F.broadcast(hot.drop("hot_id")), names, "left_anti").join(rest, names, "left")
+    many = keyed.join(F.broadcast(hot.withColumnRenamed("hot_id", "first_id")), names)
+    joined = few.unionByName(many).drop(*names)
     return joined.withColumn("duplicate_of", F.when(F.col("first_id") != F.col("doc_id"), F.col("first_id"))).drop("first_id")
 
 

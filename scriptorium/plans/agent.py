@@ -12,7 +12,7 @@ from ..operators import intent as I
 from ..sources.snapshots import Workspace
 from .knowledge import KnowledgeBase
 
-SEARCH = {"sparse_first": "sparse", "structured_then_policy": "sparse"}
+SEARCH = {"sparse_first": "sparse", "cheap_default": "sparse"}
 
 
 @dataclass
@@ -25,7 +25,7 @@ class Tool:
 #: The tools and their arguments.
 TOOLS = {
     "search_documents": Tool(("query",), {"route": ("sparse", "dense", "hybrid")}),
-    "get_runbook_steps": Tool(("environment", "procedure_name"), {"environment": ("staging", "production")}),
+    "get_runbook_steps": Tool(("environment", "procedure_name"), {"environment": ("sandbox", "staging", "production")}),
     "lookup_service_centers": Tool(("region", "model")),
     "get_document_metadata": Tool(("doc_id",)),
     "submit_ticket_update": Tool(("ticket_id", "note"), read_only=False),
@@ -54,7 +54,7 @@ class Tools:
             return {"status": "validation_error", "payload": {}, "error": error}
         blocked = not TOOLS[name].read_only and not approved or arguments.get("disclosure", "public") == "internal" and role == "external"
         if blocked:
-            return {"status": "permission_denied", "payload": {}, "error": "Governance policy blocked the tool call."}
+            return {"status": "permission_denied", "payload": {}, "error": "The policy does not allow this call."}
         return getattr(self, f"_{name}")(arguments, role)
 
     def _search_documents(self, a: dict, role: str) -> dict:
@@ -66,7 +66,7 @@ class Tools:
     def _get_runbook_steps(self, a: dict, role: str) -> dict:
         t = self.kb.structured("runbooks").where((F.col("environment") == a["environment"]) & F.lower("procedure_name").contains(str(a["procedure_name"]).lower()))
         rows = t.orderBy("procedure_name").limit(1).collect()
-        return {"status": "ok", "payload": rows[0].asDict(), "error": None} if rows else {"status": "not_found", "payload": {}, "error": "No matching runbook procedure was found."}
+        return {"status": "ok", "payload": rows[0].asDict(), "error": None} if rows else {"status": "not_found", "payload": {}, "error": "No such procedure in this environment."}
 
     def _lookup_service_centers(self, a: dict, role: str) -> dict:
         t = self.kb.structured("service_centers").where((F.col("region") == a["region"]) & F.array_contains("models", a["model"]))
@@ -76,7 +76,7 @@ class Tools:
 
     def _get_document_metadata(self, a: dict, role: str) -> dict:
         rows = self.kb.table("documents").where(F.col("doc_id") == str(a["doc_id"])).select("doc_id", "title", "doc_type", "effective_date", "authority", "status", "disclosure", "references").limit(1).collect()
-        return {"status": "ok", "payload": rows[0].asDict(), "error": None} if rows else {"status": "not_found", "payload": {}, "error": "Unknown document ID."}
+        return {"status": "ok", "payload": rows[0].asDict(), "error": None} if rows else {"status": "not_found", "payload": {}, "error": "There is no such document."}
 
     def _submit_ticket_update(self, a: dict, role: str) -> dict:
         return {"status": "blocked", "payload": dict(a), "error": "Side effects are not carried out."}
@@ -95,9 +95,13 @@ def run(query: str, kb: KnowledgeBase, ws: Workspace, role: str = "field_support
             if k in remembered:
                 base = base.withColumn(k, F.coalesce(k, F.lit(remembered[k])))
         seen = base.select("*", I.route(F.col("task_type"), F.col("identifiers"), F.lit(high_stakes), F.col("normalized")).alias("route"), I.plan(F.col("task_type"), F.col("missing_scope")).alias("plan")).first().asDict(recursive=True)
+        # Filters that the query does not name are searched for, too.
+        named = I.search_text(F.col("normalized"), *(F.lit((assumptions or {}).get(k) or seen[k]).cast("string") for k in ("region", "product", "disclosure")))
+        base = base.withColumn("normalized", named)
         route, out = seen["route"], {"query": query, "plan": seen["plan"], "trace_id": trace.id, "steps": [], "structured": [], "notes": []}
-        if seen["missing_scope"] and not assumptions:
-            ask = f"More scope is required before answering reliably: {', '.join(seen['missing_scope'])}."
+        missing = [k for k in seen["missing_scope"] if not (assumptions or {}).get(k)]
+        if missing:
+            ask = f"{fixed.ASK_SCOPE}{', '.join(missing)}."
             options = f" Options: {', '.join(seen['ambiguous_options'])}." if seen["ambiguous_options"] else ""
             return out | {"status": "clarify", "answer_text": ask + options, "clarification": ask + options}
         base = base.withColumn("missing_scope", F.array().cast("array<string>"))
@@ -105,9 +109,12 @@ def run(query: str, kb: KnowledgeBase, ws: Workspace, role: str = "field_support
             with trace.span("structured_lookup"):
                 place = seen["region"] or (region if region != "global" else "EU")
                 out["structured"] = tools.execute("lookup_service_centers", {"region": place, "model": seen["product"] or "V14"}, role)["payload"].get("rows", [])
-        if seen["task_type"] == "procedural" and "rollback" in query.lower():
+        if seen["task_type"] == "procedural":
             with trace.span("tool_lookup"):
-                out["structured"] = [tools.execute("get_runbook_steps", {"environment": "production" if "production" in query.lower() else "staging", "procedure_name": "rotation"}, role)["payload"]]
+                low = query.lower()
+                place = next((e for e in ("production", "staging") if e in low), "sandbox")
+                found = tools.execute("get_runbook_steps", {"environment": place, "procedure_name": "rotation"}, role)
+                out["structured"] = [found["payload"]] if found["status"] == "ok" else []
         for step in range(fixed.MAX_STEPS):
             with trace.span("retrieve", route=route, step=step) as span:
                 hits = kb.retrieve(base, SEARCH.get(route, "hybrid"), 5 if route == "structured_then_policy" else fixed.TOP_K).persist()
@@ -122,7 +129,7 @@ def run(query: str, kb: KnowledgeBase, ws: Workspace, role: str = "field_support
                 continue
             break
         if not rows:
-            return out | {"status": "escalate", "answer_text": "I could not find supporting material in the current snapshot.", "escalation": "no evidence"}
+            return out | {"status": "escalate", "answer_text": fixed.NO_EVIDENCE, "escalation": "no evidence"}
         pairs: dict[tuple, set] = {}
         for r in rows:
             pairs.setdefault((r.product, r.region), set()).add(r.status)

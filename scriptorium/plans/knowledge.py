@@ -40,11 +40,12 @@ def index(spark: SparkSession, ws: Workspace) -> dict:
     """Stages the indexes: postings sorted by term, term counts, corpus statistics, vectors."""
     chunks = spark.read.parquet(ws.path("staged", "chunks"))
     i = search.bm25_index(chunks)
-    i.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(ws.path("staged", "postings"))
+    i.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(ws.path("staged", "postings"))
     i.terms.write.mode("overwrite").parquet(ws.path("staged", "terms"))
     i.stats.write.mode("overwrite").parquet(ws.path("staged", "stats"))
     text = chunks.select("chunk_id", F.concat_ws(" ", "title", "text").alias("text"))
     search.hash_embed(text, "chunk_id").write.mode("overwrite").parquet(ws.path("staged", "vectors"))
+    search.lsh_buckets(spark.read.parquet(ws.path("staged", "vectors")), "chunk_id", search.planes()).write.mode("overwrite").parquet(ws.path("staged", "buckets"))
     summary = files.read_json(spark, ws.path("staged", "manifest.json")) | {"index_summary": {"terms": spark.read.parquet(ws.path("staged", "terms")).count(), "vectors": spark.read.parquet(ws.path("staged", "vectors")).count()}}
     files.write_json(spark, ws.path("staged", "manifest.json"), summary)
     return summary
@@ -73,12 +74,12 @@ class KnowledgeBase:
         i = intent.with_user_note(intent.infer(queries), F.coalesce("user_region", F.lit("global")))
         return i.withColumn("allowed", policy.disclosures_of("role"))
 
-    def retrieve(self, intents: DataFrame, route: str = "hybrid", k: int = fixed.TOP_K, m: int = fixed.TOP_M, use_ann: bool = True, strict_roles: bool = False) -> DataFrame:
+    def retrieve(self, intents: DataFrame, route: str = "hybrid", k: int = fixed.TOP_K, m: int = fixed.TOP_M, use_ann: bool = False, strict_roles: bool = False) -> DataFrame:
         """Reranked hits with their chunks' fields."""
         chunks = self.table("chunks")
         visible = retrieval.eligibility(intents, chunks, strict_roles)
         i = search.BM25(self.table("postings"), self.table("terms"), self.table("stats"))
-        found = retrieval.first_pass(intents, chunks, i, self.table("vectors"), self.planes, visible, route, k or fixed.TOP_K, use_ann)
+        found = retrieval.first_pass(intents, chunks, i, self.table("vectors"), self.planes, visible, route, k or fixed.TOP_K, use_ann, self.table("buckets") if use_ann else None)
         q = intents.select("query_id", F.col("tokens").alias("q_tokens"), F.col("identifiers").alias("q_identifiers"), F.col("product").alias("q_product"), F.col("region").alias("q_region"))
         return retrieval.rerank(found.join(chunks, "chunk_id").join(F.broadcast(q), "query_id"), m or fixed.TOP_M)  # a stated query set
 

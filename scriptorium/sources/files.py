@@ -83,9 +83,12 @@ def write_json(spark: SparkSession, path: str, payload) -> None:
     out = f.create(tmp, True)
     out.write(bytearray(json.dumps(payload, sort_keys=True, indent=2, ensure_ascii=False).encode()))
     out.close()
-    if f.exists(p):
-        f.delete(p, False)
-    f.rename(tmp, p)
+    jvm = spark.sparkContext._jvm
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    # In one step, so that a reader finds the old file or the new one.
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(tmp, p, over)
 
 
 def read_json(spark: SparkSession, path: str, default=None):

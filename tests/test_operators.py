@@ -138,3 +138,30 @@ def test_memory(spark):
     i = spark.createDataFrame([("s", None, "EU"), ("u", None, None)], "session_id string, product string, region string")
     assert {(r.session_id, r.product, r.region) for r in memory.apply_to(i, m).collect()} == {("s", "X12", "EU"), ("u", None, None)}
     assert memory.upsert(m, spark.createDataFrame([("t", "region", "PL", 9)], m.schema)).count() == 2
+
+
+def test_rules_reach_every_branch(spark):
+    """The fixtures of the registered rule queries are not all alike in any column."""
+    from scriptorium import rules
+
+    d = "/root/testdata/sf0.001"
+    texts = rules.text_rules(spark, d).collect()
+    assert len({r.trust for r in texts}) > 3 and len({r.quality for r in texts}) > 3 and len({r.reason for r in texts}) > 4 and {r.kept for r in texts} == {True, False}
+    asked = rules.question_rules(spark, d).collect()
+    assert {r.route for r in asked} == {"structured_then_policy", "sparse_first", "hybrid_plus_careful", "cheap_default"}
+    assert {r.task_type for r in asked} == {"comparison", "procedural", "structured", "multi_hop", "lookup"} and len({r.plan for r in asked}) == 6
+    for c in ("region", "product", "disclosure", "after_date", "expansions", "ambiguous_options", "missing_scope", "subqueries", "notes"):
+        assert len({r[c] for r in asked}) > 1
+
+
+def test_ann_recall(spark):
+    from scriptorium import catalog
+
+    r = catalog.queries()["ann_recall"](spark, "/root/testdata/sf0.01").first()
+    assert r.recall >= 0.9 and r.wanted == 250
+
+
+def test_equal_texts_of_a_hot_class(spark):
+    rows = [(i, "T", "p", "same" if i % 3 else f"t{i}", i) for i in range(4500)]
+    got = documents.exact_duplicates(spark.createDataFrame(rows, "doc_id int, title string, product string, text string, ordinal int")).collect()
+    assert len(got) == 4500 and {r.doc_id: r.duplicate_of for r in got} == {i: 1 if i % 3 and i > 1 else None for i in range(4500)}
