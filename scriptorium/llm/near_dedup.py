@@ -141,12 +141,13 @@ def _keys(nodes: DataFrame, shift: int = 0, diagonal: bool = False) -> DataFrame
     return out.where("a is not null and b is not null").select(F.xxhash64("a", "b").alias("key"), "node", "label", "n_shingles")
 
 
-def _star_pairs(keys: DataFrame, seed: int, num: int, den: int) -> DataFrame:
-    """Candidates (a, b): the members of a bucket in other components than its centre, drawn by seed."""
+def _star_pairs(keys: DataFrame, seed: int, num: int, den: int) -> tuple[DataFrame, Table]:
+    """Candidates (a, b): the members of a bucket in other components than its centre, drawn by seed; and the written
+    table of centres: a join with a table, not with an aggregate in the same stage, can be split where a key is hot."""
     draw = F.struct(F.xxhash64("node", F.lit(seed)).alias("o"), F.col("node"), F.col("label"), F.col("n_shingles"))
     per = keys.groupBy("key").agg(F.min(draw).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    pairs = keys.join(per.select("key", F.col("c.node").alias("c"), F.col("c.label").alias("cl"), F.col("c.n_shingles").alias("cn")), "key").where("label <> cl")
-    return _fitting(pairs, num, den)
+    centres = keep(per.select("key", F.col("c.node").alias("c"), F.col("c.label").alias("cl"), F.col("c.n_shingles").alias("cn")), "centres")
+    return _fitting(keys.join(centres.df, "key").where("label <> cl"), num, den), centres
 
 
 def _fitting(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -217,7 +218,9 @@ def link_classes(live: Table, sets: DataFrame, num: int, den: int, deep_rounds:
         if exact:
             pairs = keep(_prefix_pairs(nodes, sets, num, den), "pairs")
         else:
-            pairs = keep(_star_pairs(_keys(nodes, max(0, round_ - 1), diagonal=round_ == 0), round_, num, den), "pairs")
+            candidates, centres = _star_pairs(_keys(nodes, max(0, round_ - 1), diagonal=round_ == 0), round_, num, den)
+            pairs = keep(candidates, "pairs")
+            centres.drop()
         found = keep(_verified(pairs.df, sets, num, den), "found")
         pairs.drop()
         if not found.df.isEmpty():
