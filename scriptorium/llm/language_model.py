@@ -158,10 +158,11 @@ def flat(p: dict) -> np.ndarray:
 
 
 def unflat(v: np.ndarray, classes: Classes) -> dict[str, np.ndarray]:
+    """The parameters as parts of a vector of 32-bit numbers."""
     out, at = {}, 0
     for k, s in shapes(classes).items():
         n = int(np.prod(s))
-        out[k] = v[at : at + n].reshape(s).astype(np.float32)
+        out[k] = v[at : at + n].reshape(s)
         at += n
     return out
 
@@ -169,89 +170,140 @@ def unflat(v: np.ndarray, classes: Classes) -> dict[str, np.ndarray]:
 _EARLIER = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
+def _row_sums(z: np.ndarray) -> np.ndarray:
+    return z @ np.ones(z.shape[1], np.float32)
+
+
+def _exp(z: np.ndarray) -> np.ndarray:
+    """exp of z in place, each row up to a factor, which only rows of wide range need."""
+    if max(float(z.max(initial=0)), -float(z.min(initial=0))) > 60:
+        z -= z.max(axis=1, keepdims=True)
+    return np.exp(z, out=z)
+
+
+def _three(p: dict) -> np.ndarray:
+    """Side by side, what makes queries, which are scaled, keys and values."""
+    return np.hstack([p["Q"] * np.float32(1 / np.sqrt(WIDTH)), p["K"], p["V"]])
+
+
 def attend(p: dict, x: np.ndarray):
-    """Hidden states of windows x (n, WINDOW) of units: batched masked attention and the hidden layer."""
-    h0 = p["E"][x] + p["P"]
-    q, k, v = h0 @ (p["Q"] * np.float32(1 / np.sqrt(WIDTH))), h0 @ p["K"], h0 @ p["V"]
+    """Hidden states of windows x (n, WINDOW) of units, a row a place: batched masked attention and the hidden layer."""
+    n, w = x.shape
+    h0 = np.take(p["E"], x, axis=0)
+    h0 += p["P"]
+    h0 = h0.reshape(n * w, -1)
+    q, k, v = np.split((h0 @ _three(p)).reshape(n, w, -1), 3, axis=2)
     s = q @ k.transpose(0, 2, 1)
     if max(float(s.max()), -float(s.min())) > 60:
         s -= np.where(_EARLIER > 0, s, -np.inf).max(axis=2, keepdims=True)
         np.minimum(s, 60, out=s)
     np.exp(s, out=s)
     s *= _EARLIER
-    s /= s.sum(axis=2, keepdims=True)
-    c = s @ v
-    h1 = h0 + c @ p["O"]
-    m = np.maximum(h1 @ p["A"] + p["a"], 0)
-    return h1 + m @ p["B"], (h0, q, k, v, s, c, h1, m)
+    s /= _row_sums(s.reshape(n * w, w)).reshape(n, w, 1)
+    c = (s @ v).reshape(n * w, -1)
+    h1 = c @ p["O"]
+    h1 += h0
+    m = h1 @ p["A"]
+    m += p["a"]
+    np.maximum(m, 0, out=m)
+    h2 = m @ p["B"]
+    h2 += h1
+    return h2, (h0, q, k, v, s, c, h1, m)
 
 
 def _own_log(z: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log softmax of each row of z at its target; z is overwritten."""
-    z -= z.max(axis=1, keepdims=True)
-    own = z[np.arange(len(z)), target]
-    np.exp(z, out=z)
-    return own - np.log(z.sum(axis=1))
+    own = np.arange(len(z)) * z.shape[1] + target
+    z = _exp(z)
+    return np.log(np.maximum(z.reshape(-1)[own], np.float32(1e-37)) / _row_sums(z))
+
 
+def _sorted(group: np.ndarray, groups: int) -> tuple[np.ndarray, list[int]]:
+    """The rows by group, and where each group begins and ends among them."""
+    return np.argsort(group.astype(np.int16), kind="stable"), [0, *np.cumsum(np.bincount(group, minlength=groups)).tolist()]
 
-def _by_group(group: np.ndarray):
-    order = np.argsort(group.astype(np.int16), kind="stable")
-    found, first = np.unique(group[order], return_index=True)
-    return zip(found.tolist(), np.split(order, first[1:]))
+
+def _within(h: np.ndarray, p: dict, bounds: list[int]) -> np.ndarray:
+    """Values of the places within the group of each row of h, which is in the order of the groups."""
+    z = np.empty((len(h), GROUP), h.dtype)
+    for g, (i, j) in enumerate(zip(bounds, bounds[1:])):
+        if j > i:
+            np.matmul(h[i:j], p["T"][g], out=z[i:j])
+            z[i:j] += p["t"][g]
+    return z
 
 
 def log_softmax(h: np.ndarray, p: dict, target: np.ndarray) -> np.ndarray:
-    """log probability of the target classes: of their group, then within it, group by group."""
+    """log probability of the target classes: of their group, then within it."""
     group, within = target // GROUP, target % GROUP
-    out = _own_log(h @ p["U"] + p["b"], group)
-    for g, rows in _by_group(group):
-        out[rows] += _own_log(h[rows] @ p["T"][g] + p["t"][g], within[rows])
+    z = h @ p["U"]
+    z += p["b"]
+    out = _own_log(z, group)
+    order, bounds = _sorted(group, len(p["T"]))
+    out[order] += _own_log(_within(np.take(h, order, axis=0), p, bounds), within[order])
     return out
 
 
-def gradients(p: dict, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> dict:
-    """Of the mean cross-entropy over masked places."""
+def gradients(p: dict, x: np.ndarray, y: np.ndarray, mask: np.ndarray, g: dict) -> None:
+    """Of the mean cross-entropy over masked places, into the arrays of g."""
+    n, w = x.shape
     h2, (h0, q, k, v, s, c, h1, m) = attend(p, x)
-    n, w, d = h0.shape
-    flat_ = lambda t: t.reshape(n * w, -1)
     at = np.flatnonzero(mask.reshape(-1))
-    h, target = flat_(h2)[at], y.reshape(-1)[at]
-    group, within, share = target // GROUP, target % GROUP, np.float32(1 / max(1, len(at)))
+    target = y.reshape(-1)[at]
+    # The places in the order of their groups from here on.
+    order, bounds = _sorted(target // GROUP, len(p["T"]))
+    at, target = at[order], target[order]
+    h, share = np.take(h2, at, axis=0), np.float32(1 / max(1, len(at)))
 
     def soft(z: np.ndarray, own: np.ndarray) -> np.ndarray:
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(len(z)), own] -= 1
-        z *= share
+        z = _exp(z)
+        z *= (share / _row_sums(z))[:, None]
+        z.reshape(-1)[np.arange(len(z)) * z.shape[1] + own] -= share
         return z
 
-    z = soft(h @ p["U"] + p["b"], group)
-    g = {"U": h.T @ z, "b": z.sum(axis=0), "T": np.zeros_like(p["T"]), "t": np.zeros_like(p["t"])}
+    z = h @ p["U"]
+    z += p["b"]
+    z = soft(z, target // GROUP)
+    g["U"][:], g["b"][:] = h.T @ z, z.sum(axis=0)
     dh = z @ p["U"].T
-    for k_, rows in _by_group(group):
-        z = soft(h[rows] @ p["T"][k_] + p["t"][k_], within[rows])
-        g["T"][k_], g["t"][k_] = h[rows].T @ z, z.sum(axis=0)
-        dh[rows] += z @ p["T"][k_].T
+    z = soft(_within(h, p, bounds), target % GROUP)
+    for k_, (i, j) in enumerate(zip(bounds, bounds[1:])):
+        if j > i:
+            np.matmul(h[i:j].T, z[i:j], out=g["T"][k_])
+            np.matmul(np.ones(j - i, np.float32), z[i:j], out=g["t"][k_])
+            dh[i:j] += z[i:j] @ p["T"][k_].T
+        else:
+            g["T"][k_], g["t"][k_] = 0, 0
     dh2 = np.zeros_like(h2)
-    flat_(dh2)[at] = dh
-    dm = (dh2 @ p["B"].T) * (m > 0)
-    g["B"], g["A"], g["a"] = flat_(m).T @ flat_(dh2), flat_(h1).T @ flat_(dm), flat_(dm).sum(axis=0)
-    dh1 = dh2 + dm @ p["A"].T
-    g["O"] = flat_(c).T @ flat_(dh1)
-    dc = dh1 @ p["O"].T
-    dv, ds = s.transpose(0, 2, 1) @ dc, dc @ v.transpose(0, 2, 1)
-    ds = s * (ds - (ds * s).sum(axis=2, keepdims=True))
-    # q holds the scaled projection.
-    dq, dk = ds @ k * np.float32(1 / np.sqrt(d)), ds.transpose(0, 2, 1) @ q
-    g["Q"], g["K"], g["V"] = (flat_(h0).T @ flat_(t) for t in (dq, dk, dv))
-    dh0 = dh1 + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
-    g["P"] = dh0.sum(axis=0)
-    g["E"] = np.zeros_like(p["E"])
-    order = np.argsort(x.reshape(-1).astype(np.int16), kind="stable")
-    units, first = np.unique(x.reshape(-1)[order], return_index=True)
-    g["E"][units] = np.add.reduceat(flat_(dh0)[order], first, axis=0)
-    return g
+    dh2[at] = dh
+    dm = dh2 @ p["B"].T
+    dm *= m > 0
+    g["B"][:], g["A"][:], g["a"][:] = m.T @ dh2, h1.T @ dm, dm.sum(axis=0)
+    dh1 = dm @ p["A"].T
+    dh1 += dh2
+    g["O"][:] = c.T @ dh1
+    dc = (dh1 @ p["O"].T).reshape(n, w, -1)
+    made = np.empty((n, w, 3 * WIDTH), h0.dtype)
+    dq, dk, dv = np.split(made, 3, axis=2)
+    np.matmul(s.transpose(0, 2, 1), dc, out=dv)
+    ds = dc @ v.transpose(0, 2, 1)
+    ds -= _row_sums((ds * s).reshape(n * w, w)).reshape(n, w, 1)
+    ds *= s
+    # The scale of the queries is in q, and is put on their weights' gradient.
+    np.matmul(ds, k, out=dq)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dk)
+    made = made.reshape(n * w, -1)
+    g["Q"][:], g["K"][:], g["V"][:] = np.split(h0.T @ made, 3, axis=1)
+    g["Q"] *= np.float32(1 / np.sqrt(WIDTH))
+    dh0 = dh1
+    dh0 += made @ _three(p).T
+    g["P"][:] = dh0.reshape(n, -1).sum(axis=0).reshape(w, -1)
+    g["E"][:] = 0
+    units = x.reshape(-1)
+    order = np.argsort(units.astype(np.int16), kind="stable")
+    units = units[order]
+    first = np.flatnonzero(np.append(True, units[1:] != units[:-1]))
+    g["E"][units[first]] = np.add.reduceat(np.take(dh0, order, axis=0), first, axis=0)
 
 
 def windows(inputs: np.ndarray, bounds: np.ndarray):
@@ -271,23 +323,33 @@ def windows(inputs: np.ndarray, bounds: np.ndarray):
 class Adam:
     """Steps over shuffled batches of windows; the moments stay from one call to the next."""
 
-    def __init__(self, p: dict, seed: int, learn: float = LEARN):
-        self.p, self.rng, self.learn, self.t = p, np.random.default_rng(seed), learn, 0
-        self.mean, self.square = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
+    def __init__(self, vector: np.ndarray, classes: Classes, seed: int, learn: float = LEARN):
+        self.rng, self.learn, self.t = np.random.default_rng(seed), learn, 0
+        self.vector, self.g, self.mean, self.square = vector.astype(np.float32), *(np.zeros(len(vector), np.float32) for _ in range(3))
+        self.views, self.g_views = unflat(self.vector, classes), unflat(self.g, classes)
 
     def train(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, epochs: int = 1, fall: float = 0.0) -> None:
         """The rate falls by the share fall over these steps."""
-        p, mean, square, done, total = self.p, self.mean, self.square, 0, epochs * -(-len(x) // BATCH)
+        g, mean, square, done, total = self.g, self.mean, self.square, 0, epochs * -(-len(x) // BATCH)
         for _ in range(epochs):
             order = self.rng.permutation(len(x))
             for i in range(0, len(order), BATCH):
                 take = order[i : i + BATCH]
                 self.t, done = self.t + 1, done + 1
                 rate = self.learn * (1 - fall * done / total)
-                for k, g in gradients(p, x[take].astype(np.int64), y[take].astype(np.int64), mask[take]).items():
-                    mean[k] += 0.1 * (g - mean[k])
-                    square[k] += 0.01 * (g * g - square[k])
-                    p[k] = p[k] - np.float32(rate) * (mean[k] / np.float32(1 - 0.9**self.t)) / (np.sqrt(square[k] / np.float32(1 - 0.99**self.t)) + np.float32(1e-6))
+                gradients(self.views, x[take].astype(np.int64), y[take].astype(np.int64), mask[take], self.g_views)
+                # Moments are kept as sums that fall by a tenth and a hundredth a step.
+                mean *= np.float32(0.9)
+                mean += g
+                g *= g
+                square *= np.float32(0.99)
+                square += g
+                np.multiply(square, np.float32(0.01 / (1 - 0.99**self.t)), out=g)
+                np.sqrt(g, out=g)
+                g += np.float32(1e-6)
+                np.divide(mean, g, out=g)
+                g *= np.float32(rate * 0.1 / (1 - 0.9**self.t))
+                self.vector -= g
 
 
 class Encoded:
@@ -329,7 +391,7 @@ def _train(head_, shared, path: str, end_id: int, seed: int, learn: float, steps
 
     def run(batches):
         head, (classes, v) = head_.value, shared.value
-        adam, held, weight = Adam(unflat(v, classes), seed, learn), [], 0.0
+        adam, held, weight = Adam(v, classes, seed, learn), [], 0.0
 
         def flush() -> float:
             x, y, mask = (np.concatenate(parts) for parts in zip(*held))
@@ -353,7 +415,7 @@ def _train(head_, shared, path: str, end_id: int, seed: int, learn: float, steps
         if held:
             weight += flush()
         if weight:
-            yield _as_blocks(np.append(flat(adam.p).astype(np.float64) * weight, weight))
+            yield _as_blocks(np.append(adam.vector.astype(np.float64) * weight, weight))
 
     return run
 
@@ -414,7 +476,7 @@ def score_ids(p: dict, classes: Classes, e: Encoded, batch: int = 512) -> np.nda
         w, m = at[i : i + batch], scored[i : i + batch]
         h, _ = attend(p, x[w])
         places = w[m]
-        out[places] += log_softmax(h[m], p, target[places]) * np.float32(1 / np.log(10))
+        out[places] += log_softmax(np.take(h, np.flatnonzero(m), axis=0), p, target[places]) * np.float32(1 / np.log(10))
     return out
 
 
