@@ -79,10 +79,14 @@ def _filesystem(spark: SparkSession, path: str):
 
 def scratch_dir(spark: SparkSession) -> str:
     """This application's folder below spark.checkpoint.dir, which driver and executors share. Where
-    that is unset, as in tests on one machine, a temporary folder. It goes when Python ends."""
+    that is unset, as in tests on one machine, a temporary folder; on a cluster that is an error. It goes when Python ends."""
     app = spark.sparkContext.applicationId
     if app not in _scratch:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scratch-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            base = tempfile.mkdtemp(prefix="scratch-")
         _scratch[app] = f"{base.rstrip('/')}/tables-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_clean, spark, _scratch[app])
     return _scratch[app]
