@@ -72,3 +72,4 @@ MANY_CONFLICTS = "Multiple conflicting sources remain unresolved; a human review
 LEAD, COMPARISON_LEAD = "Grounded answer for: ", "Grounded comparison for: "
 NEWEST, OLDER, SOURCES = "Newest evidence: ", "Older baseline: ", "Primary sources: "
 LOW_SUPPORT = "support below threshold"
+CENTERS_FOUND, STEPS_FOUND = "Structured lookup found service centers: %s. ", " Tool lookup found current %s steps: %s."

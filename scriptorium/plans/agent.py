@@ -105,16 +105,28 @@ def run(query: str, kb: KnowledgeBase, ws: Workspace, role: str = "field_support
             options = f" Options: {', '.join(seen['ambiguous_options'])}." if seen["ambiguous_options"] else ""
             return out | {"status": "clarify", "answer_text": ask + options, "clarification": ask + options}
         base = base.withColumn("missing_scope", F.array().cast("array<string>"))
+        learned, before, behind = [(k, seen[k], "query", "session", 1.0) for k in ("product", "region") if seen[k]], "", ""
         if seen["task_type"] == "structured":
             with trace.span("structured_lookup"):
                 place = seen["region"] or (region if region != "global" else "EU")
                 out["structured"] = tools.execute("lookup_service_centers", {"region": place, "model": seen["product"] or "V14"}, role)["payload"].get("rows", [])
+            if out["structured"]:
+                before = fixed.CENTERS_FOUND % ", ".join(r["name"] for r in out["structured"])
+                # The policy is looked for by the first centre's programme, in the region that was looked up.
+                if programs := out["structured"][0]["warranty_programs"]:
+                    base = base.withColumn("normalized", F.concat("normalized", F.lit(f" warranty program {programs[0]}")))
+                    learned.append(("warranty_program", programs[0], "structured_tool", "task", 0.95))
+                base = base.withColumn("region", F.coalesce("region", F.lit(place)))
         if seen["task_type"] == "procedural":
             with trace.span("tool_lookup"):
                 low = query.lower()
                 place = next((e for e in ("production", "staging") if e in low), "sandbox")
                 found = tools.execute("get_runbook_steps", {"environment": place, "procedure_name": "rotation"}, role)
                 out["structured"] = [found["payload"]] if found["status"] == "ok" else []
+                if out["structured"]:
+                    lines = "; ".join(found["payload"]["steps"][:3])
+                    behind = fixed.STEPS_FOUND % (place, lines)
+                    learned.append(("runbook_steps", lines, "tool:get_runbook_steps", "task", 0.95))
         for step in range(fixed.MAX_STEPS):
             with trace.span("retrieve", route=route, step=step) as span:
                 hits = kb.retrieve(base, SEARCH.get(route, "hybrid"), 5 if route == "structured_then_policy" else fixed.TOP_K).persist()
@@ -145,5 +157,5 @@ def run(query: str, kb: KnowledgeBase, ws: Workspace, role: str = "field_support
             if role == "distributor_support":
                 out["notes"].append("policy guard: only partner-shareable evidence was used")
         if session_id:
-            ws.save_memory(session_id, [(k, seen[k], "query", "session", 1.0) for k in ("product", "region") if seen[k]])
-        return out | {"status": "answer", **a}
+            ws.save_memory(session_id, learned)
+        return out | {"status": "answer", **a, "answer_text": before + a["answer_text"] + behind}

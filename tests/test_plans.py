@@ -74,7 +74,7 @@ def test_answer_and_agent(spark, ws):
     assert got["status"] == "answer" and "0.48" in got["answer_text"] and ws.load_memory("s1")["product"] == "V14"
     assert agent.run("Which warranty applies?", kb, ws)["status"] == "clarify"
     centres = agent.run("Which EU service centers handle V14?", kb, ws)
-    assert [c["city"] for c in centres["structured"]] == ["Lund"]
+    assert [c["city"] for c in centres["structured"]] == ["Lund"] and centres["answer_text"].startswith(f"Structured lookup found service centers: {centres['structured'][0]['name']}. ")
     assert {"retrieve", "synthesize"} <= {r["name"] for r in trace_summary(ws.spans(got["trace_id"])).collect()}
     follow = kb.follow(kb.intents(kb.queries([("a", "x", "field_support", "EU", False)])), kb.table("chunks").where("doc_id = 'SB-20'").withColumn("query_id", F.lit("a")))
     assert {r.chunk_id.split(":")[0] for r in follow.collect()} == {"SB-10"}
