@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fingerprint, html_text, language_model, line_dedup, near_dedup, phrases, quality, sharding, token_store
+from . import bpe, decontaminate, fingerprint, html_text, language_model, line_dedup, near_dedup, packing, phrases, quality, sharding, token_store
 
 _MODULES = {
     "op1_minhash_near_dedup": near_dedup,
@@ -16,6 +16,7 @@ _MODULES = {
     "op9_benchmark_decontamination": decontaminate,
     "op10_quality_classifier": quality,
     "op11_phrase_collocations": phrases,
+    "op12_histogram_packing": packing,
 }
 
 
