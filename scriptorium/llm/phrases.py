@@ -2,20 +2,20 @@
 
 Frequent phrases are named level by level, and only names travel:
 
-1. Words. Texts are cut into blocks of some megabytes. A block's words become numbers of its own dictionary,
-   whose rows (number, lang, word, count) are summed over all blocks. A word with LEAST occurrences in its
-   language gets an id, which is joined back to the dictionaries.
-2. Level k. In a block, where two (k-1)-grams with ids stand one word apart, their pair is a k-gram; pairs
-   are numbered by a dictionary of the block again, summed, named and joined back. No k-gram is frequent
-   unless both of the pair are, so nothing is lost, and what is left shrinks with each level.
+1. Words are counted by language; a word with LEAST occurrences gets an id. Texts are then kept as blocks: in
+   each a sequence of numbers of the block's own words with ids, 0 where a piece ends or a word has none.
+2. Level k. In a block, where two (k-1)-grams with ids stand one word apart, their pair of ids is a k-gram.
+   Pairs are counted in each task, summed over all, named, and their ids joined back to the blocks, whose
+   sequences are then those of k-grams. No k-gram is frequent unless both of its pair are, so nothing is
+   lost, and what is left shrinks with each level.
 3. A k-gram's pair of ids points to its parents, its first and its last k-1 words. Following them gives the
    counts of all its beginnings and endings, so of both sides of every cut, and the phrases that a longer one
    covers: a phrase inside a longer one with a given count is inside one that is a single word longer, with
    at least that count.
 
-Dictionaries are joined to the ids by key; the ids are sent to all tasks only where a count of them is within
-BROADCAST_ROWS (and BROADCAST_BYTES for words). Sums are partial in each block, so a hot word or pair shuffles
-one row a block.
+Ids are joined back in the tasks, by a table of at most BROADCAST_ROWS names of 24 bytes; where a level has more
+names, each block sends its distinct keys to a join by key and gets their ids back. Sums are partial in each
+task, so a hot word or pair shuffles one row a task.
 
 Defined cases. A null or empty text has no words, a null lang is `und`. Repeated rows count each. Words are of
 any length and never cut. Counts, scores and products are whole numbers: a product of two counts has 38
@@ -25,9 +25,12 @@ in UTF-8 byte order. An empty table gives an empty table. Other columns are igno
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,35 +39,18 @@ from . import _kernels as K
 from ._common import Table, keep, lean, prepare
 
 LEAST, LONGEST, TOP, COVERED_PERCENT = 100, 5, 2000, 100
-BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
-#: Bytes of text in a block, about; a single longer text is one block.
-BLOCK = 8 << 20
+BROADCAST_ROWS = 3_000_000
+#: Bytes of text in a block, about; a single longer text is one block. Words a task counts before it sends them.
+BLOCK, FLUSH = 8 << 20, 250_000
 SALTS = 64
 _BETWEEN = b".,;:!?\n\x0b\x0c\r"
 _WORD = np.ones(256, np.uint8)
 _WORD[[*_BETWEEN, *b" \t"]] = 0
 _ENDS_PIECE = np.zeros(256, np.uint8)
 _ENDS_PIECE[list(_BETWEEN)] = 1
-_WORDS = "block long, kind int, seq binary, code int, lang string, word string, n long"
-_PAIRS = "block long, kind int, seq binary, code int, left long, right long, n long"
-
-
-def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, the number of each key among them, and counts."""
-    d = pa.array(keys).dictionary_encode()
-    codes = d.indices.to_numpy()
-    return d.dictionary.to_numpy(), codes, np.bincount(codes, minlength=len(d.dictionary))
-
-
-def _rows(schema: str, block: int, seq: np.ndarray, n: np.ndarray, columns: list[pa.Array]) -> pa.RecordBatch:
-    """One row with the block's sequence (kind 0) and one for each entry of its dictionary (kind 1)."""
-    size = len(n)
-    one = pa.RecordBatch.from_arrays(
-        [pa.array([block] * (size + 1), pa.int64()), pa.array(np.append(0, np.ones(size)).astype(np.int32)), pa.array([seq.astype("<i4").tobytes(), *[None] * size], pa.binary()),
-         pa.array(np.arange(-1, size, dtype=np.int32)), *(pa.concat_arrays([pa.nulls(1, c.type), c]) for c in columns), pa.array(np.append(0, n).astype(np.int64))],
-        names=[x.split()[0] for x in schema.split(", ")],
-    )
-    return one
+#: A block: numbers from 1 on of its distinct keys, 0 for none, as 32-bit integers; and what the numbers stand for.
+_WORDS = "block long, seq binary, lang array<string>, word array<string>"
+_NAMES = "block long, seq binary, ids array<bigint>"
 
 
 def _numbering():
@@ -75,12 +61,22 @@ def _numbering():
         block += 1
 
 
-def _words(batches):
-    """Blocks of texts: words by number, 0 where a piece ends."""
-    number = _numbering()
+# ---- words
+
+
+class _Block(NamedTuple):
+    """Words of some texts: distinct ones, each with its language, counts, and the sequence of their numbers."""
+
+    lang: list[str]
+    word: list[bytes]
+    n: np.ndarray
+    seq: np.ndarray
+
+
+def _word_blocks(batches):
     for batch in batches:
         lang = pc.fill_null(batch.column("lang"), "und").dictionary_encode()
-        lang_of = lang.indices.to_numpy().astype(np.int64)
+        lang_of, names = lang.indices.to_numpy().astype(np.int64), lang.dictionary.to_pylist()
         buf, off = K.buffers(batch.column("text"))
         for i, j in K.chunks(off, BLOCK):
             low = K.LOWER[buf[off[i] : off[j]]]
@@ -88,78 +84,216 @@ def _words(batches):
             if not len(start):
                 continue
             first, word = K.equal_spans(low, start, end)
-            keys, codes, n = _numbered(lang_of[i:j][row] * len(first) + word)
+            keys = pa.array(lang_of[i:j][row] * len(first) + word).dictionary_encode()
+            own, codes = keys.dictionary.to_numpy(), keys.indices.to_numpy()
             ends = np.append(0, np.cumsum(_ENDS_PIECE[low], dtype=np.int64))
             apart = np.flatnonzero((row[1:] != row[:-1]) | (ends[start[1:]] != ends[end[:-1]])) + 1
-            at = first[keys % len(first)]
-            begins, sizes = start[at], end[at] - start[at]
-            upto = np.append(0, np.cumsum(sizes))
-            data = low[np.arange(upto[-1]) + np.repeat(begins - upto[:-1], sizes)]
-            words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
-            langs = lang.dictionary.take(pa.array(keys // len(first))).cast(pa.string())
-            yield _rows(_WORDS, next(number), np.insert(codes + 1, apart, 0), n, [langs, words])
+            at, data = first[own % len(first)], low.tobytes()
+            words = [data[x:y] for x, y in zip(start[at].tolist(), end[at].tolist())]
+            yield _Block([names[k] for k in (own // len(first)).tolist()], words, np.bincount(codes, minlength=len(own)), np.insert(codes + 1, apart, 0))
+
+
+def _count_words(batches):
+    def send(counts):
+        lang, word = zip(*counts)
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array([w.decode() for w in word], pa.string()), pa.array(counts.values(), pa.int64())], names=["lang", "word", "n"])
+
+    counts: dict[tuple[str, bytes], int] = {}
+    for block in _word_blocks(batches):
+        for key, n in zip(zip(block.lang, block.word), block.n.tolist()):
+            counts[key] = counts.get(key, 0) + n
+        if len(counts) >= FLUSH:
+            yield send(counts)
+            counts = {}
+    if counts:
+        yield send(counts)
 
 
-def _pairs(batches):
-    """Blocks of sequences whose numbers have ids, for some: the pairs of neighbours with ids, by number."""
+def _write_words(batches):
     number = _numbering()
+    for block in _word_blocks(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([next(number)]), pa.array([block.seq.astype("<i4").tobytes()], pa.binary()), pa.array([block.lang], pa.list_(pa.string())), pa.array([[w.decode() for w in block.word]], pa.list_(pa.string()))], names=["block", "seq", "lang", "word"])
+
+
+def _digests(lang, word) -> np.ndarray:
+    """128 bits of each word in its language, as two numbers."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(b"%d %s %s" % (len(x), x, w)) for x, w in zip((x.encode() for x in lang), word)), np.uint64).reshape(-1, 2)
+
+
+def _digest_rows(batches):
     for batch in batches:
-        for seq, codes, ids in zip(*(batch.column(c) for c in ("seq", "codes", "ids"))):
-            seq, codes, ids = np.frombuffer(seq.as_buffer(), "<i4"), codes.values.to_numpy(), ids.values.to_numpy()
-            own = np.zeros(int(max(seq.max(initial=0), codes.max(initial=0) + 1)) + 1, np.int64)
-            own[codes + 1] = np.arange(1, len(codes) + 1)
-            seq = own[seq]
-            at = np.flatnonzero((seq[:-1] > 0) & (seq[1:] > 0))
-            if not len(at):
-                continue
-            keys, pair, n = _numbered(seq[at] << 32 | seq[at + 1])
-            out = np.zeros(len(seq) - 1, np.int64)
-            out[at] = pair + 1
-            out = out[(out > 0) | np.append(False, out[:-1] > 0)]  # one 0 where there are more
-            yield _rows(_PAIRS, next(number), out, n, [pa.array(ids[(keys >> 32) - 1]), pa.array(ids[(keys & 0xFFFFFFFF) - 1])])
+        key = _digests(batch.column("lang").to_pylist(), [w.encode() for w in batch.column("word").to_pylist()])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(key[:, k].view(np.int64)) for k in (0, 1))], names=["id", "high", "low"])
+
+
+# ---- names
+
+
+class Names(NamedTuple):
+    """Ids by pairs of numbers: distinct left and right numbers, ascending pairs of their places, and ids."""
+
+    left: np.ndarray
+    right: np.ndarray
+    pair: np.ndarray
+    id: np.ndarray
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The id of each pair, -1 for one without."""
+        if not len(self.pair):
+            return np.full(len(left), -1, np.int64)
+        a, b = (np.minimum(np.searchsorted(x, y), len(x) - 1) for x, y in ((self.left, left), (self.right, right)))
+        pair = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pair, pair), len(self.pair) - 1)
+        return np.where((self.left[a] == left) & (self.right[b] == right) & (self.pair[at] == pair), self.id[at], -1)
+
+
+def _names(rows: DataFrame, left: str, right: str) -> Names:
+    t = rows.toArrow()
+    (a, x), (b, y) = (np.unique(t.column(c).to_numpy(), return_inverse=True) for c in (left, right))
+    pair = x.astype(np.int64) << 32 | y
+    order = np.argsort(pair)
+    return Names(a, b, pair[order], t.column("id").to_numpy()[order])
 
 
-def _named(blocks: Table, key: list[str], least: int, level: int) -> Table:
-    """(id, key, a): the entries of all dictionaries with least occurrences or more. Written, so that ids stay."""
-    sums = blocks.df.where("kind = 1").groupBy(*key).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    return keep(sums.select(F.monotonically_increasing_id().alias("id"), *key, "a"), f"grams{level}")
+def _named(sums: DataFrame, key: list[str], least: int, level: int) -> Table:
+    """(id, key, a): what occurs least times or more. Written, so that ids stay."""
+    return keep(sums.where(F.col("a") >= least).select(F.monotonically_increasing_id().alias("id"), *key, "a"), f"grams{level}")
 
 
-def _joined(blocks: Table, grams: Table, key: list[str], broadcast_rows: int) -> DataFrame:
-    """The blocks with the numbers of their dictionaries that have ids, and these ids."""
-    names = grams.df.select("id", *key)
-    size = names.agg(F.count("*").alias("n"), F.sum(sum((F.octet_length(c) for c in ("lang", "word")), F.lit(0)) if "word" in key else F.lit(0)).alias("b")).first()
-    if size.n <= broadcast_rows and (size.b or 0) <= BROADCAST_BYTES:
-        names = F.broadcast(names)
-    found = blocks.df.where("kind = 1").select("block", "code", *key).join(names, key).groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("of"))
-    both = blocks.df.where("kind = 0").select("block", "seq").join(found, "block")
-    return both.select("seq", F.col("of.code").alias("codes"), F.col("of.id").alias("ids"))
+def _send(block: int, seq: np.ndarray, ids: np.ndarray) -> pa.RecordBatch | None:
+    """The block with only those numbers that have ids (others: -1), or nothing."""
+    known = np.flatnonzero(ids >= 0)
+    if not len(known):
+        return None
+    own = np.zeros(len(ids) + 1, np.int32)
+    own[known + 1] = np.arange(1, len(known) + 1)
+    seq = own[seq]
+    seq = seq[(seq > 0) | np.append(False, seq[:-1] > 0)]  # one 0 where there are more
+    return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([seq.astype("<i4").tobytes()], pa.binary()), pa.array([ids[known]], pa.list_(pa.int64()))], names=["block", "seq", "ids"])
+
+
+def _all(batches):
+    return (b for b in batches if b is not None)
+
+
+def _known_words(names_):
+    def run(batches):
+        names, number = names_.value, _numbering()
+        for block in _word_blocks(batches):
+            key = _digests(block.lang, block.word).view(np.int64)
+            yield _send(next(number), block.seq, names.find(key[:, 0], key[:, 1]))
+
+    return run
+
+
+def _blocks(batch: pa.RecordBatch):
+    for block, seq, ids in zip(*(batch.column(c) for c in ("block", "seq", "ids"))):
+        yield block.as_py(), np.frombuffer(seq.as_buffer(), "<i4").astype(np.int64), ids.values.to_numpy()
+
+
+def _pairs(seq: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of neighbours in a block, as ids, with their counts; and the sequence of their numbers."""
+    at = np.flatnonzero((seq[:-1] > 0) & (seq[1:] > 0))
+    keys, pair, n = np.unique(seq[at] << 32 | seq[at + 1], return_inverse=True, return_counts=True)
+    out = np.zeros(max(len(seq) - 1, 0), np.int64)
+    out[at] = pair + 1
+    return ids[(keys >> 32) - 1], ids[(keys & 0xFFFFFFFF) - 1], n, out
+
+
+def _count_pairs(batches):
+    for batch in batches:
+        for _, seq, ids in _blocks(batch):
+            left, right, n, _ = _pairs(seq, ids)
+            yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(n.astype(np.int64))], names=["left", "right", "n"])
+
+
+def _known_pairs(names_):
+    def run(batches):
+        names = names_.value
+        for batch in batches:
+            for block, seq, ids in _blocks(batch):
+                left, right, _, out = _pairs(seq, ids)
+                yield _send(block, out, names.find(left, right))
+
+    return run
+
+
+# The same for more names than are sent to all tasks: keys go to the names by a join, ids come back by block.
+
+
+def _pair_keys(batches):
+    for batch in batches:
+        for block, seq, ids in _blocks(batch):
+            left, right, *_ = _pairs(seq, ids)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(left), block)), pa.array(np.arange(len(left), dtype=np.int32)), pa.array(left), pa.array(right)], names=["block", "code", "left", "right"])
+
+
+def _found(batches):
+    """Blocks with the numbers of some of their keys (for pairs: with the ids of the level before)."""
+    for batch in batches:
+        pairs = "ids" in batch.schema.names
+        for k, (block, seq) in enumerate(zip(batch.column("block").to_pylist(), batch.column("seq"))):
+            codes, found = (batch.column(c)[k].values.to_numpy() for c in ("codes", "found"))
+            seq = np.frombuffer(seq.as_buffer(), "<i4").astype(np.int64)
+            if pairs:
+                seq = _pairs(seq, batch.column("ids")[k].values.to_numpy())[3]
+            ids = np.full(int(max(seq.max(initial=0), codes.max(initial=0) + 1)), -1, np.int64)
+            ids[codes] = found
+            yield _send(block, seq, ids)
+
+
+def _by_join(blocks: DataFrame, keys: DataFrame, grams: Table, key: list[str]) -> DataFrame:
+    found = keys.join(grams.df.select("id", *key), key).groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("of"))
+    both = blocks.join(found.select("block", F.col("of.code").alias("codes"), F.col("of.id").alias("found")), "block")
+    return both.mapInArrow(lean(lambda batches: _all(_found(batches))), _NAMES)
+
+
+def _word_names(texts: DataFrame, grams: Table, broadcast_rows: int) -> Table:
+    """Blocks of texts with ids of words."""
+    if grams.df.count() <= broadcast_rows:
+        names = _names(grams.df.mapInArrow(_digest_rows, "id long, high long, low long"), "high", "low")
+        known = _known_words(texts.sparkSession.sparkContext.broadcast(names))
+        return keep(texts.mapInArrow(lean(lambda batches: _all(known(batches))), _NAMES), "level1")
+    blocks = keep(texts.mapInArrow(lean(_write_words), _WORDS), "words")
+    keys = blocks.df.select("block", F.posexplode(F.arrays_zip("lang", "word")).alias("code", "key")).select("block", "code", "key.lang", "key.word")
+    out = keep(_by_join(blocks.df.select("block", "seq"), keys, grams, ["lang", "word"]), "level1")
+    blocks.drop()
+    return out
+
+
+def _pair_names(blocks: Table, grams: Table, broadcast_rows: int, level: int) -> Table:
+    """Blocks with ids of pairs, from those with ids of the level before."""
+    if grams.df.count() <= broadcast_rows:
+        known = _known_pairs(blocks.spark.sparkContext.broadcast(_names(grams.df.select("id", "left", "right"), "left", "right")))
+        return keep(blocks.df.mapInArrow(lean(lambda batches: _all(known(batches))), _NAMES), f"level{level}")
+    keys = blocks.df.mapInArrow(lean(_pair_keys), "block long, code int, left long, right long")
+    return keep(_by_join(blocks.df, keys, grams, ["left", "right"]), f"level{level}")
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, broadcast_rows: int = BROADCAST_ROWS) -> tuple[list[DataFrame], DataFrame]:
     """Per level from 1: (id, lang, phrase, a, left, right, pre, suf), the phrases with least occurrences, the ids
     of their parents, and the counts of their first and last 1, 2, ... words; and (lang, n)."""
-    spark = docs.sparkSession
-    prepare(spark)
-    blocks = keep(docs.select("lang", "text").mapInArrow(lean(_words), _WORDS), "words", "kind")
-    totals = keep(blocks.df.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("n")), "totals").df
-    key, levels = ["lang", "word"], []
+    prepare(docs.sparkSession)
+    texts = docs.select("lang", "text")
+    words = keep(texts.mapInArrow(lean(_count_words), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("a")), "words")
+    totals = keep(words.df.groupBy("lang").agg(F.sum("a").alias("n")), "totals").df
+    grams = _named(words.df, ["lang", "word"], least, 1)
+    words.drop()
     none = F.array().cast("array<bigint>")
-    for k in range(1, longest + 1):
-        grams = _named(blocks, key, least, k)
-        if k == 1:
-            level = grams.df.select("id", "lang", F.col("word").alias("phrase"), "a", *(F.lit(None).cast("long").alias(c) for c in ("left", "right")), none.alias("pre"), none.alias("suf"), F.col("word").alias("last"))
-        else:
-            before = levels[-1]
-            first = before.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("p"), F.concat("pre", F.array("a")).alias("pre"))
-            rest = before.select(F.col("id").alias("right"), F.concat("suf", F.array("a")).alias("suf"), "last")
-            level = grams.df.join(first, "left").join(rest, "right").select("id", "lang", F.concat("p", F.lit(" "), "last").alias("phrase"), "a", "left", "right", "pre", "suf", "last")
-            level = keep(level, f"level{k}").df
+    level = grams.df.select("id", "lang", F.col("word").alias("phrase"), "a", *(F.lit(None).cast("long").alias(c) for c in ("left", "right")), none.alias("pre"), none.alias("suf"), F.col("word").alias("last"))
+    levels, blocks = [level], _word_names(texts, grams, broadcast_rows)
+    for k in range(2, longest + 1):
+        sums = blocks.df.mapInArrow(lean(_count_pairs), "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("a"))
+        grams = _named(sums, ["left", "right"], least, k)
+        first = level.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("p"), F.concat("pre", F.array("a")).alias("pre"))
+        rest = level.select(F.col("id").alias("right"), F.concat("suf", F.array("a")).alias("suf"), "last")
+        level = grams.df.join(first, "left").join(rest, "right").select("id", "lang", F.concat("p", F.lit(" "), "last").alias("phrase"), "a", "left", "right", "pre", "suf", "last")
+        level = keep(level, f"phrases{k}").df
         levels.append(level)
         if k < longest:
-            after = keep(_joined(blocks, grams, key, broadcast_rows).mapInArrow(lean(_pairs), _PAIRS), f"pairs{k + 1}", "kind")
+            after = _pair_names(blocks, grams, broadcast_rows, k)
             blocks.drop()
-            blocks, key = after, ["left", "right"]
+            blocks = after
     blocks.drop()
     return [x.drop("last") for x in levels], totals
 
