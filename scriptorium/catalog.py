@@ -74,7 +74,8 @@ def _bench(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return search.bm25_search(_bench(spark, d), search.bm25_index(_chunks(spark, d)), k)
+    q = _bench(spark, d)
+    return search.bm25_search(q, search.bm25_index(_chunks(spark, d), only=search.query_terms(q)), k)
 
 
 # ---- text
@@ -333,7 +334,8 @@ def ann_recall(spark, d):
 f AS (SELECT query_id, chunk_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT query_id, chunk_id, rank FROM x UNION ALL SELECT query_id, chunk_id, rank FROM y) GROUP BY ALL)
 SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM f) WHERE rank <= 16""")
 def rrf_fusion(spark, d):
-    i, q = search.bm25_index(_chunks(spark, d)), _bench(spark, d)
+    q = _bench(spark, d)
+    i = search.bm25_index(_chunks(spark, d), only=search.query_terms(q))
     f = search.fuse(search.bm25_search(q, i, 16), search.bm25_search(q, i, 16, 0.9, 0.0))
     return search.top_k(f, 16).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 

@@ -63,35 +63,77 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     return joined.withColumn("duplicate_of", F.when(F.col("first_id") != F.col("doc_id"), F.col("first_id"))).drop("first_id")
 
 
+def token_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, ordinal, set (distinct tokens of title and text without stop words, sorted), h (its digest)."""
+    tokens = F.array_sort(F.array_except(F.array_distinct(text.tokenize(F.concat_ws(" ", "title", "text"))), F.array(*map(F.lit, fixed.STOPWORDS))))
+    return docs.select("doc_id", "ordinal", tokens.alias("set")).withColumn("h", F.sha2(F.array_join("set", " "), 256))
+
+
+def set_classes(sets: DataFrame) -> DataFrame:
+    """A row per distinct token set: h, first (the least ordinal), first_id, set, n. Copies meet as partial sums."""
+    return sets.groupBy("h").agg(F.min("ordinal").alias("first"), F.min_by("doc_id", "ordinal").alias("first_id"), F.first("set").alias("set")).withColumn("n", F.size("set"))
+
+
+def word_order(classes: DataFrame) -> DataFrame:
+    """(w, df): in how many classes a word is, of those in more than one. Words not in it count as the rarest."""
+    return classes.select(F.explode("set").alias("w")).groupBy("w").agg(F.count("*").alias("df")).where("df > 1")
+
+
+def prefixes(classes: DataFrame, order: DataFrame, threshold: float = fixed.NEAR_DUPLICATE) -> DataFrame:
+    """(w, first, n, r): the n - ceil(threshold n) + 1 rarest words of each class with their places. Two sets that
+    reach the threshold share one of these, whatever the order is, as long as it is the same for both."""
+    words = classes.where("n > 0").select("first", "n", F.explode("set").alias("w")).join(order, "w", "left")
+    ranked = words.groupBy("first", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))).alias("ws"))
+    most = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+    return ranked.select("first", "n", F.posexplode(F.slice("ws", F.lit(1), most)).alias("r", "p")).select("p.w", "first", "n", (F.col("r") + 1).alias("r"))
+
+
+def _verified(pairs: DataFrame, later: DataFrame, earlier: DataFrame, threshold: float) -> DataFrame:
+    """first, to, to_id, similarity: of pairs (first, to) those whose full sets reach the threshold."""
+    full = pairs.join(later.select("first", "first_id", F.col("set").alias("a")), "first").join(earlier.select(F.col("first").alias("to"), F.col("first_id").alias("to_id"), F.col("set").alias("b")), "to")
+    return full.where("first_id <> to_id").withColumn("similarity", text.jaccard("a", "b")).where(F.col("similarity") >= threshold).select("first", "to", "to_id", "similarity")
+
+
+def earliest_links(later: DataFrame, later_prefix: DataFrame, earlier: DataFrame, earlier_prefix: DataFrame, threshold: float = fixed.NEAR_DUPLICATE) -> DataFrame:
+    """first, to, to_id, similarity: for each class of later the earliest one of earlier (itself not among them) whose
+    Jaccard reaches the threshold.
+
+    First all are held against the earliest class with the same word, a row per word and class: members of a
+    group of variants find its head there and leave, so the group gives no pairs. Only those that may have a link
+    to something earlier than what they found are joined with all that share a word."""
+    heads = earlier_prefix.groupBy("w").agg(F.min("first").alias("head"))
+    fits = (F.least("n", "n2") >= F.greatest("n", "n2") * threshold - 1e-9) & ((1 + F.least(F.col("n") - F.col("r"), F.col("n2") - F.col("r2"))) * (1 + threshold) >= threshold * (F.col("n") + F.col("n2")) - 1e-9)
+    mine = later_prefix.join(heads, "w").where("head < first")
+    to_head = _verified(mine.select("first", F.col("head").alias("to")).distinct(), later, earlier, threshold)
+    found = to_head.groupBy("first").agg(F.min_by(F.struct("to", "to_id", "similarity"), "to").alias("link"))
+    # A word whose earliest class is the link, or later than it, can't give an earlier one.
+    open_ = mine.join(found, "first", "left").where(F.col("link").isNull() | (F.col("head") < F.col("link.to")))
+    others = earlier_prefix.select("w", F.col("first").alias("to"), F.col("n").alias("n2"), F.col("r").alias("r2"))
+    pairs = open_.join(others, "w").where((F.col("to") < F.coalesce(F.col("link.to"), F.col("first"))) & (F.col("to") > F.col("head")) & fits).select("first", "to").distinct()
+    more = _verified(pairs, later, earlier, threshold)
+    return to_head.unionByName(more).groupBy("first").agg(F.min_by(F.struct("to", "to_id", "similarity"), "to").alias("link")).select("first", "link.*")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = fixed.NEAR_DUPLICATE) -> DataFrame:
     """(doc_id, near_duplicate_of, similarity) of documents with an earlier one of Jaccard >= threshold: the
-    first such one, not the best.
-
-    Equal token sets are one class first. Classes are joined by prefix filtering: rarest tokens first, two
-    sets that reach the threshold share one of their n - ceil(t n) + 1 rarest; sizes and places prune, and
-    the full sets decide."""
-    tokens = F.array_sort(F.array_except(F.array_distinct(text.tokenize(F.concat_ws(" ", "title", "text"))), F.array(*map(F.lit, fixed.STOPWORDS))))
-    sets = docs.select("doc_id", "ordinal", tokens.alias("set")).withColumn("h", F.xxhash64("set")).withColumn("h2", F.sha2(F.array_join("set", " "), 256))
-    classes = sets.groupBy("h", "h2").agg(F.min("ordinal").alias("first"), F.min_by("doc_id", "ordinal").alias("first_id"))
-    reps = sets.join(classes.select("h", "h2", F.col("first").alias("ordinal")), ["h", "h2", "ordinal"], "left_semi").dropDuplicates(["h", "h2"]).select(F.col("ordinal").alias("first"), F.col("doc_id").alias("first_id"), "set", F.size("set").alias("n"))
-    words = reps.where("n > 0").select("first", "n", F.explode("set").alias("w"))
-    df = words.groupBy("w").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("first").orderBy("df", "w"))
-    prefix = words.join(df, "w").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).where("df > 1").select("w", "first", "n", "r")
-    other = prefix.select("w", F.col("first").alias("f2"), F.col("n").alias("n2"), F.col("r").alias("r2"))
-    most = 1 + F.least(F.col("n") - F.col("r"), F.col("n2") - F.col("r2"))
-    pairs = prefix.join(other, "w").where("first < f2").where(F.least("n", "n2") >= F.greatest("n", "n2") * threshold - 1e-9).where(most * (1 + threshold) >= threshold * (F.col("n") + F.col("n2")) - 1e-9)
-    pairs = pairs.select("first", "f2").distinct()
-    full = pairs.join(reps.select("first", "first_id", F.col("set").alias("a")), "first").join(reps.select(F.col("first").alias("f2"), F.col("first_id").alias("second_id"), F.col("set").alias("b")), "f2")
-    linked = full.withColumn("similarity", text.jaccard("a", "b")).where(F.col("similarity") >= threshold)
-    both = linked.select("first", "first_id", F.col("f2").alias("to"), F.col("second_id").alias("to_id"), "similarity").union(linked.select("f2", "second_id", "first", "first_id", "similarity"))
-    # A document's earlier partners: its own class's first member, and the first members of linked classes.
-    near = both.groupBy("first").agg(F.sort_array(F.collect_list(F.struct("to", "to_id", "similarity"))).alias("partners"))
-    of = sets.select("doc_id", "ordinal", "h", "h2").join(classes, ["h", "h2"]).join(near, "first", "left")
-    own = F.array(F.struct(F.col("first").alias("to"), F.col("first_id").alias("to_id"), F.lit(1.0).alias("similarity")))
-    all_ = F.array_sort(F.concat(own, F.coalesce("partners", F.array().cast(near.schema["partners"].dataType))))
-    earlier = F.filter(all_, lambda p: (p["to"] < F.col("ordinal")) & (p["to_id"] != F.col("doc_id")))
-    return of.select("doc_id", F.get(earlier, F.lit(0)).alias("p")).where("p is not null").select("doc_id", F.col("p.to_id").alias("near_duplicate_of"), F.round("p.similarity", 3).alias("similarity"))
+    first such one, not the best. Doc ids are distinct.
+
+    Equal token sets are one class, whose first member stands for it: what is earlier than that and near to it is
+    the first for all members, and without such the first member is, for the others."""
+    sets = token_sets(docs)
+    classes = set_classes(sets)
+    prefix = prefixes(classes, word_order(classes), threshold)
+    links = earliest_links(classes, prefix, classes, prefix, threshold)
+    return mark(sets, classes.select("h", "first", "first_id").join(links, "first", "left"))
+
+
+def mark(sets: DataFrame, linked: DataFrame, salts: int = 16) -> DataFrame:
+    """doc_id, near_duplicate_of, similarity from each class's first member and link. A hot class is salted."""
+    of = linked.select("h", "first", "first_id", "to_id", "similarity", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    members = sets.select("doc_id", "ordinal", "h", F.pmod(F.hash("doc_id"), F.lit(salts)).alias("salt")).join(of, ["h", "salt"])
+    to = F.when(F.col("to_id").isNotNull(), F.col("to_id")).when(F.col("ordinal") > F.col("first"), F.col("first_id"))
+    similarity = F.when(F.col("to_id").isNotNull(), F.col("similarity")).otherwise(F.lit(1.0))
+    return members.select("doc_id", to.alias("near_duplicate_of"), F.round(similarity, 3).alias("similarity")).where(F.col("near_duplicate_of").isNotNull() & (F.col("near_duplicate_of") != F.col("doc_id")))
 
 
 def split_quarantine(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -44,3 +44,17 @@ def fragment_hit_rate(answers: DataFrame, expected: DataFrame) -> DataFrame:
 
 def macro(metrics: DataFrame, places: int = 4) -> DataFrame:
     return metrics.agg(*(F.round(F.avg(c), places).alias(c) for c in metrics.columns if c != "query_id"))
+
+
+METRICS = ("recall", "precision", "mrr", "ndcg")
+
+
+def report(rows: DataFrame, by: tuple[str, ...] = ("route", "task", "query_id"), metrics: tuple[str, ...] = METRICS, places: int = 6) -> DataFrame:
+    """Rows of each query, means by task of a route, by route, and of all, in one pass: by, level (how many of by
+    are fixed), queries, judged_rate and the means of metrics over judged rows.
+
+    rows has by, judged (whether the query has anything relevant) and metrics. Queries without count as queries, but
+    not in the means, as a question that has no answer says nothing about the ranking."""
+    of = lambda c: F.round(F.avg(F.when(F.col("judged"), F.col(c))), places).alias(c)
+    level = sum((F.lit(1) - F.grouping(c).cast("int") for c in by), F.lit(0))
+    return rows.rollup(*by).agg(level.cast("int").alias("level"), F.count("*").alias("queries"), F.round(F.avg(F.col("judged").cast("double")), places).alias("judged_rate"), *map(of, metrics))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..operators import documents
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -34,3 +35,65 @@ def start(spark: SparkSession, folder: str, target: str, checkpoint: str, once:
 def event_counts(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
     """Counts and sums per window and type of an event stream (ts, event_type, value), late events within late."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+#: What ingest leaves for later batches, each table in folders batch=N below the target.
+STATE = {
+    "keys": "key string, first_id long, batch int",
+    "sets": "h string, first_id long, set array<string>, n int, batch int",
+    "prefix": "w string, first_id long, n int, r int, batch int",
+    "order": "w string, df long, batch int",
+}
+
+
+def _earlier(spark: SparkSession, target: str, name: str, batch_id: int) -> DataFrame:
+    """A table of the state as it was before this batch."""
+    if batch_id == 0:
+        return spark.createDataFrame([], STATE[name])
+    return spark.read.schema(STATE[name]).parquet(f"{target}/{name}").where(F.col("batch") < batch_id)
+
+
+def _ordinal(batch) -> F.Column:
+    """Batches in their order, documents of one by id."""
+    return F.struct(batch.cast("int").alias("batch"), F.col("first_id").alias("id"))
+
+
+def mark_batch(docs: DataFrame, target: str, batch_id: int, threshold: float = fixed.NEAR_DUPLICATE, salts: int = 16) -> DataFrame:
+    """docs (doc_id long, title, product, text) with duplicate_of, near_duplicate_of and similarity, held against this
+    batch and all before it, whose state is below target; adds this batch's own to that state.
+
+    As in one batch, except that an earlier batch counts as earlier, whatever the ids. Only what is new enters the state:
+    one key per distinct text, one set and its rarest words per distinct token set. The order of words is that
+    of the first batch, as it has to stay the same; words that come later count as rare. Each table of the state is
+    written to the batch's own folder, so a batch that runs again replaces it."""
+    spark = docs.sparkSession
+    write = lambda df, name: df.write.mode("overwrite").parquet(f"{target}/{name}/batch={batch_id}")
+    own = lambda name: spark.read.schema(STATE[name]).parquet(f"{target}/{name}").where(F.col("batch") == batch_id)
+    key = F.sha2(F.concat_ws("\x00", F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("product", F.lit(""))), F.coalesce("text", F.lit(""))), 256)
+    keyed = docs.select("doc_id", key.alias("key"))
+    counts = keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    firsts = counts.join(_earlier(spark, target, "keys", batch_id).select("key", F.col("first_id").alias("old")), "key", "left")
+    write(firsts.where("old is null").select("key", F.col("least").alias("first_id")), "keys")
+    often = firsts.where("n > 1 or old is not null").select("key", F.coalesce("old", "least").alias("first_id"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    exact = keyed.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(salts))).join(often, ["key", "salt"]).where("first_id <> doc_id").select("doc_id", F.col("first_id").alias("duplicate_of"))
+
+    sets = documents.token_sets(docs.withColumn("ordinal", F.col("doc_id")))
+    classes = documents.set_classes(sets)
+    stored = _earlier(spark, target, "sets", batch_id)
+    write(classes.join(stored.select("h"), "h", "left_anti").select("h", "first_id", "set", "n"), "sets")
+    ordered = lambda df: df.withColumn("first", _ordinal(F.col("batch")))
+    new, all_sets = ordered(own("sets")), ordered(own("sets").unionByName(stored))
+    if batch_id == 0:
+        write(documents.word_order(new), "order")
+        order = own("order")
+    else:
+        order = _earlier(spark, target, "order", 1)
+    write(documents.prefixes(new, order.select("w", "df"), threshold).select("w", F.col("first.id").alias("first_id"), "n", "r"), "prefix")
+    new_prefix = ordered(own("prefix"))
+    links = documents.earliest_links(new, new_prefix, all_sets, new_prefix.unionByName(ordered(_earlier(spark, target, "prefix", batch_id))), threshold)
+    # Sets of this batch that were there before have their links in the state of the batch that brought them.
+    write(new.join(links, "first", "left").select("h", "to_id", "similarity"), "links")
+    linked = spark.read.schema("h string, to_id long, similarity double, batch int").parquet(f"{target}/links").where(F.col("batch") <= batch_id)
+    here = classes.select("h").join(all_sets.select("h", "first"), "h").join(linked.select("h", "to_id", "similarity"), "h").select("h", "first", F.col("first.id").alias("first_id"), "to_id", "similarity")
+    near = documents.mark(sets.withColumn("ordinal", F.struct(F.lit(batch_id).alias("batch"), F.col("doc_id").alias("id"))), here, salts)
+    return docs.join(exact, "doc_id", "left").join(near, "doc_id", "left")

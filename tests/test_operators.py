@@ -69,6 +69,21 @@ def test_near_duplicates_against_all_pairs(spark):
     assert {r.doc_id: r.near_duplicate_of for r in documents.near_duplicates(docs).collect()} == want
 
 
+def test_a_cluster_of_variants_gives_no_pairs(spark):
+    n = 5000
+    base = " ".join(f"word{k}" for k in range(60))
+    docs = spark.range(n).select(F.format_string("d%05d", "id").alias("doc_id"), F.lit("t").alias("title"), F.concat(F.lit(base + " own"), F.col("id").cast("string")).alias("text"), F.col("id").alias("ordinal"))
+    found = documents.near_duplicates(docs).collect()
+    assert len(found) == n - 1 and {r.near_duplicate_of for r in found} == {"d00000"}
+
+
+def test_index_of_a_query_sets_terms_alone(spark):
+    chunks = spark.createDataFrame([(1, "T", "alpha beta beta"), (2, "U", "gamma alpha"), (3, "V", ""), (4, None, None)], "chunk_id long, title string, text string")
+    q = spark.createDataFrame([("q", "beta gamma beta nothing")], "query_id string, text string")
+    whole, part = (search.bm25_search(q, search.bm25_index(chunks, only=only), 5) for only in (None, search.query_terms(q)))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, part.collect())) and part.count() == 2
+
+
 def test_csv_rows(spark):
     docs = spark.createDataFrame([("c", 'a,b\n1,"x, y"\n\n2')], "doc_id string, text string")
     got = documents.csv_rows(docs).orderBy("nth").collect()
