@@ -8,8 +8,11 @@
    several distinct pages. A block of which such runs cover more than COVERED is boilerplate.
    A page of which such blocks hold more than COPIED is a copy of a text (or as good as one): of it, only the
    blocks go that SHARE of the host's pages repeat, and if that were all of them, none.
-3. The same holds inside article elements, all of which are kept: what the host repeats goes where the page
-   has text of its own around it. Of a copied article nothing goes, however many pages have it.
+3. Inside article elements, all of which are kept, single blocks are not judged, as texts may share paragraphs.
+   There the array tells the host's template: blocks are taken together by their path of elements and classes,
+   and a path goes where such runs cover more than COVERED of its tokens over the pages that are not copies,
+   as a row of links below each article does. Of a copied article nothing goes, however many pages have it.
+   Paths are judged over the pages of a group; runs never cross blocks there.
 
 Hosts are split by a hash of the page into groups of about GROUP pages, so a hot host is many tasks. Where
 a host has several groups, each sends its distinct runs, as hashes cut to the bits that the host's number of runs
@@ -61,6 +64,7 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form aler
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
+_CLASS = re.compile(r"(?:^|\s)class\s*=\s*[\"']?([^\"'>]+)", re.I)
 _PART = re.compile(r"[^a-z0-9]+")
 
 
@@ -73,6 +77,7 @@ class Block(NamedTuple):
     text: str
     article: int  # number of the page's article element around it, 0 for none
     main: bool
+    path: str  # names and classes of the elements around it
 
 
 def _unwanted(name: str, attributes: str, inside: bool) -> bool:
@@ -88,7 +93,7 @@ def _unwanted(name: str, attributes: str, inside: bool) -> bool:
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order without what never holds the article."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # name, dropped, article, main
+    stack: list[tuple[str, bool, int, bool, str]] = []  # name, dropped, article, main, path
     pieces: list[str] = []
     articles = at = 0
     drop, article, main = False, 0, False
@@ -100,11 +105,11 @@ def blocks(page: str) -> list[Block]:
     def close() -> None:
         if pieces:
             if line := " ".join("".join(pieces).split()):
-                out.append(Block(line, article, main))
+                out.append(Block(line, article, main, stack[-1][4] if stack else ""))
             pieces.clear()
 
     def top() -> tuple[bool, int, bool]:
-        return stack[-1][1:] if stack else (False, 0, False)
+        return stack[-1][1:4] if stack else (False, 0, False)
 
     n = len(page)
     while at < n:
@@ -154,7 +159,9 @@ def blocks(page: str) -> list[Block]:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        stack.append((name, gone, article, is_main))
+        named = _CLASS.search(m[4]) if m[4] and not gone else None
+        path = f"{stack[-1][4] if stack else ''}/{name}{'.' + named[1].lower() if named else ''}"
+        stack.append((name, gone, article, is_main, path))
         drop, main = gone, is_main
     close()
     return out
@@ -253,10 +260,14 @@ class Runs:
             out = out * np.uint64(0x9E3779B97F4A7C15) + of_token[self.tokens[at + k]]
         return ranks, K.mix(out)
 
-    def covered(self, holders: np.ndarray, least: float) -> list[np.ndarray]:
-        """Per stream, which tokens lie in a run that has least holders."""
+    def covered(self, holders: np.ndarray, least: float, bounds: list[np.ndarray] | None = None) -> list[np.ndarray]:
+        """Per stream, which tokens lie in a run that has least holders; with the streams' blocks' bounds, in one
+        that lies in one block."""
         hit = np.zeros(self.total + 1, np.int64)
         starts = self.at[holders[self.rank[self.at]] >= least]
+        if bounds is not None and len(starts):
+            edges = np.concatenate([b + begin for b, begin in zip(bounds, self.begin.tolist())])
+            starts = starts[edges[np.minimum(np.searchsorted(edges, starts, "right"), len(edges) - 1)] >= starts + self.length]
         np.add.at(hit, starts, 1)
         np.add.at(hit, starts + self.length, -1)
         covered = np.cumsum(hit[:-1]) > 0
@@ -274,8 +285,10 @@ class Group:
     """Some parsed pages of one host, ranked; pages of one name count once for repetition."""
 
     def __init__(self, texts: list[bytes], kinds: list[bytes], names: list, length: int):
-        """texts: a line for each block. kinds: twice the number of its article, and 1 inside main, for each."""
-        self.texts, self.kinds = texts, [np.frombuffer(x, np.int32) for x in kinds]
+        """texts: a line for each block. kinds: for each block twice the number of its article, and 1 inside main;
+        then a number for each one's path."""
+        both = [np.frombuffer(x, np.int32).reshape(2, -1) for x in kinds]
+        self.texts, self.kinds, self.paths = texts, [x[0] for x in both], [x[1] for x in both]
         buf, off = K.buffers(pa.array(texts, pa.binary()))
         start, end, row = K.spans(buf, off, _WORD)
         first, code = K.equal_spans(buf, start, end)
@@ -298,14 +311,29 @@ class Group:
         """Main text of each page; pages is how many the host has."""
         out = []
         hits, wide = self.runs.covered(holders, least), self.runs.covered(holders, max(least, share * pages))
-        for text, kind, bound, *by in zip(self.texts, self.kinds, self.bounds, hits, wide):
+        template = self.template(holders, least, covered)
+        for text, kind, path, bound, *by in zip(self.texts, self.kinds, self.paths, self.bounds, hits, wide):
             lines = text.decode("utf-8", "replace").split("\n")
-            out.append("\n".join(lines[k] for k in chosen(kind, bound, *by, covered)) if len(kind) else "")
+            out.append("\n".join(lines[k] for k in chosen(kind, bound, *by, covered, np.isin(path, template))) if len(kind) else "")
         return out
 
+    def template(self, holders: np.ndarray, least: int, covered: float) -> np.ndarray:
+        """Paths inside articles of whose tokens repeated runs cover more than covered, over pages that aren't copies."""
+        total: dict[int, int] = {}
+        of: dict[int, int] = {}
+        for kind, path, bound, hit in zip(self.kinds, self.paths, self.bounds, self.runs.covered(holders, least, self.bounds)):
+            size, held = np.diff(bound), np.diff(np.append(0, np.cumsum(hit))[bound]) if len(bound) > 1 else np.zeros(0, np.int64)
+            some = np.flatnonzero(kind > 1)
+            if held[some].sum() > COPIED * size[some].sum():
+                continue
+            for p, n, h in zip(path[some].tolist(), size[some].tolist(), held[some].tolist()):
+                total[p], of[p] = total.get(p, 0) + n, of.get(p, 0) + h
+        return np.array([p for p, n in total.items() if of[p] > covered * n], np.int64)
+
 
-def chosen(kind: np.ndarray, bound: np.ndarray, hit: np.ndarray, wide: np.ndarray, covered: float) -> list[int]:
-    """The blocks of a page that are its main text, by which tokens are repeated and which all over the host."""
+def chosen(kind: np.ndarray, bound: np.ndarray, hit: np.ndarray, wide: np.ndarray, covered: float, template: np.ndarray) -> list[int]:
+    """The blocks of a page that are its main text, by which tokens are repeated and which all over the host, and which
+    blocks are of the host's template."""
     size = np.diff(bound)
 
     def own_of(some: np.ndarray, by: np.ndarray) -> np.ndarray:
@@ -313,12 +341,13 @@ def chosen(kind: np.ndarray, bound: np.ndarray, hit: np.ndarray, wide: np.ndarra
         return some[np.diff(upto)[some] <= covered * size[some]]
 
     inside, main = np.flatnonzero(kind > 1), np.flatnonzero(kind & 1)
-    some = inside if len(inside) else main if len(main) else np.arange(len(kind))
+    if len(inside):
+        own = inside[~template[inside]]
+        return (own if size[own].sum() >= (1 - COPIED) * size[inside].sum() else inside).tolist()
+    some = main if len(main) else np.arange(len(kind))
     fresh = own_of(some, hit)
     if len(fresh) and size[fresh].sum() >= (1 - COPIED) * size[some].sum():
         return fresh.tolist()
-    if len(inside):
-        return inside.tolist()
     kept = own_of(some, wide)
     return (kept if len(kept) else some).tolist()
 
@@ -333,7 +362,7 @@ def _parse(batches):
         for html in batch.column("html").to_pylist():
             page = blocks(html or "")
             texts.append(zlib.compress("\n".join(b.text for b in page).encode("utf-8", "replace"), 1))
-            kinds.append(np.array([2 * b.article + b.main for b in page], np.int32).tobytes())
+            kinds.append(np.array([[2 * b.article + b.main for b in page], [zlib.crc32(b.path.encode("utf-8", "replace")) >> 1 for b in page]], np.int32).tobytes())
         new = {"blocks": pa.array(texts, pa.binary()), "kinds": pa.array(kinds, pa.binary())}
         names = ["host", "salt", "page_id", "url", "name", "blocks", "kinds", "parts", "pages", "size"]
         yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names=names)

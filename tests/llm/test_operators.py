@@ -3,6 +3,7 @@ and extra columns."""
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -176,13 +177,39 @@ def test_boilerplate_of_few_pages_goes_and_copies_stay(spark):
         assert all(got[100 + i] == f"{text}\ncopy {i}" for i in range(5))
 
 
-def test_the_array_decides_inside_articles_too(spark):
+def test_the_array_tells_the_template_inside_articles(spark):
+    """A paragraph that texts share stays; what the host puts below each article goes, by its path."""
     own = lambda i: f"own words {i} {i * i} and {i + 7} more {i * 3} {i} {i + 1} {i + 2} {i + 3}"
-    line = "subscribe to our letter and read more of this"
-    rows = [(i, f"https://b.org/{i}", f"<article><p>{own(i)}</p><p>{line}</p></article><p>between</p><article>second {i}</article>") for i in range(9)]
+    line, links = "this very paragraph of words is shared by many a text", "read more of our best and latest stories here"
+    rows = [(i, f"https://b.org/{i}", f"<article><p>{own(i)}</p><p>{line}</p><p>Les.</p><div class='z9'>{links}</div></article><p>between</p><article>second {i}</article>") for i in range(9)]
     rows += [(20 + i, f"https://b.org/c{i}", f"<article><p>{own(50)}</p><p>{line}</p></article>") for i in range(9)]
-    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {**{i: f"{own(i)}\nsecond {i}" for i in range(9)}, **{20 + i: f"{own(50)}\n{line}" for i in range(9)}}
+    rows += [(40 + i, f"https://c.org/{i}", f"<article><p>{own(i)}</p><div class='z9'>{links} {i}</div></article>") for i in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    expected = {**{i: f"{own(i)}\n{line}\nLes.\nsecond {i}" for i in range(9)}, **{20 + i: f"{own(50)}\n{line}" for i in range(9)}, **{40 + i: f"{own(i)}\n{links} {i}" for i in range(2)}}
+    for size in (500, 6):
+        assert {r.page_id: r.text for r in html_text.main_text(pages, group=size).collect()} == expected
+    off = {r.page_id: r.text for r in html_text.main_text(pages, least=10**6).collect()}
+    assert all(off[i] == f"{own(i)}\n{line}\nLes.\n{links}\nsecond {i}" for i in range(9))
+
+
+def test_main_text_with_extra_columns_and_long_pages(spark):
+    page = "<article><h1>T</h1>" + "<p>some words of a long page</p>" * 40_000 + "</article>"
+    rows = [(1, "http://a.org/1", page, "x", 3), (None, None, "<p>no id</p>", None, 4), (2, "http://a.org/2", "<p>" + "word " * 200_000, "y", 5)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, salt int")).collect()}
+    assert got == {1: "T\n" + "\n".join(["some words of a long page"] * 40_000), None: "no id", 2: " ".join(["word"] * 200_000)}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_articles_are_documents(spark, sf):
+    """What the registered query gives is, heading aside, a row of documents, line by line."""
+    folder = f"/root/testdata/{sf}"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables")
+    flat = lambda t: "\n".join(x for x in (" ".join(line.split()) for line in (t or "").split("\n")) if x)
+    texts = {flat(r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").select("text").collect()}
+    rows = html_text.query(spark, folder).collect()
+    assert len(rows) == spark.read.parquet(f"{folder}/pages.parquet").count() and all(r.n_chars == len(r.text) for r in rows)
+    assert [r.page_id for r in rows if not (r.text in texts or r.text.partition("\n")[2] in texts)] == []
 
 
 def test_suffix_array():
