@@ -60,20 +60,24 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[*range(9, 14), *range(28, 33)]] = True
 
 
+def before_spaces(buf: np.ndarray) -> np.ndarray:
+    """Places of the spaces whose predecessor is not white space; one that may be white space beyond ASCII counts as such."""
+    at = np.flatnonzero(buf == 32)
+    at = at[at > 0]
+    one, two, three = buf[at - 1], buf[np.maximum(at - 2, 0)], buf[np.maximum(at - 3, 0)]
+    blank = _BLANK[one] | (two == 0xC2) & ((one == 0x85) | (one == 0xA0))
+    blank |= (three == 0xE1) & (two == 0x9A) | (three == 0xE2) & ((two == 0x80) | (two == 0x81)) | (three == 0xE3) & (two == 0x80)
+    return at[~blank]
+
+
 def cut(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of the words, which tile their rows. Cut before a space whose predecessor is not
-    white space; a predecessor that may be white space beyond ASCII counts as such."""
+    white space."""
     n = len(buf)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    at = np.flatnonzero(buf == 32)
-    at = at[at > 0]
-    one, two, three = buf[at - 1], buf[np.maximum(at - 2, 0)], buf[np.maximum(at - 3, 0)]
-    blank = _BLANK[one] | (two == 0xC2) & ((one == 0x85) | (one == 0xA0))
-    blank |= (three == 0xE1) & (two == 0x9A) | (three == 0xE2) & ((two == 0x80) | (two == 0x81)) | (three == 0xE3) & (two == 0x80)
-    first = off[:-1][np.diff(off) > 0]
-    start = np.union1d(at[~blank], first)
+    start = np.union1d(before_spaces(buf), off[:-1][np.diff(off) > 0])
     return start, np.append(start[1:], n), np.searchsorted(off, start, "right") - 1
 
 

@@ -52,17 +52,17 @@ def pieces_of_text(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
     """As bpe.cut, and cut as well between an ASCII letter and a sign other than the apostrophe, and around a line
     break after an ASCII sign or letter, where no token crosses either. A text that may name a special token is cut
     at spaces only."""
-    start, end, row = bpe.cut(buf, off)
-    if not len(start) or b"<|" in buf.tobytes():
-        return start, end, row
-    cut, kind = np.zeros(len(buf) + 1, bool), _KIND[buf]
-    np.equal(kind[1:] * kind[:-1], 2, out=cut[1:-1])
-    lines = np.flatnonzero((buf[1:] == 10) & (buf[:-1] > 32) & (buf[:-1] < 127)) + 1
-    cut[lines] = True
-    cut[lines[np.append(kind, 0)[lines + 1] == 1] + 1] = True
-    cut[start] = True
+    cut = np.zeros(len(buf) + 1, bool)
+    cut[bpe.before_spaces(buf)] = True
+    cut[off[:-1]] = True
+    if b"<|" not in buf.tobytes():
+        kind = np.append(_KIND[buf], np.uint8(0))
+        cut[1:] |= kind[1:] * kind[:-1] == 2
+        lines = np.flatnonzero((buf[1:] == 10) & (buf[:-1] > 32) & (buf[:-1] < 127)) + 1
+        cut[lines] = True
+        cut[lines[kind[lines + 1] == 1] + 1] = True
     start = np.flatnonzero(cut[:-1])
-    return start, np.append(start[1:], len(buf)), np.searchsorted(off, start, "right") - 1
+    return start, np.append(start[1:], len(buf))[: len(start)], K.rows_of(start, off)
 
 
 def _ids_of(words: list[bytes], path: str) -> list[bytes]:
