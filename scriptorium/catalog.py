@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import fixed, rules
 from .functions import policy, text
 from .operators import answer, documents, evaluation, intent, memory, retrieval, search
+from .plans import agent
+from .sources import snapshots
 
 _Q: dict = {}
 _SQL: dict[str, str] = {}
@@ -306,7 +310,14 @@ def lsh_candidates(spark, d):
     return search.lsh_candidates(q, v, _PLANES)
 
 
-_ANN = f"""{_SIGNED}, c AS (SELECT DISTINCT q.vec_id AS query_id, c.vec_id AS chunk_id FROM b q JOIN b c USING (table_idx) WHERE q.vec_id % 20 = 0 AND hamming(q.signature, c.signature) <= {search.ANN_RADIUS}),
+_UNIT = [[[x / math.sqrt(sum(y * y for y in p)) for x in p] for p in t] for t in _PLANES]
+_MARGINS = " UNION ALL ".join(f"SELECT vec_id, {i} AS table_idx, [" + ", ".join("abs(list_dot_product(e, [" + ",".join(f"{x!r}::DOUBLE" for x in p) + "]))" for p in t) + "] AS g FROM v WHERE vec_id % 20 = 0" for i, t in enumerate(_UNIT))
+_ANN = f"""{_SIGNED}, g AS ({_MARGINS}),
+costs AS (SELECT vec_id, table_idx, m, round(list_sum([((m >> (10 - i)) & 1) * pow(g[i], 2) for i in range(1, 11)]), 9) AS cost FROM g, (SELECT unnest(range(0, 1024)) AS m)),
+near AS (SELECT * FROM costs QUALIFY row_number() OVER (PARTITION BY vec_id, table_idx ORDER BY cost, m) <= {search.ANN_PROBES}),
+probes AS (SELECT near.vec_id, table_idx, xor(list_sum([CASE WHEN substr(signature, i, 1) = '1' THEN 1 << (10 - i) ELSE 0 END for i in range(1, 11)])::BIGINT, m) AS bucket FROM near JOIN b USING (vec_id, table_idx)),
+held AS (SELECT vec_id, table_idx, list_sum([CASE WHEN substr(signature, i, 1) = '1' THEN 1 << (10 - i) ELSE 0 END for i in range(1, 11)])::BIGINT AS bucket FROM b),
+c AS (SELECT DISTINCT q.vec_id AS query_id, x.vec_id AS chunk_id FROM probes q JOIN held x USING (table_idx, bucket)),
 a AS (SELECT query_id, chunk_id, list_cosine_similarity(q.e, d.e) AS score FROM c JOIN v q ON q.vec_id = query_id JOIN v d ON d.vec_id = chunk_id),
 ann AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM a) WHERE rank <= 10)"""
 
@@ -320,14 +331,17 @@ def ann_topk(spark, d):
 
 @_query(f"""WITH {_ANN}, s AS (SELECT q.vec_id AS query_id, x.vec_id AS chunk_id, list_cosine_similarity(q.e, x.e) AS score FROM v q, v x WHERE q.vec_id % 20 = 0),
 hit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s) WHERE rank <= 10)
-SELECT count(*) AS wanted, count(ann.chunk_id) AS found, round(count(ann.chunk_id) / count(*), 6) AS recall FROM hit LEFT JOIN ann ON ann.query_id = hit.query_id AND ann.chunk_id = hit.chunk_id""")
+SELECT count(*) AS wanted, count(ann.chunk_id) AS found, round(count(ann.chunk_id) / count(*), 6) AS recall, round((SELECT count(*) FROM c) / (SELECT count(*) FROM s), 6) AS scored FROM hit LEFT JOIN ann ON ann.query_id = hit.query_id AND ann.chunk_id = hit.chunk_id""")
 def ann_recall(spark, d):
-    """Recall at 10 of the LSH search against the exact one."""
+    """Recall at 10 of the LSH search against the exact one, and the share of all vectors that it scores."""
     q, v = _vectors(spark, d)
     q, v = q.select("query_id", "vector"), v.select("chunk_id", "vector")
     exact, found = search.dense_search(q, v, 10).select("query_id", "chunk_id"), search.ann_search(q, v, 10, _PLANES).select("query_id", "chunk_id", F.lit(1).alias("hit"))
     both = exact.join(found, ["query_id", "chunk_id"], "left")
-    return both.agg(F.count("*").alias("wanted"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
+    recall = both.agg(F.count("*").alias("wanted"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
+    every = q.agg(F.count("*").alias("n")).crossJoin(v.agg(F.count("*").alias("m")))  # one row each
+    share = search.lsh_candidates(q, v, _PLANES, fixed.TABLES, search.ANN_PROBES).agg(F.count("*").alias("c")).crossJoin(every)
+    return recall.crossJoin(share.select(F.round(F.col("c") / (F.col("n") * F.col("m")), 6).alias("scored")))
 
 
 @_query(f"""WITH {_BM25.strip()}, {_bm25_sql('x', 16)}, {_bm25_sql('y', 16, 0.9, 0.0)},
@@ -420,18 +434,19 @@ def pack_context(spark, d):
     return p.select("query_id", F.array_join("chunk_ids", ",").alias("chunk_ids"), "token_count", F.sha2("context", 256).alias("context_sha256"))
 
 
-@_query(f"""WITH {_BM25.strip()}, {_bm25_sql('hit', 3)} SELECT DISTINCT h.query_id, d.doc_id AS chunk_id FROM hit h JOIN documents d ON d.doc_id IN (h.chunk_id + 1, h.chunk_id * 2) WHERE d.lang = 'en' AND d.doc_id < 10000""")
+@_query(f"""WITH {_BM25.strip()}, {_bm25_sql('hit', 3)} SELECT DISTINCT h.query_id, d.doc_id AS chunk_id FROM hit h JOIN documents d ON d.doc_id = h.chunk_id + 1 OR (d.doc_id = h.chunk_id * 2 AND d.doc_id < 10000) WHERE d.lang = 'en'""")
 def follow_references(spark, d):
-    """Each document lists the next id as a reference and names the double of its own in its text; only English ones are visible."""
+    """Each document lists the next id as a reference and names the double of its own in its text, where identifiers
+    have four digits at most; only English ones are visible."""
     i, name = F.col("chunk_id"), lambda x: F.concat(F.lit("IR-"), x.cast("string"))
     hits = _found(spark, d, 3).withColumn("references", F.array(name(i + 1))).withColumn("text", F.concat(F.lit("it came before "), name(i * 2), F.lit(", and IR was not it")))
-    c = _chunks(spark, d).withColumn("doc_id", name(i)).where("chunk_id < 10000")
+    c = _chunks(spark, d).withColumn("doc_id", name(i))
     return retrieval.follow_references(hits, c, _found_eligible(spark, d))
 
 
-def _found_eligible(spark, d) -> DataFrame:
-    q = _bench(spark, d).select("query_id")  # a stated query set
-    return _chunks(spark, d).where("lang = 'en'").select("chunk_id").crossJoin(F.broadcast(q))
+def _found_eligible(spark, d) -> search.Visible:
+    """Every question may see the English documents."""
+    return search.Visible(_chunks(spark, d).select("chunk_id", F.col("lang").alias("class_id")), _bench(spark, d).select("query_id", F.lit("en").alias("class_id")))
 
 
 _SUPPORT = f"""(CASE WHEN len(ct) = 0 THEN 0 ELSE 0.7 * len(list_intersect(ct, list_distinct({tok('s')}))) / len(ct) + 0.3 * CASE WHEN len(cn) = 0 THEN 1.0 ELSE len(list_intersect(cn, list_distinct(regexp_extract_all(s, '\\b\\d+(?:\\.\\d+)?\\b')))) / len(cn) END END)""".replace("\\\\", "\\")
@@ -538,9 +553,11 @@ def session_memory_latest(spark, d):
 
 @_query("""SELECT s_suppkey, s_name, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE' AND s_acctbal > 0""")
 def structured_lookup(spark, d):
-    n, r = _t(spark, d, "nation"), _t(spark, d, "region").where("r_name = 'EUROPE'")
-    s = _t(spark, d, "supplier").where("s_acctbal > 0")
-    return s.join(n.join(r, n.n_regionkey == r.r_regionkey), s.s_nationkey == F.col("n_nationkey")).select("s_suppkey", "s_name", "n_name", "r_name")
+    """Suppliers as service centres of their region; those with money repair the X12 as well."""
+    n, r = _t(spark, d, "nation"), _t(spark, d, "region")
+    models = F.when(F.col("s_acctbal") > 0, F.array(F.lit("V14"), F.lit("X12"))).otherwise(F.array(F.lit("V14")))
+    centers = _t(spark, d, "supplier").join(n, F.col("s_nationkey") == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).withColumns({"region": F.col("r_name"), "models": models})
+    return agent.service_centers(centers, "EUROPE", "X12").select("s_suppkey", "s_name", "n_name", "r_name")
 
 
 # ---- evaluation, traces
@@ -596,7 +613,6 @@ def span_durations(spark, d):
     return _spans(spark, d)
 
 
-@_query(f"WITH {_SPANS} SELECT event_type AS name, count(*) AS spans, count(*) FILTER (WHERE duration_ms IS NULL) AS open, round(sum(duration_ms), 2) AS total_ms, max(duration_ms) AS longest_ms FROM s GROUP BY event_type")
+@_query(f"WITH {_SPANS} SELECT event_type AS name, count(*) AS spans, count(*) FILTER (WHERE duration_ms IS NULL) AS open, round(sum(duration_ms::DECIMAL(20,3))::DOUBLE, 2) AS total_ms, max(duration_ms) AS longest_ms FROM s GROUP BY event_type")
 def trace_summary(spark, d):
-    s = _spans(spark, d)
-    return s.groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("spans"), F.count(F.when(F.col("duration_ms").isNull(), 1)).alias("open"), F.round(F.sum("duration_ms"), 2).alias("total_ms"), F.max("duration_ms").alias("longest_ms"))
+    return snapshots.trace_summary(_spans(spark, d).withColumnRenamed("event_type", "name")).withColumn("total_ms", F.round("total_ms", 2))

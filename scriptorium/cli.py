@@ -32,7 +32,8 @@ def parser() -> argparse.ArgumentParser:
         v.add_argument("--route", choices=("sparse", "dense", "hybrid"), default="hybrid")
         v.add_argument("--top-k", type=int, default=8)
         v.add_argument("--rerank-top-m", type=int, default=5)
-        v.add_argument("--no-ann", action="store_true")
+        v.add_argument("--ann", action="store_true", help="search vectors by LSH instead of exactly")
+        v.add_argument("--no-ann", action="store_true", help="exact search, the default")
         v.add_argument("--mode", choices=("grounded", "closed_book"), default="grounded")
         v.add_argument("--user-id")
         v.add_argument("--users")
@@ -85,7 +86,7 @@ def _run(a: argparse.Namespace):
     if a.verb == "answer" and a.mode == "closed_book":
         return answers.closed_book(q).select("answer_text", "abstained").first().asDict()
     i = kb.intents(q)
-    options = {"k": a.top_k, "m": a.rerank_top_m, "use_ann": not a.no_ann}
+    options = {"k": a.top_k, "m": a.rerank_top_m, "use_ann": a.ann and not a.no_ann}
     if a.verb == "answer":
         return kb.answer(i, a.route, **options).first().asDict()
     return [r.asDict() for r in kb.retrieve(i, a.route, **options).orderBy("final_rank").select("final_rank", "chunk_id", "title", "section", "final_score", "reasons").collect()]

@@ -5,9 +5,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..functions import policy
 from ..operators import intent as I
 from ..sources.snapshots import Workspace
 from .knowledge import KnowledgeBase
@@ -32,6 +34,20 @@ TOOLS = {
 }
 
 
+#: What may be wrong with a call, in the order of the checks: for which argument of the tool, and how it is put.
+CHECKS = (
+    (lambda tool, given: [None] if tool is None else [], lambda name, _, __: f"There is no tool {name}."),
+    (lambda tool, given: [k for k in tool.required if given.get(k) in (None, "")], lambda name, k, _: f"{name} needs the argument {k}."),
+    (lambda tool, given: [k for k, allowed in tool.enums.items() if k in given and given[k] not in allowed], lambda name, k, tool: f"{k} has to be one of {', '.join(tool.enums[k])}."),
+)
+
+
+def service_centers(centers: DataFrame, region: str, model: str, warranty_program: str | None = None) -> DataFrame:
+    """The centres (region, models, warranty_programs) of a region for a model, under a programme if one is named."""
+    found = centers.where((F.col("region") == region) & F.array_contains("models", model))
+    return found.where(F.array_contains("warranty_programs", warranty_program)) if warranty_program else found
+
+
 class Tools:
     def __init__(self, kb: KnowledgeBase):
         self.kb = kb
@@ -39,21 +55,15 @@ class Tools:
     @staticmethod
     def validate(name: str, arguments: dict) -> str | None:
         """What is wrong with a call, None if nothing is."""
-        if name not in TOOLS:
-            return f"Unknown tool: {name}"
-        for k in TOOLS[name].required:
-            if arguments.get(k) is None or arguments[k] == "":
-                return f"Missing required argument: {k}"
-        for k, allowed in TOOLS[name].enums.items():
-            if k in arguments and arguments[k] not in allowed:
-                return f"Invalid value for {k}. Allowed: {', '.join(allowed)}"
-        return None
+        tool = TOOLS.get(name)
+        return next((say(name, k, tool) for found, say in CHECKS for k in found(tool, arguments)), None)
 
     def execute(self, name: str, arguments: dict, role: str, approved: bool = False) -> dict:
         if error := self.validate(name, arguments):
             return {"status": "validation_error", "payload": {}, "error": error}
-        blocked = not TOOLS[name].read_only and not approved or arguments.get("disclosure", "public") == "internal" and role == "external"
-        if blocked:
+        action = name if TOOLS[name].read_only else f"side_effect:{name}"
+        allowed = policy.action_allowed(F.lit(action), F.lit(approved), F.lit(arguments.get("disclosure", "public")), F.lit(role))
+        if not self.kb.spark.range(1).select(allowed.alias("ok")).first().ok:
             return {"status": "permission_denied", "payload": {}, "error": "The policy does not allow this call."}
         return getattr(self, f"_{name}")(arguments, role)
 
@@ -69,9 +79,7 @@ class Tools:
         return {"status": "ok", "payload": rows[0].asDict(), "error": None} if rows else {"status": "not_found", "payload": {}, "error": "No such procedure in this environment."}
 
     def _lookup_service_centers(self, a: dict, role: str) -> dict:
-        t = self.kb.structured("service_centers").where((F.col("region") == a["region"]) & F.array_contains("models", a["model"]))
-        if a.get("warranty_program"):
-            t = t.where(F.array_contains("warranty_programs", a["warranty_program"]))
+        t = service_centers(self.kb.structured("service_centers"), a["region"], a["model"], a.get("warranty_program"))
         return {"status": "ok", "payload": {"rows": [r.asDict() for r in t.orderBy("name").collect()]}, "error": None}
 
     def _get_document_metadata(self, a: dict, role: str) -> dict:

@@ -77,7 +77,7 @@ class KnowledgeBase:
     def retrieve(self, intents: DataFrame, route: str = "hybrid", k: int = fixed.TOP_K, m: int = fixed.TOP_M, use_ann: bool = False, strict_roles: bool = False) -> DataFrame:
         """Reranked hits with their chunks' fields."""
         chunks = self.table("chunks")
-        visible = retrieval.eligibility(intents, chunks, strict_roles)
+        visible = retrieval.visibility(intents, chunks, strict_roles)
         i = search.BM25(self.table("postings"), self.table("terms"), self.table("stats"))
         found = retrieval.first_pass(intents, chunks, i, self.table("vectors"), self.planes, visible, route, k or fixed.TOP_K, use_ann, self.table("buckets") if use_ann else None)
         q = intents.select("query_id", F.col("tokens").alias("q_tokens"), F.col("identifiers").alias("q_identifiers"), F.col("product").alias("q_product"), F.col("region").alias("q_region"))
@@ -94,7 +94,7 @@ class KnowledgeBase:
 
     def follow(self, intents: DataFrame, hits: DataFrame) -> DataFrame:
         chunks = self.table("chunks")
-        return retrieval.follow_references(hits, chunks, retrieval.eligibility(intents, chunks))
+        return retrieval.follow_references(hits, chunks, retrieval.visibility(intents, chunks))
 
 
 def evaluate(kb: KnowledgeBase, rows: DataFrame, users: DataFrame | None = None, route: str = "hybrid", k: int = 5) -> dict:

@@ -115,5 +115,8 @@ class Trace:
 
 
 def trace_summary(spans: DataFrame) -> DataFrame:
-    d = F.round((F.col("ended_at") - F.col("started_at")) * 1000, 3)
-    return spans.groupBy("name").agg(F.count("*").alias("spans"), F.sum(d).alias("total_ms"), F.max(d).alias("longest_ms"))
+    """name, spans, open (not ended), total_ms, longest_ms, from spans with duration_ms or started_at and ended_at."""
+    if "duration_ms" not in spans.columns:
+        spans = spans.withColumn("duration_ms", F.round((F.col("ended_at") - F.col("started_at")) * 1000, 3))
+    d = F.col("duration_ms")
+    return spans.groupBy("name").agg(F.count("*").alias("spans"), F.count(F.when(d.isNull(), 1)).alias("open"), F.sum(d.cast("decimal(20,3)")).cast("double").alias("total_ms"), F.max(d).alias("longest_ms"))

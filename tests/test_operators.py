@@ -93,13 +93,72 @@ def test_csv_rows(spark):
 def test_ann_falls_back_to_exact_within_eligible(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, [0.0, 1.0])], "chunk_id int, vector array<double>")
     q = spark.createDataFrame([("q", [1.0, 0.1])], "query_id string, vector array<double>")
-    only = spark.createDataFrame([("q", 2)], "query_id string, chunk_id int")
+    members = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "chunk_id int, class_id string")
+    only = search.Visible(members, spark.createDataFrame([("q", "b")], "query_id string, class_id string"))
     planes = [[[1.0, 0.0]]]
-    assert [r.chunk_id for r in search.ann_search(q, v, 5, planes, 1, only).collect()] == [2]
-    none = spark.createDataFrame([], "query_id string, chunk_id int")
+    assert [r.chunk_id for r in search.ann_search(q, v, 5, planes, 1, only, probes=1).collect()] == [2]
+    none = search.Visible(members, spark.createDataFrame([], "query_id string, class_id string"))
     assert search.ann_search(q, v, 5, planes, 1, none).count() == 0
 
 
+@pytest.mark.parametrize("names", ["long", "string"])
+def test_dense_search_against_all_pairs(spark, names, monkeypatch):
+    """Ties, zero vectors, nulls, repeated rows, more queries than a tile, visibility."""
+    monkeypatch.setattr(search, "TILE", 7)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 20)
+    r = random.Random(3)
+    vec = lambda: [r.choice([0.0, 1.0, -1.0, 0.5]) for _ in range(4)]
+    rows = [(k if names == "long" else f"é{k}", vec(), r.choice("abc")) for k in range(150)] + [(900 if names == "long" else "z", None, "a")]
+    queries = [(k, vec()) for k in range(30)] + [(31, [0.0] * 4), (32, None)]
+    seen = [(k, c) for k, _ in queries for c in "abc" if r.random() < 0.5]
+    df = spark.createDataFrame(rows, f"chunk_id {names}, vector array<double>, class_id string").repartition(4)
+    q = spark.createDataFrame(queries, "query_id int, vector array<double>")
+    visible = search.Visible(df.select("chunk_id", "class_id"), spark.createDataFrame(seen, "query_id int, class_id string"))
+
+    def cosine(a, b):
+        n = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b)) / n, 9) if n else 0.0
+
+    for allowed in (None, set(seen)):
+        want = set()
+        for i, a in queries:
+            found = sorted((-cosine(a, b), name) for name, b, c in rows if a and b and (allowed is None or (i, c) in allowed))
+            want |= {(i, name, rank, -s + 0.0) for rank, (s, name) in enumerate(found[:6], 1)}
+        out = search.dense_search(q, df.select("chunk_id", "vector"), 6, None if allowed is None else visible)
+        assert {(x.query_id, x.chunk_id, x.rank, round(x.score, 9) + 0.0) for x in out.collect()} == want
+        assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in out._jdf.queryExecution().executedPlan().toString()
+    assert search.dense_search(q.limit(0), df.select("chunk_id", "vector"), 6).count() == 0
+
+
+def test_probes_go_to_the_nearest_buckets(spark):
+    r = random.Random(9)
+    planes = [[[r.uniform(-1, 1) for _ in range(3)] for _ in range(4)] for _ in range(2)]
+    vec = lambda: [r.uniform(-1, 1) for _ in range(3)]
+    rows, queries = [(k, vec()) for k in range(60)], [(k, vec()) for k in range(5)]
+    side = lambda p, v: sum(x * y for x, y in zip(p, v)) / sum(x * x for x in p) ** 0.5
+    want = set()
+    for i, a in queries:
+        for table in planes:
+            near = sorted((round(sum(side(p, a) ** 2 for j, p in enumerate(table) if m >> (3 - j) & 1), 9), m) for m in range(16))[:5]
+            own = sum((side(p, a) >= 0) << (3 - j) for j, p in enumerate(table))
+            buckets = {own ^ m for _, m in near}
+            want |= {(i, k) for k, b in rows if sum((side(p, b) >= 0) << (3 - j) for j, p in enumerate(table)) in buckets}
+    got = search.lsh_candidates(spark.createDataFrame(queries, "query_id int, vector array<double>"), spark.createDataFrame(rows, "chunk_id int, vector array<double>"), planes, 2, 5)
+    assert {tuple(x) for x in got.collect()} == want
+
+
+def test_visibility_has_a_row_per_class(spark):
+    n = 3000
+    pick = lambda *values: F.get(F.array(*map(F.lit, values)), (F.col("id") % len(values)).cast("int"))
+    chunks = spark.range(n).select(F.col("id").alias("chunk_id"), pick("public", "internal").alias("disclosure"), (F.col("id") % 7 / 7).alias("trust_score"), pick("", "V14", None).alias("product"), pick("EU", "global").alias("region"), F.lit("").alias("effective_date"), F.array(F.lit("x")).alias("allowed_roles"))
+    queries = spark.range(10_000).select(F.col("id").alias("query_id"), F.array(F.lit("public")).alias("allowed"), F.lit("external").alias("role"), pick("V14", "X12").alias("product"), F.lit(None).cast("string").alias("region"), F.lit(None).cast("string").alias("disclosure"), F.lit(None).cast("string").alias("after_date"))
+    visible = retrieval.visibility(queries, chunks)
+    assert visible.seen.count() <= 10_000 * 24
+    found = spark.createDataFrame([(0, k) for k in range(n)] + [(1, k) for k in range(n)], "query_id long, chunk_id long")
+    got = {tuple(r) for r in visible.only(found).collect()}
+    assert got == {(i, k) for i in (0, 1) for k in range(n) if k % 2 == 0 and k % 7 / 7 >= 0.4 and (k % 3 != 1 or i == 0)}
+
+
 def test_pack_is_first_fit(spark):
     sizes = [300, 200, 100]
     rows = [("q", i + 1, f"c{i}", "d", "s", " ".join(["w"] * (n - 2)) + ".", ["w"]) for i, n in enumerate(sizes)]
