@@ -77,7 +77,10 @@ def cut(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    start = np.union1d(before_spaces(buf), off[:-1][np.diff(off) > 0])
+    first = np.zeros(n, bool)
+    first[before_spaces(buf)] = True
+    first[off[:-1][np.diff(off) > 0]] = True
+    start = np.flatnonzero(first)
     return start, np.append(start[1:], n), np.searchsorted(off, start, "right") - 1
 
 
