@@ -195,14 +195,55 @@ def windows(parts: DataFrame, column: str = "body", size: int = fixed.CHUNK_TOKE
     return one.withColumn("window", F.when(n <= size, F.btrim(F.col(column), F.lit(_BLANKS))).otherwise(rendered)).drop("_t", "_lines", "_lt", "_s")
 
 
+#: A comma and its cell; a cell that begins with a quote goes to the quote that ends it, or to the end of the line.
+_CELL = r',(?:"(?:[^"]++|"")*+(?:"[^,]*+|\z)|[^,]*+)'
+_OPEN = r'^,"(?:[^"]++|"")*+\z'
+
+
+def csv_records(docs: DataFrame) -> DataFrame:
+    """doc_id, record (from 0), cells of texts in CSV, blank records left out. Null and empty texts have none.
+
+    A quote opens a cell only at its beginning; in a quoted cell two quotes stand for one, commas stay and line breaks
+    vanish; what follows the closing quote is taken as it is. A quote that nothing closes runs to the text's end.
+
+    Whether a line begins in quotes depends on the lines before it: each of them leaves that as it is, turns it round,
+    or sets it. So it is what the last line that set it gave, turned round as often as there were turning lines since:
+    running sums in place of a walk."""
+    cells = lambda s: F.regexp_extract_all(s, F.lit(_CELL), F.lit(0))
+    ends_open = lambda start: F.element_at(cells(F.concat(F.lit(start), "line")), -1).rlike(_OPEN)
+    quoted = F.col("line").contains('"')
+    line = docs.select("doc_id", F.posexplode(F.split(newlines(F.coalesce("text", F.lit(""))), "\\n")).alias("pos", "line"))
+    line = line.withColumn("out", F.when(quoted, ends_open(",")).otherwise(F.lit(False))).withColumn("in", F.when(quoted, ends_open(',"')).otherwise(F.lit(True)))
+    by = Window.partitionBy("doc_id").orderBy("pos")
+    line = line.withColumn("turns", F.sum((F.col("out") & ~F.col("in")).cast("int")).over(by))
+    # What a line sets, with the turns up to it, as one value.
+    line = line.withColumn("set", F.last(F.when(F.col("out") == F.col("in"), F.struct("out", "turns")), ignorenulls=True).over(by))
+    after = (F.coalesce("set.out", F.lit(False)).cast("int") + F.col("turns") - F.coalesce("set.turns", F.lit(0))) % 2
+    line = line.withColumn("after", after).withColumn("begins", F.coalesce(F.lag("after").over(by), F.lit(0)) == 0)
+    line = line.withColumn("record", F.sum(F.col("begins").cast("int")).over(by) - 1)
+    whole = line.groupBy("doc_id", "record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "").alias("line")).where("line <> ''")
+    plain = lambda c: F.when(c.startswith(',"'), F.concat(F.replace(F.regexp_extract(c, r'^,"((?:[^"]++|"")*+)', 1), F.lit('""'), F.lit('"')), F.regexp_extract(c, r'^,"(?:[^"]++|"")*+"?([^,]*+)\z', 1))).otherwise(F.substr(c, F.lit(2)))
+    return whole.select("doc_id", "record", F.transform(cells(F.concat(F.lit(","), "line")), plain).alias("cells"))
+
+
 def csv_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, nth (from 1), row (map) of documents whose text is CSV with a header line and no quoted line breaks."""
-    lines = F.filter(F.split(newlines(F.col("text")), "\\n"), lambda s: F.btrim(s) != "")
-    cells = lambda s: F.transform(F.split(s, ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)", -1), lambda c: F.replace(F.regexp_replace(F.btrim(c), "^\"(.*)\"$", "$1"), F.lit('""'), F.lit('"')))
-    one = docs.select("doc_id", cells(F.get(lines, F.lit(0))).alias("head"), F.posexplode(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))).alias("p", "line"))
-    n = F.size("head")
-    padded = F.slice(F.concat(cells(F.col("line")), F.array_repeat(F.lit(""), n)), F.lit(1), n)
-    return one.select("doc_id", (F.col("p") + 1).alias("nth"), "head", padded.alias("cells"))
+    """doc_id, nth (from 1), head, cells, more: the records after each text's first, which names the columns. cells has
+    a value for each distinct name (the last of a name that comes again), null where the record is too short; more
+    has what goes beyond the names."""
+    by = Window.partitionBy("doc_id").orderBy("record")
+    r = csv_records(docs).withColumn("names", F.first("cells").over(by)).withColumn("nth", F.row_number().over(by) - 1).where("nth > 0")
+    last = lambda name: F.size("names") - F.array_position(F.reverse("names"), name)
+    head = F.array_distinct("names")
+    return r.select("doc_id", "nth", head.alias("head"), F.transform(head, lambda k: F.get("cells", last(k).cast("int"))).alias("cells"), F.slice("cells", F.size("names") + 1, F.greatest(F.size("cells") - F.size("names"), F.lit(0))).alias("more"))
+
+
+def csv_fields(head: str = "head", cells: str = "cells", more: str = "more") -> Column:
+    """'name: value; ...' of a row: None for what is missing, and what is too much as a list under None."""
+    escaped = lambda s: F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit("\t"), F.lit("\\t"))
+    shown = lambda s: F.when(s.contains("'") & ~s.contains('"'), F.concat(F.lit('"'), escaped(s), F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(escaped(s), F.lit("'"), F.lit("\\'")), F.lit("'")))
+    named = F.zip_with(head, cells, lambda h, c: F.concat(h, F.lit(": "), F.coalesce(c, F.lit("None"))))
+    rest = F.when(F.size(more) > 0, F.array(F.concat(F.lit("None: ["), F.array_join(F.transform(more, shown), ", "), F.lit("]")))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(named, rest), "; ")
 
 
 _INHERIT = ("title", "product", "region", "effective_date", "version", "authority", "status", "disclosure", "allowed_roles", "tags", "references", "trust_score", "quality_score")
@@ -219,8 +260,7 @@ def chunk_documents(docs: DataFrame, size: int = fixed.CHUNK_TOKENS, overlap: in
     keep = docs.select("doc_id", *_INHERIT)
     chunks = every.withColumn("order", place).join(keep, "doc_id").withColumn("text", F.concat("title", F.lit(". "), "section", F.lit(". "), "body")).withColumn("chunk_id", F.format_string("%s:chunk-%02d", "doc_id", "order"))
     line = csv_rows(table)
-    fields = F.array_join(F.zip_with("head", "cells", lambda h, c: F.concat(h, F.lit(": "), c)), "; ")
-    csv = line.join(keep, "doc_id").select("*", (F.col("nth") - 1).alias("order"), F.format_string("Row %d", "nth").alias("section"), F.concat("title", F.format_string(". Row %d. ", "nth"), fields).alias("text"), F.format_string("%s:row-%02d", "doc_id", "nth").alias("chunk_id"))
+    csv = line.join(keep, "doc_id").select("*", (F.col("nth") - 1).alias("order"), F.lit("row").alias("section"), F.concat("title", F.format_string(". Row %d. ", "nth"), csv_fields()).alias("text"), F.format_string("%s:row-%02d", "doc_id", "nth").alias("chunk_id"))
     columns = ["chunk_id", "doc_id", "text", "section", "order", *_INHERIT]
     both = chunks.select(*columns).unionByName(csv.select(*columns))
     return both.withColumn("token_count", F.size(text.tokenize("text")))

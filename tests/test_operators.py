@@ -1,5 +1,6 @@
 """Operators on small fixtures of our own."""
 
+import csv
 import itertools
 import random
 
@@ -87,7 +88,29 @@ def test_index_of_a_query_sets_terms_alone(spark):
 def test_csv_rows(spark):
     docs = spark.createDataFrame([("c", 'a,b\n1,"x, y"\n\n2')], "doc_id string, text string")
     got = documents.csv_rows(docs).orderBy("nth").collect()
-    assert [(r.nth, r.head, r.cells) for r in got] == [(1, ["a", "b"], ["1", "x, y"]), (2, ["a", "b"], ["2", ""])]
+    assert [(r.nth, r.head, r.cells) for r in got] == [(1, ["a", "b"], ["1", "x, y"]), (2, ["a", "b"], ["2", None])]
+
+
+def test_csv_records_against_the_csv_module(spark):
+    r = random.Random(7)
+    texts = ["".join(r.choice('ab",,""\n\n \r\'\\\t') for _ in range(r.randrange(0, 40))) for _ in range(1500)]
+    texts += ["", None, 'a\n"', "h,h\n1", 'x,y\n"' + '""' * 20000 + 'end\n"' * 3 + ",2,3", "a\n" + "b," * 20000, "q\n" + '"z\n' * 5001]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    want = {(i, n): cells for i, t in enumerate(texts) for n, cells in enumerate(c for c in csv.reader((t or "").splitlines()) if c)}
+    got = documents.csv_records(docs).collect()
+    order = sorted((x.doc_id, x.record, x.cells) for x in got)
+    numbered = {(i, n): cells for i, of in itertools.groupby(order, lambda x: x[0]) for n, (_, _, cells) in enumerate(of)}
+    assert numbered == want
+    named = {}
+    for i, t in enumerate(texts):
+        lines = [x for x in (t or "").splitlines()]
+        while lines and not lines[0]:
+            lines = lines[1:]
+        for n, row in enumerate(csv.DictReader(lines), 1):
+            named[i, n] = "; ".join(f"{k}: {v}" for k, v in row.items())
+    rows = documents.csv_rows(docs).select("doc_id", "nth", documents.csv_fields().alias("s")).collect()
+    assert {(x.doc_id, x.nth): x.s for x in rows} == named
+
 
 
 def test_ann_falls_back_to_exact_within_eligible(spark):
