@@ -434,14 +434,26 @@ def pack_context(spark, d):
     return p.select("query_id", F.array_join("chunk_ids", ",").alias("chunk_ids"), "token_count", F.sha2("context", 256).alias("context_sha256"))
 
 
-@_query(f"""WITH {_BM25.strip()}, {_bm25_sql('hit', 3)} SELECT DISTINCT h.query_id, d.doc_id AS chunk_id FROM hit h JOIN documents d ON d.doc_id = h.chunk_id + 1 OR (d.doc_id = h.chunk_id * 2 AND d.doc_id < 10000) WHERE d.lang = 'en'""")
+@_query(f"""WITH {_BM25.strip()}, {_bm25_sql('hit', 3)} SELECT DISTINCT h.query_id, d.doc_id AS chunk_id FROM hit h JOIN documents d ON d.doc_id = h.chunk_id + 1 OR d.doc_id = (h.chunk_id * 2) % 10000 WHERE d.lang = 'en'""")
 def follow_references(spark, d):
-    """Each document lists the next id as a reference and names the double of its own in its text, where identifiers
-    have four digits at most; only English ones are visible."""
+    """Each document lists the next id as a reference and names the last four digits of the double of its own in its text;
+    only English ones are visible."""
+    return retrieval.follow_references(_referring(_found(spark, d, 3)), _referring(_chunks(spark, d)), _found_eligible(spark, d)).drop("hop")
+
+
+def _referring(t: DataFrame) -> DataFrame:
     i, name = F.col("chunk_id"), lambda x: F.concat(F.lit("IR-"), x.cast("string"))
-    hits = _found(spark, d, 3).withColumn("references", F.array(name(i + 1))).withColumn("text", F.concat(F.lit("it came before "), name(i * 2), F.lit(", and IR was not it")))
-    c = _chunks(spark, d).withColumn("doc_id", name(i))
-    return retrieval.follow_references(hits, c, _found_eligible(spark, d))
+    return t.withColumns({"doc_id": name(i), "references": F.array(name(i + 1)), "text": F.concat(F.lit("it came before "), name(i * 2 % 10000), F.lit(", and IR was not it"))})
+
+
+@_query(f"""WITH RECURSIVE {_BM25.strip()}, {_bm25_sql('hit', 3)},
+link AS (SELECT a, b FROM (SELECT doc_id AS a, doc_id + 1 AS b FROM documents UNION SELECT doc_id, doc_id * 2 % 10000 FROM documents) x JOIN documents t ON t.doc_id = b AND t.lang = 'en'),
+walk AS (SELECT query_id, b AS chunk_id, 1 AS hop FROM hit JOIN link ON a = chunk_id UNION SELECT query_id, b, hop + 1 FROM walk JOIN link ON a = chunk_id WHERE hop < 4)
+SELECT query_id, chunk_id, CAST(min(hop) AS INTEGER) AS hop FROM walk GROUP BY ALL""")
+def follow_hops(spark, d):
+    """What questions' hits refer to within four steps, through visible documents only, with the fewest steps; the links
+    hold circles and chains."""
+    return retrieval.follow_references(_referring(_found(spark, d, 3)), _referring(_chunks(spark, d)), _found_eligible(spark, d), 4)
 
 
 def _found_eligible(spark, d) -> search.Visible:

@@ -39,6 +39,8 @@ TOP_K, TOP_M, BUDGET, RRF = 8, 5, 420, 60
 RERANK = {"identifier": 1.2, "product": 0.4, "region": 0.3, "approved": 0.25, "superseded": -0.35, "quality": -0.20, "trust": -0.20, "overlap": 0.03, "repeat": -0.15}
 SUPPORT_OVERLAP, SUPPORT_NUMBERS, SUPPORTED = 0.7, 0.3, 0.55
 MAX_STEPS, RETRY_UNDER = 6, 0.02
+#: Steps along references from a hit.
+FOLLOW_HOPS = 3
 
 # What queries mean. Later task rules win over earlier ones; the first region and product found count.
 TASKS = (

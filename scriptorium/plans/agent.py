@@ -155,9 +155,12 @@ def run(query: str, kb: KnowledgeBase, ws: Workspace, role: str = "field_support
             pairs.setdefault((r.product, r.region), set()).add(r.status)
         if high_stakes and any({"active", "superseded"} <= s for s in pairs.values()):
             return out | {"status": "escalate", "answer_text": "Conflicting sources need a human review.", "escalation": "conflicting sources"}
-        if seen["task_type"] in ("multi_hop", "procedural"):
+        if seen["task_type"] == "multi_hop" or (seen["task_type"] == "procedural" and not behind):
             with trace.span("follow_reference") as span:
-                out["followed"] = span["chunks"] = [r.chunk_id for r in kb.follow(base, hits).orderBy("chunk_id").limit(3).collect()]
+                every = kb.with_followed(base, hits).persist()
+                shown = {r.chunk_id for r in rows}
+                out["followed"] = span["chunks"] = [r.chunk_id for r in every.orderBy("final_rank").select("chunk_id").collect() if r.chunk_id not in shown]
+                hits = every
         with trace.span("synthesize"):
             a = kb.answer(base, SEARCH.get(route, "hybrid"), hits=hits).first().asDict()
         if multi_agent:

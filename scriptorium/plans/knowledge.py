@@ -92,9 +92,13 @@ class KnowledgeBase:
         out = answer.answers(intents, used, retrieval.conflicts(used))
         return out.join(packed.select("query_id", "context", "token_count"), "query_id", "left")
 
-    def follow(self, intents: DataFrame, hits: DataFrame) -> DataFrame:
+    def follow(self, intents: DataFrame, hits: DataFrame, hops: int = 1) -> DataFrame:
         chunks = self.table("chunks")
-        return retrieval.follow_references(hits, chunks, retrieval.visibility(intents, chunks))
+        return retrieval.follow_references(hits, chunks, retrieval.visibility(intents, chunks), hops)
+
+    def with_followed(self, intents: DataFrame, hits: DataFrame, hops: int = fixed.FOLLOW_HOPS) -> DataFrame:
+        """hits and what they refer to, to pack and to cite together; pass it to answer as its hits."""
+        return retrieval.with_followed(hits, self.follow(intents, hits, hops), self.table("chunks"))
 
 
 def evaluate(kb: KnowledgeBase, rows: DataFrame, users: DataFrame | None = None, route: str = "hybrid", k: int = 5) -> dict:

@@ -262,3 +262,17 @@ def test_equal_texts_of_a_hot_class(spark):
     rows = [(i, "T", "p", "same" if i % 3 else f"t{i}", i) for i in range(4500)]
     got = documents.exact_duplicates(spark.createDataFrame(rows, "doc_id int, title string, product string, text string, ordinal int")).collect()
     assert len(got) == 4500 and {r.doc_id: r.duplicate_of for r in got} == {i: 1 if i % 3 and i > 1 else None for i in range(4500)}
+
+
+def test_following_ends_in_circles_and_at_hidden_documents(spark):
+    docs = {"IR-1": ["IR-2"], "IR-2": ["IR-3", "IR-9"], "IR-3": ["IR-1", "IR-4"], "IR-4": ["IR-5"], "IR-5": [], "IR-9": ["IR-8"], "IR-8": []}
+    chunks = spark.createDataFrame([(f"{i}:{n}", i, refs if n == 0 else None, "see IR-7" if i == "IR-5" else "") for i, refs in docs.items() for n in (0, 1)], "chunk_id string, doc_id string, references array<string>, text string")
+    seen = search.Visible(chunks.select("chunk_id", F.when(F.col("doc_id") == "IR-9", "hidden").otherwise("all").alias("class_id")), spark.createDataFrame([("q", "all"), ("r", "all"), ("r", "hidden")], "query_id string, class_id string"))
+    hits = chunks.where("chunk_id = 'IR-1:0'").withColumn("query_id", F.explode(F.array(F.lit("q"), F.lit("r"))))
+    got = {(r.query_id, r.chunk_id): r.hop for r in retrieval.follow_references(hits, chunks, seen, 3).collect()}
+    for_all = {"IR-2": 1, "IR-3": 2, "IR-1": 3, "IR-4": 3}
+    want = {(q, f"{i}:{n}"): h for q in "qr" for i, h in for_all.items() for n in (0, 1)} | {("r", f"{i}:{n}"): h for i, h in {"IR-9": 2, "IR-8": 3}.items() for n in (0, 1)}
+    assert got == want
+    ranked = hits.withColumns({"final_rank": F.lit(1), "final_score": F.lit(0.5), "q_tokens": F.array(F.lit("t")), "reasons": F.array().cast("array<string>")})
+    every = retrieval.with_followed(ranked, retrieval.follow_references(hits, chunks, seen, 3), chunks).where("query_id = 'r'").orderBy("final_rank").collect()
+    assert [(r.final_rank, r.chunk_id, r.q_tokens) for r in every] == [(1, "IR-1:0", ["t"]), (2, "IR-2:0", ["t"]), (3, "IR-2:1", ["t"]), (4, "IR-3:0", ["t"])]
