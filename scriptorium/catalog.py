@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import fixed, rules
 from .functions import policy, text
 from .operators import answer, documents, evaluation, intent, memory, retrieval, search
-from .plans import agent
+from .plans import agent, batch
 from .sources import snapshots
 
 _Q: dict = {}
@@ -557,6 +557,56 @@ def agent_routes(spark, d):
     return r.select("conv_id", "turn", "route", intent.profile(F.col("route")).alias("profile"), intent.retry_route(F.col("route")).alias("retry"))
 
 
+_RETRY_UNDER = 20.0
+
+
+def _index_sql(name: str, where: str) -> str:
+    return f"""
+{name}_tk AS (SELECT doc_id AS chunk_id, {tok("source || ' ' || text")} AS t FROM documents WHERE {where}),
+{name}_post AS (SELECT chunk_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM {name}_tk) GROUP BY ALL),
+{name}_terms AS (SELECT term, count(*) AS df FROM {name}_post GROUP BY term), {name}_st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM {name}_tk)"""
+
+
+def _search_sql(name: str, index: str, rows: str, k1: float, b: float) -> str:
+    return f"""
+{name}_s AS (SELECT query_id, chunk_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {k1 + 1} / (tf + {k1} * (1 - {b} + {b} * dl / avgdl))) AS score
+  FROM {index}_post JOIN (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tok("n")}) AS term FROM {rows}) GROUP BY ALL) USING (term) JOIN {index}_terms USING (term), {index}_st GROUP BY query_id, chunk_id),
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM {name}_s) WHERE rank <= 3)"""
+
+
+@_query(f"""{rules.QUESTION_RULES_SQL.rsplit("SELECT conv_id, turn, task_type", 1)[0].rstrip()},
+{_index_sql("en", "lang = 'en'").strip()}, {_index_sql("al", "true").strip()},
+m2 AS (SELECT conv_id || ':' || turn AS query_id, n, high, route, len(missing) > 0 AS asked, route IN ('sparse_first', 'cheap_default') AS by_words FROM m), m3 AS (SELECT * FROM m2 WHERE by_words AND NOT asked),
+{_search_sql("lex", "en", "m3", fixed.K1, fixed.B).strip()},
+again AS (SELECT m3.query_id FROM m3 LEFT JOIN (SELECT * FROM lex WHERE rank = 1) b ON b.query_id = m3.query_id WHERE coalesce(round(score, 9) < {_RETRY_UNDER}, true)),
+m4 AS (SELECT * FROM m2 WHERE NOT asked AND (NOT by_words OR query_id IN (SELECT query_id FROM again))),
+{_search_sql("wide", "al", "m4", 0.9, 0.0).strip()},
+hits AS (SELECT query_id, chunk_id FROM lex WHERE query_id NOT IN (SELECT query_id FROM again) UNION ALL SELECT query_id, chunk_id FROM wide),
+found AS (SELECT query_id, count(*) AS n_hits FROM hits GROUP BY query_id),
+tense AS (SELECT DISTINCT query_id FROM (SELECT query_id FROM hits GROUP BY query_id, chunk_id % 2 HAVING bool_or(chunk_id % 3 = 0) AND bool_or(chunk_id % 3 > 0))),
+s AS (SELECT m2.*, coalesce(n_hits, 0) AS n_hits, m2.query_id IN (SELECT query_id FROM again) AS twice, CASE WHEN asked THEN NULL WHEN n_hits IS NULL THEN 'no evidence' WHEN high AND m2.query_id IN (SELECT query_id FROM tense) THEN 'conflicting sources' END AS reason FROM m2 LEFT JOIN found USING (query_id))
+SELECT query_id, CASE WHEN twice THEN 'hybrid_plus_careful' ELSE route END AS route, CAST(CASE WHEN asked THEN 0 WHEN twice THEN 2 ELSE 1 END AS INTEGER) AS tries,
+ CASE WHEN asked THEN 'clarify' WHEN reason IS NOT NULL THEN 'escalate' ELSE 'answer' END AS status, reason, n_hits FROM s""")
+def agent_batch(spark, d):
+    """Where the controller leaves each turn that asks: asked back, answered or sent on to people, after one search or two.
+    By words alone only English documents are found, on the careful route all of them."""
+    t = rules.asked(spark, d).withColumn("query_id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    i = intent.infer(t, "q").withColumnRenamed("high", "high_stakes")
+    i = i.withColumn("route", intent.route(F.col("task_type"), F.col("identifiers"), F.col("high_stakes"), F.col("normalized")))
+    of = F.col("chunk_id")
+    kinds = {"product": (of % 2).cast("string"), "region": F.lit("EU"), "status": F.when(of % 3 == 0, "active").otherwise("superseded")}
+
+    text_of = lambda rows: rows.select("query_id", F.col("normalized").alias("text"))
+    c, terms = _chunks(spark, d), search.query_terms(text_of(i))
+
+    def retrieve(rows: DataFrame, how: str) -> DataFrame:
+        q = text_of(rows)
+        found = search.bm25_search(q, search.bm25_index(c.where("lang = 'en'"), only=terms), 3) if how == "sparse" else search.bm25_search(q, search.bm25_index(c, only=terms), 3, 0.9, 0.0)
+        return found.select("query_id", "chunk_id", F.col("rank").alias("final_rank"), F.round("score", search.PLACES).alias("final_score"), of.cast("string").alias("title")).withColumns(kinds)
+
+    return batch.supersteps(i, retrieve, _RETRY_UNDER)[0]
+
+
 @_query("SELECT conv_id AS session_id, role AS key, arg_max(text, turn) AS value, max(turn) AS seq FROM conversations GROUP BY conv_id, role")
 def session_memory_latest(spark, d):
     e = _t(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("role").alias("key"), F.col("text").alias("value"), F.col("turn").alias("seq"))

@@ -57,9 +57,10 @@ def comparison_claims(evidence: DataFrame) -> DataFrame:
     return one.select("query_id", F.explode(F.when(F.col("new.doc_id") != F.col("old.doc_id"), F.array(newest, oldest)).otherwise(F.array(newest))).alias("c")).select("query_id", "c.claim_no", "c.claim")
 
 
-def claims_for(intents: DataFrame, evidence: DataFrame, conflicts: DataFrame | None = None, careful: bool = True) -> DataFrame:
+def claims_for(intents: DataFrame, evidence: DataFrame, conflicts: DataFrame | None = None, careful: bool | str = True) -> DataFrame:
     """query_id, claim_no, claim by task: comparison, procedural (two sentences and the sources), others (two sentences);
-    then the conflicts, all for a comparison and the first for others, and where careful a note on several."""
+    then the conflicts, all for a comparison and the first for others, and where careful a note on several; careful
+    can be the name of a boolean column of intents."""
     task = intents.select("query_id", "task_type")
     compare = comparison_claims(evidence.join(task.where("task_type = 'comparison'"), "query_id", "left_semi"))
     rest = evidence.join(task.where("task_type <> 'comparison'"), "query_id", "left_semi")
@@ -75,7 +76,8 @@ def claims_for(intents: DataFrame, evidence: DataFrame, conflicts: DataFrame | N
     note = note.withColumn("claim_no", place + 3).where("task_type = 'comparison' or claim_no = 4 and task_type <> 'procedural'")
     out = out.unionByName(note.select("query_id", "claim_no", "claim"))
     if careful:
-        many = conflicts.groupBy("query_id").agg(F.count("*").alias("n")).where("n > 1").join(task, "query_id", "left_semi")
+        noted = intents.where(F.col(careful)).select("query_id") if isinstance(careful, str) else task
+        many = conflicts.groupBy("query_id").agg(F.count("*").alias("n")).where("n > 1").join(noted, "query_id", "left_semi")
         out = out.unionByName(many.select("query_id", (F.col("n") + 4).cast("int").alias("claim_no"), F.lit(fixed.MANY_CONFLICTS).alias("claim")))
     return out
 
@@ -83,7 +85,7 @@ def claims_for(intents: DataFrame, evidence: DataFrame, conflicts: DataFrame | N
 CLAIMS = "array<struct<claim_no: int, claim: string, supported: boolean, support: double, chunk_id: string, support_span: string>>"
 
 
-def answers(intents: DataFrame, evidence: DataFrame, conflicts: DataFrame | None = None, careful: bool = True) -> DataFrame:
+def answers(intents: DataFrame, evidence: DataFrame, conflicts: DataFrame | None = None, careful: bool | str = True) -> DataFrame:
     """query_id, answer_text, abstained, clarification, groundedness, claims (each with its citation) for each query.
 
     Without evidence or with missing scope the answer abstains; else it is the claims behind a lead."""

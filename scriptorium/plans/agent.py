@@ -1,5 +1,5 @@
 """A bounded controller over the knowledge base and its tools. Each step runs one distributed query and brings a
-query's few hits to the driver; for batches, use KnowledgeBase.answer."""
+query's few hits to the driver; for batches, use plans.batch."""
 
 from __future__ import annotations
 
@@ -157,12 +157,13 @@ def run(query: str, kb: KnowledgeBase, ws: Workspace, role: str = "field_support
             return out | {"status": "escalate", "answer_text": "Conflicting sources need a human review.", "escalation": "conflicting sources"}
         if seen["task_type"] == "multi_hop" or (seen["task_type"] == "procedural" and not behind):
             with trace.span("follow_reference") as span:
-                every = kb.with_followed(base, hits).persist()
+                every = kb.with_followed(base, hits)
                 shown = {r.chunk_id for r in rows}
                 out["followed"] = span["chunks"] = [r.chunk_id for r in every.orderBy("final_rank").select("chunk_id").collect() if r.chunk_id not in shown]
                 hits = every
         with trace.span("synthesize"):
-            a = kb.answer(base, SEARCH.get(route, "hybrid"), hits=hits).first().asDict()
+            careful = route in ("hybrid_plus_careful", "structured_then_policy") or seen["task_type"] in ("multi_hop", "procedural")
+            a = kb.answer(base, SEARCH.get(route, "hybrid"), hits=hits, careful=careful).first().asDict()
         if multi_agent:
             out["notes"].append("verifier: claims need more support" if (a["groundedness"] or 0) < fixed.SUPPORTED else "verifier: claims are supported")
             if role == "distributor_support":

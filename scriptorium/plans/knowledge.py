@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import policy
 from ..operators import answer, documents, evaluation, intent, retrieval, search
+from ..operators.lineage import cut
 from ..sources import files
 from ..sources.snapshots import Workspace
 
@@ -83,13 +84,13 @@ class KnowledgeBase:
         q = intents.select("query_id", F.col("tokens").alias("q_tokens"), F.col("identifiers").alias("q_identifiers"), F.col("product").alias("q_product"), F.col("region").alias("q_region"))
         return retrieval.rerank(found.join(chunks, "chunk_id").join(F.broadcast(q), "query_id"), m or fixed.TOP_M)  # a stated query set
 
-    def answer(self, intents: DataFrame, route: str = "hybrid", budget: int = fixed.BUDGET, hits: DataFrame | None = None, **options) -> DataFrame:
-        """query_id, answer_text, abstained, clarification, groundedness, context, token_count. The hits, a few per
+    def answer(self, intents: DataFrame, route: str = "hybrid", budget: int = fixed.BUDGET, hits: DataFrame | None = None, careful: bool | str = True, **options) -> DataFrame:
+        """query_id, answer_text, abstained, clarification, groundedness, claims, context, token_count. The hits, a few per
         query, feed several branches, so they are kept; pass them in to use those of an earlier retrieve."""
         hits = self.retrieve(intents, route, **options).persist() if hits is None else hits
         packed = retrieval.pack(hits, budget or fixed.BUDGET)
         used = hits.join(packed.select("query_id", F.explode("chunk_ids").alias("chunk_id")), ["query_id", "chunk_id"], "left_semi").withColumn("rank", F.col("final_rank"))
-        out = answer.answers(intents, used, retrieval.conflicts(used))
+        out = answer.answers(intents, used, retrieval.conflicts(used), careful)
         return out.join(packed.select("query_id", "context", "token_count"), "query_id", "left")
 
     def follow(self, intents: DataFrame, hits: DataFrame, hops: int = 1) -> DataFrame:
@@ -98,7 +99,8 @@ class KnowledgeBase:
 
     def with_followed(self, intents: DataFrame, hits: DataFrame, hops: int = fixed.FOLLOW_HOPS) -> DataFrame:
         """hits and what they refer to, to pack and to cite together; pass it to answer as its hits."""
-        return retrieval.with_followed(hits, self.follow(intents, hits, hops), self.table("chunks"))
+        hits = cut(hits)
+        return cut(retrieval.with_followed(hits, self.follow(intents, hits, hops), self.table("chunks")))
 
 
 def evaluate(kb: KnowledgeBase, rows: DataFrame, users: DataFrame | None = None, route: str = "hybrid", k: int = 5) -> dict:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium import cli
-from scriptorium.plans import agent, knowledge
+from scriptorium.plans import agent, batch, knowledge
 from scriptorium.sources import files
 from scriptorium.sources.snapshots import Workspace, trace_summary
 from scriptorium.streaming import incremental
@@ -80,6 +80,34 @@ def test_answer_and_agent(spark, ws):
     assert {r.chunk_id.split(":")[0] for r in follow.collect()} == {"SB-10"}
 
 
+def test_followed_documents_are_packed_and_cited(spark, ws):
+    kb = _kb(spark, ws)
+    i = kb.intents(kb.queries([("a", "Why does the valve cover torque differ from the earlier value?", "field_support", "EU", False)]))
+    near = kb.retrieve(i).where("doc_id = 'SB-20'")
+    every = kb.with_followed(i, near)
+    got = {r.doc_id: r.final_rank for r in every.collect()}
+    assert set(got) == {"SB-20", "SB-10"} and got["SB-10"] > got["SB-20"]
+    a = kb.answer(i, hits=every).first()
+    assert "[SB-10 |" in a.context and "[SB-10 |" not in kb.answer(i, hits=near).first().context
+
+
+def test_a_batch_ends_as_each_query_does_alone(spark, ws):
+    kb = _kb(spark, ws)
+    rows = [
+        ("one", "What is the V14 valve cover torque with firmware 3.2 in SB-20?", "field_support", "EU", False), ("ask", "Which warranty applies?", "field_support", "EU", False),
+        ("centres", "Which EU service centers handle V14?", "field_support", "global", False), ("steps", "What are the steps of the key rotation in staging?", "field_support", "EU", False),
+        ("hop", "Why does the V14 valve torque differ from the earlier value?", "field_support", "EU", False), ("high", "Compare the V14 valve torque values in EU", "field_support", "EU", True),
+        ("none", "zzzz", "nobody", "EU", False),
+    ]
+    got = {r.query_id: r for r in batch.answer_batch(kb, kb.queries(rows), multi_agent=True).collect()}
+    assert {k: r.status for k, r in got.items()} == {"one": "answer", "ask": "clarify", "centres": "answer", "steps": "answer", "hop": "answer", "high": "escalate", "none": "escalate"}
+    assert got["high"].reason == "conflicting sources" and got["none"].reason == "no evidence" and got["none"].tries == 2
+    assert got["centres"].answer_text.startswith("Structured lookup found service centers: North. ") and got["steps"].answer_text.endswith("Tool lookup found current staging steps: a; b.")
+    for name, query, role, region, high in rows[:5]:
+        alone = agent.run(query, kb, ws, role=role, region=region, high_stakes=high)
+        assert (alone["status"], alone["answer_text"]) == (got[name].status, got[name].answer_text), name
+
+
 def test_tools(spark, ws):
     t = agent.Tools(_kb(spark, ws))
     assert t.execute("nothing", {}, "external")["status"] == "validation_error"
