@@ -12,6 +12,7 @@ from .functions import policy, text
 from .operators import answer, documents, evaluation, intent, memory, retrieval, search
 from .plans import agent, batch
 from .sources import snapshots
+from .streaming import spans
 
 _Q: dict = {}
 _SQL: dict[str, str] = {}
@@ -678,3 +679,28 @@ def span_durations(spark, d):
 @_query(f"WITH {_SPANS} SELECT event_type AS name, count(*) AS spans, count(*) FILTER (WHERE duration_ms IS NULL) AS open, round(sum(duration_ms::DECIMAL(20,3))::DOUBLE, 2) AS total_ms, max(duration_ms) AS longest_ms FROM s GROUP BY event_type")
 def trace_summary(spark, d):
     return snapshots.trace_summary(_spans(spark, d).withColumnRenamed("event_type", "name")).withColumn("total_ms", F.round("total_ms", 2))
+
+
+_KINDS = {"signup": "start", "click": "start", "purchase": "end"}
+
+
+@_query(f"""WITH r AS (SELECT user_id % 15 AS trace_id, strftime(ts, '%Y-%m-%d') || '-' || (event_id % 4) AS span_id, CASE WHEN event_id % 4 > 0 THEN strftime(ts, '%Y-%m-%d') || '-0' END AS parent_id, event_type AS name,
+  CASE {" ".join(f"WHEN event_type = '{t}' THEN '{k}'" for t, k in _KINDS.items())} ELSE 'event' END AS kind, ts FROM events),
+b AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM r WINDOW w AS (PARTITION BY trace_id, span_id ORDER BY ts)),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY trace_id, span_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM b),
+s AS (SELECT trace_id, span_id, nth, max(parent_id) FILTER (WHERE kind = 'start') AS parent_id, max(name) FILTER (WHERE kind = 'start') AS name, min(ts) FILTER (WHERE kind = 'start') AS started_at, max(ts) FILTER (WHERE kind = 'end') AS last_end, count(*) FILTER (WHERE kind = 'event') AS events FROM n GROUP BY ALL),
+c AS (SELECT *, CASE WHEN started_at IS NULL THEN 'orphan' WHEN last_end >= started_at THEN 'closed' ELSE 'timed_out' END AS status, CASE WHEN last_end >= started_at THEN round((epoch_us(last_end) - epoch_us(started_at)) / 1000.0::DOUBLE, 3) END AS duration_ms FROM s),
+k AS (SELECT p.trace_id, p.span_id, p.nth, count(*) AS children, sum(x.duration_ms::DECIMAL(20,3))::DOUBLE AS children_ms FROM c x JOIN c p ON x.trace_id = p.trace_id AND x.parent_id = p.span_id AND x.started_at >= p.started_at AND x.started_at <= p.last_end WHERE x.status = 'closed' AND p.status = 'closed' GROUP BY ALL)
+SELECT c.trace_id, c.span_id, parent_id, name, epoch_us(started_at) AS started_us, events, status, duration_ms, coalesce(children, 0) AS children, CASE WHEN status = 'closed' THEN round(greatest(duration_ms - coalesce(children_ms, 0), 0), 3) END AS self_ms FROM c LEFT JOIN k ON k.trace_id = c.trace_id AND k.span_id = c.span_id AND k.nth = c.nth""")
+def trace_spans(spark, d):
+    """Events as records of spans: a group of users a trace, a quarter of its events of a day a span, of which the first
+    is the others' parent."""
+    i, day = F.col("event_id"), F.date_format("ts", "yyyy-MM-dd")
+    kind = F.lit("event")
+    for t, k in _KINDS.items():
+        kind = F.when(F.col("event_type") == t, k).otherwise(kind)
+    r = _t(spark, d, "events").select(
+        (F.col("user_id") % 15).alias("trace_id"), F.concat(day, F.lit("-"), (i % 4).cast("string")).alias("span_id"), F.when(i % 4 > 0, F.concat(day, F.lit("-0"))).alias("parent_id"), F.col("event_type").alias("name"), kind.alias("kind"), "ts"
+    )
+    s = spans.self_times(spans.close_spans(r, "6 hours"))
+    return s.select("trace_id", "span_id", "parent_id", "name", F.unix_micros("started_at").alias("started_us"), "events", "status", "duration_ms", "children", "self_ms")

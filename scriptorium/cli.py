@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .operators import answer as answers
 from .plans import agent, knowledge
 from .sources import files
-from .sources.snapshots import Workspace, trace_summary
+from .sources.snapshots import Workspace, trace_summary, trace_tree
 
 
 def parser() -> argparse.ArgumentParser:
@@ -73,12 +73,16 @@ def _run(a: argparse.Namespace):
     if a.verb == "snapshots":
         return ws.snapshots()
     if a.verb == "trace":
+        if a.trace_id and not a.json:
+            return trace_tree(ws.trace_rows(a.trace_id))
         return [r.asDict() for r in trace_summary(ws.spans(a.trace_id)).orderBy("name").collect()]
     kb = knowledge.KnowledgeBase(spark, ws.resolve(a.snapshot))
     if a.verb == "evaluate":
         users = spark.read.option("multiLine", "true").schema(files.SIDE_SCHEMAS["users"]).json(a.users) if a.users else None
         return knowledge.evaluate(kb, files.read_jsonl(spark, a.dataset, files.QUERY_SCHEMA), users, a.route)
     role, region, high = _user(spark, a)
+    if bad := [x for x in a.assume if not x.partition("=")[0].strip() or "=" not in x]:
+        raise ValueError(f"--assume needs KEY=VALUE, not {bad[0]}")
     given = dict(x.partition("=")[::2] for x in a.assume)
     if a.verb == "agent":
         return agent.run(a.query, kb, ws, role, region, high, given, a.session_id, a.multi_agent)
@@ -105,7 +109,7 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(out, indent=2, ensure_ascii=False, default=str))
     else:
         for row in out:
-            print("  ".join(f"{k}={v}" for k, v in row.items()))
+            print(row if isinstance(row, str) else "  ".join(f"{k}={v}" for k, v in row.items()))
     return 0
 
 

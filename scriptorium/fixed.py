@@ -50,6 +50,7 @@ TASKS = (
     ("multi_hop", ("which supplier", "failure mode", "why ")),
 )
 REGIONS = (("eu", "EU"), ("europe", "EU"), ("poland", "Poland"), ("north america", "North America"), ("na", "North America"), ("global", "global"))
+MODEL_WORDS = ("r-12", "x12", "v14")
 PRODUCTS = (("v14", "V14"), ("x12", "X12"), ("phoenix", "Phoenix"))
 EXPANSIONS = (
     ("tightening requirements", ("installation torque",)),

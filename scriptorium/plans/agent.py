@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import policy
 from ..operators import intent as I
+from ..operators import memory
 from ..sources.snapshots import Workspace
 from .knowledge import KnowledgeBase
 
@@ -93,27 +94,31 @@ class Tools:
 def run(query: str, kb: KnowledgeBase, ws: Workspace, role: str = "field_support", region: str = "global", high_stakes: bool = False, assumptions: dict | None = None, session_id: str | None = None, multi_agent: bool = False) -> dict:
     """One query through plan, tools, retrieval, retry, escalation or answer in at most MAX_STEPS steps."""
     tools = Tools(kb)
-    with ws.trace() as trace:
+    with ws.trace("agent", query) as trace, trace.span("request", role=role, region=region):
         base = kb.intents(kb.queries([("q", query, role, region, high_stakes)]))
         for k in ("product", "region"):
             if assumptions and k in assumptions:
                 base = base.withColumn(k, F.lit(assumptions[k]))
-        remembered = ws.load_memory(session_id) if session_id else {}
-        for k in ("product", "region"):
-            if k in remembered:
-                base = base.withColumn(k, F.coalesce(k, F.lit(remembered[k])))
+        # A region or product that was assumed, or named in the query, comes before what the session remembers.
+        base = memory.recall(base.withColumn("session_id", F.lit(session_id)), ws.memory(session_id)) if session_id else base.withColumns({"remembered": F.array().cast("array<string>"), "conflict": F.lit(False)})
         seen = base.select("*", I.route(F.col("task_type"), F.col("identifiers"), F.lit(high_stakes), F.col("normalized")).alias("route"), I.plan(F.col("task_type"), F.col("missing_scope")).alias("plan")).first().asDict(recursive=True)
         # Filters that the query does not name are searched for, too.
         named = I.search_text(F.col("normalized"), *(F.lit((assumptions or {}).get(k) or seen[k]).cast("string") for k in ("region", "product", "disclosure")))
         base = base.withColumn("normalized", named)
-        route, out = seen["route"], {"query": query, "plan": seen["plan"], "trace_id": trace.id, "steps": [], "structured": [], "notes": []}
+        route, out = seen["route"], {"query": query, "plan": seen["plan"], "trace_id": trace.id, "steps": [], "structured": [], "notes": [f"remembered {x}" for x in seen["remembered"]]}
+        if seen["remembered"]:
+            trace.event("memory", filled=seen["remembered"])
+        if seen["conflict"]:
+            out["notes"].append("the query names another model than the session; only its profile is kept")
+            trace.event("memory_conflict", product=seen["product"])
+            ws.forget_memory(session_id)
         missing = [k for k in seen["missing_scope"] if not (assumptions or {}).get(k)]
         if missing:
             ask = f"{fixed.ASK_SCOPE}{', '.join(missing)}."
             options = f" Options: {', '.join(seen['ambiguous_options'])}." if seen["ambiguous_options"] else ""
             return out | {"status": "clarify", "answer_text": ask + options, "clarification": ask + options}
         base = base.withColumn("missing_scope", F.array().cast("array<string>"))
-        learned, before, behind = [(k, seen[k], "query", "session", 1.0) for k in ("product", "region") if seen[k]], "", ""
+        learned, before, behind = [(k, seen[k], "query", "session", 1.0) for k in ("product", "region") if seen[k] and not seen["conflict"]], "", ""
         if seen["task_type"] == "structured":
             with trace.span("structured_lookup"):
                 place = seen["region"] or (region if region != "global" else "EU")
@@ -145,15 +150,18 @@ def run(query: str, kb: KnowledgeBase, ws: Workspace, role: str = "field_support
             after = "hybrid_plus_careful" if route in ("sparse_first", "cheap_default") else route
             # The same route would give the same hits again.
             if weak and after != route:
+                trace.event("retry", under=fixed.RETRY_UNDER, before=route, after=after)
                 route = after
                 continue
             break
         if not rows:
+            trace.event("escalate", reason="no evidence")
             return out | {"status": "escalate", "answer_text": fixed.NO_EVIDENCE, "escalation": "no evidence"}
         pairs: dict[tuple, set] = {}
         for r in rows:
             pairs.setdefault((r.product, r.region), set()).add(r.status)
         if high_stakes and any({"active", "superseded"} <= s for s in pairs.values()):
+            trace.event("escalate", reason="conflicting sources")
             return out | {"status": "escalate", "answer_text": "Conflicting sources need a human review.", "escalation": "conflicting sources"}
         if seen["task_type"] == "multi_hop" or (seen["task_type"] == "procedural" and not behind):
             with trace.span("follow_reference") as span:

@@ -2,6 +2,7 @@
 
 import csv
 import itertools
+import json
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text
 from scriptorium.operators import answer, documents, evaluation, intent, memory, retrieval, search
+from scriptorium.streaming import spans
 
 
 def test_front_matter(spark):
@@ -276,3 +278,66 @@ def test_following_ends_in_circles_and_at_hidden_documents(spark):
     ranked = hits.withColumns({"final_rank": F.lit(1), "final_score": F.lit(0.5), "q_tokens": F.array(F.lit("t")), "reasons": F.array().cast("array<string>")})
     every = retrieval.with_followed(ranked, retrieval.follow_references(hits, chunks, seen, 3), chunks).where("query_id = 'r'").orderBy("final_rank").collect()
     assert [(r.final_rank, r.chunk_id, r.q_tokens) for r in every] == [(1, "IR-1:0", ["t"]), (2, "IR-2:0", ["t"]), (3, "IR-2:1", ["t"]), (4, "IR-3:0", ["t"])]
+
+
+def test_memory_recall_and_forgetting(spark):
+    m = spark.createDataFrame(
+        [("s", "product", "V14", "session", 1), ("s", "region", "EU", "profile", 1), ("t", "product", "X12", "task", 1), ("t", "region", "PL", "task", 2), ("t", "tone", "short", "profile", 1), ("u", "product", "V14", "task", 1), ("u", "product", None, "task", 2), (None, "product", "V14", "task", 1)],
+        "session_id string, key string, value string, scope string, seq int",
+    )
+    i = spark.createDataFrame(
+        [(1, "s", "Torque of the V14?", None, None), (2, "t", "Torque of the r-12?", None, None), (3, "t", "Torque of the r-12?", "R-12", "EU"), (4, "u", "x12", None, None), (5, None, "x12", None, None), (6, "t", None, None, None)],
+        "n int, session_id string, normalized string, product string, region string",
+    )
+    got = memory.recall(i, m)
+    rows = {r.n: (r.product, r.region, r.remembered, r.conflict) for r in got.collect()}
+    # A region of the profile is not taken; a forgotten product and a null session give nothing.
+    assert rows == {1: ("V14", None, ["product=V14"], False), 2: ("X12", "PL", ["product=X12", "region=PL"], True), 3: ("R-12", "EU", [], False), 4: (None, None, [], False), 5: (None, None, [], False), 6: ("X12", "PL", ["product=X12", "region=PL"], False)}
+    left = memory.forget(m, got.where("conflict"))
+    assert {(r.session_id, r.key) for r in left.collect()} == {("s", "product"), ("s", "region"), ("t", "tone"), (None, "product")}
+    assert memory.recall(i.limit(0), m).count() == 0 and memory.recall(i, m.limit(0)).where("size(remembered) > 0").count() == 0
+
+
+def test_spans_close_time_out_and_nest(spark):
+    at = lambda minute: f"2024-01-01 {minute // 60:02d}:{minute % 60:02d}:00"
+    rows = [
+        ("a", "1", None, "request", "start", at(0)), ("a", "2", "1", "search", "start", at(1)), ("a", "2", "1", "search", "event", at(2)), ("a", "2", "1", "search", "end", at(4)), ("a", "3", "1", "answer", "start", at(5)),
+        ("a", "3", "1", "answer", "end", at(6)), ("a", "1", None, "request", "end", at(10)), ("a", "3", "1", "answer", "start", at(200)), ("b", "1", None, "request", "start", at(0)), ("b", "1", None, "request", "end", at(60)),
+        ("b", "1", None, "request", "end", None), (None, "1", None, "odd", "end", at(3)), (None, "1", None, "odd", "start", at(4)), ("c", "1", None, "tie", "start", at(7)), ("c", "1", None, "tie", "end", at(7)),
+    ]
+    r = spark.createDataFrame(rows, "trace_id string, span_id string, parent_id string, name string, kind string, t string").select("*", F.to_timestamp("t").alias("ts"), F.lit(1).alias("salt"), F.lit(2).alias("w"))
+    got = spans.self_times(spans.close_spans(r, "30 minutes"))
+    assert got.count() == 8
+    by = {(x.trace_id, x.span_id, x.started_at and x.started_at.hour * 60 + x.started_at.minute): (x.status, x.duration_ms, x.events, x.children, x.self_ms) for x in got.collect()}
+    minute = 60000.0
+    assert by["a", "1", 0] == ("closed", 10 * minute, 0, 2, 6 * minute) and by["a", "2", 1] == ("closed", 3 * minute, 1, 0, 3 * minute) and by["a", "3", 5] == ("closed", minute, 0, 0, minute)
+    # Later records of an id are another row; an end after the timeout has lost its start.
+    assert by["a", "3", 200] == ("timed_out", None, 0, 0, None) and by["b", "1", 0][0] == "timed_out" and by["b", "1", None][0] == "orphan"
+    assert by[None, "1", 4][0] == "timed_out" and by["c", "1", 7][:2] == ("closed", 0.0)
+    assert spans.self_times(spans.close_spans(r.limit(0))).count() == 0
+
+
+def test_spans_of_a_hot_parent(spark):
+    s = "2024-01-01 00:00:00"
+    kids = spark.range(4000).select(F.lit("a").alias("trace_id"), F.concat(F.lit("k"), "id").alias("span_id"), F.lit("p").alias("parent_id"), F.lit("n").alias("name"), F.expr(f"timestamp'{s}' + make_dt_interval(0, 0, 0, id / 1000)").alias("at"))
+    rows = kids.select("trace_id", "span_id", "parent_id", "name", F.explode(F.array(F.struct(F.lit("start").alias("kind"), F.col("at").alias("ts")), F.struct(F.lit("end").alias("kind"), (F.col("at") + F.expr("interval 1 millisecond")).alias("ts")))).alias("e")).select("trace_id", "span_id", "parent_id", "name", "e.*")
+    parent = spark.sql(f"SELECT 'a' AS trace_id, 'p' AS span_id, CAST(NULL AS STRING) AS parent_id, 'n' AS name, kind, timestamp'{s}' + make_dt_interval(0, 0, 0, n) AS ts FROM VALUES ('start', 0), ('end', 10) AS v(kind, n)")
+    top = spans.self_times(spans.close_spans(rows.unionByName(parent))).where("span_id = 'p'").first()
+    assert (top.children, top.children_ms, top.self_ms) == (4000, 4000.0, 6000.0)
+
+
+def test_spans_over_growing_input(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+
+    def add(name, rows):
+        (src / name).write_text("\n".join(json.dumps(dict(zip(("trace_id", "span_id", "name", "kind", "ts"), r))) for r in rows))
+        spans.start(spark, str(src), out, str(tmp_path / "ck")).awaitTermination()
+        return {(r.trace_id, r.span_id, r.status, r.duration_ms) for r in spark.read.parquet(out).collect()}
+
+    first = add("1.json", [("a", "1", "n", "start", "2024-01-01T00:00:00Z"), ("b", "1", "n", "start", "2024-01-01T00:05:00Z")])
+    assert first == set()
+    # The end of a comes with the second run, b never ends, c may still go on.
+    second = add("2.json", [("a", "1", "n", "end", "2024-01-01T00:10:00Z"), ("c", "1", "n", "start", "2024-01-01T05:00:00Z")])
+    assert second == {("a", "1", "closed", 600000.0), ("b", "1", "timed_out", None)}
+    assert add("3.json", [("d", "1", "n", "start", "2024-01-01T05:01:00Z")]) == second

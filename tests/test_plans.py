@@ -81,6 +81,50 @@ def test_answer_and_agent(spark, ws):
     assert {r.chunk_id.split(":")[0] for r in follow.collect()} == {"SB-10"}
 
 
+def test_traces_nest_and_keep_events(spark, ws, capsys):
+    with pytest.raises(KeyError), ws.trace("answer", "why?") as t, t.span("request"):
+        with t.span("retrieve", k=3) as found:
+            found["hits"] = ["c1"]
+            t.event("retry", before="a")
+        raise KeyError("gone")
+    rows = {r["name"]: r for r in ws.trace_rows(t.id).collect()}
+    assert rows["retrieve"].parent_id == rows["request"].span_id and rows["retry"].parent_id == rows["retrieve"].span_id and rows["request"].parent_id is None
+    assert rows["request"].diagnostics == '{"error": "KeyError"}' and rows["request"].request_kind == "answer" and rows["retrieve"].output == '{"hits": ["c1"]}'
+    assert {r["name"] for r in ws.spans(t.id).collect()} == {"request", "retrieve"} and ws.events(t.id).first().payload == '{"before": "a"}'
+    assert cli.main(["--workspace", ws.root, "trace", t.id]) == 0
+    shown = capsys.readouterr().out.splitlines()
+    assert shown[0] == f"Trace {t.id} (answer): why?" and [x.split()[1].rstrip(":") for x in shown[1:]] == ["request", "retrieve", "retry"] and shown[3].startswith("      *")
+    assert cli.main(["--workspace", ws.root, "agent", "x", "--assume", "region"]) == 2
+
+
+def test_sessions_are_merged_compacted_and_forgotten(spark, tmp_path):
+    w = Workspace(spark, str(tmp_path)).init()
+    assert w.load_memory("s") == {}
+    w.compact_memory()
+    for n in range(3):
+        w.save_memory("s", [("product", f"V{n}", "query", "session", 1.0), ("tone", "short", "user", "profile", 1.0)])
+        w.save_memory(f"other {n}", [("region", "EU", "query", "session", 1.0)])
+    count = lambda: sum(1 for _ in (tmp_path / "sessions").rglob("*.parquet"))
+    before = count()
+    w.compact_memory()
+    assert before == 6 and count() <= 4 and w.memory().count() == 5 and w.load_memory("s") == {"product": "V2", "tone": "short"}
+    w.forget_memory("s")
+    assert w.load_memory("s") == {"tone": "short"}
+    w.compact_memory()
+    w.compact_memory()
+    assert w.load_memory("s") == {"tone": "short"} and w.load_memory("other 1") == {"region": "EU"} and count() <= 4
+    w.save_memory("s", [("product", "V9", "query", "session", 1.0)])
+    assert w.load_memory("s")["product"] == "V9"
+
+
+def test_a_session_is_recalled_and_conflicts_forget(spark, ws):
+    kb = _kb(spark, ws)
+    ws.save_memory("s9", [("product", "X12", "query", "session", 1.0), ("region", "EU", "query", "session", 1.0), ("tone", "short", "user", "profile", 1.0)])
+    got = agent.run("What is the valve cover torque in the R-12 bulletin?", kb, ws, session_id="s9")
+    assert any("names another model" in n for n in got["notes"]) and ws.load_memory("s9").get("product") is None and ws.load_memory("s9")["tone"] == "short"
+    assert {"memory", "memory_conflict"} <= {r["name"] for r in ws.events(got["trace_id"]).collect()}
+
+
 def test_followed_documents_are_packed_and_cited(spark, ws):
     kb = _kb(spark, ws)
     i = kb.intents(kb.queries([("a", "Why does the valve cover torque differ from the earlier value?", "field_support", "EU", False)]))
