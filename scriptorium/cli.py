@@ -10,7 +10,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import answer as answers
-from .plans import agent, knowledge
+from .operators import lineage
+from .plans import agent, batch, knowledge
 from .sources import files
 from .sources.snapshots import Workspace, trace_summary, trace_tree
 
@@ -48,6 +49,8 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--dataset", required=True)
     v.add_argument("--users")
     v.add_argument("--route", choices=("sparse", "dense", "hybrid"), default="hybrid")
+    v.add_argument("--mode", choices=("answer", "agent"), help="report by query, task and over all")
+    v.add_argument("--output", help="folder for the report's rows as JSON lines")
     verbs.add_parser("trace").add_argument("trace_id", nargs="?")
     return p
 
@@ -79,7 +82,13 @@ def _run(a: argparse.Namespace):
     kb = knowledge.KnowledgeBase(spark, ws.resolve(a.snapshot))
     if a.verb == "evaluate":
         users = spark.read.option("multiLine", "true").schema(files.SIDE_SCHEMAS["users"]).json(a.users) if a.users else None
-        return knowledge.evaluate(kb, files.read_jsonl(spark, a.dataset, files.QUERY_SCHEMA), users, a.route)
+        rows = files.read_jsonl(spark, a.dataset, files.QUERY_SCHEMA)
+        if not a.mode and not a.output:
+            return knowledge.evaluate(kb, rows, users, a.route)
+        report = lineage.cut(batch.evaluate_runs(kb, rows, users, mode=a.mode or "answer"))
+        if a.output:
+            files.write_jsonl(report, a.output)
+        return [r.asDict() for r in report.where("level < 2").orderBy("level", "task").drop("query_id").collect()]
     role, region, high = _user(spark, a)
     if bad := [x for x in a.assume if not x.partition("=")[0].strip() or "=" not in x]:
         raise ValueError(f"--assume needs KEY=VALUE, not {bad[0]}")

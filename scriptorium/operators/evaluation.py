@@ -58,3 +58,25 @@ def report(rows: DataFrame, by: tuple[str, ...] = ("route", "task", "query_id"),
     of = lambda c: F.round(F.avg(F.when(F.col("judged"), F.col(c))), places).alias(c)
     level = sum((F.lit(1) - F.grouping(c).cast("int") for c in by), F.lit(0))
     return rows.rollup(*by).agg(level.cast("int").alias("level"), F.count("*").alias("queries"), F.round(F.avg(F.col("judged").cast("double")), places).alias("judged_rate"), *map(of, metrics))
+
+
+RATES = ("groundedness", "fragment_hit", "abstained", "clarified", "escalated")
+
+
+def run_report(rows: DataFrame, by: tuple[str, ...] = ("task", "query_id"), places: int = 4) -> DataFrame:
+    """An evaluation run by query, by task and over all, in one pass: by, level (how many of by are fixed), queries,
+    answers, the means of METRICS over queries and of RATES over answers, clarification_precision and clarification_recall.
+
+    rows has by, METRICS, answered (false: only whether one had to ask back is judged), RATES (numbers or booleans), asked
+    and needed. Means are 0 where nothing counts; a query whose metrics are null counts as 0 in them, nulls of the rest as
+    false or 0. A null task is a task of its own."""
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    answered, asked, needed = (F.coalesce(c, F.lit(False)) for c in ("answered", "asked", "needed"))
+    mean = lambda x: F.round(F.coalesce(F.avg(x), F.lit(0.0)), places)
+    both = F.count(F.when(asked & needed, 1))
+    share = lambda n: F.round(F.coalesce(both / F.nullif(n, F.lit(0)), F.lit(0.0)), places)
+    level = sum((F.lit(1) - F.grouping(c).cast("int") for c in by), F.lit(0))
+    return rows.rollup(*by).agg(
+        level.cast("int").alias("level"), F.count("*").alias("queries"), F.count(F.when(answered, 1)).alias("answers"), *(mean(number(m)).alias(m) for m in METRICS), *(mean(F.when(answered, number(c))).alias(c) for c in RATES),
+        share(F.count(F.when(asked, 1))).alias("clarification_precision"), share(F.count(F.when(needed, 1))).alias("clarification_recall"),
+    )

@@ -96,9 +96,8 @@ def run(query: str, kb: KnowledgeBase, ws: Workspace, role: str = "field_support
     tools = Tools(kb)
     with ws.trace("agent", query) as trace, trace.span("request", role=role, region=region):
         base = kb.intents(kb.queries([("q", query, role, region, high_stakes)]))
-        for k in ("product", "region"):
-            if assumptions and k in assumptions:
-                base = base.withColumn(k, F.lit(assumptions[k]))
+        if assumptions:
+            base = I.assume(base.withColumn("assumptions", F.create_map(*(F.lit(x) for kv in assumptions.items() for x in kv))))
         # A region or product that was assumed, or named in the query, comes before what the session remembers.
         base = memory.recall(base.withColumn("session_id", F.lit(session_id)), ws.memory(session_id)) if session_id else base.withColumns({"remembered": F.array().cast("array<string>"), "conflict": F.lit(False)})
         seen = base.select("*", I.route(F.col("task_type"), F.col("identifiers"), F.lit(high_stakes), F.col("normalized")).alias("route"), I.plan(F.col("task_type"), F.col("missing_scope")).alias("plan")).first().asDict(recursive=True)

@@ -103,12 +103,16 @@ class KnowledgeBase:
         return cut(retrieval.with_followed(hits, self.follow(intents, hits, hops), self.table("chunks")))
 
 
+def as_queries(rows: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """Evaluation rows (query_id, query, user_id) as queries of their users; a user that is not known is taken for a role."""
+    q = rows.select("query_id", F.col("query").alias("text"), "user_id")
+    who = users.select("user_id", "role", F.col("region").alias("user_region"), "high_stakes") if users is not None else rows.sparkSession.createDataFrame([], "user_id string, role string, user_region string, high_stakes boolean")
+    return q.join(who, "user_id", "left").withColumns({"role": F.coalesce("role", "user_id", F.lit("external")), "user_region": F.coalesce("user_region", F.lit("global")), "high_stakes": F.coalesce("high_stakes", F.lit(False))})
+
+
 def evaluate(kb: KnowledgeBase, rows: DataFrame, users: DataFrame | None = None, route: str = "hybrid", k: int = 5) -> dict:
     """Macro means over evaluation rows (query_id, query, user_id, relevant_doc_ids, expected_fragments, needs_clarification)."""
-    q = rows.select("query_id", F.col("query").alias("text"), "user_id")
-    who = users.select("user_id", "role", F.col("region").alias("user_region"), "high_stakes") if users is not None else kb.spark.createDataFrame([], "user_id string, role string, user_region string, high_stakes boolean")
-    q = q.join(who, "user_id", "left").withColumns({"role": F.coalesce("role", "user_id", F.lit("external")), "user_region": F.coalesce("user_region", F.lit("global")), "high_stakes": F.coalesce("high_stakes", F.lit(False))})
-    intents = kb.intents(q)
+    intents = kb.intents(as_queries(rows, users))
     hits = kb.retrieve(intents, route).persist()
     judged = rows.select("query_id", F.explode("relevant_doc_ids").alias("doc_id"), F.lit(1).alias("relevance"))
     ranking = evaluation.macro(evaluation.ranking_metrics(hits.select("query_id", "doc_id", F.col("final_rank").alias("rank")), judged, k)).first().asDict()

@@ -125,6 +125,41 @@ def test_a_session_is_recalled_and_conflicts_forget(spark, ws):
     assert {"memory", "memory_conflict"} <= {r["name"] for r in ws.events(got["trace_id"]).collect()}
 
 
+def test_evaluation_runs_by_query_task_and_all(spark, ws, tmp_path):
+    rows = [
+        {"query_id": "1", "query": "V14 valve torque firmware 3.2 in EU", "task": "lookup", "route": "sparse", "user_id": "field_support", "relevant_doc_ids": ["SB-20"], "expected_fragments": ["0.48", "nowhere"]},
+        {"query_id": "2", "query": "Which warranty applies?", "task": "lookup", "user_id": "field_support", "relevant_doc_ids": [], "needs_clarification": True},
+        {"query_id": "3", "query": "Which warranty applies?", "task": "clarification", "user_id": "field_support"},
+        {"query_id": "4", "query": "Which warranty applies?", "task": "assumed", "user_id": "field_support", "assumptions": {"region": "EU"}},
+        {"query_id": "5", "query": "zzzz", "user_id": "nobody"},
+    ]
+    (tmp_path / "q.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    q = files.read_jsonl(spark, str(tmp_path / "q.jsonl"), files.QUERY_SCHEMA)
+    kb = _kb(spark, ws)
+    for mode in ("answer", "agent"):
+        got = batch.evaluate_runs(kb, q, mode=mode).collect()
+        one = {r.query_id: r for r in got if r.level == 2}
+        top = next(r for r in got if r.level == 0)
+        assert set(one) == set("12345") and {r.task for r in got if r.level == 1} == {"lookup", "clarification", "assumed", None}
+        assert (top.queries, top.answers) == (5, 4) and one["3"].answers == 0 and one["3"].clarification_recall == 1.0
+        assert one["1"].recall == 1.0 and one["1"].fragment_hit == 0.5 and one["1"].abstained == 0.0 and one["2"].clarified == 1.0 and one["2"].fragment_hit == 0.0 and one["5"].abstained == 1.0
+        # Only the controller knows assumptions, and only it sends on to people.
+        assert one["4"].clarified == (0.0 if mode == "agent" else 1.0) and one["5"].escalated == (1.0 if mode == "agent" else 0.0)
+        assert top.clarification_recall == 1.0 and top.recall == 0.2
+    with pytest.raises(ValueError):
+        batch.evaluate_runs(kb, q, mode="odd")
+
+
+def test_a_batch_remembers_and_assumes(spark, ws):
+    kb = _kb(spark, ws)
+    q = kb.queries([(n, "Which warranty applies to the valve cover torque?", "field_support", "global", False) for n in ("a", "b")])
+    q = q.withColumns({"session_id": F.concat(F.lit("s-"), "query_id"), "assumptions": F.when(F.col("query_id") == "a", F.create_map(F.lit("region"), F.lit("EU")))})
+    m = spark.createDataFrame([("s-a", "product", "V14", "session", 1), ("s-b", "region", "EU", "session", 1)], "session_id string, key string, value string, scope string, seq int")
+    got = {r.query_id: r for r in batch.answer_batch(kb, q, memory=m).collect()}
+    # A session's region is searched for, but does not answer what was asked back; an assumption does.
+    assert got["a"].status != "clarify" and got["b"].status == "clarify" and "remembered product=V14" in got["a"].notes and "remembered region=EU" in got["b"].notes
+
+
 def test_followed_documents_are_packed_and_cited(spark, ws):
     kb = _kb(spark, ws)
     i = kb.intents(kb.queries([("a", "Why does the valve cover torque differ from the earlier value?", "field_support", "EU", False)]))
