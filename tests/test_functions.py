@@ -59,3 +59,8 @@ def test_roles_and_actions(spark):
     a = spark.createDataFrame([("side_effect:x", False, "public", "field_support"), ("read:x", False, "internal", "external"), ("read:x", None, "public", "external")], "a string, ok boolean, d string, r string")
     assert [x[0] for x in a.select(policy.action_allowed(F.col("a"), F.col("ok"), F.col("d"), F.col("r"))).collect()] == [False, False, True]
     assert [r["t"] for r in rows(spark, ["agent", "other"], t=policy.retention_tag("x"))] == ["short_lived", "standard"]
+
+
+def test_upper_case_keeps_the_number_of_characters(spark):
+    got = rows(spark, ["straße ﬁn é", "", None], u=text.upper_each("x"))
+    assert [r["u"] for r in got] == ["STRAßE ﬁN É", "", None]
