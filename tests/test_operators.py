@@ -1,8 +1,10 @@
 """Operators on small fixtures of our own."""
 
 import csv
+import hashlib
 import itertools
 import json
+import math
 import random
 
 import pytest
@@ -341,3 +343,83 @@ def test_spans_over_growing_input(spark, tmp_path):
     second = add("2.json", [("a", "1", "n", "end", "2024-01-01T00:10:00Z"), ("c", "1", "n", "start", "2024-01-01T05:00:00Z")])
     assert second == {("a", "1", "closed", 600000.0), ("b", "1", "timed_out", None)}
     assert add("3.json", [("d", "1", "n", "start", "2024-01-01T05:01:00Z")]) == second
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hashed_vectors_are_made_without_a_shuffle(spark):
+    """The features counted one by one; a term that is a trigram too counts with it."""
+    texts = ["the cat and the hat", "A é ß – x  y\n\n\n\nz the", "", None, "aa " * 700]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    out = search.hash_embed(df, "k")
+    assert "Exchange" not in plan_of(out)
+    features = {r.k: (r.t or []) + (r.g or []) for r in df.select("k", text.tokenize("text").alias("t"), text.char_ngrams("text").alias("g")).collect()}
+    for r in out.collect():
+        want = [0.0] * 192
+        for f in set(features[r.k]):
+            h = int(hashlib.sha256(f.encode()).hexdigest(), 16)
+            want[h % 192] += (-1 if h & 256 else 1) * (1 + math.log(features[r.k].count(f)))
+        norm = math.sqrt(sum(x * x for x in want)) or 1.0
+        assert r.vector == pytest.approx([x / norm for x in want], abs=1e-12)
+
+
+def test_search_of_a_known_query_set_shuffles_no_pairs(spark, monkeypatch):
+    """Frequent and rare terms, several tiles and blocks, classes: as by joining the postings, with one row of each query
+    and task shuffled."""
+    for name, value in {"TILE": 7, "ROWS": 11, "QUERY_BLOCK": 20, "HEAVY": 3}.items():
+        monkeypatch.setattr(search, name, value)
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(40)]
+    say = lambda n: " ".join(words[min(int(r.expovariate(0.15)), 39)] for _ in range(n))
+    chunks = spark.createDataFrame([(f"c{k}", "T", say(r.randint(0, 30))) for k in range(120)], "chunk_id string, title string, text string").repartition(3)
+    q = spark.createDataFrame([(k, say(r.randint(1, 8))) for k in range(50)] + [(77, "none of these")], "query_id int, text string")
+    visible = search.Visible(chunks.select("chunk_id", F.substring("chunk_id", 2, 1).alias("class_id")), q.selectExpr("query_id", "string(query_id % 9) AS class_id"))
+    whole, part = search.bm25_index(chunks), search.bm25_index(chunks, only=search.query_terms(q))
+    for eligible in (None, visible):
+        want, got = (search.bm25_search(q, i, 4, eligible=eligible) for i in (whole, part))
+        rounded = lambda df: sorted((x.query_id, x.chunk_id, x["rank"], round(x.score, 8)) for x in df.collect())
+        assert rounded(got) == rounded(want) != []
+    assert plan_of(search.bm25_search(q.limit(10), part, 4)).count("Exchange") <= 1
+
+
+def test_terms_are_counted_without_a_row_per_chunk(spark):
+    chunks = spark.createDataFrame([(1, "T", "alpha beta beta"), (2, "U", "gamma alpha"), (3, "V", ""), (4, None, None)], "chunk_id long, title string, text string")
+    out = search.term_statistics(chunks)
+    assert plan_of(out).count("Exchange") == 1
+    assert {r.term: (r.df, r.cf, r.longest) for r in out.collect()} == {"alpha": (2, 2, 4), "beta": (1, 2, 4), "gamma": (1, 1, 3), "t": (1, 1, 4), "u": (1, 1, 3), "v": (1, 1, 1)}
+
+
+def test_lsh_candidates_are_no_rows(spark, monkeypatch):
+    for name, value in {"TILE": 3, "ROWS": 8, "QUERY_BLOCK": 6}.items():
+        monkeypatch.setattr(search, name, value)
+    r = random.Random(5)
+    vec = lambda: [r.uniform(-1, 1) for _ in range(6)]
+    v = spark.createDataFrame([(k, vec()) for k in range(90)] + [(99, None)], "chunk_id int, vector array<double>").repartition(3)
+    q = spark.createDataFrame([(k, vec()) for k in range(14)], "query_id int, vector array<double>")
+    p = search.planes(6, 3, 5)
+    pairs = search.lsh_candidates(q, v.where("vector is not null"), p, 3, 4)
+    scored = pairs.join(q.withColumnRenamed("vector", "q"), "query_id").join(v, "chunk_id").withColumn("score", text.cosine("q", "vector"))
+    rounded = lambda df: sorted((x.query_id, x.chunk_id, x["rank"], round(x.score, 8)) for x in df.collect())
+    for stored in (None, search.lsh_buckets(v.where("vector is not null"), "chunk_id", p)):
+        assert rounded(search.ann_search(q, v, 4, p, 3, probes=4, buckets=stored)) == rounded(search.top_k(scored, 4))
+    assert search.lsh_scored(q, v, p, 3, 4).first().c == pairs.count()
+
+
+def test_a_task_holds_few_scores_at_once():
+    """4000 vectors against 2000 queries in one batch: 64 MB of scores, of which 4 are held at once."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    of = lambda n: pa.FixedSizeListArray.from_arrays(pa.array(rng.normal(size=n * 8)), 8)
+    task = search._best_of_task(5, pa.array(range(2000)), search._by_vectors(of(2000), search.TILE), None, None, search.TILE, search.ROWS, 9)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), of(4000)], names=["chunk_id", "vector"])
+    tracemalloc.start()
+    found = sum(b.num_rows for b in task([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 10_000 and peak < 40_000_000
