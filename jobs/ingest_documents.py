@@ -8,7 +8,7 @@ DOCUMENTS is a folder of Parquet files (doc_id, text, lang, source, more), or on
   documents/batch=N/lang=L   doc_id, source, trust, quality, status (kept, quarantined, duplicate), duplicate_of,
                              near_duplicate_of, similarity, n_tokens
   chunks/batch=N/lang=L      doc_id, chunk, text: of kept documents only
-  keys, sets, prefix, order, links   what later batches are held against
+  keys, sets, signatures, links   what later batches are held against
 
 A file stream with availableNow and a checkpoint decides what is new. A batch that failed runs again with the same
 files and replaces its own folders; a run without new files changes nothing. The output belongs to its checkpoint:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import policy, text
+from .lineage import cut
 
 _BLANKS = " \n\t\r\x0b\x0c"
 DOCUMENT = ("doc_id", "title", "text", "doc_type", "product", "region", "effective_date", "version", "authority", "status", "disclosure", "language", "allowed_roles", "tags", "references", "trust_score", "quality_score", "quarantine_reason", "metadata", "ordinal")
@@ -70,22 +73,28 @@ def token_sets(docs: DataFrame) -> DataFrame:
 
 
 def set_classes(sets: DataFrame) -> DataFrame:
-    """A row per distinct token set: h, first (the least ordinal), first_id, set, n. Copies meet as partial sums."""
-    return sets.groupBy("h").agg(F.min("ordinal").alias("first"), F.min_by("doc_id", "ordinal").alias("first_id"), F.first("set").alias("set")).withColumn("n", F.size("set"))
-
-
-def word_order(classes: DataFrame) -> DataFrame:
-    """(w, df): in how many classes a word is, of those in more than one. Words not in it count as the rarest."""
-    return classes.select(F.explode("set").alias("w")).groupBy("w").agg(F.count("*").alias("df")).where("df > 1")
-
-
-def prefixes(classes: DataFrame, order: DataFrame, threshold: float = fixed.NEAR_DUPLICATE) -> DataFrame:
-    """(w, first, n, r): the n - ceil(threshold n) + 1 rarest words of each class with their places. Two sets that
-    reach the threshold share one of these, whatever the order is, as long as it is the same for both."""
-    words = classes.where("n > 0").select("first", "n", F.explode("set").alias("w")).join(order, "w", "left")
-    ranked = words.groupBy("first", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))).alias("ws"))
-    most = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
-    return ranked.select("first", "n", F.posexplode(F.slice("ws", F.lit(1), most)).alias("r", "p")).select("p.w", "first", "n", (F.col("r") + 1).alias("r"))
+    """A row per distinct token set: h, first (the least ordinal), first_id, set, members, n. Copies meet as partial sums."""
+    return sets.groupBy("h").agg(F.min("ordinal").alias("first"), F.min_by("doc_id", "ordinal").alias("first_id"), F.first("set").alias("set"), F.count("*").alias("members")).withColumn("n", F.size("set"))
+
+
+def signatures(classes: DataFrame, threshold: float = fixed.NEAR_DUPLICATE) -> DataFrame:
+    """(w, first, n): two sets that reach the threshold have a w in common, whatever other sets there are.
+
+    Words are dealt into parts by their hash. Sets that reach the threshold differ in at most (1 - t) / (1 + t) of the sum of
+    their sizes, so with one part more than that there is one in which they do not differ: w is the digest of a part's words.
+    Sizes are put into steps of 1 / t, so that such sets are in one step or in two that follow each other, and each set is
+    dealt out for its own step and for the next; a step has as many parts as its largest sizes need."""
+    step = max(-math.log(threshold), 1e-3) * 1.0001
+    largest = F.floor(F.exp((F.col("level") + 1) * step) + 1e-6)
+    parts = (F.floor(2 * largest * ((1 - threshold) / (1 + threshold)) + 1e-6) + 1).cast("int")
+    own = F.floor(F.log("n") / step)
+    dealt = classes.where("n > 0").select("first", "n", F.transform("set", lambda w: F.xxhash64(w)).alias("hs"), F.explode(F.array(own, own + 1)).alias("level")).withColumn("parts", parts)
+    # Parts without a word count as well.
+    none = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.cast("long").alias("part"), F.lit(0).cast("long").alias("h")))
+    words = F.transform("hs", lambda h: F.struct(F.pmod(h, F.col("parts")).cast("long").alias("part"), F.xxhash64(h).alias("h")))
+    each = dealt.select("first", "n", "level", F.explode(F.concat(none, words)).alias("x"))
+    digest = each.groupBy("first", "n", "level", F.col("x.part").alias("part")).agg(F.bit_xor("x.h").alias("digest"))
+    return digest.select(F.xxhash64("level", "part", "digest").alias("w"), "first", "n")
 
 
 def _verified(pairs: DataFrame, later: DataFrame, earlier: DataFrame, threshold: float) -> DataFrame:
@@ -94,21 +103,21 @@ def _verified(pairs: DataFrame, later: DataFrame, earlier: DataFrame, threshold:
     return full.where("first_id <> to_id").withColumn("similarity", text.jaccard("a", "b")).where(F.col("similarity") >= threshold).select("first", "to", "to_id", "similarity")
 
 
-def earliest_links(later: DataFrame, later_prefix: DataFrame, earlier: DataFrame, earlier_prefix: DataFrame, threshold: float = fixed.NEAR_DUPLICATE) -> DataFrame:
+def earliest_links(later: DataFrame, later_signed: DataFrame, earlier: DataFrame, earlier_signed: DataFrame, threshold: float = fixed.NEAR_DUPLICATE) -> DataFrame:
     """first, to, to_id, similarity: for each class of later the earliest one of earlier (itself not among them) whose
     Jaccard reaches the threshold.
 
-    First all are held against the earliest class with the same word, a row per word and class: members of a
-    group of variants find its head there and leave, so the group gives no pairs. Only those that may have a link
-    to something earlier than what they found are joined with all that share a word."""
-    heads = earlier_prefix.groupBy("w").agg(F.min("first").alias("head"))
-    fits = (F.least("n", "n2") >= F.greatest("n", "n2") * threshold - 1e-9) & ((1 + F.least(F.col("n") - F.col("r"), F.col("n2") - F.col("r2"))) * (1 + threshold) >= threshold * (F.col("n") + F.col("n2")) - 1e-9)
-    mine = later_prefix.join(heads, "w").where("head < first")
-    to_head = _verified(mine.select("first", F.col("head").alias("to")).distinct(), later, earlier, threshold)
+    First all are held against the earliest class with the same signature: members of a group of variants find its head
+    there and leave, so the group gives no pairs. Only those that may have a link to something earlier than what they
+    found are joined with all that share a signature."""
+    heads = earlier_signed.groupBy("w").agg(F.min("first").alias("head"))
+    fits = F.least("n", "n2") >= F.greatest("n", "n2") * threshold - 1e-9
+    mine = later_signed.join(heads, "w").where("head < first")
+    to_head = cut(_verified(mine.select("first", F.col("head").alias("to")).distinct(), later, earlier, threshold))
     found = to_head.groupBy("first").agg(F.min_by(F.struct("to", "to_id", "similarity"), "to").alias("link"))
-    # A word whose earliest class is the link, or later than it, can't give an earlier one.
+    # A signature whose earliest class is the link, or later than it, can't give an earlier one.
     open_ = mine.join(found, "first", "left").where(F.col("link").isNull() | (F.col("head") < F.col("link.to")))
-    others = earlier_prefix.select("w", F.col("first").alias("to"), F.col("n").alias("n2"), F.col("r").alias("r2"))
+    others = earlier_signed.select("w", F.col("first").alias("to"), F.col("n").alias("n2"))
     pairs = open_.join(others, "w").where((F.col("to") < F.coalesce(F.col("link.to"), F.col("first"))) & (F.col("to") > F.col("head")) & fits).select("first", "to").distinct()
     more = _verified(pairs, later, earlier, threshold)
     return to_head.unionByName(more).groupBy("first").agg(F.min_by(F.struct("to", "to_id", "similarity"), "to").alias("link")).select("first", "link.*")
@@ -119,12 +128,14 @@ def near_duplicates(docs: DataFrame, threshold: float = fixed.NEAR_DUPLICATE) ->
     first such one, not the best. Doc ids are distinct.
 
     Equal token sets are one class, whose first member stands for it: what is earlier than that and near to it is
-    the first for all members, and without such the first member is, for the others."""
+    the first for all members, and without such the first member is, for the others. Classes and signatures are
+    read several times, so they are written down."""
     sets = token_sets(docs)
-    classes = set_classes(sets)
-    prefix = prefixes(classes, word_order(classes), threshold)
-    links = earliest_links(classes, prefix, classes, prefix, threshold)
-    return mark(sets, classes.select("h", "first", "first_id").join(links, "first", "left"))
+    classes = cut(set_classes(sets))
+    signed = cut(signatures(classes, threshold))
+    links = earliest_links(classes, signed, classes, signed, threshold)
+    marked = classes.select("h", "first", "first_id", "members").join(links, "first", "left").where("members > 1 or to_id is not null")
+    return mark(sets, marked)
 
 
 def mark(sets: DataFrame, linked: DataFrame, salts: int = 16) -> DataFrame:

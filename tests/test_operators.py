@@ -423,3 +423,29 @@ def test_a_task_holds_few_scores_at_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found == 10_000 and peak < 40_000_000
+
+
+def test_sets_that_share_common_words_alone_give_no_pairs(spark):
+    """Every word is in a tenth of the documents or more, so a prefix of rare words gave a row per two documents."""
+    r = random.Random(6)
+    rows = [(k, "t", " ".join(r.sample([f"w{j}" for j in range(400)], 60)), k) for k in range(400)]
+    rows += [(k + 400, "t", rows[k][2].replace(rows[k][2].split()[5], "changed"), k + 400) for k in range(0, 400, 50)]
+    sets = documents.set_classes(documents.token_sets(spark.createDataFrame(rows, "doc_id int, title string, text string, ordinal int")))
+    signed = documents.signatures(sets)
+    pairs = signed.alias("a").join(signed.alias("b"), F.expr("a.w = b.w and a.first < b.first")).selectExpr("a.first AS a", "b.first AS b").distinct().collect()
+    assert len(pairs) < 20 and {(k, k + 400) for k in range(0, 400, 50)} <= {tuple(p) for p in pairs}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_signatures_miss_no_link(spark, threshold):
+    r = random.Random(8)
+    rows = []
+    for g in range(25):
+        base = [f"g{g}w{k}" for k in range(r.randint(1, 40))]
+        rows += [(len(rows) + k, "t", " ".join(w for w in base if r.random() > 0.1), len(rows) + k) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id int, title string, text string, ordinal int")
+    sets, want = {x[0]: set(x[2].split()) | {"t"} for x in rows}, {}
+    for b in sets:
+        near = [a for a in range(b) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold]
+        want |= {b: near[0]} if near else {}
+    assert {x.doc_id: x.near_duplicate_of for x in documents.near_duplicates(docs, threshold).collect()} == want
