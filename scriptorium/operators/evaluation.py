@@ -24,6 +24,24 @@ def ranking_metrics(hits: DataFrame, judged: DataFrame, k: int = 5) -> DataFrame
     return out.select("query_id", safe(F.col("found"), F.col("n_rel")).alias("recall"), safe(F.col("found"), F.col("shown")).alias("precision"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), safe(F.col("dcg"), F.col("ideal")).alias("ndcg"))
 
 
+def class_metrics(hits: DataFrame, queries: DataFrame, sizes: DataFrame, k: int = 5) -> DataFrame:
+    """As ranking_metrics of judgements by which everything of a query's class has relevance 1, without a row per query and
+    document of a class: hits (query_id, doc_id, rank, label), queries (query_id, label), sizes (label, n_rel)."""
+    of = queries.select("query_id", F.col("label").alias("wanted"))
+    h = hits.join(of, "query_id").withColumn("again", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("rank")) > 1)
+    top, right = F.col("rank") <= k, F.coalesce(F.col("label") == F.col("wanted"), F.lit(False))
+    got = h.groupBy("query_id", "wanted").agg(
+        F.count_distinct(F.when(top & right, F.col("doc_id"))).alias("found"), F.count(F.when(top, 1)).alias("shown"), F.min(F.when(right, F.col("rank"))).alias("first"),
+        F.sum(F.when(top & right & ~F.col("again"), 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"),
+    )
+    out = got.join(sizes.withColumnRenamed("label", "wanted"), "wanted", "left")
+    places = F.sequence(F.lit(1), F.least(F.lit(k).cast("long"), F.greatest("n_rel", F.lit(1))).cast("int"))
+    ideal = F.aggregate(places, F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
+    safe = lambda a, b: F.when(F.coalesce(b, F.lit(0)) > 0, a / b).otherwise(F.lit(0.0))
+    ndcg = F.when(F.coalesce("n_rel", F.lit(0)) > 0, F.col("dcg") / ideal).otherwise(F.lit(0.0))
+    return out.select("query_id", safe(F.col("found"), F.col("n_rel")).alias("recall"), safe(F.col("found"), F.col("shown")).alias("precision"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), ndcg.alias("ndcg"))
+
+
 def clarification_scores(rows: DataFrame) -> DataFrame:
     """precision and recall of asking back, from rows (asked, needed)."""
     both = F.sum((F.col("asked") & F.col("needed")).cast("int"))

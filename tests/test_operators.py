@@ -449,3 +449,15 @@ def test_signatures_miss_no_link(spark, threshold):
         near = [a for a in range(b) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold]
         want |= {b: near[0]} if near else {}
     assert {x.doc_id: x.near_duplicate_of for x in documents.near_duplicates(docs, threshold).collect()} == want
+
+
+def test_metrics_by_class_need_no_row_per_judgement(spark):
+    r = random.Random(9)
+    label = {k: r.choice("abc") for k in range(40)}
+    hits = [(q, d, n) for q in range(12) for n, d in enumerate(r.choices(range(40), k=8), 1)]
+    h = spark.createDataFrame([(*x, label[x[1]]) for x in hits], "query_id int, doc_id int, rank int, label string")
+    q = spark.createDataFrame([(k, r.choice("abcd")) for k in range(12)], "query_id int, label string")
+    docs = spark.createDataFrame(list(label.items()), "doc_id int, label string")
+    judged = q.join(docs, "label").select("query_id", "doc_id", F.lit(1).alias("relevance"))
+    rounded = lambda df: sorted((x.query_id, *(round(y, 9) for y in x[1:])) for x in df.collect())
+    assert rounded(evaluation.class_metrics(h, q, docs.groupBy("label").agg(F.count("*").alias("n_rel")))) == rounded(evaluation.ranking_metrics(h, judged))
