@@ -63,7 +63,6 @@ def run(spark: SparkSession, documents: str, questions: str, output: str, config
     q = spark.read.parquet(questions).select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text")).persist()
     log.info("read %d questions of %s", q.count(), questions)
     index = search.bm25_index(docs.withColumnRenamed("doc_id", "chunk_id"), only=search.query_terms(q))
-    index.postings.persist()
     ranked = {name: search.bm25_search(q, index, config["depth"], p["k1"], p["b"]) for name, p in config["routes"].items()}
     if config.get("fused") and len(ranked) > 1:
         ranked[config["fused"]] = search.top_k(search.fuse(*ranked.values()), config["depth"])
@@ -82,7 +81,7 @@ def run(spark: SparkSession, documents: str, questions: str, output: str, config
     for name, df in (("report", report), ("hits", hits)):
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("route").parquet(f"{output}/{name}")
         log.info("wrote %d rows of %s below %s", read_back(spark, output, name).count(), name, output)
-    for df in (q, index.postings, judged, *kept):
+    for df in (q, judged, *kept):
         df.unpersist()
 
 
