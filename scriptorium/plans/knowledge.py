@@ -82,7 +82,7 @@ class KnowledgeBase:
         i = search.BM25(self.table("postings"), self.table("terms"), self.table("stats"))
         found = retrieval.first_pass(intents, chunks, i, self.table("vectors"), self.planes, visible, route, k or fixed.TOP_K, use_ann, self.table("buckets") if use_ann else None)
         q = intents.select("query_id", F.col("tokens").alias("q_tokens"), F.col("identifiers").alias("q_identifiers"), F.col("product").alias("q_product"), F.col("region").alias("q_region"))
-        return retrieval.rerank(found.join(chunks, "chunk_id").join(F.broadcast(q), "query_id"), m or fixed.TOP_M)  # a stated query set
+        return retrieval.rerank(search.with_chunks(found, chunks).join(F.broadcast(q), "query_id"), m or fixed.TOP_M)  # a stated query set
 
     def answer(self, intents: DataFrame, route: str = "hybrid", budget: int = fixed.BUDGET, hits: DataFrame | None = None, careful: bool | str = True, **options) -> DataFrame:
         """query_id, answer_text, abstained, clarification, groundedness, claims, context, token_count. The hits, a few per

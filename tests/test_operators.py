@@ -384,6 +384,17 @@ def test_search_of_a_known_query_set_shuffles_no_pairs(spark, monkeypatch):
     assert plan_of(search.bm25_search(q.limit(10), part, 4)).count("Exchange") <= 1
 
 
+def test_chunks_of_few_hits_are_not_shuffled(spark):
+    chunks = spark.createDataFrame([(k, "T", f"alpha w{k} ÀB Beta-{k}", f"d{k}", ["d2"]) for k in range(9)], "chunk_id long, title string, text string, doc_id string, references array<string>")
+    q = spark.createDataFrame([("q", "W3 beta-3 àb nothing"), ("r", "ALPHA")], "query_id string, text string")
+    found = search.bm25_search(q, search.bm25_index(chunks, only=search.query_terms(q)), 2)
+    hits = search.with_chunks(found, chunks)
+    everyone = search.Visible(chunks.select("chunk_id", F.lit(1).alias("class_id")), q.select("query_id", F.lit(1).alias("class_id")))
+    followed = retrieval.follow_references(hits, chunks, everyone)
+    assert "Exchange hashpartitioning(chunk_id" not in plan_of(hits) and "Exchange hashpartitioning(doc_id" not in plan_of(followed)
+    assert {(r.query_id, r.chunk_id, r.text[:8]) for r in hits.collect() if r["rank"] == 1} == {("q", 3, "alpha w3"), ("r", 0, "alpha w0")}
+
+
 def test_terms_are_counted_without_a_row_per_chunk(spark):
     chunks = spark.createDataFrame([(1, "T", "alpha beta beta"), (2, "U", "gamma alpha"), (3, "V", ""), (4, None, None)], "chunk_id long, title string, text string")
     out = search.term_statistics(chunks)
