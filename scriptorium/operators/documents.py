@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,24 +187,91 @@ def table_rows(parts: DataFrame, keys: tuple[str, ...] = ("doc_id", "section_ord
     return body.select(*keys, F.concat("section", F.lit(" table row")).alias("section"), "row_order", F.array_join(F.zip_with("head", "cells", lambda h, c: F.concat(h, F.lit(": "), c)), "; ").alias("body"))
 
 
+#: Texts whose terms a task holds at once.
+TEXTS = 128
+
+
+def _lines_of_windows(most: int, size: int, step: int):
+    """For texts as their lines and the terms of each line as written (null: left out), the windows of size and step over the terms: the
+    first most lines that share a term with each, joined by spaces. A line among these is among the first most that hold
+    that term, so a window looks up its own terms alone."""
+
+    def few(lines, terms):
+        import numpy as np
+        import pyarrow.compute as pc
+
+        n_lines = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        own = terms.flatten()
+        in_line = pc.list_value_length(own).to_numpy(zero_copy_only=False).astype(np.int64)
+        base = np.cumsum(n_lines) - n_lines
+        line = np.repeat(np.arange(len(own)), in_line)
+        row = np.repeat(np.arange(len(terms)), n_lines)[line]
+        coded = own.flatten().dictionary_encode()
+        lower = pc.ascii_lower(coded.dictionary).dictionary_encode()
+        key = row * max(1, len(lower.dictionary)) + lower.indices.to_numpy(zero_copy_only=False).astype(np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+        # The first lines of each term of a text, each line once, one after the other.
+        used, key = np.unique(key, return_inverse=True)
+        cell = np.unique(key * max(1, len(own)) + line)
+        of, held = np.divmod(cell, max(1, len(own)))
+        first = np.searchsorted(of, np.arange(len(used)))
+        early = np.arange(len(of)) - first[of] < most
+        of, held = of[early], held[early]
+        first = np.searchsorted(of, np.arange(len(used) + 1))
+        # Windows, and their terms' places.
+        total = np.bincount(row, minlength=len(terms))
+        begin = np.cumsum(total) - total
+        count = np.where(total > size, -(-(total - size) // step) + 1, 0)
+        mine = np.repeat(np.arange(len(terms)), count)
+        start = (np.arange(len(mine)) - np.repeat(np.cumsum(count) - count, count)) * step
+        ends, texts = np.append(0, np.cumsum(count)), []
+        values = lines.flatten()
+        for low in range(0, len(mine), 2048):
+            m, s = mine[low : low + 2048], start[low : low + 2048]
+            width = np.minimum(size, total[m] - s)
+            which = np.repeat(np.arange(len(m)), width)
+            at = np.repeat(begin[m] + s - (np.cumsum(width) - width), width) + np.arange(len(which))
+            pair = np.unique(which * max(1, len(used)) + key[at])
+            which, term = np.divmod(pair, max(1, len(used)))
+            n = first[term + 1] - first[term]
+            there = np.repeat(first[term] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            which, found = np.divmod(np.unique(np.repeat(which, n) * max(1, len(own)) + held[there]), max(1, len(own)))
+            rank = np.arange(len(which)) - np.searchsorted(which, which)
+            which, found = which[rank < most], found[rank < most]
+            listed = pa.ListArray.from_arrays(pa.array(np.searchsorted(which, np.arange(len(m) + 1)).astype(np.int32)), values.take(pa.array(found)))
+            texts.append(pc.binary_join(listed, " "))
+        joined = pa.chunked_array(texts, pa.string()).combine_chunks() if texts else pa.array([], pa.string())
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), joined)
+
+    def run(lines: pa.Array, terms: pa.Array) -> pa.Array:
+        return pa.chunked_array([few(lines.slice(i, TEXTS), terms.slice(i, TEXTS)) for i in range(0, len(lines), TEXTS)], pa.list_(pa.string())).combine_chunks()
+
+    return F.arrow_udf(run, "array<string>")
+
+
 def windows(parts: DataFrame, column: str = "body", size: int = fixed.CHUNK_TOKENS, overlap: int = fixed.CHUNK_OVERLAP, by_lines: bool = True) -> DataFrame:
     """parts exploded to window_order and window.
 
     Up to size tokens the whole text; else a window every size - overlap tokens. With by_lines a window is
-    the first size // 24 lines that share a token with it (so lines can repeat or vanish); else its tokens."""
+    the first size // 24 lines that share a token with it (so lines can repeat or vanish); else its tokens. A text's work
+    grows with its length, and its tokens are not copied to its windows."""
     step = max(size - overlap, 1)
-    tok = parts.withColumn("_t", text.tokenize(column)).withColumn("_lines", F.filter(F.transform(F.split(newlines(F.col(column)), "\\n"), lambda s: F.btrim(s, F.lit(_BLANKS))), lambda s: s != ""))
-    n = F.size("_t")
-    starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - size) / step) * step).cast("int"), F.lit(step)))
-    one = tok.withColumn("_lt", F.transform("_lines", lambda s: text.tokenize(s))).select("*", F.posexplode(starts).alias("window_order", "_s"))
-    window = F.slice("_t", F.col("_s") + 1, F.lit(size))
+    whole = F.array(F.btrim(F.col(column), F.lit(_BLANKS)))
     if by_lines:
-        hit = F.filter("_lines", lambda s, i: F.arrays_overlap(F.col("_lt")[i], window))
-        chosen = F.slice(F.when(F.size(hit) > 0, hit).otherwise(F.col("_lines")), 1, max(1, size // fixed.LINES_PER))
-        rendered = F.btrim(F.array_join(chosen, " "))
+        lines = F.filter(F.transform(F.split(newlines(F.col(column)), "\\n"), lambda s: F.btrim(s, F.lit(_BLANKS))), lambda s: s != "")
+        # No term goes over the end of a line.
+        tok = parts.withColumn("_lines", lines).withColumn("_terms", F.transform("_lines", lambda s: text.find_all(s, fixed.WORD)))
+        tok = tok.withColumn("_n", F.aggregate("_terms", F.lit(0), lambda n, t: n + F.size(t)))
+        long = tok.withColumns({c: F.when(F.col("_n") > size, F.col(c)) for c in ("_lines", "_terms")})
+        chosen = _lines_of_windows(max(1, size // fixed.LINES_PER), size, step)("_lines", "_terms")
+        made = long.withColumn("_w", F.when(F.col("_n") > size, chosen).otherwise(whole))
     else:
-        rendered = F.array_join(window, " ")
-    return one.withColumn("window", F.when(n <= size, F.btrim(F.col(column), F.lit(_BLANKS))).otherwise(rendered)).drop("_t", "_lines", "_lt", "_s")
+        tok = parts.withColumn("_terms", text.tokenize(column)).withColumn("_n", F.size("_terms"))
+        starts = F.sequence(F.lit(0), (F.ceil((F.col("_n") - size) / step) * step).cast("int"), F.lit(step))
+        cut_up = text.let(F.col("_terms"), lambda t: F.transform(starts, lambda s: F.array_join(F.slice(t, s + 1, F.lit(size)), " ")))
+        made = tok.withColumn("_w", F.when(F.col("_n") > size, cut_up).otherwise(whole))
+    made = made.drop("_lines", "_terms", "_n")
+    # Every text has a window; a plain posexplode would make them once more, to filter by their number.
+    return made.select("*", F.posexplode_outer("_w").alias("window_order", "window")).drop("_w")
 
 
 #: A comma and its cell; a cell that begins with a quote goes to the quote that ends it, or to the end of the line.

@@ -6,6 +6,7 @@ import itertools
 import json
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +45,26 @@ def test_token_windows(spark, n):
     assert [r.window.split() for r in df] == [words[s : s + 120] for s in starts]
 
 
+def test_line_windows_against_all_lines(spark):
+    """Also that a text's tokens are not copied to its windows."""
+    r = random.Random(5)
+    say = lambda n: " ".join(r.choice([f"w{r.randint(0, 300)}", f"N{k}", "ä-b:c", "—"]) for k in range(n))
+    texts = [("\n" if k % 2 else "\r\n ").join(say(r.randint(0, 30)) for _ in range(r.choice([0, 3, 40, 90]))) for k in range(200)] + [None, "", "a" + " b" * 119, "a" + " b" * 120, "\n".join(["x y z"] * 500)]
+    df = documents.windows(spark.createDataFrame(list(enumerate(texts)), "doc_id int, body string").coalesce(1)).select("doc_id", "window_order", "window")
+    want, words = [], lambda x: [w.lower() for w in re.findall("[A-Za-z0-9][A-Za-z0-9._:/-]*", x)]
+    for i, x in enumerate(texts):
+        t, lines = words(x or ""), [s.strip() for s in (x or "").splitlines() if s.strip()]
+        if len(t) <= 120:
+            want.append((i, 0, None if x is None else x.strip()))
+            continue
+        for n, s in enumerate(range(0, math.ceil((len(t) - 120) / 96) * 96 + 1, 96)):
+            mine = set(t[s : s + 120])
+            want.append((i, n, " ".join([y for y in lines if mine & set(words(y))][:5])))
+    assert sorted(map(tuple, df.collect())) == want and len(want) > 800
+    plan = plan_of(df)
+    assert "posexplode(_w" in plan and plan.count("ArrowEvalPython") == 1
+
+
 def test_duplicates(spark):
     base = [f"t{i}" for i in range(100)]
     texts = [" ".join(base), " ".join(base), " ".join(base[:-4] + ["x1", "x2"]), " ".join(base[:80]), "the and for", ""]
