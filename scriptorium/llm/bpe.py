@@ -226,7 +226,7 @@ def _lookup(head: Head, words: list[bytes]) -> np.ndarray:
     """Number of each word in the head, -1 for others."""
     if not words or not len(head.high):
         return np.full(len(words), -1, np.int64)
-    key = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in words), np.uint64).reshape(-1, 2)
+    key = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
     at = np.searchsorted(head.high, key[:, 0])
     at[at == len(head.high)] = 0
     return np.where((head.high[at] == key[:, 0]) & (head.low[at] == key[:, 1]), at, -1)

@@ -139,17 +139,20 @@ class Classes:
 
 
 def shapes(classes: Classes) -> dict[str, tuple]:
+    """The last rows of U and of each part of T are added: they stand on a column of ones."""
     d, h, g = WIDTH, HIDDEN, classes.groups
-    return {"E": (classes.units, d), "P": (WINDOW, d), "Q": (d, d), "K": (d, d), "V": (d, d), "O": (d, d), "A": (d, h), "a": (h,), "B": (h, d), "U": (d, g), "b": (g,), "T": (g, d, GROUP), "t": (g, GROUP)}
+    return {"E": (classes.units, d), "P": (WINDOW, d), "Q": (d, d), "K": (d, d), "V": (d, d), "O": (d, d), "A": (d, h), "a": (h,), "B": (h, d), "U": (d + 1, g), "T": (g, d + 1, GROUP)}
 
 
 def initial(classes: Classes) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(7)
-    p = {k: (rng.standard_normal(s) * (0.3 if k in "EP" else 0.5 / np.sqrt(WIDTH))).astype(np.float32) for k, s in shapes(classes).items()}
+    p = {k: (rng.standard_normal(s) * (0.3 if k in "EP" else 0.5 / np.sqrt(WIDTH))).astype(np.float32) for k, s in shapes(classes).items() if k != "T"}
+    t = (rng.standard_normal((classes.groups, WIDTH, GROUP)) * 0.5 / np.sqrt(WIDTH)).astype(np.float32)
+    p["T"] = np.concatenate([t, classes.prior_within[:, None]], axis=1)
     p["a"][:] = 0
     p["U"] *= 0.2
-    p["T"] *= 0.2
-    p["b"], p["t"] = classes.prior.copy(), classes.prior_within.copy()
+    p["T"][:, :-1] *= 0.2
+    p["U"][-1] = classes.prior
     return p
 
 
@@ -186,8 +189,9 @@ def _three(p: dict) -> np.ndarray:
     return np.hstack([p["Q"] * np.float32(1 / np.sqrt(WIDTH)), p["K"], p["V"]])
 
 
-def attend(p: dict, x: np.ndarray):
-    """Hidden states of windows x (n, WINDOW) of units, a row a place: batched masked attention and the hidden layer."""
+def attend(p: dict, x: np.ndarray, at: np.ndarray | None = None):
+    """Hidden states of windows x (n, WINDOW) of units, a row for each place in at, or for all: batched masked
+    attention and the hidden layer, which only those places go through."""
     n, w = x.shape
     h0 = np.take(p["E"], x, axis=0)
     h0 += p["P"]
@@ -201,8 +205,11 @@ def attend(p: dict, x: np.ndarray):
     s *= _EARLIER
     s /= _row_sums(s.reshape(n * w, w)).reshape(n, w, 1)
     c = (s @ v).reshape(n * w, -1)
+    own = h0
+    if at is not None:
+        c, own = np.take(c, at, axis=0), np.take(h0, at, axis=0)
     h1 = c @ p["O"]
-    h1 += h0
+    h1 += own
     m = h1 @ p["A"]
     m += p["a"]
     np.maximum(m, 0, out=m)
@@ -223,37 +230,40 @@ def _sorted(group: np.ndarray, groups: int) -> tuple[np.ndarray, list[int]]:
     return np.argsort(group.astype(np.int16), kind="stable"), [0, *np.cumsum(np.bincount(group, minlength=groups)).tolist()]
 
 
+def _with_ones(h: np.ndarray) -> np.ndarray:
+    out = np.ones((len(h), h.shape[1] + 1), h.dtype)
+    out[:, :-1] = h
+    return out
+
+
 def _within(h: np.ndarray, p: dict, bounds: list[int]) -> np.ndarray:
     """Values of the places within the group of each row of h, which is in the order of the groups."""
     z = np.empty((len(h), GROUP), h.dtype)
     for g, (i, j) in enumerate(zip(bounds, bounds[1:])):
         if j > i:
             np.matmul(h[i:j], p["T"][g], out=z[i:j])
-            z[i:j] += p["t"][g]
     return z
 
 
 def log_softmax(h: np.ndarray, p: dict, target: np.ndarray) -> np.ndarray:
     """log probability of the target classes: of their group, then within it."""
-    group, within = target // GROUP, target % GROUP
-    z = h @ p["U"]
-    z += p["b"]
-    out = _own_log(z, group)
-    order, bounds = _sorted(group, len(p["T"]))
-    out[order] += _own_log(_within(np.take(h, order, axis=0), p, bounds), within[order])
+    order, bounds = _sorted(target // GROUP, len(p["T"]))
+    h, target = _with_ones(np.take(h, order, axis=0)), target[order]
+    out = np.empty(len(h), h.dtype)
+    out[order] = _own_log(h @ p["U"], target // GROUP) + _own_log(_within(h, p, bounds), target % GROUP)
     return out
 
 
 def gradients(p: dict, x: np.ndarray, y: np.ndarray, mask: np.ndarray, g: dict) -> None:
     """Of the mean cross-entropy over masked places, into the arrays of g."""
     n, w = x.shape
-    h2, (h0, q, k, v, s, c, h1, m) = attend(p, x)
     at = np.flatnonzero(mask.reshape(-1))
     target = y.reshape(-1)[at]
-    # The places in the order of their groups from here on.
+    # The places in the order of their groups.
     order, bounds = _sorted(target // GROUP, len(p["T"]))
     at, target = at[order], target[order]
-    h, share = np.take(h2, at, axis=0), np.float32(1 / max(1, len(at)))
+    h2, (h0, q, k, v, s, c, h1, m) = attend(p, x, at)
+    h, share = _with_ones(h2), np.float32(1 / max(1, len(at)))
 
     def soft(z: np.ndarray, own: np.ndarray) -> np.ndarray:
         z = _exp(z)
@@ -261,28 +271,27 @@ def gradients(p: dict, x: np.ndarray, y: np.ndarray, mask: np.ndarray, g: dict)
         z.reshape(-1)[np.arange(len(z)) * z.shape[1] + own] -= share
         return z
 
-    z = h @ p["U"]
-    z += p["b"]
-    z = soft(z, target // GROUP)
-    g["U"][:], g["b"][:] = h.T @ z, z.sum(axis=0)
-    dh = z @ p["U"].T
+    z = soft(h @ p["U"], target // GROUP)
+    np.matmul(h.T, z, out=g["U"])
+    dh = z @ p["U"][:-1].T
     z = soft(_within(h, p, bounds), target % GROUP)
+    more = np.empty_like(dh)
     for k_, (i, j) in enumerate(zip(bounds, bounds[1:])):
         if j > i:
             np.matmul(h[i:j].T, z[i:j], out=g["T"][k_])
-            np.matmul(np.ones(j - i, np.float32), z[i:j], out=g["t"][k_])
-            dh[i:j] += z[i:j] @ p["T"][k_].T
+            np.matmul(z[i:j], p["T"][k_, :-1].T, out=more[i:j])
         else:
-            g["T"][k_], g["t"][k_] = 0, 0
-    dh2 = np.zeros_like(h2)
-    dh2[at] = dh
-    dm = dh2 @ p["B"].T
+            g["T"][k_] = 0
+    dh += more
+    dm = dh @ p["B"].T
     dm *= m > 0
-    g["B"][:], g["A"][:], g["a"][:] = m.T @ dh2, h1.T @ dm, dm.sum(axis=0)
+    g["B"][:], g["A"][:], g["a"][:] = m.T @ dh, h1.T @ dm, np.ones(len(dm), dm.dtype) @ dm
     dh1 = dm @ p["A"].T
-    dh1 += dh2
+    dh1 += dh
     g["O"][:] = c.T @ dh1
-    dc = (dh1 @ p["O"].T).reshape(n, w, -1)
+    dc = np.zeros_like(h0)
+    dc[at] = dh1 @ p["O"].T
+    dc = dc.reshape(n, w, -1)
     made = np.empty((n, w, 3 * WIDTH), h0.dtype)
     dq, dk, dv = np.split(made, 3, axis=2)
     np.matmul(s.transpose(0, 2, 1), dc, out=dv)
@@ -295,15 +304,11 @@ def gradients(p: dict, x: np.ndarray, y: np.ndarray, mask: np.ndarray, g: dict)
     made = made.reshape(n * w, -1)
     g["Q"][:], g["K"][:], g["V"][:] = np.split(h0.T @ made, 3, axis=1)
     g["Q"] *= np.float32(1 / np.sqrt(WIDTH))
-    dh0 = dh1
-    dh0 += made @ _three(p).T
+    dh0 = made @ _three(p).T
+    dh0[at] += dh1
     g["P"][:] = dh0.reshape(n, -1).sum(axis=0).reshape(w, -1)
     g["E"][:] = 0
-    units = x.reshape(-1)
-    order = np.argsort(units.astype(np.int16), kind="stable")
-    units = units[order]
-    first = np.flatnonzero(np.append(True, units[1:] != units[:-1]))
-    g["E"][units[first]] = np.add.reduceat(np.take(dh0, order, axis=0), first, axis=0)
+    np.add.at(g["E"].reshape(-1), (x.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).reshape(-1), dh0.reshape(-1))
 
 
 def windows(inputs: np.ndarray, bounds: np.ndarray):
@@ -338,17 +343,17 @@ class Adam:
                 self.t, done = self.t + 1, done + 1
                 rate = self.learn * (1 - fall * done / total)
                 gradients(self.views, x[take].astype(np.int64), y[take].astype(np.int64), mask[take], self.g_views)
-                # Moments are kept as sums that fall by a tenth and a hundredth a step.
+                # Moments are kept as sums that fall by a tenth and a hundredth a step; what would scale the squares scales the rest.
                 mean *= np.float32(0.9)
                 mean += g
                 g *= g
                 square *= np.float32(0.99)
                 square += g
-                np.multiply(square, np.float32(0.01 / (1 - 0.99**self.t)), out=g)
-                np.sqrt(g, out=g)
-                g += np.float32(1e-6)
+                root = np.sqrt((1 - 0.99**self.t) / 0.01)
+                np.sqrt(square, out=g)
+                g += np.float32(1e-6 * root)
                 np.divide(mean, g, out=g)
-                g *= np.float32(rate * 0.1 / (1 - 0.9**self.t))
+                g *= np.float32(rate * 0.1 / (1 - 0.9**self.t) * root)
                 self.vector -= g
 
 
@@ -466,7 +471,7 @@ def fit(train: DataFrame, words: DataFrame, path: str, head_words: int = HEAD_WO
     return Model(head_, head.least, classes, vector.astype(np.float32), path, end_id, int(sums.n or 0) + ends, int(sums.v) + bool(ends), ends, trained)
 
 
-def score_ids(p: dict, classes: Classes, e: Encoded, batch: int = 512) -> np.ndarray:
+def score_ids(p: dict, classes: Classes, e: Encoded, batch: int = 256) -> np.ndarray:
     """log10 probability of each id of e given those before it in its row."""
     x = _inputs(e, classes)
     at, _, scored, _ = windows(x, e.bounds)
@@ -474,9 +479,9 @@ def score_ids(p: dict, classes: Classes, e: Encoded, batch: int = 512) -> np.nda
     target = classes.of[e.ids]
     for i in range(0, len(at), batch):
         w, m = at[i : i + batch], scored[i : i + batch]
-        h, _ = attend(p, x[w])
+        h, _ = attend(p, x[w], np.flatnonzero(m))
         places = w[m]
-        out[places] += log_softmax(np.take(h, np.flatnonzero(m), axis=0), p, target[places]) * np.float32(1 / np.log(10))
+        out[places] += log_softmax(h, p, target[places]) * np.float32(1 / np.log(10))
     return out
 
 

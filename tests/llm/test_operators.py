@@ -323,6 +323,17 @@ def test_model_is_a_distribution_and_gradients_are_right():
         assert g[k][at] == pytest.approx((up - down) / (2 * e), abs=2e-5)
 
 
+def test_only_scored_places_go_through_the_hidden_layer():
+    classes = language_model.Classes(np.arange(3000.0), np.arange(3000) % 2)
+    p = language_model.initial(classes)
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, classes.units, (9, language_model.WINDOW))
+    at = rng.permutation(x.size)[:50]
+    whole, _ = language_model.attend(p, x)
+    got, (*_, c, h1, m) = language_model.attend(p, x, at)
+    assert len(whole) == x.size and len(got) == len(c) == len(h1) == len(m) == 50 and got == pytest.approx(whole[at], abs=1e-5)
+
+
 def test_windows_score_each_once():
     for sizes in ([1], [5, 16, 17, 40], [13, 14, 29]):
         bounds = np.append(0, np.cumsum(sizes))
