@@ -405,6 +405,26 @@ def test_search_of_a_known_query_set_shuffles_no_pairs(spark, monkeypatch):
     assert plan_of(search.bm25_search(q.limit(10), part, 4)).count("Exchange") <= 1
 
 
+def test_a_query_set_of_many_terms_is_not_joined_with_postings(spark, monkeypatch):
+    """As with few terms: a row of each query and task is shuffled, and tasks do not grow in number with the chunks."""
+    for name, value in {"TILE": 7, "ROWS": 11, "QUERY_BLOCK": 20, "HEAVY": 3, "TERMS_BROADCAST": 9, "TERMS_BLOCK": 60, "READERS": 1}.items():
+        monkeypatch.setattr(search, name, value, raising=False)
+    r = random.Random(8)
+    words = [f"W{k}" for k in range(60)]
+    say = lambda n: " ".join(words[min(int(r.expovariate(0.1)), 59)] for _ in range(n))
+    chunks = spark.createDataFrame([(k, "T", say(r.randint(0, 30)) + f" only{k}") for k in range(120)] + [(130, None, None), (131, "", "")], "chunk_id long, title string, text string").repartition(13)
+    q = spark.createDataFrame([(f"q{k}", say(r.randint(1, 8))) for k in range(50)] + [("none", "none of these"), ("empty", "")], "query_id string, text string")
+    visible = search.Visible(chunks.select("chunk_id", (F.col("chunk_id") % 10).alias("class_id")), q.selectExpr("query_id", "hash(query_id) % 9 AS class_id"))
+    whole, part = search.bm25_index(chunks), search.bm25_index(chunks, only=search.query_terms(q))
+    assert part.postings is None and part.packed.count() == 122
+    rounded = lambda df: sorted((x.query_id, x.chunk_id, x["rank"], round(x.score, 8)) for x in df.collect())
+    for eligible in (None, visible):
+        want, got = (search.bm25_search(q, i, 4, eligible=eligible) for i in (whole, part))
+        assert rounded(got) == rounded(want) != []
+    found = search.bm25_search(q, part, 4)
+    assert plan_of(found).count("Exchange") == 1 and "Join" not in plan_of(found) and "Coalesce" in plan_of(found)
+
+
 def test_chunks_of_few_hits_are_not_shuffled(spark):
     chunks = spark.createDataFrame([(k, "T", f"alpha w{k} ÀB Beta-{k}", f"d{k}", ["d2"]) for k in range(9)], "chunk_id long, title string, text string, doc_id string, references array<string>")
     q = spark.createDataFrame([("q", "W3 beta-3 àb nothing"), ("r", "ALPHA")], "query_id string, text string")
