@@ -50,25 +50,27 @@ def read_back(spark: SparkSession, output: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{output}/{name}")
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, output: str, config: dict) -> None:
-    """One micro-batch: documents with marks, and chunks."""
+def ingest_batch(batch: DataFrame, batch_id: int, output: str, config: dict) -> int:
+    """One micro-batch: documents with marks, and chunks; the number of documents. The batch is read again by each step and
+    not kept, and its texts are not shuffled."""
     spark = batch.sparkSession
-    docs = batch.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("source", F.lit("")).alias("title"), F.lit("").alias("product"), F.coalesce("text", F.lit("")).alias("text")).persist()
-    marked = incremental.mark_batch(docs, output, batch_id, config["near_duplicate"])
-    reason = policy.quarantine_reason("text", "title", F.lit(1.0))
-    status = F.when(reason != "", "quarantined").when(F.coalesce("duplicate_of", "near_duplicate_of").isNotNull(), "duplicate").otherwise("kept")
-    out = marked.select(
-        "doc_id", "lang", F.col("title").alias("source"), policy.trust_score("text", "title").alias("trust"), policy.quality_score("text", "title").alias("quality"), F.coalesce(status, F.lit("kept")).alias("status"),
-        "duplicate_of", "near_duplicate_of", "similarity", F.size(text.tokenize("text")).alias("n_tokens"),
+    docs = batch.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("source", F.lit("")).alias("title"), F.lit("").alias("product"), F.coalesce("text", F.lit("")).alias("text"))
+    marks = incremental.mark_batch(docs, output, batch_id, config["near_duplicate"])
+    scored = docs.select(
+        "doc_id", "lang", F.col("title").alias("source"), policy.trust_score("text", "title").alias("trust"), policy.quality_score("text", "title").alias("quality"),
+        policy.quarantine_reason("text", "title", F.lit(1.0)).alias("reason"), F.size(text.tokenize("text")).alias("n_tokens"),
     )
+    status = F.when(F.col("reason") != "", "quarantined").when(F.coalesce("duplicate_of", "near_duplicate_of").isNotNull(), "duplicate").otherwise("kept")
+    out = scored.join(marks, "doc_id", "left").select("doc_id", "lang", "source", "trust", "quality", F.coalesce(status, F.lit("kept")).alias("status"), "duplicate_of", "near_duplicate_of", "similarity", "n_tokens")
     out.write.mode("overwrite").partitionBy("lang").parquet(f"{output}/documents/batch={batch_id}")
-    kept = read_back(spark, output, "documents").where((F.col("batch") == batch_id) & (F.col("status") == "kept")).select("doc_id")
-    parts = documents.windows(docs.join(kept, "doc_id", "left_semi").select("doc_id", "lang", F.col("text").alias("body")), "body", config["window"], config["overlap"], by_lines=False)
+    left = read_back(spark, output, "documents").where((F.col("batch") == batch_id) & (F.col("status") != "kept")).select("doc_id")
+    kept = documents.by_ids(docs.select("doc_id", "lang", F.col("text").alias("body")), left, "doc_id", "left_anti")
+    parts = documents.windows(kept, "body", config["window"], config["overlap"], by_lines=False)
     chunks = parts.select("doc_id", "lang", F.col("window_order").alias("chunk"), F.col("window").alias("text"))
     chunks.write.mode("overwrite").partitionBy("lang").parquet(f"{output}/chunks/batch={batch_id}")
     n_docs, n_chunks = (read_back(spark, output, t).where(F.col("batch") == batch_id).count() for t in TABLES)
     log.info("batch %d: wrote %d documents and %d chunks below %s", batch_id, n_docs, n_chunks, output)
-    docs.unpersist()
+    return n_docs
 
 
 def as_pattern(path: str) -> str:
@@ -81,12 +83,12 @@ def run(spark: SparkSession, input_path: str, output: str, checkpoint: str, conf
     """Takes what is new below input_path; the number of rows read."""
     config = config or load_config()
     stream = spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", config["files_per_batch"]).parquet(as_pattern(input_path))
-    writer = stream.writeStream.foreachBatch(lambda batch, batch_id: ingest_batch(batch, batch_id, output, config))
+    taken = []  # rows by batch: the stream's own figure counts a row each time that it is read
+    writer = stream.writeStream.foreachBatch(lambda batch, batch_id: taken.append(ingest_batch(batch, batch_id, output, config)))
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    read = sum(p.numInputRows for p in query.recentProgress)
-    log.info("read %d new rows of %s in %d batches", read, input_path, len([p for p in query.recentProgress if p.numInputRows]))
-    return read
+    log.info("read %d new rows of %s in %d batches", sum(taken), input_path, len(taken))
+    return sum(taken)
 
 
 def main(argv: list[str] | None = None) -> None:

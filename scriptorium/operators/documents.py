@@ -67,10 +67,10 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     return joined.withColumn("duplicate_of", F.when(F.col("first_id") != F.col("doc_id"), F.col("first_id"))).drop("first_id")
 
 
-def token_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, ordinal, set (distinct tokens of title and text without stop words, sorted), h (its digest)."""
+def token_sets(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, ordinal, more, set (distinct tokens of title and text without stop words, sorted), h (its digest)."""
     tokens = F.array_sort(F.array_except(F.array_distinct(text.tokenize(F.concat_ws(" ", "title", "text"))), F.array(*map(F.lit, fixed.STOPWORDS))))
-    return docs.select("doc_id", "ordinal", tokens.alias("set")).withColumn("h", F.sha2(F.array_join("set", " "), 256))
+    return docs.select("doc_id", "ordinal", *more, tokens.alias("set")).withColumn("h", F.sha2(F.array_join("set", " "), 256))
 
 
 def set_classes(sets: DataFrame) -> DataFrame:
@@ -84,42 +84,87 @@ def signatures(classes: DataFrame, threshold: float = fixed.NEAR_DUPLICATE) -> D
     Words are dealt into parts by their hash. Sets that reach the threshold differ in at most (1 - t) / (1 + t) of the sum of
     their sizes, so with one part more than that there is one in which they do not differ: w is the digest of a part's words.
     Sizes are put into steps of 1 / t, so that such sets are in one step or in two that follow each other, and each set is
-    dealt out for its own step and for the next; a step has as many parts as its largest sizes need."""
+    dealt out for its own step and for the next; a step has as many parts as its largest sizes need. A set is dealt out where it
+    is read, and nothing is shuffled."""
     step = max(-math.log(threshold), 1e-3) * 1.0001
-    largest = F.floor(F.exp((F.col("level") + 1) * step) + 1e-6)
-    parts = (F.floor(2 * largest * ((1 - threshold) / (1 + threshold)) + 1e-6) + 1).cast("int")
-    own = F.floor(F.log("n") / step)
-    dealt = classes.where("n > 0").select("first", "n", F.transform("set", lambda w: F.xxhash64(w)).alias("hs"), F.explode(F.array(own, own + 1)).alias("level")).withColumn("parts", parts)
-    # Parts without a word count as well.
-    none = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.cast("long").alias("part"), F.lit(0).cast("long").alias("h")))
-    words = F.transform("hs", lambda h: F.struct(F.pmod(h, F.col("parts")).cast("long").alias("part"), F.xxhash64(h).alias("h")))
-    each = dealt.select("first", "n", "level", F.explode(F.concat(none, words)).alias("x"))
-    digest = each.groupBy("first", "n", "level", F.col("x.part").alias("part")).agg(F.bit_xor("x.h").alias("digest"))
+    parts = lambda level: (F.floor(2 * F.floor(F.exp((level + 1) * step) + 1e-6) * ((1 - threshold) / (1 + threshold)) + 1e-6) + 1).cast("long")
+    kind = classes.schema["first"].dataType.simpleString()
+    hashed = classes.where("n > 0").select("first", "n", F.floor(F.log("n") / step).alias("level"), F.transform("set", lambda w: F.xxhash64(w)).alias("hs"))
+    ready = hashed.select("first", "n", "level", parts(F.col("level")).alias("parts"), parts(F.col("level") + 1).alias("next_parts"), "hs", F.transform("hs", lambda h: F.xxhash64(h)).alias("xs"))
+    digest = ready.mapInArrow(_dealt(), f"first {kind}, n int, level long, part long, digest long")
     return digest.select(F.xxhash64("level", "part", "digest").alias("w"), "first", "n")
 
 
+def _dealt():
+    """Over batches of (first, n, level, parts, next_parts, hs, xs): for the level and the next a row a part with the digest of
+    its words, of which hs decide the part and xs are added up; a part without words counts as well."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                hs, xs = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("hs", "xs"))
+                level = batch.column("level").to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(level)), np.diff(batch.column("hs").offsets.to_numpy()))
+                for k, c in enumerate(("parts", "next_parts")):
+                    n = batch.column(c).to_numpy(zero_copy_only=False)
+                    first = np.cumsum(n) - n
+                    digest = np.zeros(int(n.sum()), np.int64)
+                    np.bitwise_xor.at(digest, first[row] + hs % n[row], xs)
+                    of = np.repeat(np.arange(len(n)), n)
+                    at = pa.array(of)
+                    yield pa.RecordBatch.from_arrays([batch.column("first").take(at), batch.column("n").take(at), pa.array(level[of] + k), pa.array(np.arange(len(of)) - first[of]), pa.array(digest)], names=["first", "n", "level", "part", "digest"])
+
+    return run
+
+
+#: Ids that are sent to all tasks at once.
+IDS = 300_000
+
+
+def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """The rows of df whose key is in ids (a written table of that column), or with left_anti the others. Ids are sent to where
+    df is read, so that no row of it is shuffled; they go in parts of about IDS, for each of which df is read again."""
+    n, ids, out = max(1, -(-ids.count() // IDS)), ids.distinct(), None
+    for i in range(n):
+        mine = F.pmod(F.xxhash64(key), F.lit(n)) == i
+        found = df.where(mine).join(F.broadcast(ids.where(mine)), key, how)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def _verified(pairs: DataFrame, later: DataFrame, earlier: DataFrame, threshold: float) -> DataFrame:
-    """first, to, to_id, similarity: of pairs (first, to) those whose full sets reach the threshold."""
-    full = pairs.join(later.select("first", "first_id", F.col("set").alias("a")), "first").join(earlier.select(F.col("first").alias("to"), F.col("first_id").alias("to_id"), F.col("set").alias("b")), "to")
+    """first, to, to_id, similarity: of pairs (first, to) those whose full sets reach the threshold. Pairs are written down
+    first, and only sets that are in one are shuffled."""
+    pairs = cut(pairs)
+    mine = by_ids(later.select("first", "first_id", F.col("set").alias("a")), pairs.select("first"), "first")
+    other = by_ids(earlier.select(F.col("first").alias("to"), F.col("first_id").alias("to_id"), F.col("set").alias("b")), pairs.select("to"), "to")
+    full = pairs.join(mine, "first").join(other, "to")
     return full.where("first_id <> to_id").withColumn("similarity", text.jaccard("a", "b")).where(F.col("similarity") >= threshold).select("first", "to", "to_id", "similarity")
 
 
-def earliest_links(later: DataFrame, later_signed: DataFrame, earlier: DataFrame, earlier_signed: DataFrame, threshold: float = fixed.NEAR_DUPLICATE) -> DataFrame:
+def earliest_links(later: DataFrame, earlier: DataFrame, signed: DataFrame, threshold: float = fixed.NEAR_DUPLICATE) -> DataFrame:
     """first, to, to_id, similarity: for each class of later the earliest one of earlier (itself not among them) whose
-    Jaccard reaches the threshold.
+    Jaccard reaches the threshold. signed: the signatures of earlier, which has all of later too, with new, whether it is of later.
 
-    First all are held against the earliest class with the same signature: members of a group of variants find its head
+    Most signatures are of one class: those that are not, less each one's earliest, are written down, and nothing else is read
+    again. First all are held against the earliest class with the same signature: members of a group of variants find its head
     there and leave, so the group gives no pairs. Only those that may have a link to something earlier than what they
     found are joined with all that share a signature."""
-    heads = earlier_signed.groupBy("w").agg(F.min("first").alias("head"))
-    fits = F.least("n", "n2") >= F.greatest("n", "n2") * threshold - 1e-9
-    mine = later_signed.join(heads, "w").where("head < first")
+    by = Window.partitionBy("w")
+    shared = signed.select("w", "first", "n", "new", F.min("first").over(by).alias("head"), F.max("new").over(by).alias("wanted"))
+    shared = cut(shared.where("wanted and head < first").drop("wanted"))
+    mine = shared.where("new")
     to_head = cut(_verified(mine.select("first", F.col("head").alias("to")).distinct(), later, earlier, threshold))
     found = to_head.groupBy("first").agg(F.min_by(F.struct("to", "to_id", "similarity"), "to").alias("link"))
     # A signature whose earliest class is the link, or later than it, can't give an earlier one.
     open_ = mine.join(found, "first", "left").where(F.col("link").isNull() | (F.col("head") < F.col("link.to")))
-    others = earlier_signed.select("w", F.col("first").alias("to"), F.col("n").alias("n2"))
-    pairs = open_.join(others, "w").where((F.col("to") < F.coalesce(F.col("link.to"), F.col("first"))) & (F.col("to") > F.col("head")) & fits).select("first", "to").distinct()
+    others = shared.select("w", F.col("first").alias("to"), F.col("n").alias("n2"))
+    fits = F.least("n", "n2") >= F.greatest("n", "n2") * threshold - 1e-9
+    pairs = open_.join(others, "w").where((F.col("to") < F.coalesce(F.col("link.to"), F.col("first"))) & fits).select("first", "to").distinct()
     more = _verified(pairs, later, earlier, threshold)
     return to_head.unionByName(more).groupBy("first").agg(F.min_by(F.struct("to", "to_id", "similarity"), "to").alias("link")).select("first", "link.*")
 
@@ -134,15 +179,17 @@ def near_duplicates(docs: DataFrame, threshold: float = fixed.NEAR_DUPLICATE) ->
     sets = token_sets(docs)
     classes = cut(set_classes(sets))
     signed = cut(signatures(classes, threshold))
-    links = earliest_links(classes, signed, classes, signed, threshold)
-    marked = classes.select("h", "first", "first_id", "members").join(links, "first", "left").where("members > 1 or to_id is not null")
+    links = earliest_links(classes, classes, signed.withColumn("new", F.lit(True)), threshold)
+    marked = classes.select("h", "first", "first_id", "members", F.when(F.col("members") == 1, F.col("first_id")).alias("lone")).join(links, "first", "left").where("members > 1 or to_id is not null")
     return mark(sets, marked)
 
 
 def mark(sets: DataFrame, linked: DataFrame, salts: int = 16) -> DataFrame:
-    """doc_id, near_duplicate_of, similarity from each class's first member and link. A hot class is salted."""
-    of = linked.select("h", "first", "first_id", "to_id", "similarity", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    members = sets.select("doc_id", "ordinal", "h", F.pmod(F.hash("doc_id"), F.lit(salts)).alias("salt")).join(of, ["h", "salt"])
+    """doc_id, near_duplicate_of, similarity from each class's first member and link. A hot class is salted; lone is the member
+    of a class that has one."""
+    salt = lambda c: F.pmod(F.hash(c), F.lit(salts))
+    of = linked.select("h", "first", "first_id", "to_id", "similarity", F.explode(F.when(F.col("lone").isNotNull(), F.array(salt("lone"))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("salt"))
+    members = sets.select("doc_id", "ordinal", "h", salt("doc_id").alias("salt")).join(of, ["h", "salt"])
     to = F.when(F.col("to_id").isNotNull(), F.col("to_id")).when(F.col("ordinal") > F.col("first"), F.col("first_id"))
     similarity = F.when(F.col("to_id").isNotNull(), F.col("similarity")).otherwise(F.lit(1.0))
     return members.select("doc_id", to.alias("near_duplicate_of"), F.round(similarity, 3).alias("similarity")).where(F.col("near_duplicate_of").isNotNull() & (F.col("near_duplicate_of") != F.col("doc_id")))

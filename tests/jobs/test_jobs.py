@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobs import evaluate_retrieval, ingest_documents
+from scriptorium.operators import documents
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 STOP = {"the", "and", "for", "with", "this", "that"}
@@ -103,6 +104,39 @@ def test_only_duplicates_and_one_file(spark, tmp_path):
     assert ingest_documents.read_back(spark, str(tmp_path / "out"), "chunks").count() == 1
 
 
+def shuffled(spark, after=-1):
+    """Bytes that stages later than after have shuffled, and the last stage."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    of = {(x := stages.apply(k)).stageId(): x.shuffleWriteBytes() for k in range(stages.size())}
+    return sum(n for k, n in of.items() if k > after), max(of, default=-1)
+
+
+def test_texts_and_sets_are_not_shuffled_or_kept(spark, tmp_path):
+    r = random.Random(3)
+    text = lambda: " ".join(f"{r.getrandbits(40):x}" for _ in range(300))
+    rows = [(k, text(), "en", "a", 0) for k in range(600)]
+    rows += [(1000 + k, rows[k][1] + (" more" if k % 2 else ""), "en", "a", 0) for k in range(60)]
+    write(spark, rows, tmp_path / "in")
+    _, before = shuffled(spark)
+    assert ingest_documents.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")) == 660
+    sent, _ = shuffled(spark, before)
+    assert 0 < sent < 0.7 * sum(len(x[1]) for x in rows) and spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+    want = {k: (None, None, None) for k in range(600)} | {1000 + k: (None if k % 2 else k, k, 0.997 if k % 2 else 1.0) for k in range(60)}
+    assert marks(spark, tmp_path / "out") == want
+
+
+def test_many_ids_go_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(documents, "IDS", 7)
+    rows = rows_of(60, 9)
+    write(spark, [(k,) + (None,) * 4 for k in range(0, 60, 2)] * 2, tmp_path / "ids")
+    df, ids = spark.createDataFrame(rows, DOCUMENTS), spark.read.parquet(str(tmp_path / "ids")).select("doc_id")
+    for how, odd in (("left_semi", 0), ("left_anti", 1)):
+        assert sorted(x.doc_id for x in documents.by_ids(df, ids, "doc_id", how).collect()) == list(range(odd, 60, 2))
+    write(spark, rows, tmp_path / "in")
+    ingest_documents.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark"))
+    assert marks(spark, tmp_path / "out") == plain([rows])
+
+
 def passages_of(t, n=8):
     t = [x.lower() for x in TOKEN.findall(t or "")]
     return {" ".join(t[i : i + n]) for i in range(len(t) - n + 1)}
